@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm import line_dedup, quality_rules
+from weftline.llm import line_dedup, near_dup, quality_rules
 from weftline.llm.common import table
 
 QUERIES = {}
@@ -86,3 +86,29 @@ select d.doc_id, coalesce(n_lines, 0)::bigint as n_lines,
   md5(case when gone > 0 and gone <= 0.5 * chars then coalesce(good, '') else text end) as clean_md5
 from documents d left join s on d.doc_id = s.doc_id
 """
+
+
+@query
+def op10_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The near-duplicate group of every document."""
+    return near_dup.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+ORACLES["op10_near_dup"] = r"""
+with recursive w as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w
+  from documents),
+s as (
+  select distinct doc_id, array_to_string(w[i:i+4], ' ') as sh from (select *, unnest(range(1, len(w) - 3)) as i from w where len(w) >= 5)
+  union all select doc_id, array_to_string(w, ' ') from w where len(w) between 1 and 4),
+n as (select doc_id, count(*) as n from s group by doc_id),
+c as (select sh from s group by sh having count(*) > 1),
+i as (
+  select a.doc_id as a, b.doc_id as b, count(*) as n
+  from s a join s b on a.sh = b.sh and a.doc_id <> b.doc_id where a.sh in (select sh from c) group by 1, 2),
+e as (
+  select a, b from i join n x on a = x.doc_id join n y on b = y.doc_id where 100 * i.n >= 85 * (x.n + y.n - i.n)),
+r as (select doc_id as a, doc_id as b from w union select r.a, e.b from r join e on r.b = e.a)
+select w.doc_id, coalesce(any_value(n.n), 0)::bigint as n_shingles, min(r.b) as component_id, w.doc_id = min(r.b) as kept
+from w join r on r.a = w.doc_id left join n on n.doc_id = w.doc_id group by w.doc_id
+"""
