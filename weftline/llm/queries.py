@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm import line_dedup, near_dup, quality_rules
+from weftline.llm import line_dedup, near_dup, packing, quality_rules
 from weftline.llm.common import table
 
 QUERIES = {}
@@ -112,3 +112,9 @@ r as (select doc_id as a, doc_id as b from w union select r.a, e.b from r join e
 select w.doc_id, coalesce(any_value(n.n), 0)::bigint as n_shingles, min(r.b) as component_id, w.doc_id = min(r.b) as kept
 from w join r on r.a = w.doc_id left join n on n.doc_id = w.doc_id group by w.doc_id
 """
+
+
+@query
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed into sequences of 4096 tokens, mixed like the corpus."""
+    return packing.pack(table(spark, sf_dir, "documents"))
