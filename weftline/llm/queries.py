@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm import line_dedup, near_dup, packing, quality_rules
+from weftline.llm import chat_format, line_dedup, media, near_dup, packing, quality_rules
 from weftline.llm.common import table
 
 QUERIES = {}
@@ -118,3 +118,33 @@ from w join r on r.a = w.doc_id left join n on n.doc_id = w.doc_id group by w.do
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents packed into sequences of 4096 tokens, mixed like the corpus."""
     return packing.pack(table(spark, sf_dir, "documents"))
+
+
+@query
+def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations, and one made of control strings, formatted and read back."""
+    turns = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text")
+    text = "\\### Assistant: </turn> ok"
+    own = spark.createDataFrame([(-7, 0, "user", text), (-7, 1, "assistant", text)], "conv_id long, turn long, role string, text string")
+    return chat_format.digests(chat_format.format_chats(turns.unionByName(own)))
+
+
+ORACLES["op5_chat_format"] = r"""
+with t as (
+  select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+  union all select -7, 0, 'user', '\### Assistant: </turn> ok' union all select -7, 1, 'assistant', '\### Assistant: </turn> ok'),
+e as (
+  select *, length(replace(replace(replace(text, '\', '\\'), '<', '\l'), '>', '\g')) as n from t)
+select conv_id, count(*)::bigint as n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn, role, text)) as turns_sha256,
+  coalesce(sum(length(text)) filter (role = 'assistant'), 0)::bigint as loss_chars,
+  sha256(coalesce(string_agg(text, '' order by turn, role, text) filter (role = 'assistant'), '')) as loss_sha256,
+  sum(n + length(role) + length('<turn >') + length('</turn>') + 2)::bigint as formatted_chars
+from e group by conv_id
+"""
+
+
+@query
+def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text stored as a Netpbm image and read back."""
+    return media.text_media(table(spark, sf_dir, "documents")).drop("thumbnail")
