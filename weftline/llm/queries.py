@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm import chat_format, line_dedup, media, near_dup, packing, quality_rules
+from weftline.llm import chat_format, language_id, line_dedup, media, near_dup, packing, quality_rules
 from weftline.llm.common import table
 
 QUERIES = {}
@@ -148,3 +148,13 @@ from e group by conv_id
 def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text stored as a Netpbm image and read back."""
     return media.text_media(table(spark, sf_dir, "documents")).drop("thumbnail")
+
+
+@query
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document, learnt from the documents that are not held out."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
+    model = language_id.train(docs.where(~held_out))
+    out = docs.select("doc_id", held_out.alias("held_out"), language_id.predict(F.col("text"), model).alias("p"))
+    return out.select("doc_id", "held_out", F.col("p.lang").alias("lang_pred"), F.col("p.score").alias("score"))
