@@ -24,7 +24,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftline.llm.common import cut
@@ -263,3 +263,21 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     out = d.join(grouped, F.col("digest") == F.col("__d"), "left")
     group = F.coalesce("__group", "doc_id")
     return out.select("doc_id", F.col("n").alias("n_shingles"), group.alias("component_id"), F.coalesce(F.col("doc_id") == group, group.isNull()).alias("kept"))
+
+
+def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", num: int = 85, den: int = 100, size: int = 5) -> DataFrame:
+    """The rows of docs that stay: one of each group, with all their columns.
+
+    Of rows that share an id, one stays. A row without an id has no name in a
+    group and stays.
+    """
+    groups = near_duplicates(docs, id_col, text_col, num, den, size)
+    groups = cut(groups.where("doc_id is not null").groupBy(F.col("doc_id").alias("__id")).agg(F.min("kept").alias("__kept"), F.count(F.lit(1)).alias("__rows")))
+    left = docs.join(groups.where("not __kept").hint("merge"), docs[id_col] == F.col("__id"), "left_anti")
+    repeated = groups.where("__rows > 1").select("__id")
+    if repeated.isEmpty():
+        return left
+    several = left.join(repeated.hint("merge"), left[id_col] == F.col("__id"), "left_semi")
+    rank = F.row_number().over(Window.partitionBy(id_col).orderBy(F.xxhash64(text_col), text_col))
+    one = several.withColumn("__rank", rank).where("__rank = 1").drop("__rank")
+    return left.join(repeated.hint("merge"), left[id_col] == F.col("__id"), "left_anti").unionByName(one)

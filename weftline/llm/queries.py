@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm import chat_format, language_id, line_dedup, media, near_dup, packing, quality_rules
+from weftline.llm import chat_format, importance, language_id, license_scan, line_dedup, media, near_dup, packing, quality_rules, source_mixing
 from weftline.llm.common import table
 
 QUERIES = {}
@@ -158,3 +158,94 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = language_id.train(docs.where(~held_out))
     out = docs.select("doc_id", held_out.alias("held_out"), language_id.predict(F.col("text"), model).alias("p"))
     return out.select("doc_id", "held_out", F.col("p.lang").alias("lang_pred"), F.col("p.score").alias("score"))
+
+
+@query
+def op6_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents resampled towards those labelled as good."""
+    good = importance.labelled(table(spark, sf_dir, "labels"), F.col("quality") == 1)
+    return importance.resample(table(spark, sf_dir, "documents"), good)
+
+
+@query
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License notices in all documents."""
+    return license_scan.scan(table(spark, sf_dir, "documents"))
+
+
+def _license_sql() -> str:
+    values = ", ".join("('{}', '{}', '{}')".format(t, lic, text.replace("'", "''")) for t, lic, text in license_scan.TEMPLATES)
+    return (
+        r"""
+with t as (select * from (values """
+        + values
+        + r""") as v(template, license, text)),
+d as (select doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') as w from documents),
+s as (select doc_id, i - 1 as p, array_to_string(w[i:i+4], ' ') as h from (select *, unnest(range(1, len(w) - 3)) as i from d where len(w) >= 5)),
+u as (select template, license, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') as w from t),
+v as (select distinct template, license, array_to_string(w[i:i+4], ' ') as h from (select *, unnest(range(1, len(w) - 3)) as i from u)),
+m as (select template, count(*) as m from v group by template),
+x as (
+  select distinct doc_id, template, license, m, h, p - p % m as start from s join v using (h) join m using (template)
+  union select doc_id, template, license, m, h, greatest(p - p % m - m, 0) from s join v using (h) join m using (template) where p - p % m > 0),
+c as (select doc_id, template, license, m, start, count(*) as n from x group by all)
+select doc_id, template, license, round(max(n) / max(m), 6) as containment, min(start)::bigint as first_word, count(*)::bigint as windows
+from c where 100 * n >= 80 * m group by doc_id, template, license
+"""
+    )
+
+
+ORACLES["op4_license_scan"] = _license_sql()
+
+MIX = source_mixing.Target(entropy=0.95, repeats=2.0)
+
+
+@query
+def op1_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often each document is taken for sources at 95 % of the full entropy, repeated twice at most."""
+    return source_mixing.mixture(table(spark, sf_dir, "documents"), MIX)
+
+
+#: The mixture of a table called docs, for queries to come: (doc_id, source, n_tokens, weight, copies, block_key, doc_key).
+MIX_SQL = r"""
+base as (
+  select doc_id, coalesce('=' || source, '') as source,
+    len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::bigint as n_tokens from docs),
+nb as (select greatest(1, round(sqrt(count(*))))::bigint as blocks from base),
+keyed as (
+  select *, substr(md5('block0|' || source || '|' || block), 1, 16) as bkey, substr(md5('doc0|' || doc_id), 1, 16) as dkey
+  from (select *, ('0x' || substr(md5('deal0|' || doc_id), 1, 8))::bigint % blocks as block from base, nb)),
+src as (select source, tokens, tokens / sum(tokens) over () as p from (select source, sum(n_tokens)::double as tokens from base group by source) where tokens > 0),
+lim as (select {entropy} * ln(count(*)) as h from src),
+ent as (
+  select 0 as step, 0::bigint as lo, 16777216::bigint as hi
+  union all
+  select step + 1, case when ok then mid else lo end, case when ok then hi else mid end from (
+    select *, (select ln(sum(pow(p, mid / 16777216))) - mid / 16777216 * sum(pow(p, mid / 16777216) * ln(p)) / sum(pow(p, mid / 16777216)) from src)
+      >= (select h from lim) - 1e-12 as ok
+    from (select *, (lo + hi) // 2 as mid from ent where step < 24))),
+a1 as (
+  select case when (select -sum(p * ln(p)) from src) >= (select h from lim) - 1e-12 then 1.0::double
+    else (select lo / 16777216 from ent where step = 24) end as alpha),
+rep as (
+  select 0 as step, 0::bigint as lo, 16777216::bigint as hi
+  union all
+  select step + 1, case when ok then lo else mid end, case when ok then mid else hi end from (
+    select *, (select max(pow(p, mid / 16777216) / p) / min(pow(p, mid / 16777216) / p) from src) <= {repeats} + 1e-12 as ok
+    from (select *, (lo + hi) // 2 as mid from rep where step < 24))),
+a2 as (
+  select case when (select max(pow(p, alpha) / p) / min(pow(p, alpha) / p) from src) > {repeats}
+    then greatest(alpha, (select hi / 16777216 from rep where step = 24)) else alpha end as alpha from a1),
+wt as (
+  select source, tokens, pow(p, alpha) / sum(pow(p, alpha)) over () as weight,
+    sum(tokens) over () / min(pow(p, alpha) / p / (select sum(pow(p, alpha)) from src)) over () as budget from src, a2),
+q as (select source, tokens, weight, floor(round(weight * budget, 3)) as quota from wt),
+pl as (select *, floor(quota / tokens) as epochs, quota - floor(quota / tokens) * tokens as rest from q),
+ep as (select *, sum(n_tokens) over (partition by source order by bkey, dkey) as upto from keyed),
+mixed as (
+  select ep.doc_id, case when ep.source <> '' then substr(ep.source, 2) end as source, n_tokens,
+    coalesce(round(weight, 6), 0) as weight, coalesce(epochs + (upto <= rest)::int, 0)::bigint as copies,
+    bkey as block_key, dkey as doc_key from ep left join pl on ep.source = pl.source)
+"""
+
+ORACLES["op1_source_mixing"] = "with recursive docs as (select * from documents)," + MIX_SQL.format(entropy=MIX.entropy, repeats=MIX.repeats) + "select * from mixed"
