@@ -253,7 +253,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     members = nodes.join(chosen.select("rep", "n"), F.col("node") == F.col("rep"))
     extent = cut(members.groupBy("component").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_TEXTS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks")).withColumnRenamed("component", "__c"))
     nodes = cut(nodes.join(extent, F.col("component") == F.col("__c")).select("node", F.col("component").alias("cluster"), "blocks", F.pmod(F.xxhash64("node"), F.col("blocks").cast("long")).cast("int").alias("block")))
-    texts = docs.join(nodes, F.col("doc_id") == F.col("node")).select("node", "text", "cluster", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    texts = docs.join(nodes.hint("merge"), F.col("doc_id") == F.col("node")).select("node", "text", "cluster", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     pairs = texts.select("cluster", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "node", (F.col("block") > F.col("other")).cast("int").alias("side"), "text")
     dealt = pairs.repartition("cluster", "lo", "hi").sortWithinPartitions("cluster", "lo", "hi")
     links = dealt.mapInArrow(_verified(size, num, den), "a long, b long")
