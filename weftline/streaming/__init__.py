@@ -1,0 +1 @@
+"""Nothing here streams: products and reports are batch plans over whole files."""
