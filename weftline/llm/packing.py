@@ -19,23 +19,26 @@
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import zlib
 from collections import deque
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftline.llm.common import cut
 
-#: Chunks a worker keeps with their ids, and the longest that it keeps, in bytes.
+#: Chunks that a generation of a worker's memory holds before it ages; the longest kept, in bytes.
 CACHE, CHUNK = 400_000, 64
 #: Bytes of text that are tokenised at a time.
-BATCH = 4 << 20
+BATCH = 8 << 20
 LANE = 1024
 
 PIECES = "doc_id long, source string, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -47,58 +50,142 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-class Encoder:
-    """Token ids of texts, by white-space chunks.
+class _Recent:
+    """Values by key in two generations: when the young one is full it becomes the old one, and what is used again is young again."""
+
+    def __init__(self, most: int):
+        self.most, self.young, self.old = most, {}, {}
+
+    def age(self) -> None:
+        if len(self.young) > self.most:
+            self.old, self.young = self.young, {}
+
+    def missing(self, keys: set[bytes]) -> set[bytes]:
+        """Of keys that are not young, those that are not old either; the old ones are young again."""
+        known = keys & self.old.keys()
+        self.young.update({k: self.old[k] for k in known})
+        return keys - known
+
 
-    The tokenizer drops white space and no token crosses it, so a text's ids
-    are its chunks' ids in order, and chunks that come again are looked up.
-    Chunks are cut at ASCII white space only, which every form of the
-    tokenizer's white space includes.
+#: Letters that lower-casing and composition leave alone, and marks that are tokens' runs of their own behind one.
+_PLAIN = "a-zà-öø-ÿ"
+_MARKED = rf"([{_PLAIN}])([.,!?;:$%&*#]+)([ \t\n\r])"
+_WORD = re.compile(rf"[{_PLAIN}]+")
+
+
+class Encoder:
+    """Token ids of texts, by chunks.
+
+    The tokenizer drops white space, no token crosses it, and a run of letters
+    and a run of marks are never one token. So texts are cut at ASCII white
+    space (which every form of the tokenizer's white space includes) and
+    before marks that end a word; a text's ids are its chunks' ids in order,
+    and chunks that come again are looked up. New chunks of plain letters are
+    encoded many at a time by a copy of the tokenizer without the steps that
+    leave them alone. What a tokenizer does is probed first: cuts and copies
+    that would change its ids are not used.
     """
 
+    _made: dict[str, Encoder] = {}
+
+    @classmethod
+    def of(cls, path: str) -> Encoder:
+        """One encoder for all tasks of a worker, so that its chunks stay known."""
+        if path not in cls._made:
+            cls._made = {path: cls(path)}
+        return cls._made[path]
+
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-        self.known: dict[bytes, bytes] = {}
-
-    def __call__(self, texts: list[bytes]) -> list[bytes]:
-        """The ids of each text as packed numbers of self.dtype."""
-        chunks = [t.split() for t in texts]
-        new = list(set().union(*chunks) - self.known.keys())
-        if len(new) + len(self.known) > CACHE:
-            self.known = {}
-            new = list(set().union(*chunks))
-        rare = {}
-        for c, e in zip(new, self.tokenizer.encode_batch([c.decode("utf-8", "replace") for c in new], add_special_tokens=False) if new else [], strict=True):
-            (self.known if len(c) <= CHUNK else rare)[c] = np.array(e.ids, self.dtype).tobytes()
-        if rare:
-            return [b"".join([self.known[c] if len(c) <= CHUNK else rare[c] for c in x]) for x in chunks]
-        return [b"".join(map(self.known.__getitem__, x)) for x in chunks]
+        self.known = _Recent(CACHE)
+        one = lambda *texts: [x.tobytes() for x in self._encoded(list(texts))]
+        self.folds = one("Ab", "THE", "X") == one("ab", "the", "x")
+        self.splits = one("ab,", "é.", "q$$$", "the!!") == [x + y for x, y in zip(one("ab", "é", "q", "the"), one(",", ".", "$$$", "!!"), strict=True)]
+        self.plain, self.ends = None, np.zeros(self.tokenizer.get_vocab_size(), bool)
+        self.ends[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith("</w>")]] = True
+        spec = json.loads(self.tokenizer.to_str())
+        steps = (spec.get("pre_tokenizer") or {}).get("pretokenizers", [])
+        if [s["type"] for s in steps] == ["Split", "ByteLevel"] and self.ends.any():
+            steps[0] = {"type": "WhitespaceSplit"}
+            self.plain = Tokenizer.from_str(json.dumps(spec | {"normalizer": None}))
+            probe = ["the", "a", "thtionéa", "àöøÿ", "zzzzqx", "été", "straße"]
+            if [x.tobytes() for x in self._plain_words(probe)] != one(*probe):
+                self.plain = None
+
+    def _encoded(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, self.dtype) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)] if texts else []
+
+    def _plain_words(self, words: list[str], group: int = 512) -> list[np.ndarray]:
+        """The ids of words of plain letters. Every word ends with the one token that ends words."""
+        out: list[np.ndarray] = []
+        for e in self.plain.encode_batch_fast([" ".join(words[k : k + group]) for k in range(0, len(words), group)], add_special_tokens=False) if words else []:
+            ids = np.array(e.ids, self.dtype)
+            out += np.split(ids, np.flatnonzero(self.ends[ids])[:-1] + 1)
+        if len(out) != len(words):
+            raise ValueError("the tokenizer's word ends do not match the words")
+        return out
+
+    def values(self, chunks: list[bytes]) -> list[bytes]:
+        """The packed ids of distinct chunks."""
+        self.known.age()
+        young = self.known.young
+        found = list(map(young.get, chunks))
+        holes = [i for i, v in enumerate(found) if v is None]
+        new = self.known.missing({chunks[i] for i in holes})
+        plain, other = [], []
+        for c in new:
+            word = c.decode("utf-8", "replace")
+            (plain if self.plain is not None and _WORD.fullmatch(word) else other).append((c, word))
+        for part, encode in ((plain, self._plain_words), (other, self._encoded)):
+            young.update(zip([c for c, _ in part], [x.tobytes() for x in encode([w for _, w in part])], strict=True))
+        for i in holes:
+            found[i] = young[chunks[i]]
+            if len(chunks[i]) > CHUNK:
+                del young[chunks[i]]
+        return found
+
+    def __call__(self, texts: pa.StringArray) -> list[np.ndarray]:
+        """The ids of each text; of a null one, none. Chunks are cut, told apart and put together again in arrays."""
+        texts = pc.fill_null(texts, "")
+        special = pc.any(pc.match_substring(texts, "<|")).as_py()  # maybe special tokens: as they are
+        if self.folds and not special:
+            texts = pc.ascii_lower(texts)
+        if self.splits and not special:
+            texts = pc.replace_substring_regex(texts, _MARKED, r"\1 \2\3")
+        cut_up = pc.ascii_split_whitespace(texts)
+        told = cut_up.values.dictionary_encode()
+        chunks = told.dictionary.cast(pa.binary()).to_pylist()
+        values = self.values([c for c in chunks if c])
+        if b"" in chunks:
+            values.insert(chunks.index(b""), b"")
+        ids = np.frombuffer(b"".join(values), self.dtype)
+        size = np.array([len(v) for v in values], np.int64) // self.dtype.itemsize
+        start = np.cumsum(size) - size
+        at = told.indices.to_numpy()
+        n = size[at]
+        before = np.concatenate([[0], np.cumsum(n)])
+        out = ids[np.repeat((start[at] - before[:-1]).astype(np.int32), n) + np.arange(before[-1], dtype=np.int32)]
+        return np.split(out, before[cut_up.offsets.to_numpy()[1:-1]])
 
 
 def _tokenised(path: str, end: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, pack = Encoder(path), zstandard.ZstdCompressor(level=1)
-        last = np.array([end], encode.dtype).tobytes()
-        wide = encode.dtype.itemsize
+        encode, pack = Encoder.of(path), zstandard.ZstdCompressor(level=1)
+        last = np.array([end], encode.dtype)
 
-        def out(b: pa.RecordBatch, lo: int, texts: list[bytes]) -> pa.RecordBatch:
-            ids = [x + last for x in encode(texts)]
-            part = b.slice(lo, len(texts))
-            return pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("source"), pa.array([len(x) // wide for x in ids], pa.int64()), pa.array([pack.compress(x) for x in ids], pa.binary())], ["doc_id", "source", "tokens", "ids"])
+        def out(part: pa.RecordBatch) -> pa.RecordBatch:
+            ids = [np.append(x, last) for x in encode(part.column("text"))]
+            return pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("source"), pa.array([len(x) for x in ids], pa.int64()), pa.array([pack.compress(x.tobytes()) for x in ids], pa.binary())], ["doc_id", "source", "tokens", "ids"])
 
         for b in batches:
-            texts, size, lo = [], 0, 0
-            column = b.column("text").cast(pa.binary())
-            for i in range(b.num_rows):
-                texts.append(column[i].as_py() or b"")
-                size += len(texts[-1])
-                if size >= BATCH or i == b.num_rows - 1:
-                    yield out(b, lo, texts)
-                    texts, size, lo = [], 0, i + 1
+            size = np.cumsum(pc.fill_null(pc.binary_length(b.column("text")), 0).to_numpy(zero_copy_only=False)) // BATCH
+            for k in np.unique(size):
+                lo, hi = np.searchsorted(size, [k, k + 1])
+                yield out(b.slice(lo, hi - lo))
 
     return run
 
