@@ -1,0 +1,62 @@
+import random
+import re
+
+import pytest
+
+from weftline.llm import license_scan as ls
+
+SCHEMA = "doc_id long, text string, template string, s string"
+
+
+def plain(rows, percent=80):
+    """Templates by the shares of their 5-word shingles in windows, by loops."""
+    grams = lambda t: [tuple(w[i : i + 5]) for w in [re.findall(r"[^\W_]+", t.lower())] for i in range(len(w) - 4)]
+    out = set()
+    for i, text in rows:
+        g = grams(text or "")
+        for t, lic, body in ls.TEMPLATES:
+            want = set(grams(body))
+            m = len(want)
+            hits = {k: len(want & set(g[k : k + 2 * m])) for k in range(0, max(len(g), 1), m)}
+            if g and (good := {k: n for k, n in hits.items() if 100 * n >= percent * m}):
+                out.add((i, t, lic, round(max(good.values()) / m, 6), min(good), len(good)))
+    return out
+
+
+def rows():
+    rng = random.Random(4)
+    filler = lambda n: " ".join(rng.choice(["and", "tion", "the", "License", "x9"]) for _ in range(n))
+    made = []
+    for i, (_, _, body) in enumerate(ls.TEMPLATES * 6):
+        words = body.split()
+        if i >= 16 and len(words) > 20:  # a few words changed
+            for _ in range(rng.randrange(4)):
+                words[rng.randrange(len(words))] = "changed"
+        made.append((i, f"{filler(rng.randrange(60))}\n{' '.join(words)}. {filler(rng.randrange(60))}"))
+    every = " ".join(b for _, _, b in ls.TEMPLATES)
+    return made + [(900, None), (901, ""), (902, "Released under the"), (903, filler(30_000) + " " + ls.TEMPLATES[0][2]), (904, every * 3), (905, ls.TEMPLATES[1][2].upper())]
+
+
+def test_equals_loops(spark):
+    docs = spark.createDataFrame([(*r, "t", "s") for r in rows()], SCHEMA)
+    assert {tuple(r) for r in ls.scan(docs).collect()} == plain(rows())
+
+
+def test_empty_and_repeated(spark):
+    assert ls.scan(spark.createDataFrame([], SCHEMA)).collect() == []
+    one = [(1, "Released under the MIT License.", "", "")] * 2
+    got = ls.scan(spark.createDataFrame(one, SCHEMA)).collect()
+    assert [(r.doc_id, r.template, r.containment) for r in got] == [(1, "mit-short", 1.0)]
+
+
+def test_own_templates(spark):
+    docs = spark.createDataFrame([(1, "one two three four five six seven", "", "")], SCHEMA)
+    assert [r.license for r in ls.scan(docs, templates=[("t", "L", "two three four five six")]).collect()] == ["L"]
+    with pytest.raises(ValueError):
+        ls.scan(docs, templates=[("t", "L", "too short")])
+
+
+def test_band_settings():
+    """80 % of a template in a window twice its length collide in some band all but surely."""
+    similarity = 0.8 / 2.2
+    assert 1 - (1 - similarity) ** ls.BANDS > 0.9999

@@ -16,6 +16,8 @@ from weftline.llm.common import WORD, cut, paired, shifted, words
 
 #: Length in words of the windows whose repetition counts.
 WINDOW = 8
+#: The prior weighs at least as much as so many documents: a few failures do not condemn a small host.
+LEAST_PRIOR = 20.0
 
 
 def repeated_words(df: DataFrame, words_col: str, out: str) -> DataFrame:
@@ -95,7 +97,7 @@ def host_rates(measured: DataFrame, names: list[str]) -> DataFrame:
         n, mean = total["n"] or 1, (total[f"f_{r}"] or 0) / (total["n"] or 1)
         chance = mean * (1 - mean)
         between = (total[f"q_{r}"] or 0) / n - mean * mean - chance * total["hosts"] / n
-        strength = min(max(chance / between - 1, 1.0), 1e6) if between > 1e-9 else 1e6
+        strength = min(max(chance / between - 1, LEAST_PRIOR), 1e6) if between > 1e-9 else 1e6
         shrunk.append(F.round((F.col(f"f_{r}") + mean * strength) / (F.col("n") + strength), 6).alias(f"rate_{r}"))
     return hosts.select("host", *shrunk)
 

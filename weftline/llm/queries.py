@@ -52,7 +52,7 @@ u as (
 t as (select k, sum(n) as n, count(*) as hosts, sum(a) / sum(n) as mean, sum(a * a / n) / sum(n) as q from u group by k),
 b as (select *, q - mean * mean - mean * (1 - mean) * hosts / n as v from t),
 s as (
-  select k, mean, case when v > 1e-9 then least(greatest(mean * (1 - mean) / v - 1, 1), 1e6) else 1e6 end as s from b),
+  select k, mean, case when v > 1e-9 then least(greatest(mean * (1 - mean) / v - 1, 20), 1e6) else 1e6 end as s from b),
 z as (select host, max(round((a + mean * s) / (n + s), 6)) as host_rate from u join s using (k) group by host)
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (f1 or f2) as base_failed,
   not (f1 or f2) and not host_rate > 0.5 as kept, host_rate > 0.5 as host_rejected, host_rate
