@@ -88,9 +88,9 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templa
     known = template_table(spark, templates or TEMPLATES)
     every = F.array(*(F.lit(h).cast("long") for h in sorted({h for _, _, s in known for h in s})))
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).where("text is not null")
-    rows = _with_shingles(rows, "text", "s").select("doc_id", "s").where(F.arrays_overlap("s", every))
+    # The disjointness test is a condition, not a filter, which would be pushed down with the shingles' expressions copied into it.
     hits = F.filter(F.transform("s", lambda h, i: F.when(F.array_contains(every, h), i)), lambda i: i.isNotNull())
-    rows = rows.withColumn("hits", hits)
+    rows = _with_shingles(rows, "text", "s").select("doc_id", "s", F.when(F.arrays_overlap("s", every), hits).alias("hits"))
     for_length = [_windows(F.col("hits"), F.col("s"), m) for m in sorted({len(s) for _, _, s in known})]
     windows = rows.select("doc_id", F.explode(F.concat(*for_length)).alias("x")).select("doc_id", "x.*")
     banded = windows.select("doc_id", "m", "start", "w", F.explode(_bands(F.col("w"))).alias("b")).select("doc_id", "m", "start", "w", "b.*")
