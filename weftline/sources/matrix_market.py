@@ -8,6 +8,8 @@ not merged and explicit zeros stay.
 
 from __future__ import annotations
 
+from urllib.parse import unquote
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -86,19 +88,19 @@ def expand_symmetric(entries: DataFrame) -> DataFrame:
 
 def read(spark: SparkSession, path: str | list[str], strict: bool = False) -> tuple[DataFrame, DataFrame]:
     """(meta, coo) of all *.mtx files in the given folders or files; missing paths and empty files have a status too."""
-    there, status = [], []
+    there, names, status = [], [], []
     for p in [path] if isinstance(path, str) else path:
         try:
-            files = spark.read.format("binaryFile").option("pathGlobFilter", "*.mtx").load(p).select("path", "length")
+            names += spark.read.option("pathGlobFilter", "*.mtx").text(p).inputFiles()
             there.append(p)
-            status.append(files.where("length = 0").select(F.element_at(F.split("path", "/"), -1).alias("matrix"), F.lit("E_EMPTY").alias("status")))
         except AnalysisException:
-            status.append(spark.createDataFrame([(p.rstrip("/").rsplit("/", 1)[-1], "E_OPEN")], "matrix string, status string"))
+            status.append((p.rstrip("/").rsplit("/", 1)[-1], "E_OPEN"))
     lines = read_lines(spark, there, "*.mtx") if there else spark.createDataFrame([], schema.LINES)
     meta, coo = parse(lines, strict)
-    for s in status:
-        meta = meta.unionByName(s, allowMissingColumns=True)
-    return meta, coo
+    listed = spark.createDataFrame([(unquote(n.rsplit("/", 1)[-1]), "E_EMPTY") for n in names], "matrix string, status string")
+    silent = listed.join(meta.select(F.col("matrix").alias("__m")), F.col("matrix") == F.col("__m"), "left_anti")
+    missing = spark.createDataFrame(status, "matrix string, status string")
+    return meta.unionByName(silent.unionByName(missing), allowMissingColumns=True), coo
 
 
 def format_lines(meta: DataFrame, coo: DataFrame) -> DataFrame:
