@@ -95,13 +95,12 @@ def test_scores_do_not_depend_on_what_is_remembered(spark, monkeypatch):
     rows = made(80, 3)
     model = train(spark.createDataFrame(rows, SCHEMA))
     monkeypatch.setattr(li, "CACHE", 5)
-    scorer = li._Scorer(model)
-    for _, text, _ in rows[:20]:
-        chunks = list(set(text.split()))
-        new = chunks if len(scorer) + len(chunks) > li.CACHE else [c for c in chunks if c not in scorer]
-        scorer.add(new)
-        for c in chunks:
-            assert np.allclose(scorer.rows[scorer[c]], model.word_scores(letter_words(c)).sum(axis=0))
+    scorer = li.Scorer(model)
+    for _, text, _ in rows[:20] * 2:
+        words = list(dict.fromkeys(letter_words(text)))
+        assert np.allclose(scorer(words), model.word_scores(words))
+    long = "ab" * 40
+    assert np.allclose(scorer([long])[0], model.word_scores(letter_words(long)).sum(axis=0))
 
 
 def test_long_words_are_cut():

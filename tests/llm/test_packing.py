@@ -12,6 +12,7 @@ from tokenizers import Tokenizer
 from weftline.llm import packing
 from weftline.llm.packing import Encoder, default_tokenizer, pack, round_robin, sequences, windows
 
+ENCODER = Encoder(default_tokenizer())
 TOKENIZER = Tokenizer.from_file(default_tokenizer())
 
 
@@ -26,7 +27,7 @@ HARD = ["Foo, bar! İ. Straße, àé. a.. b,. c!x d$% e && |. 'S. o's! ' 9. x9,"
 @given(st.lists(st.text(max_size=60), max_size=6))
 def test_encoder_equals_the_tokenizer(texts):
     texts = [t.encode("utf-8", "ignore").decode() for t in texts] + HARD
-    got = Encoder.of(default_tokenizer())(pa.array(texts, pa.string()))
+    got = ENCODER(pa.array(texts, pa.string()))
     assert [x.tolist() for x in got] == [ids(t)[:-1] for t in texts]
 
 

@@ -6,6 +6,7 @@ import atexit
 import contextlib
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -55,6 +56,34 @@ def release() -> None:
 atexit.register(release)
 
 
+class Recent:
+    """Values by key in two generations: when the young one is full it becomes the old one, and what is used again is young again."""
+
+    def __init__(self, most: int):
+        self.most, self.young, self.old = most, {}, {}
+
+    def age(self) -> None:
+        if len(self.young) > self.most:
+            self.old, self.young = self.young, {}
+
+    def missing(self, keys: set) -> set:
+        """Of keys that are not young, those that are not old either; the old ones are young again."""
+        known = keys & self.old.keys()
+        self.young.update({k: self.old[k] for k in known})
+        return keys - known
+
+
+_kept: dict = {}
+
+
+def worker_state(key: tuple, make: Callable[[], object]) -> object:
+    """What make() made for key in this Python worker, so that it outlives a task. A worker keeps one such thing: another key's is let go."""
+    if key not in _kept:
+        _kept.clear()
+        _kept[key] = make()
+    return _kept[key]
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

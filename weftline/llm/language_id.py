@@ -11,20 +11,23 @@ all words of the whole text and nothing else.
 from __future__ import annotations
 
 import re
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.common import SPACE
+from weftline.llm.common import SPACE, Recent, worker_state
 
 #: Letter runs; a word is one, lower-cased.
 LETTERS = re.compile(r"[^\W\d_]+")
-#: White-space chunks whose scores a worker keeps at once.
-CACHE = 300_000
+#: Words whose scores a generation of a worker's memory holds before it ages.
+CACHE = 250_000
 #: Longer words are scored in parts of so many letters; longest piece.
 WORD, PIECE = 24, 8
 UNKNOWN = "und"
@@ -173,67 +176,68 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_co
     return fit(counts, read_vocabulary(vocabulary or default_vocabulary()), rounds)
 
 
-class _Scorer(dict):
-    """White-space chunk -> row of self.rows; chunks that are new to it are added in batches."""
+class Scorer:
+    """Log probabilities of words, remembered as packed rows."""
 
     def __init__(self, model: Model):
-        super().__init__()
-        self.model, self.rows, self.letters = model, np.zeros((0, len(model.langs))), np.zeros(0, bool)
-
-    def add(self, chunks: list[str]) -> None:
-        if len(self) + len(chunks) > CACHE:
-            self.clear()
-            self.rows, self.letters = self.rows[:0], self.letters[:0]
-        words = [letter_words(c) for c in chunks]
-        every = list({w for ws in words for w in ws})
-        at = {w: i for i, w in enumerate(every)}
-        known = self.model.word_scores(every)
-        owner = np.repeat(np.arange(len(chunks)), [len(ws) for ws in words])
-        part = known[[at[w] for ws in words for w in ws]] if every else np.zeros((0, self.rows.shape[1]))
-        scores = np.stack([np.bincount(owner, part[:, k], len(chunks)) for k in range(part.shape[1])], axis=1) if len(chunks) else self.rows[:0]
-        self.update(zip(chunks, range(len(self.rows), len(self.rows) + len(chunks)), strict=True))
-        self.rows = np.concatenate([self.rows, scores])
-        self.letters = np.concatenate([self.letters, np.array([bool(ws) for ws in words], bool)])
-
-
-def predict(text: Column, model: Model | None, group: int = 1 << 20) -> Column:
+        self.model, self.known = model, Recent(CACHE)
+
+    def __call__(self, words: list[str]) -> np.ndarray:
+        """One row per distinct word; a long word's is the sum of its parts'."""
+        self.known.age()
+        young = self.known.young
+        found = list(map(young.get, words))
+        holes = [i for i, v in enumerate(found) if v is None]
+        new = list(self.known.missing({words[i] for i in holes}))
+        parts = [[w[i : i + WORD] for i in range(0, len(w), WORD)] for w in new]
+        scores = self.model.word_scores([p for ps in parts for p in ps])
+        rows = np.add.reduceat(scores, np.cumsum([0, *map(len, parts)])[:-1]) if new else scores
+        young.update(zip(new, map(np.ndarray.tobytes, rows), strict=True))
+        for i in holes:
+            found[i] = young[words[i]]
+        return np.frombuffer(b"".join(found)).reshape(len(words), len(self.model.langs))
+
+
+def best_languages(texts: pa.StringArray, scorer: Scorer) -> tuple[np.ndarray, np.ndarray]:
+    """Index of each text's language (the number of languages: none) and its posterior probability."""
+    letters = pc.replace_substring_regex(pc.utf8_lower(pc.fill_null(texts, "")), r"[^\p{L}]+", " ")
+    cut_up = pc.ascii_split_whitespace(letters)
+    told = cut_up.values.dictionary_encode()
+    words = told.dictionary.to_pylist()
+    own = np.array([len(w) > 0 for w in words], bool)
+    langs = len(scorer.model.langs)
+    rows = np.zeros((len(words), langs))
+    rows[own] = scorer([w for w in words if w])
+    ends = cut_up.offsets.to_numpy()
+    text = np.repeat(np.arange(len(texts)), np.diff(ends))
+    at = told.indices.to_numpy()
+    total = np.stack([np.bincount(text, rows[at, k], len(texts)) for k in range(langs)], axis=1)
+    some = np.bincount(text, own[at], len(texts)) > 0
+    score = 1 / np.exp(total - total.max(axis=1, keepdims=True)).sum(axis=1)
+    return np.where(some, total.argmax(axis=1), langs), np.where(some, score, 0.0)
+
+
+def predict(text: Column, model: Model | None, group: int = 4 << 20) -> Column:
     """lang (a language of the model; 'und' for a null text or one without a letter) and score.
 
     The score is the posterior probability of the language with equal priors;
-    of 'und' it is 0. Texts are scored whole; about group characters at a time.
+    of 'und' it is 0. Texts are scored whole; about group bytes at a time. The
+    column counts as nondeterministic, so that no filter makes it twice.
     """
     if model is None:
         return F.struct(F.lit(UNKNOWN).alias("lang"), F.lit(0.0).alias("score"))
+    key = ("language", zlib.crc32(model.logp.tobytes()), tuple(model.langs))
 
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        scorer, langs = _Scorer(model), np.array([*model.langs, UNKNOWN], dtype=object)
-
-        def some(texts: list[str]) -> pd.DataFrame:
-            chunks = [t.split() for t in texts]
-            new = list(set().union(*chunks) - scorer.keys())
-            if len(scorer) + len(new) > CACHE:
-                new = list(set().union(*chunks))
-            if new:
-                scorer.add(new)
-            best, score = np.full(len(texts), len(model.langs)), np.zeros(len(texts))
-            for i, c in enumerate(chunks):
-                rows = np.fromiter(map(scorer.__getitem__, c), np.int64, len(c))
-                if len(c) and scorer.letters[rows].any():
-                    total = scorer.rows[rows].sum(axis=0)
-                    best[i] = total.argmax()
-                    score[i] = 1 / np.exp(total - total.max()).sum()
-            return pd.DataFrame({"lang": langs[best], "score": score})
-
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        scorer, langs = worker_state(key, lambda: Scorer(model)), pa.array([*model.langs, UNKNOWN])
         for texts in batches:
-            parts, now, size = [], [], 0
-            for t in texts:
-                now.append(t or "")
-                size += len(now[-1])
-                if size >= group:
-                    parts.append(some(now))
-                    now, size = [], 0
-            if now or not parts:
-                parts.append(some(now))
-            yield pd.concat(parts, ignore_index=True)
-
-    return F.pandas_udf(run, "struct<lang:string,score:double>")(text)
+            best, score = [np.zeros(0, int)], [np.zeros(0)]
+            size = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)) // group
+            for k in np.unique(size):
+                lo, hi = np.searchsorted(size, [k, k + 1])
+                b, s = best_languages(texts.slice(lo, hi - lo), scorer)
+                best.append(b)
+                score.append(s)
+            yield pa.StructArray.from_arrays([langs.take(pa.array(np.concatenate(best))), pa.array(np.concatenate(score))], ["lang", "score"])
+
+    return F.arrow_udf(run, "struct<lang:string,score:double>").asNondeterministic()(text)

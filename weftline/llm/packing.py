@@ -33,12 +33,12 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftline.llm.common import cut
+from weftline.llm.common import Recent, cut, worker_state
 
 #: Chunks that a generation of a worker's memory holds before it ages; the longest kept, in bytes.
-CACHE, CHUNK = 400_000, 64
+CACHE, CHUNK = 250_000, 64
 #: Bytes of text that are tokenised at a time.
-BATCH = 8 << 20
+BATCH = 4 << 20
 LANE = 1024
 
 PIECES = "doc_id long, source string, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -50,23 +50,6 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-class _Recent:
-    """Values by key in two generations: when the young one is full it becomes the old one, and what is used again is young again."""
-
-    def __init__(self, most: int):
-        self.most, self.young, self.old = most, {}, {}
-
-    def age(self) -> None:
-        if len(self.young) > self.most:
-            self.old, self.young = self.young, {}
-
-    def missing(self, keys: set[bytes]) -> set[bytes]:
-        """Of keys that are not young, those that are not old either; the old ones are young again."""
-        known = keys & self.old.keys()
-        self.young.update({k: self.old[k] for k in known})
-        return keys - known
-
-
 #: Letters that lower-casing and composition leave alone, and marks that are tokens' runs of their own behind one.
 _PLAIN = "a-zà-öø-ÿ"
 _MARKED = rf"([{_PLAIN}])([.,!?;:$%&*#]+)([ \t\n\r])"
@@ -86,22 +69,13 @@ class Encoder:
     that would change its ids are not used.
     """
 
-    _made: dict[str, Encoder] = {}
-
-    @classmethod
-    def of(cls, path: str) -> Encoder:
-        """One encoder for all tasks of a worker, so that its chunks stay known."""
-        if path not in cls._made:
-            cls._made = {path: cls(path)}
-        return cls._made[path]
-
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-        self.known = _Recent(CACHE)
+        self.known = Recent(CACHE)
         one = lambda *texts: [x.tobytes() for x in self._encoded(list(texts))]
         self.folds = one("Ab", "THE", "X") == one("ab", "the", "x")
         self.splits = one("ab,", "é.", "q$$$", "the!!") == [x + y for x, y in zip(one("ab", "é", "q", "the"), one(",", ".", "$$$", "!!"), strict=True)]
@@ -174,7 +148,7 @@ class Encoder:
 
 def _tokenised(path: str, end: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, pack = Encoder.of(path), zstandard.ZstdCompressor(level=1)
+        encode, pack = worker_state(("packing", path), lambda: Encoder(path)), zstandard.ZstdCompressor(level=1)
         last = np.array([end], encode.dtype)
 
         def out(part: pa.RecordBatch) -> pa.RecordBatch:
