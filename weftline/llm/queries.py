@@ -164,7 +164,7 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents resampled towards those labelled as good."""
     good = importance.labelled(table(spark, sf_dir, "labels"), F.col("quality") == 1)
-    return importance.resample(table(spark, sf_dir, "documents"), good)
+    return importance.resample(table(spark, sf_dir, "documents"), good, share=0.85)
 
 
 @query

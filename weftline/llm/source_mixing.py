@@ -11,6 +11,7 @@ documents, both by hash, so no source is ever sorted as a whole.
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -85,8 +86,6 @@ def _moments(sources: DataFrame, alphas: list[float]) -> list[dict]:
         power = F.exp(a * logp)
         columns += [F.sum(power).alias(f"z{i}"), F.sum(power * logp).alias(f"e{i}"), F.max(power / F.col("p")).alias(f"t{i}"), F.min(power / F.col("p")).alias(f"l{i}")]
     r = sources.agg(*columns).first()
-    import math
-
     return [{"alpha": a, "z": r[f"z{i}"], "h": math.log(r[f"z{i}"]) - a * r[f"e{i}"] / r[f"z{i}"], "top": r[f"t{i}"] / r[f"z{i}"], "least": r[f"l{i}"] / r[f"z{i}"]} for i, a in enumerate(alphas)]
 
 
@@ -108,8 +107,6 @@ def plan(docs: DataFrame, target: Target, id_col: str, text_col: str, source_col
     if total:
         n = sources.count()
         if target.entropy is not None:
-            import math
-
             alpha = _bisect(sources, lambda m: m["h"] >= target.entropy * math.log(n) - 1e-12, True)
 
         def repeats(m: dict) -> float:
