@@ -27,7 +27,7 @@ from weftline.llm.common import SPACE, Recent, worker_state
 #: Letter runs; a word is one, lower-cased.
 LETTERS = re.compile(r"[^\W\d_]+")
 #: Words whose scores a generation of a worker's memory holds before it ages.
-CACHE = 250_000
+CACHE = 150_000
 #: Longer words are scored in parts of so many letters; longest piece.
 WORD, PIECE = 24, 8
 UNKNOWN = "und"

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftline.llm.common import cut
+from weftline.llm.common import cut, worker_state
 from weftline.llm.graph import components
 
 #: log2 of the registers, mantissa bits, registers of a band and bands.
@@ -36,7 +36,7 @@ EMPTY = np.uint16(0xFFFF)
 #: A block holds at most about so many texts and shingles.
 BLOCK_TEXTS, BLOCK_SHINGLES = 512, 1 << 20
 #: Words whose hashes a worker keeps at once.
-CACHE = 300_000
+CACHE = 200_000
 
 _M1, _M2, _M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 
@@ -112,11 +112,12 @@ def band_keys(regs: np.ndarray) -> np.ndarray:
 
 def _sketches(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = _WordHashes()
+        hashes = worker_state(("near_dup",), _WordHashes)
         for b in batches:
             n, digest, keys = [], [], []
-            for text in b.column("text").cast(pa.binary()).to_pylist():
-                words = text_words(text)
+            texts = b.column("text").cast(pa.binary())
+            for i in range(b.num_rows):
+                words = text_words(texts[i].as_py())
                 s = shingles(words, hashes, size)
                 n.append(len(s))
                 digest.append(xxhash.xxh3_128_digest(b" ".join(words)) if words else None)
@@ -126,7 +127,7 @@ def _sketches(size: int):
     return run
 
 
-def overlaps(a: list[np.ndarray], b: list[np.ndarray], most: int = 1 << 22) -> np.ndarray:
+def overlaps(a: list[np.ndarray], b: list[np.ndarray], most: int = 1 << 20) -> np.ndarray:
     """Intersection sizes of all sets of a with all of b, through their common hashes."""
     out = np.zeros(len(a) * len(b), np.int64)
     ha, ia = np.concatenate(a), np.repeat(np.arange(len(a)), [len(x) for x in a])
@@ -202,7 +203,7 @@ def block_links(sets: list[np.ndarray], side: np.ndarray, two: bool, num: int, d
 
 def _verified(size: int, num: int, den: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = _WordHashes()
+        hashes = worker_state(("near_dup",), _WordHashes)
         key, rows = None, {}
 
         def links() -> pa.RecordBatch:
