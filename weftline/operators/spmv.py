@@ -40,10 +40,15 @@ def _dense(rows: DataFrame, sums: DataFrame, zero: Column) -> DataFrame:
     return rows.join(found, (F.col("matrix") == F.col("__m")) & (F.col("i") == F.col("__i")), "left").select("matrix", "i", F.coalesce("__y", zero).alias("y"))
 
 
+def _summed(products: DataFrame, rows: DataFrame) -> DataFrame:
+    """y of products __t: one sum over them and a zero for each row, so the dense result takes one shuffle and no join."""
+    zeros = rows.select("matrix", F.col("i").cast("long").alias("i"), F.lit(0.0).alias("__t"))
+    return zeros.union(products.select("matrix", F.col("i").cast("long"), "__t")).groupBy("matrix", "i").agg(F.sum("__t").alias("y"))
+
+
 def spmv_coo(coo: DataFrame, rows: DataFrame, x: DataFrame | None = None) -> DataFrame:
     """(matrix, i, y) in double precision. x: (idx, val), or (matrix, idx, val) with a vector per matrix."""
-    sums = _times(coo, x, "j", "v", "double").groupBy("matrix", "i").agg(F.sum("__t").alias("y"))
-    return _dense(rows, sums, F.lit(0.0))
+    return _summed(_times(coo, x, "j", "v", "double"), rows)
 
 
 def spmv_ordered(coo: DataFrame, rows: DataFrame, x: DataFrame | None = None, order: tuple[str, ...] = ("pos",)) -> DataFrame:
@@ -69,8 +74,7 @@ def spmv_csr(csr: DataFrame, rows: DataFrame, x: DataFrame | None = None) -> Dat
 def spmv_hll(cells: DataFrame, rows: DataFrame, x: DataFrame | None = None) -> DataFrame:
     """(matrix, i, y) from hll_cells or block_cells. Cells of value 0, padding or not, take no part."""
     entries = cells.where("a <> 0")
-    sums = _times(entries, x, "ja", "a", "double").groupBy("matrix", "i").agg(F.sum("__t").alias("y"))
-    return _dense(rows, sums, F.lit(0.0))
+    return _summed(_times(entries, x, "ja", "a", "double"), rows)
 
 
 def spmv_arrow(csr: DataFrame, rows: DataFrame, x: DataFrame) -> DataFrame:
