@@ -56,3 +56,13 @@ def test_copies_are_left_alone(spark):
 
 def test_empty_table(spark):
     assert run(spark, []) == []
+
+
+def test_short_pages_lose_their_boilerplate(spark):
+    """Header, menu and footer fill most of every page, and go; a page of nothing else stays."""
+    shared = ["The long name of the site and its motto", "home | news | shop | about us | contact", "All about us, our terms and our cookies"]
+    made = [(i, "\n".join([*shared[:2], f"item {i}", "", shared[2]]), "a") for i in range(40)]
+    made += [(50, "\n".join(shared), "a"), (51, "\n".join([*shared, " "]), "a"), (52, "\n".join(shared), "b")]
+    got = {i: t for i, t, _ in run(spark, made)}
+    assert all(got[i] == f"item {i}\n" for i in range(40))
+    assert all(got[i] == t for i, t, _ in made[40:])

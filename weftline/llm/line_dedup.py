@@ -2,9 +2,10 @@
 
 A line's ratio is the number of the host's different pages that hold it,
 divided by the number of the host's different pages. Lines over the ratio are
-dropped. Pages with the same text count once, so copies of a page do not make
-its lines boilerplate; a page that boilerplate fills by more than half is a
-copy or a variant of a shared page, which is left to document deduplication.
+dropped, whatever share of a page they fill. Pages with the same text count
+once, so copies of a page do not make its lines boilerplate. Only a page that
+has nothing but such lines is left whole, to document deduplication: without
+them nothing of it would remain.
 """
 
 from __future__ import annotations
@@ -36,10 +37,11 @@ def boilerplate(docs: DataFrame, text_col: str = "text", host_col: str = "source
     return cut(flagged.select(F.col("host").alias("__flag_host"), "__flags"))
 
 
-def drop_boilerplate(docs: DataFrame, text_col: str = "text", host_col: str = "source", ratio: float = 0.05, min_pages: int = 5, max_share: float = 0.5, added: bool = False) -> DataFrame:
+def drop_boilerplate(docs: DataFrame, text_col: str = "text", host_col: str = "source", ratio: float = 0.05, min_pages: int = 5, added: bool = False) -> DataFrame:
     """docs with text_col cleaned; added: also n_lines and n_dropped, as __n_lines and __n_dropped.
 
-    Blank lines are never boilerplate. Null texts stay null, the order of
+    Blank lines are never boilerplate. A page that has no other lines with
+    words than boilerplate stays as it is. Null texts stay null, the order of
     lines stays, repeated rows are cleaned alike, and other columns pass
     through untouched.
     """
@@ -49,10 +51,10 @@ def drop_boilerplate(docs: DataFrame, text_col: str = "text", host_col: str = "s
     text = F.col(text_col)
     bad = F.when(F.col("__flags").isNotNull(), F.filter(_lines(text), lambda x: x.rlike(WORD) & F.array_contains("__flags", F.xxhash64(x))))
     df = df.withColumn("__bad", bad)
-    df = df.withColumn("__gone", F.length(F.array_join("__bad", "")))
-    some = (F.col("__gone") > 0) & (F.col("__gone") <= max_share * F.length(F.regexp_replace(text, "\n", "")))
+    left = F.filter(_lines(text), lambda x: ~F.coalesce(x.rlike(WORD) & F.array_contains("__flags", F.xxhash64(x)), F.lit(False)))
+    some = (F.size("__bad") > 0) & F.exists(left, lambda x: x.rlike(WORD))
     df = df.withColumn("__some", F.coalesce(some, F.lit(False)))
-    good = F.array_join(F.filter(_lines(text), lambda x: ~F.coalesce(x.rlike(WORD) & F.array_contains("__flags", F.xxhash64(x)), F.lit(False))), "\n")
+    good = F.array_join(left, "\n")
     cleaned = F.when(F.col("__some"), good).otherwise(text)
     more = [F.coalesce(F.size(_lines(text)), F.lit(0)).cast("long").alias("__n_lines"), F.when(F.col("__some"), F.size("__bad")).otherwise(0).cast("long").alias("__n_dropped")]
     return df.select(*(cleaned.alias(c) if c == text_col else F.col(c) for c in names), *(more if added else []))
