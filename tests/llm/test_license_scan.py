@@ -60,3 +60,18 @@ def test_band_settings():
     """80 % of a template in a window twice its length collide in some band all but surely."""
     similarity = 0.8 / 2.2
     assert 1 - (1 - similarity) ** ls.BANDS > 0.9999
+
+
+def test_short_notices_are_found_whole(spark):
+    """Notices of one to four words, alone, at both ends of a text and beside longer ones, but never in part."""
+    long = ls.TEMPLATES[1][2]
+    texts = ["All rights reserved.", f"x All\nRIGHTS, reserved! {long}. (All rights reserved", "all rights are reserved", "rights reserved", "CC BY 4.0", "CC BY-NC 4.0", None, "", "x " * 3000 + "alle Rechte vorbehalten"]
+    docs = spark.createDataFrame([(i, t, "", "") for i, t in enumerate(texts)], SCHEMA)
+    got = {(r.doc_id, r.template, r.containment, r.first_word, r.windows) for r in ls.scan(docs).collect() if r.template != "mit-short"}
+    assert got == {(0, "all-rights-reserved", 1.0, 0, 1), (1, "all-rights-reserved", 1.0, 1, 2), (4, "cc-by-4.0-name", 1.0, 0, 1), (8, "all-rights-reserved-de", 1.0, 3000, 1)}
+    own = [(str(n), "L", " ".join("pqrs"[:n])) for n in range(1, 5)]
+    small = spark.createDataFrame([(1, "s p q r p", "", ""), (2, "p q r s", "", "")], SCHEMA)
+    assert sorted((r.doc_id, r.template, r.windows) for r in ls.scan(small, notices=own).collect()) == [(1, "1", 2), (1, "2", 1), (1, "3", 1), *((2, str(n), 1) for n in range(1, 5))]
+    for wrong in ("...", "five words are too many"):
+        with pytest.raises(ValueError):
+            ls.scan(small, notices=[("t", "L", wrong)])

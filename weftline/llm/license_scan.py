@@ -9,6 +9,10 @@ has a Jaccard similarity of 0.36 or more with it, at which 24 bands collide
 with a probability of 0.99998. Candidates are verified by the exact share of
 the template's shingles in the window.
 
+Notices of fewer than five words have no such shingle. Each is one shingle of
+all its words instead, and its windows are as long as itself; they go through
+the same bands and are verified as a whole.
+
 Windows without any shingle of a template cannot be verified, so they are not
 built: a disjointness test within the row, which loses nothing.
 """
@@ -36,18 +40,34 @@ TEMPLATES = [
     ("gpl-notice", "GPL", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation"),
 ]
 
+# Public license notices of fewer than SHINGLE words.
+NOTICES = [
+    ("all-rights-reserved", "All-Rights-Reserved", "All rights reserved"),
+    ("all-rights-reserved-de", "All-Rights-Reserved", "Alle Rechte vorbehalten"),
+    ("all-rights-reserved-es", "All-Rights-Reserved", "Todos los derechos reservados"),
+    ("all-rights-reserved-fr", "All-Rights-Reserved", "Tous droits réservés"),
+    ("cc-by-4.0-name", "CC-BY-4.0", "CC BY 4.0"),
+    ("cc0-1.0-name", "CC0-1.0", "CC0 1.0 Universal"),
+    ("gpl-2.0-name", "GPL-2.0", "GNU GPL version 2"),
+    ("gpl-3.0-name", "GPL-3.0", "GNU GPL version 3"),
+    ("mit-spdx", "MIT", "SPDX-License-Identifier: MIT"),
+]
+
 
 def _words(text: Column) -> Column:
     return F.array_remove(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), "")
 
 
-def _with_shingles(df: DataFrame, text: str, out: str) -> DataFrame:
-    """Add out: hashes of the 5-word shingles, made of doubled-up hashes of 1, 2 and 4 words."""
-    df = df.withColumn(out, F.transform(_words(F.col(text)), lambda w: F.xxhash64(w)))
-    one, four = f"__{out}_1", f"__{out}_4"
-    df = df.withColumnRenamed(out, one).withColumn(four, paired(F.col(one), shifted(F.col(one), 1)))
-    df = df.withColumn(four, paired(F.col(four), shifted(F.col(four), 2)))
-    return df.withColumn(out, paired(F.col(four), shifted(F.col(one), 4))).drop(one, four)
+def _with_shingles(df: DataFrame, text: str, out: str, short: set[int] = frozenset()) -> DataFrame:
+    """Add out: hashes of the 5-word shingles, made of doubled-up hashes of 1, 2 and 4 words; and out_n: hashes of n words, for each n of short."""
+    one, two, three, four = (f"{out}_{n}" for n in range(1, SHINGLE))
+    df = df.withColumn(one, F.transform(_words(F.col(text)), lambda w: F.xxhash64(w)))
+    df = df.withColumn(two, paired(F.col(one), shifted(F.col(one), 1)))
+    if 3 in short:
+        df = df.withColumn(three, paired(F.col(two), shifted(F.col(one), 2)))
+    df = df.withColumn(four, paired(F.col(two), shifted(F.col(two), 2)))
+    df = df.withColumn(out, paired(F.col(four), shifted(F.col(one), 4)))
+    return df.drop(*(f"{out}_{n}" for n in range(1, SHINGLE) if n not in short))
 
 
 def _band(window: Column, b: Column) -> Column:
@@ -65,6 +85,19 @@ def _windows(hits: Column, shingles: Column, m: int) -> Column:
     return F.transform(F.array_distinct(F.flatten(near)), lambda start: F.struct(F.lit(m).alias("m"), start.alias("start"), inside(start).alias("w")))
 
 
+def _whole_windows(hits: Column, grams: Column) -> Column:
+    """The windows of a short notice's length at the hits, as structs like those of _windows."""
+    return F.transform(hits, lambda p: F.struct(F.lit(1).alias("m"), p.alias("start"), F.array(F.get(grams, p)).alias("w")))
+
+
+def _hits(grams: str, known: list[int]) -> Column:
+    """Where grams holds one of the known hashes; null if nowhere."""
+    every = F.array(*(F.lit(h).cast("long") for h in sorted(set(known))))
+    hits = F.filter(F.transform(grams, lambda h, i: F.when(F.array_contains(every, h), i)), lambda i: i.isNotNull())
+    # The disjointness test is a condition, not a filter, which would be pushed down with the shingles' expressions copied into it.
+    return F.when(F.arrays_overlap(grams, every), hits)
+
+
 def template_table(spark: SparkSession, templates: list[tuple[str, str, str]]) -> list[tuple[str, str, list[int]]]:
     """(id, license, distinct shingle hashes) of each template."""
     if len(templates) > MOST_TEMPLATES:
@@ -72,27 +105,46 @@ def template_table(spark: SparkSession, templates: list[tuple[str, str, str]]) -
     rows = _with_shingles(spark.createDataFrame(templates, "template string, license string, text string"), "text", "s")
     found = [(r[0], r[1], r[2]) for r in rows.select("template", "license", F.array_distinct("s")).collect()]
     if short := [t for t, _, s in found if not s]:
-        raise ValueError(f"templates of fewer than {SHINGLE} words: {short}")
+        raise ValueError(f"templates of fewer than {SHINGLE} words, which are notices: {short}")
+    return found
+
+
+def notice_table(spark: SparkSession, notices: list[tuple[str, str, str]]) -> list[tuple[str, str, int, int]]:
+    """(id, license, words, hash of all words) of each notice."""
+    if len(notices) > MOST_TEMPLATES:
+        raise ValueError(f"more than {MOST_TEMPLATES} notices")
+    if not notices:
+        return []
+    lengths = range(1, SHINGLE)
+    rows = spark.createDataFrame(notices, "template string, license string, text string").withColumn("n", F.size(_words(F.col("text"))))
+    rows = _with_shingles(rows, "text", "s", set(lengths))
+    whole = F.coalesce(*(F.when(F.col("n") == n, F.get(f"s_{n}", F.lit(0))) for n in lengths))
+    found = [tuple(r) for r in rows.select("template", "license", "n", whole).collect()]
+    if wrong := [t for t, _, _, h in found if h is None]:
+        raise ValueError(f"notices of no words or of {SHINGLE} and more, which are templates: {wrong}")
     return found
 
 
-def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: list[tuple[str, str, str]] | None = None, percent: int = 80) -> DataFrame:
-    """(doc_id, template, license, containment, first_word, windows): a row per document and template found in it.
+def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: list[tuple[str, str, str]] | None = None, percent: int = 80, notices: list[tuple[str, str, str]] | None = None) -> DataFrame:
+    """(doc_id, template, license, containment, first_word, windows): a row per document and template or notice found in it.
 
-    containment: the largest share of the template's shingles in one window;
-    first_word: where the first verified window begins, in words. Null and
-    short texts match nothing; repeated rows of an id count as one document;
-    other columns of docs are not read.
+    templates have five words or more, notices fewer; templates of one's own
+    come without NOTICES. containment: the largest share of the template's
+    shingles in one window, 1 for a notice; first_word: where the first
+    verified window begins, in words; windows of a notice are its occurrences.
+    Null and empty texts match nothing; repeated rows of an id count as one
+    document; other columns of docs are not read.
     """
     spark = docs.sparkSession
     known = template_table(spark, templates or TEMPLATES)
-    every = F.array(*(F.lit(h).cast("long") for h in sorted({h for _, _, s in known for h in s})))
+    brief = notice_table(spark, notices if notices is not None else [] if templates else NOTICES)
+    lengths = sorted({n for _, _, n, _ in brief})
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).where("text is not null")
-    # The disjointness test is a condition, not a filter, which would be pushed down with the shingles' expressions copied into it.
-    hits = F.filter(F.transform("s", lambda h, i: F.when(F.array_contains(every, h), i)), lambda i: i.isNotNull())
-    rows = _with_shingles(rows, "text", "s").select("doc_id", "s", F.when(F.arrays_overlap("s", every), hits).alias("hits"))
-    for_length = [_windows(F.col("hits"), F.col("s"), m) for m in sorted({len(s) for _, _, s in known})]
-    windows = rows.select("doc_id", F.explode(F.concat(*for_length)).alias("x")).select("doc_id", "x.*")
+    hits = [_hits("s", [h for _, _, s in known for h in s]).alias("hits"), *(_hits(f"s_{n}", [h for _, _, k, h in brief if k == n]).alias(f"hits_{n}") for n in lengths)]
+    rows = _with_shingles(rows, "text", "s", set(lengths)).select("*", *hits)
+    found_in = [_windows(F.col("hits"), F.col("s"), m) for m in sorted({len(s) for _, _, s in known})] + [_whole_windows(F.col(f"hits_{n}"), F.col(f"s_{n}")) for n in lengths]
+    windows = rows.select("doc_id", F.explode(F.flatten(F.array_compact(F.array(*found_in)))).alias("x")).select("doc_id", "x.*")
+    known += [(t, lic, [h]) for t, lic, _, h in brief]
     banded = windows.select("doc_id", "m", "start", "w", F.explode(_bands(F.col("w"))).alias("b")).select("doc_id", "m", "start", "w", "b.*")
     table = spark.createDataFrame([(t, lic, s, len(s)) for t, lic, s in known], "template string, license string, shingles array<bigint>, t_m int")
     table = table.select("*", F.explode(_bands(F.col("shingles"))).alias("t")).select("template", "license", "shingles", "t_m", F.col("t.band").alias("t_band"), F.col("t.least").alias("t_least"))
