@@ -114,3 +114,15 @@ def test_weights_order_the_service(spark):
     half = [r for r in first if r.sequence_id < 30]
     a = sum(r.length for r in half if r.source == "a") / sum(r.length for r in half)
     assert 0.7 < a < 0.8
+
+
+def test_deficits_are_carried_over_all_shards(spark, monkeypatch):
+    """Opening deficits do not depend on how many shards a range of the prefix sum has."""
+    rng = random.Random(8)
+    rows = [(i, "the of and " * rng.randrange(1, 200), rng.choice(["a", "a", "b", None])) for i in range(120)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = []
+    for lane in (1024, 1, 3):
+        monkeypatch.setattr(packing, "LANE", lane)
+        got.append(sorted(map(tuple, pack(docs, shard_tokens=3000, length=512).collect()), key=str))
+    assert got[0] == got[1] == got[2]

@@ -11,8 +11,8 @@
    left credit go on to the next window, and from shard to shard: what a shard
    leaves is known from token totals alone (share x tokens packed - tokens
    served), so a prefix sum over shards hands every shard its opening
-   deficits and the shards run in parallel. The sum runs over lanes of at
-   most LANE shards, which bounds it.
+   deficits and the shards run in parallel. The sum runs over ranges of LANE
+   shards and over the ranges' totals, so it is whole and no task holds more.
 4. A shard's last tokens fill sequences of falling powers of two, without
    padding.
 """
@@ -30,9 +30,10 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import zstandard
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from weftline.functions.prefix import exclusive_prefix
 from weftline.llm.common import Recent, cut, worker_state
 
 #: Chunks that a generation of a worker's memory holds before it ages; the longest kept, in bytes.
@@ -273,12 +274,9 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source
         norm = used.agg(F.sum("weight")).first()[0] or 1.0
         shares = used.select("source", (F.col("weight") / norm).alias("share"))
     shares = cut(shares.select(F.col("source").alias("__s"), "share"))
-    lane = F.floor(F.col("shard") / LANE)
-    upto = Window.partitionBy("lane", "source").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = served.groupBy("shard").agg(F.sum("served").alias("size")).withColumn("lane", lane)
-    ends = Window.partitionBy("lane").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = cut(sizes.select(F.col("shard").alias("__shard"), F.coalesce(F.sum("size").over(ends), F.lit(0)).alias("before")))
-    plan = served.withColumn("lane", lane).withColumn("done", F.coalesce(F.sum("served").over(upto), F.lit(0)))
+    sizes = exclusive_prefix(served.groupBy("shard").agg(F.sum("served").alias("size")), [], "shard", "size", "before", LANE)
+    sizes = cut(sizes.select(F.col("shard").alias("__shard"), "before"))
+    plan = exclusive_prefix(served, ["source"], "shard", "served", "done", LANE)
     plan = plan.join(sizes, F.col("shard") == F.col("__shard")).join(shares, F.col("source").eqNullSafe(F.col("__s")), "left")
     share = F.coalesce("share", F.lit(0.0))
     plan = cut(plan.select("shard", "source", share.alias("share"), (share * F.col("before") - F.col("done")).alias("carry")))
