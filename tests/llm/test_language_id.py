@@ -109,6 +109,17 @@ def test_long_words_are_cut():
     assert letter_words("--- 12") == []
 
 
+def test_long_pieces_are_looked_up():
+    """The vocabulary's longest pieces count in a word's score."""
+    known = li.read_vocabulary(li.default_vocabulary())
+    longest = max(known, key=lambda p: (len(p.lstrip("▁")), p))
+    assert len(longest.lstrip("▁")) > 8 and all(p in known for p in ("▁understanding", "▁international"))
+    vocabulary = {p: i for i, p in enumerate(["▁a", "b", "c", "▁abcabcabcabc", "abcabcabca"])}
+    p = np.array([[0.1], [0.1], [0.1], [0.3], [0.2], [0.2]])  # the last: an unknown letter
+    got = Model(["x"], vocabulary, np.log(p)).word_scores(["abcabcabcabc", "babcabcabca"])
+    assert np.allclose(np.exp(got[:, 0]), [0.3, 0.2 * 0.2], rtol=1e-3)
+
+
 def test_unknown_language_column(spark):
     with pytest.raises(Exception):
         train(spark.createDataFrame([(1, "a")], "doc_id long, text string"), lang_col="lang")

@@ -28,8 +28,8 @@ from weftline.llm.common import SPACE, Recent, worker_state
 LETTERS = re.compile(r"[^\W\d_]+")
 #: Words whose scores a generation of a worker's memory holds before it ages.
 CACHE = 150_000
-#: Longer words are scored in parts of so many letters; longest piece.
-WORD, PIECE = 24, 8
+#: Longer words are scored in parts of so many letters, and no piece is longer than a part.
+WORD = PIECE = 24
 UNKNOWN = "und"
 
 
@@ -73,8 +73,10 @@ def lattices(words: list[str], vocabulary: dict[str, int]) -> Iterator[tuple[np.
     """Words of one length at a time: (words, end, size) piece ids, -1 without a piece, and the words' places.
 
     Cell (end, size) is the piece of size letters before end; an unknown
-    single letter is the piece after the last.
+    single letter is the piece after the last. Sizes go up to the vocabulary's
+    longest piece.
     """
+    longest = min(PIECE, max((len(p) - (p[0] == "▁") for p in vocabulary), default=1))
     by_length: dict[int, list[int]] = {}
     for i, w in enumerate(words):
         by_length.setdefault(len(w), []).append(i)
@@ -86,10 +88,10 @@ def lattices(words: list[str], vocabulary: dict[str, int]) -> Iterator[tuple[np.
             marked = "▁" + w
             for end in range(1, n + 1):
                 flat.append(get(w[end - 1 : end] if end > 1 else marked[:2], unknown))
-                for size in range(2, min(end, PIECE) + 1):
+                for size in range(2, min(end, longest) + 1):
                     flat.append(get(w[end - size : end] if end > size else marked[: end + 1], -1))
-        ids = np.full((len(rows), n + 1, PIECE + 1), -1, np.int32)
-        ends, sizes = zip(*((e, s) for e in range(1, n + 1) for s in range(1, min(e, PIECE) + 1)), strict=True)
+        ids = np.full((len(rows), n + 1, longest + 1), -1, np.int32)
+        ends, sizes = zip(*((e, s) for e in range(1, n + 1) for s in range(1, min(e, longest) + 1)), strict=True)
         ids[:, ends, sizes] = np.array(flat, np.int32).reshape(len(rows), -1)
         yield ids, np.array(rows)
 
@@ -100,7 +102,7 @@ def forward(ids: np.ndarray, p: np.ndarray) -> list[np.ndarray]:
     alpha = [np.ones((len(ids), p.shape[1]))]
     for end in range(1, n + 1):
         total = np.zeros_like(alpha[0])
-        for size in range(1, min(end, PIECE) + 1):
+        for size in range(1, min(end, ids.shape[2] - 1) + 1):
             piece = ids[:, end, size]
             total += alpha[end - size] * np.where((piece >= 0)[:, None], p[piece], 0.0)
         alpha.append(total)
@@ -111,7 +113,7 @@ def backward(ids: np.ndarray, p: np.ndarray) -> list[np.ndarray]:
     n = ids.shape[1] - 1
     beta = [np.zeros((len(ids), p.shape[1])) for _ in range(n)] + [np.ones((len(ids), p.shape[1]))]
     for end in range(n, 0, -1):
-        for size in range(1, min(end, PIECE) + 1):
+        for size in range(1, min(end, ids.shape[2] - 1) + 1):
             piece = ids[:, end, size]
             beta[end - size] += beta[end] * np.where((piece >= 0)[:, None], p[piece], 0.0)
     return beta
@@ -133,7 +135,7 @@ def fit(counts: pd.DataFrame, vocabulary: dict[str, int], rounds: int = 4, smoot
                 alpha, beta = forward(ids, p), backward(ids, p)
                 scale = weight[rows] / alpha[-1][:, 0]
                 for end in range(1, ids.shape[1]):
-                    for size in range(1, min(end, PIECE) + 1):
+                    for size in range(1, min(end, ids.shape[2] - 1) + 1):
                         piece = ids[:, end, size]
                         has = piece >= 0
                         value = alpha[end - size][has, 0] * p[piece[has], 0] * beta[end][has, 0] * scale[has]
