@@ -2,75 +2,44 @@
 
 from __future__ import annotations
 
-import atexit
-import contextlib
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from weftline.functions.tables import carried, cut, named, release, shared_dir
+
+__all__ = ["SPACE", "WORD", "Recent", "carried", "cut", "named", "paired", "release", "shared_dir", "shifted", "table", "words", "worker_state"]
+
 #: Java patterns of white space between words and of a word, over ASCII white space only.
 SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
-#: The same characters for str.strip and bytes.strip.
-SPACES = " \t\n\x0b\x0c\r"
-
-_own_dir: list[str] = []
-_written: list[tuple[SparkSession, str]] = []
-
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or one of our own where it is unset (local tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if found:
-        return found.rstrip("/")
-    if not _own_dir:
-        _own_dir.append(tempfile.mkdtemp(prefix="weftline-"))
-    return _own_dir[0]
 
+class Recent:
+    """Values by key in two generations: when the young one is full it becomes the old one, and what is used again is young again.
 
-def cut(df: DataFrame) -> DataFrame:
-    """df as a table written once to the shared folder.
-
-    A lost executor costs no recomputation of what stands above, and the
-    reread table has sizes that let Spark choose its joins.
+    most bounds a generation in bytes: those of its keys and values, and OVERHEAD for each entry.
     """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/weftline-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    _written.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
-
 
-def release() -> None:
-    """Delete the tables that cut() has written; frames that read them are void afterwards."""
-    while _written:
-        spark, path = _written.pop()
-        with contextlib.suppress(Exception):  # the session may have ended
-            hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
-            hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
-
-
-atexit.register(release)
-
-
-class Recent:
-    """Values by key in two generations: when the young one is full it becomes the old one, and what is used again is young again."""
+    OVERHEAD = 200
 
     def __init__(self, most: int):
-        self.most, self.young, self.old = most, {}, {}
+        self.most, self.used, self.young, self.old = most, 0, {}, {}
 
     def age(self) -> None:
-        if len(self.young) > self.most:
-            self.old, self.young = self.young, {}
+        if self.used > self.most:
+            self.old, self.young, self.used = self.young, {}, 0
+
+    def put(self, keys: list, values: list) -> None:
+        self.young.update(zip(keys, values, strict=True))
+        self.used += sum(map(len, keys)) + sum(map(len, values)) + self.OVERHEAD * len(keys)
 
     def missing(self, keys: set) -> set:
         """Of keys that are not young, those that are not old either; the old ones are young again."""
-        known = keys & self.old.keys()
-        self.young.update({k: self.old[k] for k in known})
-        return keys - known
+        known = list(keys & self.old.keys())
+        self.put(known, [self.old[k] for k in known])
+        return keys.difference(known)
 
 
 _kept: dict = {}

@@ -5,22 +5,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.common import cut
+from weftline.llm.common import cut, release
 
 
-def _nearest(pairs: DataFrame) -> DataFrame:
-    """(u, v) with the least of u and its neighbours as m. The least is a small
-    aggregate joined back, so a node with very many neighbours is split by
-    Spark's skew handling and never gathered."""
+def _nearest(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(u, v) with the least of u and its neighbours as m, and the table that this reads.
+
+    The least is a small aggregate joined back, so a node with very many
+    neighbours is split by Spark's skew handling and never gathered.
+    """
     least = cut(pairs.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("w"), F.least("w", "m").alias("m")))
-    return pairs.join(least, F.col("u") == F.col("w")).select("u", "v", "m")
+    return pairs.join(least, F.col("u") == F.col("w")).select("u", "v", "m"), least
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) for every node of edges (a, b); a component is named by its least node.
 
     Alternating large-star and small-star steps, each a table of its own in
-    the shared folder. Loops, repeated edges and nulls are harmless.
+    the shared folder; a step's tables are deleted when the next one is done.
+    Loops, repeated edges and nulls are harmless.
     """
     now = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     seen = None
@@ -30,10 +33,11 @@ def components(edges: DataFrame) -> DataFrame:
             break
         seen = state
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = _nearest(both).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = cut(large.where("u <> v").distinct())
-        small = _nearest(large)
+        nearest, used = _nearest(both)
+        large = cut(nearest.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct())
+        small, used_too = _nearest(large)
         small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small.select("u", F.col("m").alias("v")))
-        now = cut(small.where("u <> v").distinct())
+        before, now = now, cut(small.where("u <> v").distinct())
+        release(before, used, large, used_too)
     roots = now.select(F.col("v").alias("node")).distinct()
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots.select("node", F.col("node").alias("component")))
