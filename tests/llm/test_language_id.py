@@ -1,5 +1,6 @@
 import math
 import random
+from decimal import Decimal
 
 import numpy as np
 import pandas as pd
@@ -9,7 +10,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from weftline.llm import language_id as li
-from weftline.llm.language_id import UNKNOWN, Model, fit, lattices, letter_words, predict, train
+from weftline.llm.language_id import UNKNOWN, Model, fit, letter_words, predict, train
 
 SCHEMA = "doc_id long, text string, lang string"
 VOCABULARY = {p: i for i, p in enumerate(["a", "b", "ab", "▁a", "▁ab", "ba", "▁b", "bab"])}
@@ -22,7 +23,7 @@ def plain_score(word, p):
         if at == len(word):
             return 1.0
         total = 0.0
-        for size in range(1, min(li.PIECE, len(word) - at) + 1):
+        for size in range(1, len(word) - at + 1):
             piece = ("▁" if at == 0 else "") + word[at : at + size]
             k = VOCABULARY.get(piece, len(VOCABULARY) if size == 1 else None)
             total += 0 if k is None else p[k] * rest(at + size)
@@ -40,11 +41,96 @@ def test_forward_sums_all_segmentations(words):
     assert np.allclose(got, want)
 
 
+def test_long_words_are_scored_whole(monkeypatch):
+    """Words of any length have the sum over all segmentations, by decimals, however the passes are cut up."""
+    rng = random.Random(4)
+    words = ["".join(rng.choice("abc") for _ in range(n)) for n in (30, 30, 64, 300, 2000)]
+    p = np.random.default_rng(3).dirichlet(np.ones(len(VOCABULARY) + 1), 1).T * 0.5
+    exact = [Decimal(float(x)) for x in p[:, 0]]
+    want = []
+    for w in words:
+        sums = [Decimal(1)]
+        for end in range(1, len(w) + 1):
+            total = Decimal(0)
+            for size in range(1, min(end, 3) + 1):
+                piece = ("▁" if size == end else "") + w[end - size : end]
+                k = VOCABULARY.get(piece, len(VOCABULARY) if size == 1 else None)
+                total += 0 if k is None else exact[k] * sums[end - size]
+            sums.append(total)
+        want.append(float(sums[-1].ln()))
+    for cells in (li.CELLS, 64):
+        monkeypatch.setattr(li, "CELLS", cells)
+        got = Model(["x"], VOCABULARY, np.log(p)).word_scores(words)[:, 0]
+        assert np.allclose(got, want, rtol=1e-9)
+
+
 def test_backward_agrees_with_forward():
-    p = np.random.default_rng(2).dirichlet(np.ones(len(VOCABULARY) + 1), 1).T
-    for ids, _ in lattices(["abab", "bcab", "aaaa"], VOCABULARY):
-        alpha, beta = li.forward(ids, p), li.backward(ids, p)
-        assert np.allclose(alpha[-1], beta[0])
+    p = np.append(np.random.default_rng(2).dirichlet(np.ones(len(VOCABULARY) + 1)), 0)
+    with np.errstate(divide="ignore"):
+        log_p = np.log(p)
+    words = ["abab", "bcab", "aaaa"]
+    ids = li.lattice(words, VOCABULARY, 3, 0, 4)
+    before, after = li._log_sums(ids, log_p, True), li._log_sums(ids, log_p, False)
+    assert np.allclose(before[-1], after[0]) and np.allclose(np.exp(before[-1]), [plain_score(w, p) for w in words])
+
+
+def plain_fit(counts, rounds, smooth):
+    """Expectation-maximisation over all segmentations, listed one by one."""
+
+    def cut_up(word, at=0):
+        if at == len(word):
+            yield ()
+        for size in range(1, len(word) - at + 1):
+            k = VOCABULARY.get(("▁" if at == 0 else "") + word[at : at + size], len(VOCABULARY) if size == 1 else None)
+            if k is not None:
+                yield from ((k, *rest) for rest in cut_up(word, at + size))
+
+    p = np.full(len(VOCABULARY) + 1, 1 / (len(VOCABULARY) + 1))
+    for _ in range(rounds):
+        expected = np.full(len(p), smooth)
+        for word, n in counts:
+            ways = list(cut_up(word))
+            chance = np.array([np.prod(p[list(w)]) for w in ways])
+            for w, c in zip(ways, chance / chance.sum(), strict=True):
+                np.add.at(expected, list(w), n * c)
+        p = expected / expected.sum()
+    return np.log(p)
+
+
+def test_fitting_equals_listing_all_segmentations():
+    counts = [("abab", 5), ("ab", 9), ("ba", 2), ("bcab", 1), ("c", 3), ("babbab", 2)]
+    model = fit(pd.DataFrame([("x", *c) for c in counts], columns=["lang", "word", "n"]), VOCABULARY, 3, 0.05)
+    assert np.allclose(model.logp[:, 0], plain_fit(counts, 3, 0.05), atol=1e-5)
+
+
+def test_predictions_equal_plain_posteriors(spark):
+    p = np.random.default_rng(5).dirichlet(np.ones(len(VOCABULARY) + 1), 3).T
+    model = Model(["p", "q", "r"], VOCABULARY, np.log(p))
+    texts = ["ab ba, Bab!", "a", "ccc abab", "ab ab ab ab", "ABBA abc"]
+    frame = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    for r in frame.select("doc_id", predict(F.col("text"), model).alias("p")).collect():
+        words = letter_words(texts[r.doc_id])
+        like = np.array([np.prod([plain_score(w, p[:, k]) for w in words]) for k in range(3)])
+        assert r.p.lang == model.langs[like.argmax()] and r.p.score == pytest.approx(like.max() / like.sum())
+
+
+def test_ties_repeated_rows_and_broken_text(spark):
+    p = np.repeat(np.random.default_rng(6).dirichlet(np.ones(len(VOCABULARY) + 1), 1).T, 2, axis=1)
+    rows = spark.createDataFrame([(1, "ab"), (1, "ab"), (2, "ba")], "doc_id long, text string")
+    got = [(r.doc_id, r.p.lang, r.p.score) for r in rows.select("doc_id", predict(F.col("text"), Model(["p", "q"], VOCABULARY, np.log(p))).alias("p")).collect()]
+    assert got == [(1, "p", 0.5), (1, "p", 0.5), (2, "p", 0.5)]
+    broken = spark.sql("select 1L as doc_id, cast(unhex('ff61ff') as string) as text, 'x' as lang")
+    model = train(broken)
+    assert [r.p.lang for r in broken.select(predict(F.col("text"), model).alias("p")).collect()] == ["x"]
+    assert train(broken.where("false")) is None and broken.where("false").select(predict(F.col("text"), model)).collect() == []
+
+
+def test_teaching_is_bounded(spark):
+    rows = [(i, "ab " * 10, f"l{i % 5}") for i in range(50)] + [(100, "ab " * 9000, "l0")]
+    frame = spark.createDataFrame(rows, SCHEMA)
+    assert train(frame, most_langs=2).langs == ["l0", "l1"]
+    few = li.sample_counts(frame, "text", "lang", "doc_id", 400, 64, 3000).groupBy("lang").agg(F.sum("n")).collect()
+    assert {r[0]: r[1] for r in few} == {f"l{k}": 110 for k in range(5)}  # ten texts of ten words and what is after the last space
 
 
 def test_fitting_raises_the_likelihood():
@@ -103,12 +189,6 @@ def test_scores_do_not_depend_on_what_is_remembered(spark, monkeypatch):
     assert np.allclose(scorer([long])[0], model.word_scores(letter_words(long)).sum(axis=0))
 
 
-def test_long_words_are_cut():
-    assert [len(w) for w in letter_words("a" * 60)] == [li.WORD, li.WORD, 12]
-    assert letter_words("It's 3pm, ÀB_c") == ["it", "s", "pm", "àb", "c"]
-    assert letter_words("--- 12") == []
-
-
 def test_long_pieces_are_looked_up():
     """The vocabulary's longest pieces count in a word's score."""
     known = li.read_vocabulary(li.default_vocabulary())
@@ -123,3 +203,9 @@ def test_long_pieces_are_looked_up():
 def test_unknown_language_column(spark):
     with pytest.raises(Exception):
         train(spark.createDataFrame([(1, "a")], "doc_id long, text string"), lang_col="lang")
+
+
+def test_words_are_runs_of_letters_of_any_length():
+    assert letter_words("a" * 60) == ["a" * 60]
+    assert letter_words("It's 3pm, ÀB_c") == ["it", "s", "pm", "àb", "c"]
+    assert letter_words("--- 12") == []

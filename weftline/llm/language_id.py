@@ -5,11 +5,14 @@ A word's probability in a language is the sum over all its segmentations into
 pieces, by the forward algorithm; a text's is the product over its words. The
 piece probabilities are fitted by expectation-maximisation, with the backward
 algorithm beside, on a bounded sample of labelled documents. Prediction uses
-all words of the whole text and nothing else.
+all words of the whole text and nothing else. Words are never cut: the passes
+are rescaled as they go, so a run of letters may have any length, as in
+scripts without spaces.
 """
 
 from __future__ import annotations
 
+import math
 import re
 import zlib
 from collections.abc import Iterator
@@ -22,14 +25,14 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.common import SPACE, Recent, worker_state
+from weftline.llm.common import SPACE, Recent, named, worker_state
 
 #: Letter runs; a word is one, lower-cased.
 LETTERS = re.compile(r"[^\W\d_]+")
-#: Words whose scores a generation of a worker's memory holds before it ages.
-CACHE = 150_000
-#: Longer words are scored in parts of so many letters, and no piece is longer than a part.
-WORD = PIECE = 24
+#: Bytes of words and scores that a generation of a worker's memory holds before it ages; the longest word kept, in letters.
+CACHE, KEPT = 16 << 20, 32
+#: Cells of a lattice that are made at a time, and letters between two rescalings.
+CELLS, STEP = 1 << 19, 16
 UNKNOWN = "und"
 
 
@@ -45,7 +48,7 @@ def read_vocabulary(path: str) -> dict[str, int]:
 
     model = SentencePieceProcessor(model_file=path)
     pieces = sorted({model.id_to_piece(i).lower() for i in range(model.get_piece_size())})
-    good = [p for p in pieces if (p[1:] if p[0] == "▁" else p).isalpha() and len(p) <= PIECE + 1]
+    good = [p for p in pieces if (p[1:] if p[0] == "▁" else p).isalpha()]
     return {p: i for i, p in enumerate(good)}
 
 
@@ -64,110 +67,137 @@ class Model:
     def word_scores(self, words: list[str]) -> np.ndarray:
         """Log probability of each word in each language: words x languages."""
         out = np.empty((len(words), len(self.langs)))
-        for lattice, rows in lattices(words, self.vocabulary):
-            out[rows] = np.log(forward(lattice, self._p)[-1])
+        longest = longest_piece(self.vocabulary)
+        for rows in same_length(words, longest):
+            out[rows] = forward([words[i] for i in rows], self.vocabulary, self._p, longest)
         return out
 
 
-def lattices(words: list[str], vocabulary: dict[str, int]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Words of one length at a time: (words, end, size) piece ids, -1 without a piece, and the words' places.
+def longest_piece(vocabulary: dict[str, int]) -> int:
+    return max((len(p) - (p[0] == "▁") for p in vocabulary), default=1)
 
-    Cell (end, size) is the piece of size letters before end; an unknown
-    single letter is the piece after the last. Sizes go up to the vocabulary's
-    longest piece.
-    """
-    longest = min(PIECE, max((len(p) - (p[0] == "▁") for p in vocabulary), default=1))
+
+def same_length(words: list[str], longest: int) -> Iterator[list[int]]:
+    """The places of words of one length, as many at a time as CELLS allows."""
     by_length: dict[int, list[int]] = {}
     for i, w in enumerate(words):
         by_length.setdefault(len(w), []).append(i)
-    get, unknown = vocabulary.get, len(vocabulary)
     for n, rows in by_length.items():
-        flat: list[int] = []
-        for i in rows:
-            w = words[i]
-            marked = "▁" + w
-            for end in range(1, n + 1):
-                flat.append(get(w[end - 1 : end] if end > 1 else marked[:2], unknown))
-                for size in range(2, min(end, longest) + 1):
-                    flat.append(get(w[end - size : end] if end > size else marked[: end + 1], -1))
-        ids = np.full((len(rows), n + 1, longest + 1), -1, np.int32)
-        ends, sizes = zip(*((e, s) for e in range(1, n + 1) for s in range(1, min(e, longest) + 1)), strict=True)
-        ids[:, ends, sizes] = np.array(flat, np.int32).reshape(len(rows), -1)
-        yield ids, np.array(rows)
-
-
-def forward(ids: np.ndarray, p: np.ndarray) -> list[np.ndarray]:
-    """alpha[end]: words x languages, the summed probability of all segmentations of the letters up to end."""
-    n = ids.shape[1] - 1
-    alpha = [np.ones((len(ids), p.shape[1]))]
-    for end in range(1, n + 1):
-        total = np.zeros_like(alpha[0])
-        for size in range(1, min(end, ids.shape[2] - 1) + 1):
-            piece = ids[:, end, size]
-            total += alpha[end - size] * np.where((piece >= 0)[:, None], p[piece], 0.0)
-        alpha.append(total)
-    return alpha
-
-
-def backward(ids: np.ndarray, p: np.ndarray) -> list[np.ndarray]:
-    n = ids.shape[1] - 1
-    beta = [np.zeros((len(ids), p.shape[1])) for _ in range(n)] + [np.ones((len(ids), p.shape[1]))]
-    for end in range(n, 0, -1):
-        for size in range(1, min(end, ids.shape[2] - 1) + 1):
-            piece = ids[:, end, size]
-            beta[end - size] += beta[end] * np.where((piece >= 0)[:, None], p[piece], 0.0)
-    return beta
+        many = max(1, CELLS // (n * longest))
+        for k in range(0, len(rows), many):
+            yield rows[k : k + many]
+
+
+def lattice(words: list[str], vocabulary: dict[str, int], longest: int, lo: int, hi: int) -> np.ndarray:
+    """(words, hi - lo, longest) piece ids of words of one length, -1 without a piece.
+
+    Cell (word, end - lo, size - 1) is the piece of size letters that ends
+    after end + 1 letters; an unknown single letter is the piece after the
+    last. A piece at the word's beginning has the mark of one.
+    """
+    get, unknown = vocabulary.get, len(vocabulary)
+    flat: list[int] = []
+    for w in words:
+        marked = "▁" + w[:longest]
+        for end in range(lo + 1, hi + 1):
+            flat.append(get(w[end - 1 : end] if end > 1 else marked[:2], unknown))
+            most = min(end, longest)
+            for size in range(2, most + 1):
+                flat.append(get(w[end - size : end] if end > size else marked[: end + 1], -1))
+            if most < longest:
+                flat.extend([-1] * (longest - most))
+    return np.array(flat, np.int32).reshape(len(words), hi - lo, longest)
+
+
+def forward(words: list[str], vocabulary: dict[str, int], p: np.ndarray, longest: int) -> np.ndarray:
+    """Log of the summed probability of all segmentations of words of one length: words x languages.
+
+    Only the last longest sums are kept, and divided by the latest one every
+    STEP letters, so no sum vanishes however long the words are.
+    """
+    n = len(words[0])
+    logs = np.zeros((len(words), p.shape[1]))
+    last = [np.ones_like(logs)]  # sums up to the latest letters, the newest first
+    block = max(STEP, CELLS // (len(words) * longest))
+    for lo in range(0, n, block):
+        ids = lattice(words, vocabulary, longest, lo, min(n, lo + block))
+        for k in range(ids.shape[1]):
+            total = np.zeros_like(logs)
+            for size, before in enumerate(last):
+                piece = ids[:, k, size]
+                total += before * np.where((piece >= 0)[:, None], p[piece], 0.0)
+            last = [total, *last[: longest - 1]]
+            if (lo + k) % STEP == STEP - 1:
+                last = [x / total for x in last]
+                logs += np.log(total)
+    return logs + np.log(last[0])
+
+
+def _log_sums(ids: np.ndarray, logp: np.ndarray, forwards: bool) -> np.ndarray:
+    """(letters + 1, words): log of the summed probability of all segmentations up to (or else from) each letter, in one language."""
+    n, longest = ids.shape[1:]
+    out = np.full((n + 1, len(ids)), -np.inf)
+    out[0 if forwards else n] = 0.0
+    with np.errstate(divide="ignore"):
+        for at in range(1, n + 1) if forwards else range(n - 1, -1, -1):
+            reach = min(at if forwards else n - at, longest)
+            terms = np.array([out[at - s] + logp[ids[:, at - 1, s - 1]] if forwards else out[at + s] + logp[ids[:, at + s - 1, s - 1]] for s in range(1, reach + 1)])
+            top = terms.max(axis=0)
+            out[at] = top + np.log(np.exp(terms - top).sum(axis=0))
+    return out
 
 
 def fit(counts: pd.DataFrame, vocabulary: dict[str, int], rounds: int = 4, smooth: float = 0.05) -> Model:
     """A model from (lang, word, n). Each round replaces the probabilities by the expected piece counts, smoothed."""
     langs = sorted(counts["lang"].unique())
-    pieces = len(vocabulary) + 1
+    pieces, longest = len(vocabulary) + 1, longest_piece(vocabulary)
     logp = np.empty((pieces, len(langs)))
     for k, lang in enumerate(langs):
         own = counts[counts["lang"] == lang]
         words, weight = own["word"].tolist(), own["n"].to_numpy(float)
-        p = np.full((pieces, 1), 1 / pieces)
-        batches = list(lattices(words, vocabulary))
+        batches = [(lattice([words[i] for i in rows], vocabulary, longest, 0, len(words[rows[0]])), weight[rows]) for rows in same_length(words, longest)]
+        log_p = np.append(np.full(pieces, -math.log(pieces)), -np.inf)  # the last is that of no piece, -1
         for _ in range(rounds):
             expected = np.full(pieces, smooth)
-            for ids, rows in batches:
-                alpha, beta = forward(ids, p), backward(ids, p)
-                scale = weight[rows] / alpha[-1][:, 0]
-                for end in range(1, ids.shape[1]):
-                    for size in range(1, min(end, ids.shape[2] - 1) + 1):
-                        piece = ids[:, end, size]
-                        has = piece >= 0
-                        value = alpha[end - size][has, 0] * p[piece[has], 0] * beta[end][has, 0] * scale[has]
-                        expected += np.bincount(piece[has], value, pieces)
-            p = (expected / expected.sum())[:, None]
-        logp[:, k] = np.log(p[:, 0])
+            for ids, n in batches:
+                before, after = _log_sums(ids, log_p, True), _log_sums(ids, log_p, False)
+                for size in range(1, min(ids.shape[1:]) + 1):
+                    piece = ids[:, size - 1 :, size - 1].T  # (ends, words)
+                    value = np.exp(before[: len(piece)] + log_p[piece] + after[size:] - before[-1]) * n
+                    has = piece >= 0
+                    expected += np.bincount(piece[has], value[has], pieces)
+            log_p[:-1] = np.log(expected / expected.sum())
+        logp[:, k] = log_p[:-1]
     return Model(langs, vocabulary, logp.astype(np.float32))
 
 
-def sample_counts(docs: DataFrame, text_col: str, lang_col: str, id_col: str, per_lang: int) -> DataFrame:
-    """(lang, word, n) over about per_lang documents of each language, chosen by a hash of the id."""
-    known = docs.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
-    sizes = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+def sample_counts(docs: DataFrame, text_col: str, lang_col: str, id_col: str, per_lang: int, most_langs: int, chars: int) -> DataFrame:
+    """(lang, word, n) over about per_lang documents, of about chars letters and signs in all, of each of the most_langs commonest languages, chosen by a hash of the id."""
+    text, lang = named(text_col), named(lang_col).cast("string")
+    known = docs.where(text.isNotNull() & lang.isNotNull() & (F.length(text) <= chars // 8)).select(named(id_col).alias("id"), F.make_valid_utf8(text).alias("text"), lang.alias("lang"))
+    sizes = known.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("text")).alias("chars")).orderBy(F.desc("n"), "lang").limit(most_langs).collect()
     if not sizes:
         return known.select("lang", F.col("text").alias("word"), F.lit(1).cast("long").alias("n"))
-    chance = F.create_map(*(F.lit(x) for lang, n in sizes.items() for x in (lang, min(1.0, per_lang / n))))
+    chance = F.create_map(*(F.lit(x) for r in sizes for x in (r["lang"], min(1.0, per_lang / r["n"], chars / max(r["chars"], 1)))))
     draw = F.pmod(F.xxhash64(F.lit("sample"), "id"), F.lit(1 << 20)) / float(1 << 20)
     words = F.explode(F.split(F.lower("text"), SPACE)).alias("word")
-    return known.where(draw < chance[F.col("lang")]).select("lang", words).groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n"))
+    return known.where(draw < F.coalesce(chance[F.col("lang")], F.lit(0.0))).select("lang", words).groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n"))
 
 
 def letter_words(chunk: str) -> list[str]:
-    return [w[i : i + WORD] for w in LETTERS.findall(chunk.lower()) for i in range(0, len(w), WORD)]
+    return LETTERS.findall(chunk.lower())
 
 
-def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", vocabulary: str | None = None, per_lang: int = 400, rounds: int = 4) -> Model | None:
-    """A model of the languages in lang_col, or None without a labelled text.
+def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", vocabulary: str | None = None, per_lang: int = 400, rounds: int = 4, most_langs: int = 64, chars: int = 8_000_000) -> Model | None:
+    """A model of the languages in lang_col, or None without a labelled text (as of an empty table).
 
-    Bounded: about per_lang documents of a language are used, whole. Rows with
-    a null text or language teach nothing.
+    Bounded: about per_lang documents of a language are used, whole, with
+    about chars code points in all, none of them longer than an eighth of
+    that; languages beyond the most_langs commonest are not learnt. Rows with
+    a null text or language teach nothing; repeated rows teach each; invalid
+    UTF-8 counts as replacement characters; other columns are not read.
     """
-    found = sample_counts(docs, text_col, lang_col, id_col, per_lang).toPandas()
+    found = sample_counts(docs, text_col, lang_col, id_col, per_lang, most_langs, chars).toPandas()
     words: dict[tuple[str, str], int] = {}
     for lang, chunk, n in zip(found["lang"], found["word"], found["n"], strict=True):
         for w in letter_words(chunk):
@@ -185,18 +215,17 @@ class Scorer:
         self.model, self.known = model, Recent(CACHE)
 
     def __call__(self, words: list[str]) -> np.ndarray:
-        """One row per distinct word; a long word's is the sum of its parts'."""
+        """One row per distinct word."""
         self.known.age()
         young = self.known.young
         found = list(map(young.get, words))
         holes = [i for i, v in enumerate(found) if v is None]
         new = list(self.known.missing({words[i] for i in holes}))
-        parts = [[w[i : i + WORD] for i in range(0, len(w), WORD)] for w in new]
-        scores = self.model.word_scores([p for ps in parts for p in ps])
-        rows = np.add.reduceat(scores, np.cumsum([0, *map(len, parts)])[:-1]) if new else scores
-        young.update(zip(new, map(np.ndarray.tobytes, rows), strict=True))
+        rows = dict(zip(new, map(np.ndarray.tobytes, self.model.word_scores(new)), strict=True))
+        short = [w for w in new if len(w) <= KEPT]
+        self.known.put(short, [rows[w] for w in short])
         for i in holes:
-            found[i] = young[words[i]]
+            found[i] = rows.get(words[i]) or young[words[i]]
         return np.frombuffer(b"".join(found)).reshape(len(words), len(self.model.langs))
 
 
@@ -223,8 +252,12 @@ def predict(text: Column, model: Model | None, group: int = 4 << 20) -> Column:
     """lang (a language of the model; 'und' for a null text or one without a letter) and score.
 
     The score is the posterior probability of the language with equal priors;
-    of 'und' it is 0. Texts are scored whole; about group bytes at a time. The
-    column counts as nondeterministic, so that no filter makes it twice.
+    of 'und' it is 0, as it is for every text without a model. Of languages
+    that tie the first by name is taken. Texts of any length are scored whole,
+    about group bytes at a time; equal texts get equal results; invalid UTF-8
+    counts as replacement characters, which are no letters; an empty table
+    gives an empty column. The column counts as nondeterministic, so that no
+    filter makes it twice.
     """
     if model is None:
         return F.struct(F.lit(UNKNOWN).alias("lang"), F.lit(0.0).alias("score"))
@@ -242,4 +275,4 @@ def predict(text: Column, model: Model | None, group: int = 4 << 20) -> Column:
                 score.append(s)
             yield pa.StructArray.from_arrays([langs.take(pa.array(np.concatenate(best))), pa.array(np.concatenate(score))], ["lang", "score"])
 
-    return F.arrow_udf(run, "struct<lang:string,score:double>").asNondeterministic()(text)
+    return F.arrow_udf(run, "struct<lang:string,score:double>").asNondeterministic()(F.make_valid_utf8(text))
