@@ -66,6 +66,60 @@ def test_blocks_of_a_large_cluster(spark, monkeypatch):
     assert {tuple(r) for r in got.collect()} == brute(rows)
 
 
+def near_copies(n):
+    """n texts, each with one of 300 words changed; and three that share much with them but too little."""
+    rng = random.Random(6)
+    base = [f"w{k}" for k in range(300)]
+    rows = []
+    for i in range(n):
+        w = list(base)
+        w[rng.randrange(300)] = f"v{i}"
+        rows.append((i + 10, " ".join(w)))
+    return rows, [(k, " ".join(base[: 270 - 40 * k] + [f"z{k}_{j}" for j in range(60)])) for k in range(3)]
+
+
+def test_a_large_group_costs_in_proportion(spark, monkeypatch):
+    """Every near copy meets its hub, and no block pairs of the group are made afterwards; strays meet each block once."""
+    monkeypatch.setattr(nd, "BLOCK_TEXTS", 100)
+    seen = {"hub": [], "block": []}
+    hub_links, block_pairs = nd._hub_links, nd._block_pairs
+    monkeypatch.setattr(nd, "_hub_links", lambda edges, *a: (seen["hub"].append(edges.count()), hub_links(edges, *a))[1])
+    monkeypatch.setattr(nd, "_block_pairs", lambda *a: (lambda df: (seen["block"].append(df.count()), df)[1])(block_pairs(*a)))
+    copies, strays = near_copies(1500)
+    for rows, most in ((copies, 2), (copies + strays, 4)):
+        got = {r.doc_id: r.component_id for r in nd.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+        assert {got[i] for i, _ in copies} == {10} and [got.get(k, k) for k in range(3)] == [0, 1, 2]
+        assert sum(seen["hub"]) + sum(seen["block"]) <= most * 1500
+        seen["hub"].clear()
+        seen["block"].clear()
+
+
+def test_groups_in_one_cluster(spark, monkeypatch):
+    """Several groups, large and small, whose texts are candidates of each other."""
+    monkeypatch.setattr(nd, "BLOCK_TEXTS", 8)
+    rng = random.Random(8)
+    rows, n = [], 0
+    base = [f"w{k}" for k in range(80)]
+    for group in range(9):
+        mine = list(base)
+        for k in range(8):
+            mine[(group * 8 + k) % 80] = f"g{group}_{k}"
+        for _ in range([25, 12, 3, 1, 1, 2, 9, 1, 6][group]):
+            w = list(mine)
+            w[rng.randrange(80)] = f"v{n % 7}"
+            rows.append((n, " ".join(w)))
+            n += 1
+    got = nd.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {tuple(r) for r in got.collect()} == brute(rows)
+
+
+def test_odd_names(spark):
+    text = "a b c d e f g"
+    docs = spark.createDataFrame([(1, text, "p", 1), (2, text, "q", 2), (2, "h i j k l", "r", 3), (3, None, "s", 4)], "`i.d` long, `te``xt` string, `__id` string, key int")
+    left = nd.drop_near_duplicates(docs, "i.d", "te`xt")
+    assert left.columns == docs.columns and sorted(r["__id"] for r in left.collect()) in (["p", "r", "s"], ["p", "s"])
+
+
 def test_empty_table_and_repeated_rows(spark):
     schema = "doc_id long, text string"
     assert nd.near_duplicates(spark.createDataFrame([], schema)).collect() == []

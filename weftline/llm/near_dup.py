@@ -9,11 +9,16 @@
    bands too. With 42 bands a pair at similarity 0.85 is missed with a
    probability of 3e-9. A bucket links its members to its least member, so its
    cost is linear; the clusters of these stars hold every candidate pair.
-3. In a cluster, split into blocks of bounded size and taken block pair by
-   block pair, the collision-corrected Jaccard estimate of the sketches rules
-   pairs out, five standard deviations below the threshold; the rest is
-   verified on the full shingle sets. A block pair returns only links that
-   span its components, never all its pairs.
+3. The candidates are verified in three linear or nearly linear rounds, each
+   by the collision-corrected Jaccard estimate of the sketches, which rules
+   pairs out five standard deviations below the threshold, and then on the
+   full shingle sets. First every text meets the hub that it shares most
+   bands with; the groups that this links are contracted. Then every text
+   meets its best hub in another group. What is left are pairs of different
+   groups in one cluster: the cluster's texts are taken block pair
+   by block pair, but never two blocks of one group, so a large group of near
+   copies has done with its own pairs after the first round. Rounds return
+   only links that span components, never all pairs.
 4. Connected components of the verified links name the groups.
 """
 
@@ -27,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftline.llm.common import cut, worker_state
+from weftline.llm.common import carried, cut, named, worker_state
 from weftline.llm.graph import components
 
 #: log2 of the registers, mantissa bits, registers of a band and bands.
@@ -35,17 +40,21 @@ P, R, ROWS, BANDS = 8, 10, 6, 42
 EMPTY = np.uint16(0xFFFF)
 #: A block holds at most about so many texts and shingles.
 BLOCK_TEXTS, BLOCK_SHINGLES = 512, 1 << 20
-#: Words whose hashes a worker keeps at once.
-CACHE = 200_000
+#: Bytes of words, and of what goes with each, whose hashes a worker keeps at once.
+CACHE = 16 << 20
 
 _M1, _M2, _M3 = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 
 
 class _WordHashes(dict):
+    used = 0
+
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= CACHE:
+        if self.used > CACHE:
             self.clear()
+            self.used = 0
         self[word] = h = xxhash.xxh64_intdigest(word)
+        self.used += len(word) + 160
         return h
 
 
@@ -176,92 +185,188 @@ def _spanning(link: np.ndarray) -> list[tuple[int, int]]:
         label = new
 
 
-def block_links(sets: list[np.ndarray], side: np.ndarray, two: bool, num: int, den: int) -> list[tuple[int, int]]:
-    """Spanning links among the members of a block (two: between the sides of two blocks), verified on the full sets."""
-    n = np.array([len(s) for s in sets])
-    regs = np.array([registers(s) for s in sets])
+def links_between(left: list[np.ndarray], right: list[np.ndarray], num: int, den: int, may: np.ndarray | None = None) -> np.ndarray:
+    """Which sets of left and right are linked (among those that may be): ruled out by their sketches or else verified in full."""
+    link = np.zeros((len(left), len(right)), bool)
+    if not link.size:
+        return link
+    n, m = (np.array([len(s) for s in side]) for side in (left, right))
+    maybe = estimates(np.array([registers(s) for s in left]), np.array([registers(s) for s in right]), n, m, num / den)
+    if may is not None:
+        maybe &= may
+    if maybe.sum() <= 64:
+        for x, y in zip(*np.nonzero(maybe), strict=True):
+            both = len(np.intersect1d(left[x], right[y], assume_unique=True))
+            link[x, y] = den * both >= num * (n[x] + m[y] - both)
+    else:
+        rows, cols = np.flatnonzero(maybe.any(axis=1)), np.flatnonzero(maybe.any(axis=0))
+        both = overlaps([left[k] for k in rows], [right[k] for k in cols])
+        link[np.ix_(rows, cols)] = maybe[np.ix_(rows, cols)] & (den * both >= num * (n[rows][:, None] + m[cols][None, :] - both))
+    return link
+
+
+def block_links(sets: list[np.ndarray], group: np.ndarray, side: np.ndarray, two: bool, num: int, den: int) -> list[tuple[int, int]]:
+    """Spanning links between members of different groups in a block (two: between the sides of two blocks)."""
     left = np.flatnonzero(side == 0) if two else np.arange(len(sets))
     right = np.flatnonzero(side == 1) if two else left
-    link = np.zeros((len(sets), len(sets)), bool)
-    if not len(left) or not len(right):
-        return []
-    may = estimates(regs[left], regs[right], n[left], n[right], num / den)
+    may = group[left][:, None] != group[right][None, :]
     if not two:
         may &= left[:, None] < right[None, :]
-    if may.sum() <= 64:
-        for i, j in zip(*np.nonzero(may), strict=True):
-            x, y = left[i], right[j]
-            both = len(np.intersect1d(sets[x], sets[y], assume_unique=True))
-            link[x, y] = den * both >= num * (n[x] + n[y] - both)
-    else:
-        rows, cols = np.flatnonzero(may.any(axis=1)), np.flatnonzero(may.any(axis=0))
-        x, y = left[rows], right[cols]
-        both = overlaps([sets[k] for k in x], [sets[k] for k in y])
-        link[np.ix_(x, y)] = may[np.ix_(rows, cols)] & (den * both >= num * (n[x][:, None] + n[y][None, :] - both))
+    link = np.zeros((len(sets), len(sets)), bool)
+    link[np.ix_(left, right)] = links_between([sets[k] for k in left], [sets[k] for k in right], num, den, may)
     return _spanning(link | link.T)
 
 
+def _edges(found: list[tuple[int, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.int64()), pa.array([b for _, b in found], pa.int64())], ["a", "b"])
+
+
+def _hub_verified(size: int, num: int, den: int):
+    """Over rows sorted by hub, salt and side: the hub's own texts first, then its members', of which only so many as a block has are held."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = worker_state(("near_dup",), _WordHashes)
+        key, hub, ids, sets, held = None, [], [], [], 0
+
+        def links() -> pa.RecordBatch:
+            linked = links_between(sets, hub, num, den).any(axis=1) if hub else []
+            return _edges([(ids[k], key[0]) for k in np.flatnonzero(linked)])
+
+        for b in batches:
+            columns = [b.column(c).to_pylist() for c in ("hub", "salt", "side", "node")]
+            texts = b.column("text").cast(pa.binary())
+            for i, (at, salt, side, node) in enumerate(zip(*columns, strict=True)):
+                if key != (at, salt) or len(ids) >= BLOCK_TEXTS or held >= BLOCK_SHINGLES:
+                    if ids:
+                        yield links()
+                    ids, sets, held = [], [], 0
+                    if key != (at, salt):
+                        key, hub = (at, salt), []
+                s = shingles(text_words(texts[i].as_py()), hashes, size)
+                if side == 0:
+                    if not any(np.array_equal(s, h) for h in hub):
+                        hub.append(s)
+                else:
+                    ids.append(node)
+                    sets.append(s)
+                    held += len(s)
+        if ids:
+            yield links()
+
+    return run
+
+
+def _hub_links(edges: DataFrame, texts: DataFrame, sizes: DataFrame, size: int, num: int, den: int) -> DataFrame:
+    """The edges (a, hub) that hold on the full sets. A hub of many members is split, its own text going to every part."""
+    load = edges.join(sizes, F.col("a") == F.col("rep")).groupBy("hub").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_TEXTS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("parts"))
+    load = cut(load.select(F.col("hub").alias("h"), "parts"))
+    member = edges.join(load, F.col("hub") == F.col("h")).select("hub", F.pmod(F.xxhash64("a"), F.col("parts").cast("long")).cast("int").alias("salt"), F.lit(1).alias("side"), "a")
+    own = load.select(F.col("h").alias("hub"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("salt"), F.lit(0).alias("side"), F.col("h").alias("a"))
+    rows = member.unionByName(own).join(texts, F.col("a") == F.col("node")).select("hub", "salt", "side", "node", "text")
+    return rows.repartition("hub", "salt").sortWithinPartitions("hub", "salt", "side").mapInArrow(_hub_verified(size, num, den), "a long, b long")
+
+
 def _verified(size: int, num: int, den: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = worker_state(("near_dup",), _WordHashes)
-        key, rows = None, {}
+        key, rows = None, []
 
         def links() -> pa.RecordBatch:
-            ids = list(rows)
-            sets = [shingles(text_words(t), hashes, size) for _, t in rows.values()]
-            found = block_links(sets, np.array([s for s, _ in rows.values()]), key[1] != key[2], num, den)
-            return pa.RecordBatch.from_arrays([pa.array([ids[i][0] for i, _ in found], pa.int64()), pa.array([ids[j][0] for _, j in found], pa.int64())], ["a", "b"])
+            sets = [shingles(text_words(t), hashes, size) for *_, t in rows]
+            found = block_links(sets, np.array([g for _, g, _, _ in rows]), np.array([s for _, _, s, _ in rows]), key[1] != key[2], num, den)
+            return _edges([(rows[i][0], rows[j][0]) for i, j in found])
 
         for b in batches:
-            columns = [b.column(c).to_pylist() for c in ("cluster", "lo", "hi", "node", "side")]
+            columns = [b.column(c).to_pylist() for c in ("cluster", "lo", "hi", "node", "group", "side")]
             texts = b.column("text").cast(pa.binary())
-            for i, (cluster, lo, hi, node, side) in enumerate(zip(*columns, strict=True)):
+            for i, (cluster, lo, hi, *row) in enumerate(zip(*columns, strict=True)):
                 if key != (cluster, lo, hi):
                     if len(rows) > 1:
                         yield links()
-                    key, rows = (cluster, lo, hi), {}
-                text = texts[i].as_py()
-                rows[node, hash(text)] = (side, text)
+                    key, rows = (cluster, lo, hi), []
+                rows.append((*row, texts[i].as_py()))
         if len(rows) > 1:
             yield links()
 
     return run
 
 
+def _named(nodes: DataFrame, groups: DataFrame) -> DataFrame:
+    """nodes with group: the component of each, itself if it has no link."""
+    return nodes.join(groups.select(F.col("node").alias("__n"), "component"), F.col("node") == F.col("__n"), "left").withColumn("group", F.coalesce("component", "node")).drop("__n", "component")
+
+
+def _block_pairs(nodes: DataFrame, sizes: DataFrame) -> DataFrame:
+    """(node, cluster, group, lo, hi, side): the block pairs that each node of nodes (node, cluster, group) takes part in.
+
+    Large groups have blocks of their own, which never meet each other; small
+    groups share blocks, each whole in one.
+    """
+    several = nodes.groupBy(F.col("cluster").alias("c")).agg(F.min("group").alias("g"), F.max("group").alias("h")).where("g <> h").select("c")
+    nodes = nodes.join(several, F.col("cluster") == F.col("c"), "left_semi").join(sizes, F.col("node") == F.col("rep"))
+    fill = F.greatest(F.count(F.lit(1)) / BLOCK_TEXTS, F.sum("n") / BLOCK_SHINGLES).alias("fill")
+    groups = cut(nodes.groupBy("cluster", "group").agg(fill))
+    large = groups.where("fill > 0.5").select("cluster", "group", F.ceil("fill").cast("int").alias("parts"))
+    upto = Window.partitionBy("cluster").orderBy("group").rowsBetween(Window.unboundedPreceding, -1)
+    large = large.select(F.col("cluster").alias("lc"), F.col("group").alias("lg"), "parts", F.coalesce(F.sum("parts").over(upto), F.lit(0)).cast("int").alias("first"))
+    totals = groups.groupBy(F.col("cluster").alias("tc")).agg(F.coalesce(F.sum(F.when(F.col("fill") > 0.5, F.ceil("fill"))), F.lit(0)).cast("int").alias("owned"), F.ceil(F.coalesce(F.sum(F.when(F.col("fill") <= 0.5, F.col("fill"))), F.lit(0.0))).cast("int").alias("common"))
+    placed = nodes.join(cut(large), (F.col("cluster") == F.col("lc")) & (F.col("group") == F.col("lg")), "left").join(cut(totals), F.col("cluster") == F.col("tc"))
+    own = F.col("first") + F.pmod(F.xxhash64("node"), F.col("parts").cast("long")).cast("int")
+    shared = F.col("owned") + F.pmod(F.xxhash64("group"), F.greatest("common", F.lit(1)).cast("long")).cast("int")
+    others = F.filter(F.sequence(F.lit(0), F.col("owned") + F.col("common") - 1), lambda x: F.col("first").isNull() | (x < F.col("first")) | (x >= F.col("first") + F.col("parts")))
+    placed = placed.select("node", "cluster", "group", F.coalesce(own, shared).alias("block"), F.explode(others).alias("other"))
+    return placed.select("node", "cluster", "group", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), (F.col("block") > F.col("other")).cast("int").alias("side"))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", num: int = 85, den: int = 100, size: int = 5) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for each row of docs.
 
     Documents are linked where den * |intersection| >= num * |union| (num/den
     of 0.8 or more). A null text, or one without words, has no shingles and is
-    linked with nothing. Repeated rows get equal results; rows that share an
-    id count as one document. A row without an id is kept if its text has no
-    id elsewhere. Names of other columns cannot clash: they are not read.
+    linked with nothing. Texts are taken whole, however long, as bytes, so
+    invalid UTF-8 is compared as it is. Repeated rows get equal results; rows
+    that share an id count as one document. A row without an id is kept if its
+    text has no id elsewhere. Hubs that tie go by the least id, which shows in
+    no result. An empty table gives an empty one. Names of other columns
+    cannot clash: they are not read.
     """
     if not 0.8 <= num / den <= 1:
         raise ValueError("the bands hold for similarities from 0.8 to 1")
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    docs = docs.select(named(id_col).cast("long").alias("doc_id"), named(text_col).alias("text"))
     sketches = cut(docs.mapInArrow(_sketches(size), "doc_id long, n long, digest binary, bands array<bigint>"))
     d = sketches.select("doc_id", "n", F.hex("digest").alias("digest"))
     reps = cut(d.where("n > 0 and doc_id is not null").groupBy("digest").agg(F.min("doc_id").alias("rep")))
 
     chosen = sketches.where("n > 0").join(reps.select("rep", F.unhex("digest").alias("__d")), (F.col("doc_id") == F.col("rep")) & (F.col("digest") == F.col("__d")))
     chosen = cut(chosen.select("rep", "n", "bands"))
+    sizes = chosen.groupBy("rep").agg(F.max("n").alias("n"))
     banded = chosen.select("rep", F.explode("bands").alias("k"))
     hubs = cut(banded.groupBy("k").agg(F.min("rep").alias("hub"), F.max("rep").alias("__last")).where("hub < __last").select(F.col("k").alias("__k"), "hub"))
-    star = banded.join(hubs, F.col("k") == F.col("__k")).where("rep <> hub").select(F.col("rep").alias("a"), F.col("hub").alias("b")).distinct()
-
-    nodes = cut(components(star))
-    members = nodes.join(chosen.select("rep", "n"), F.col("node") == F.col("rep"))
-    extent = cut(members.groupBy("component").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_TEXTS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks")).withColumnRenamed("component", "__c"))
-    nodes = cut(nodes.join(extent, F.col("component") == F.col("__c")).select("node", F.col("component").alias("cluster"), "blocks", F.pmod(F.xxhash64("node"), F.col("blocks").cast("long")).cast("int").alias("block")))
-    texts = docs.join(nodes.hint("merge"), F.col("doc_id") == F.col("node")).select("node", "text", "cluster", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    pairs = texts.select("cluster", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "node", (F.col("block") > F.col("other")).cast("int").alias("side"), "text")
-    dealt = pairs.repartition("cluster", "lo", "hi").sortWithinPartitions("cluster", "lo", "hi")
-    links = dealt.mapInArrow(_verified(size, num, den), "a long, b long")
-
-    named = cut(components(links))
-    grouped = cut(reps.join(named, F.col("rep") == F.col("node"), "left").select(F.col("digest").alias("__d"), F.coalesce("component", "rep").alias("__group")))
-    out = d.join(grouped, F.col("digest") == F.col("__d"), "left")
+    star = cut(banded.join(hubs, F.col("k") == F.col("__k")).where("rep <> hub").groupBy(F.col("rep").alias("a"), "hub").agg(F.count(F.lit(1)).alias("bands")))
+
+    nodes = cut(components(star.select("a", F.col("hub").alias("b"))).withColumnRenamed("component", "cluster"))
+    texts = cut(docs.join(nodes.hint("merge"), F.col("doc_id") == F.col("node")).select("node", "text"))
+    best = F.struct(F.col("bands"), -F.col("hub"))
+    first = cut(star.groupBy("a").agg(F.max_by("hub", best).alias("hub")))
+    one = cut(components(_hub_links(first, texts, sizes, size, num, den)))
+
+    of = one.select(F.col("node").alias("hub_node"), F.col("component").alias("hub_group"))
+    rest = _named(star.withColumn("node", F.col("a")), one).join(of, F.col("hub") == F.col("hub_node"), "left").withColumn("hub_group", F.coalesce("hub_group", "hub"))
+    rest = rest.join(first.select(F.col("a").alias("fa"), F.col("hub").alias("fh")), (F.col("a") == F.col("fa")) & (F.col("hub") == F.col("fh")), "left_anti")
+    rest = cut(rest.where(F.col("group") != F.col("hub_group")).groupBy("a").agg(F.max_by("hub", best).alias("hub")))
+    so_far = one.select(F.col("node").alias("a"), F.col("component").alias("b"))
+    two = cut(components(so_far.unionByName(_hub_links(rest, texts, sizes, size, num, den))))
+
+    pairs = cut(_block_pairs(_named(nodes, two), sizes))
+    left = texts.join(pairs.select(F.col("node").alias("__n")), F.col("node") == F.col("__n"), "left_semi").groupBy(F.col("node").alias("__n"), F.xxhash64("text").alias("__h")).agg(F.first("text").alias("text"))
+    dealt = pairs.join(left, F.col("node") == F.col("__n")).select("cluster", "lo", "hi", "node", "group", "side", "text")
+    links = dealt.repartition("cluster", "lo", "hi").sortWithinPartitions("cluster", "lo", "hi").mapInArrow(_verified(size, num, den), "a long, b long")
+
+    so_far = two.select(F.col("node").alias("a"), F.col("component").alias("b"))
+    named_groups = cut(components(so_far.unionByName(links)))
+    grouped = cut(reps.join(named_groups, F.col("rep") == F.col("node"), "left").select(F.col("digest").alias("__d"), F.coalesce("component", "rep").alias("__group")))
+    out = d.where("digest is not null").join(grouped, F.col("digest") == F.col("__d"), "left").select("doc_id", "n", "__group")
+    out = out.unionByName(d.where("digest is null").select("doc_id", "n", F.lit(None).cast("long").alias("__group")))
     group = F.coalesce("__group", "doc_id")
     return out.select("doc_id", F.col("n").alias("n_shingles"), group.alias("component_id"), F.coalesce(F.col("doc_id") == group, group.isNull()).alias("kept"))
 
@@ -269,16 +374,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", num: int = 85, den: int = 100, size: int = 5) -> DataFrame:
     """The rows of docs that stay: one of each group, with all their columns.
 
-    Of rows that share an id, one stays. A row without an id has no name in a
-    group and stays.
+    Of rows that share an id, one stays: that of the least text by hash, any
+    one of them where texts are equal. A row without an id has no name in a
+    group and stays, as does a row without words. Rows are carried as structs,
+    so no name of their columns can clash; an empty table gives an empty one.
     """
     groups = near_duplicates(docs, id_col, text_col, num, den, size)
-    groups = cut(groups.where("doc_id is not null").groupBy(F.col("doc_id").alias("__id")).agg(F.min("kept").alias("__kept"), F.count(F.lit(1)).alias("__rows")))
-    left = docs.join(groups.where("not __kept").hint("merge"), docs[id_col] == F.col("__id"), "left_anti")
-    repeated = groups.where("__rows > 1").select("__id")
-    if repeated.isEmpty():
-        return left
-    several = left.join(repeated.hint("merge"), left[id_col] == F.col("__id"), "left_semi")
-    rank = F.row_number().over(Window.partitionBy(id_col).orderBy(F.xxhash64(text_col), text_col))
-    one = several.withColumn("__rank", rank).where("__rank = 1").drop("__rank")
-    return left.join(repeated.hint("merge"), left[id_col] == F.col("__id"), "left_anti").unionByName(one)
+    groups = cut(groups.where("doc_id is not null").groupBy(F.col("doc_id").alias("key")).agg(F.min("kept").alias("stays"), F.count(F.lit(1)).alias("rows")))
+    rows = docs.select(carried(docs), named(id_col).cast("long").alias("id"), named(text_col).alias("text"))
+    left = rows.join(groups.where("not stays").select("key").hint("merge"), F.col("id") == F.col("key"), "left_anti")
+    repeated = groups.where("rows > 1").select("key")
+    if not repeated.isEmpty():
+        one = left.join(repeated.hint("merge"), F.col("id") == F.col("key"), "left_semi").groupBy("id").agg(F.min_by("row", F.struct(F.xxhash64("text"), F.col("text"))).alias("row"))
+        left = left.join(repeated.hint("merge"), F.col("id") == F.col("key"), "left_anti").select("row").unionByName(one.select("row"))
+    return left.select(*(F.col("row").getField(c).alias(c) for c in docs.columns))
