@@ -7,6 +7,7 @@ import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from weftline.llm import packing
@@ -32,7 +33,7 @@ def test_encoder_equals_the_tokenizer(texts):
 
 
 def test_encoder_forgets(monkeypatch):
-    monkeypatch.setattr(packing, "CACHE", 3)
+    monkeypatch.setattr(packing, "CACHE", 700)
     own = Encoder(default_tokenizer())
     for _ in range(3):
         for texts in (["one two three four five"], ["six one two"], ["seven, eight, one"]):
@@ -73,6 +74,31 @@ def test_round_trip(spark):
     assert all(r.padding == 0 for r in sequences(packed, 512).collect())
 
 
+def test_copies_do_not_lie_by_each_other(spark):
+    rows = [(i, f"text number {i} of sixty", "ab"[i % 2]) for i in range(60)] * 2
+    got = sorted(pack(spark.createDataFrame(rows, "doc_id long, text string, source string"), least=1).collect(), key=lambda r: (r.sequence_id, r.offset))
+    docs = [r.doc_id for r in got if r.start == 0]
+    assert len(docs) == 120 and all(a != b for a, b in zip(docs, docs[1:]))
+    assert len(set(docs[:60])) >= 58  # a round over the shard before the next one
+
+
+def test_rounds():
+    seen = packing.rounds([1, 1, 1, 2, 2], [4, 2, 9, 1, 7])
+    assert sorted(seen) == list(range(5)) and [[1, 1, 1, 2, 2][i] for i in seen[:2]] in ([1, 2], [2, 1])
+
+
+def test_equal_rows_spread_over_shards(spark):
+    docs = spark.createDataFrame([(7, "the of and to in " * 40, "a")] * 600, "doc_id long, text string, source string")
+    got = pack(docs, shard_tokens=10_000, length=1024).groupBy((F.col("sequence_id") / (1 << 32)).cast("long").alias("shard")).agg(F.sum("length").alias("n")).collect()
+    assert len(got) >= 10 and max(r.n for r in got) < 3 * sum(r.n for r in got) / len(got)
+
+
+def test_odd_names_and_broken_text(spark):
+    docs = spark.sql("select 1L as `i.d`, cast(unhex('61ff62') as string) as `te``xt`, cast(null as string) as `s.c`, 2 as doc_id, 3 as shard")
+    got = pack(docs, "i.d", "te`xt", "s.c").collect()
+    assert sum(r.length for r in got) == len(ids("a\ufffdb"))
+
+
 def test_empty_table(spark):
     assert pack(spark.createDataFrame([], "doc_id long, text string, source string")).collect() == []
 

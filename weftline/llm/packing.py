@@ -4,7 +4,10 @@
    folder. Its token totals per source give the target proportions, unless
    weights are given.
 2. Documents are dealt by hash into shards of about shard_tokens tokens, so a
-   shard holds a random share of every source.
+   shard holds a random share of every source. The hash covers the row's
+   place in the table, so equal rows part. Within a shard, a document's second
+   copy comes in a second round over the shard, in another order, and so on:
+   no copy lies by its twin.
 3. Within a shard, deficit round-robin over one queue per source fills window
    after window: every source is credited its share of the window, and a
    source with credit serves a piece of its first document. Overdrafts and
@@ -34,10 +37,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftline.functions.prefix import exclusive_prefix
-from weftline.llm.common import Recent, cut, worker_state
+from weftline.llm.common import Recent, cut, named, worker_state
 
-#: Chunks that a generation of a worker's memory holds before it ages; the longest kept, in bytes.
-CACHE, CHUNK = 250_000, 64
+#: Bytes of chunks and ids that a generation of a worker's memory holds before it ages; the longest chunk kept, in bytes.
+CACHE, CHUNK = 16 << 20, 64
 #: Bytes of text that are tokenised at a time.
 BATCH = 4 << 20
 LANE = 1024
@@ -115,12 +118,13 @@ class Encoder:
         for c in new:
             word = c.decode("utf-8", "replace")
             (plain if self.plain is not None and _WORD.fullmatch(word) else other).append((c, word))
+        fresh: dict[bytes, bytes] = {}
         for part, encode in ((plain, self._plain_words), (other, self._encoded)):
-            young.update(zip([c for c, _ in part], [x.tobytes() for x in encode([w for _, w in part])], strict=True))
+            fresh.update(zip([c for c, _ in part], [x.tobytes() for x in encode([w for _, w in part])], strict=True))
+        short = [c for c in fresh if len(c) <= CHUNK]
+        self.known.put(short, [fresh[c] for c in short])
         for i in holes:
-            found[i] = young[chunks[i]]
-            if len(chunks[i]) > CHUNK:
-                del young[chunks[i]]
+            found[i] = fresh[chunks[i]] if chunks[i] in fresh else young[chunks[i]]
         return found
 
     def __call__(self, texts: pa.StringArray) -> list[np.ndarray]:
@@ -213,13 +217,24 @@ def round_robin(queues: dict, share: dict, deficit: dict, length: int, least: in
                 ring.popleft()
 
 
+def rounds(ids: list, order: list[int]) -> list[int]:
+    """The places of rows in their order: the first rows of all ids, then their second ones in another order, and so on."""
+    seen: dict = {}
+    keys = []
+    for i in sorted(range(len(ids)), key=order.__getitem__):
+        turn = seen.get(ids[i], 0)
+        seen[ids[i]] = turn + 1
+        keys.append((turn, order[i] * (2 * turn + 1) % (1 << 64), i))
+    return [i for _, _, i in sorted(keys)]
+
+
 def _packed(length: int, least: int, wide: int):
     schema = pa.schema([(c, pa.string() if c == "source" else pa.int64()) for c in ("doc_id", "source", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")])
 
     def run(docs: pa.Table, plan: pa.Table) -> pa.Table:
         if not docs.num_rows:
             return schema.empty_table()
-        docs = docs.sort_by([("order", "ascending"), ("doc_id", "ascending"), ("tokens", "ascending")])
+        docs = docs.take(pa.array(rounds(docs.column("doc_id").to_pylist(), docs.column("order").to_pylist())))
         shard = docs.column("shard")[0].as_py()
         share = dict(zip(plan.column("source").to_pylist(), plan.column("share").to_pylist(), strict=True))
         deficit = dict(zip(plan.column("source").to_pylist(), plan.column("carry").to_pylist(), strict=True))
@@ -249,9 +264,13 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source
     weights (source, weight): target proportions of tokens; without, the
     corpus' own. A source that weights lack has proportion 0 and is served
     when no other source has tokens left to serve. Every id of every document
-    lies in exactly one piece; a null or empty text is the end token alone;
-    repeated rows are packed each; null sources form one queue; other columns
-    of docs are not read, so no name can clash. length is a power of two.
+    lies in exactly one piece; a null or empty text is the end token alone; a
+    long one is cut into as many pieces as it takes. Repeated rows are packed
+    each, a null id is one like any other, and null sources form one queue.
+    Rows that tie in the order of a shard go by their place. Invalid UTF-8
+    counts as replacement characters. An empty table gives no pieces. Other
+    columns of docs are not read, so no name can clash. length is a power of
+    two.
     """
     if length & (length - 1):
         raise ValueError("length must be a power of two")
@@ -259,12 +278,12 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source
     from tokenizers import Tokenizer
 
     wide = 2 if Tokenizer.from_file(path).get_vocab_size() <= 1 << 16 else 4
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(source_col).cast("string").alias("source"), F.col(text_col).alias("text"))
-    ids = cut(docs.mapInArrow(_tokenised(path, end), "doc_id long, source string, tokens long, ids binary"))
+    docs = docs.select(named(id_col).cast("long").alias("doc_id"), F.make_valid_utf8(named(source_col).cast("string")).alias("source"), F.make_valid_utf8(named(text_col)).alias("text"))
+    ids = cut(docs.mapInArrow(_tokenised(path, end), "doc_id long, source string, tokens long, ids binary").withColumn("place", F.monotonically_increasing_id()))
     total = ids.agg(F.sum("tokens")).first()[0] or 0
     shards = max(1, -(-total // shard_tokens))
-    order = F.xxhash64("doc_id", "source", F.crc32("ids"))
-    dealt = ids.select("*", order.alias("order"), F.pmod(order, F.lit(shards)).alias("shard"))
+    order = F.xxhash64("doc_id", "source", "place")
+    dealt = ids.select("*", order.alias("order"), F.pmod(order, F.lit(shards)).alias("shard")).drop("place")
     served = cut(dealt.groupBy("shard", "source").agg(F.sum("tokens").alias("served")))
     if weights is None:
         shares = served.groupBy("source").agg((F.sum("served") / total).alias("share"))
