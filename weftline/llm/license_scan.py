@@ -1,57 +1,53 @@
-"""License texts in documents, by MinHash bands over text windows.
+"""License texts in documents, by MinHash bands over overlapping text windows.
 
 Texts become lower-case letter and digit words and their 5-word shingle
-hashes. For every template length m (in shingles) a text is cut into windows
-of 2m shingles that overlap by m, so a template of that length lies whole in
-some window, wherever it begins. A window's MinHash bands (one minimum each)
-are joined with those of the templates. A window that holds 80 % of a template
-has a Jaccard similarity of 0.36 or more with it, at which 24 bands collide
-with a probability of 0.99998. Candidates are verified by the exact share of
-the template's shingles in the window.
+hashes. Template lengths (in shingles) are rounded up to a class M, of which
+one is at most a quarter longer than the one before. For every class a text is
+cut into windows of 2M shingles that overlap by M, so a template of the class
+lies whole in some window, wherever it begins. A window's MinHash bands (one
+minimum each) that equal a template's retrieve it. A window that holds 80 % of
+a template has a Jaccard similarity of 0.29 or more with it, at which 40 bands
+collide with a probability of 0.999998. Candidates are verified by the exact
+share of the template's distinct shingles in the window.
+
+A band of a window can equal a template's only if the window holds the very
+shingle that is the template's minimum in that band. So the bands are first
+sought from the template's side: the texts' shingles are looked up in a hash
+set of the templates' minima, and only windows that hold one get bands. That
+loses no collision.
 
 Notices of fewer than five words have no such shingle. Each is one shingle of
-all its words instead, and its windows are as long as itself; they go through
-the same bands and are verified as a whole.
+all its words instead, whose window is as long as itself: two sets of one
+shingle collide in all bands if they are equal and else in none, so the lookup
+of that shingle is retrieval and verification in one.
 
-Windows without any shingle of a template cannot be verified, so they are not
-built: a disjointness test within the row, which loses nothing.
+Templates may be any number: they are taken in batches of bounded size, a
+batch being one pass over the texts.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm.common import paired, shifted
-
-BANDS, SHINGLE = 24, 5
-#: Templates are a parameter that stays small: their bands are broadcast.
-MOST_TEMPLATES = 1000
-
-# Public license notices.
-TEMPLATES = [
-    ("apache-2.0-short", "Apache-2.0", "Licensed under the Apache License, Version 2.0"),
-    ("mit-short", "MIT", "Released under the MIT License"),
-    ("gpl-3.0-short", "GPL-3.0", "This work is licensed under the GNU General Public License, version 3"),
-    ("cc-by-nc-4.0-short", "CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0"),
-    ("mit-grant", "MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software"),
-    ("apache-2.0-header", "Apache-2.0", "you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0"),
-    ("bsd-redistribution", "BSD", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
-    ("gpl-notice", "GPL", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation"),
-]
-
-# Public license notices of fewer than SHINGLE words.
-NOTICES = [
-    ("all-rights-reserved", "All-Rights-Reserved", "All rights reserved"),
-    ("all-rights-reserved-de", "All-Rights-Reserved", "Alle Rechte vorbehalten"),
-    ("all-rights-reserved-es", "All-Rights-Reserved", "Todos los derechos reservados"),
-    ("all-rights-reserved-fr", "All-Rights-Reserved", "Tous droits réservés"),
-    ("cc-by-4.0-name", "CC-BY-4.0", "CC BY 4.0"),
-    ("cc0-1.0-name", "CC0-1.0", "CC0 1.0 Universal"),
-    ("gpl-2.0-name", "GPL-2.0", "GNU GPL version 2"),
-    ("gpl-3.0-name", "GPL-3.0", "GNU GPL version 3"),
-    ("mit-spdx", "MIT", "SPDX-License-Identifier: MIT"),
-]
+from weftline.llm.common import named, paired, shifted
+from weftline.llm.license_texts import NOTICES, TEMPLATES
+
+BANDS, SHINGLE = 40, 5
+#: Templates, and shingles of theirs, that one pass over the texts seeks; they are broadcast (about 16 MB at most).
+BATCH, BATCH_SHINGLES = 1000, 1 << 20
+
+Template = tuple[str, str, str]
+
+
+def window_class(shingles: int) -> int:
+    """The least class that is not under a length."""
+    size = 1
+    while size < shingles:
+        size = max(size + 1, size * 5 // 4)
+    return size
 
 
 def _words(text: Column) -> Column:
@@ -70,53 +66,56 @@ def _with_shingles(df: DataFrame, text: str, out: str, short: set[int] = frozens
     return df.drop(*(f"{out}_{n}" for n in range(1, SHINGLE) if n not in short))
 
 
-def _band(window: Column, b: Column) -> Column:
-    return F.array_min(F.transform(window, lambda h: F.xxhash64(h, b)))
+def _table(spark: SparkSession, rows: list[tuple], names: list[str]) -> DataFrame:
+    """A small table of literals."""
+    made = F.array(*(F.struct(*(v.alias(n) if isinstance(v, Column) else F.lit(v).alias(n) for v, n in zip(r, names, strict=True))) for r in rows))
+    return spark.range(1).select(F.inline(made))
 
 
-def _bands(window: Column) -> Column:
-    return F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda b: F.struct(b.alias("band"), _band(window, b).alias("least")))
+def _longs(values: list[int]) -> Column:
+    return F.expr("array(" + ",".join(f"{v}L" if v > -(1 << 63) else f"({v + 1}L - 1L)" for v in values) + ")")
 
 
-def _windows(hits: Column, shingles: Column, m: int) -> Column:
-    """The windows of 2m shingles that hold one of the hits, as structs of m, start and hashes."""
-    near = F.transform(hits, lambda p: F.array(p - p % m, F.greatest(p - p % m - m, F.lit(0))))
-    inside = lambda start: F.transform(F.sequence(start, F.least(start + 2 * m, F.size(shingles)) - 1), lambda i: F.get(shingles, i))
-    return F.transform(F.array_distinct(F.flatten(near)), lambda start: F.struct(F.lit(m).alias("m"), start.alias("start"), inside(start).alias("w")))
+def _least(shingles: Column, b: Column) -> Column:
+    """The shingle that is the minimum in a band."""
+    return F.array_min(F.transform(shingles, lambda h: F.struct(F.xxhash64(h, b).alias("x"), h.alias("h"))))["h"]
 
 
-def _whole_windows(hits: Column, grams: Column) -> Column:
-    """The windows of a short notice's length at the hits, as structs like those of _windows."""
-    return F.transform(hits, lambda p: F.struct(F.lit(1).alias("m"), p.alias("start"), F.array(F.get(grams, p)).alias("w")))
+def _keys(shingles: Column, size: Column) -> Column:
+    """One key for each band of a set: the band, the class, and the minimal shingle of the band."""
+    return F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda b: F.xxhash64(b, size, _least(shingles, b)))
 
 
 def _hits(grams: str, known: list[int]) -> Column:
-    """Where grams holds one of the known hashes; null if nowhere."""
-    every = F.array(*(F.lit(h).cast("long") for h in sorted(set(known))))
-    hits = F.filter(F.transform(grams, lambda h, i: F.when(F.array_contains(every, h), i)), lambda i: i.isNotNull())
-    # The disjointness test is a condition, not a filter, which would be pushed down with the shingles' expressions copied into it.
-    return F.when(F.arrays_overlap(grams, every), hits)
-
-
-def template_table(spark: SparkSession, templates: list[tuple[str, str, str]]) -> list[tuple[str, str, list[int]]]:
-    """(id, license, distinct shingle hashes) of each template."""
-    if len(templates) > MOST_TEMPLATES:
-        raise ValueError(f"more than {MOST_TEMPLATES} templates")
-    rows = _with_shingles(spark.createDataFrame(templates, "template string, license string, text string"), "text", "s")
-    found = [(r[0], r[1], r[2]) for r in rows.select("template", "license", F.array_distinct("s")).collect()]
-    if short := [t for t, _, s in found if not s]:
+    """Where grams holds one of the known hashes, from a hash set of literals; null if nowhere."""
+    inside = "h in (" + ",".join(f"{h}L" for h in sorted(set(known))) + ")"
+    return F.expr(f"case when exists({grams}, h -> {inside}) then filter(transform({grams}, (h, i) -> case when {inside} then i end), i -> i is not null) end")
+
+
+def _windows(hits: Column, shingles: Column, size: int) -> Column:
+    """The windows of 2 * size shingles that hold one of the hits, as structs of size, start and hashes."""
+    near = F.transform(hits, lambda p: F.array(p - p % size, F.greatest(p - p % size - size, F.lit(0))))
+    inside = lambda start: F.slice(shingles, start + 1, F.lit(2 * size))
+    return F.transform(F.array_distinct(F.flatten(near)), lambda start: F.struct(F.lit(size).alias("size"), start.alias("start"), inside(start).alias("w")))
+
+
+def template_table(spark: SparkSession, templates: list[Template]) -> list[dict]:
+    """For each template: template, license, s (distinct shingles), size (class), least (its bands' minimal shingles) and keys (its bands)."""
+    rows = _with_shingles(_table(spark, templates, ["template", "license", "text"]), "text", "s")
+    sized = [(r["template"], r["license"], window_class(r["n"]), r["s"]) for r in rows.select("template", "license", F.size("s").alias("n"), F.array_distinct("s").alias("s")).collect()]
+    if short := [t for t, _, _, s in sized if not s]:
         raise ValueError(f"templates of fewer than {SHINGLE} words, which are notices: {short}")
-    return found
+    made = _table(spark, [(t, lic, F.lit(size), _longs(s)) for t, lic, size, s in sized], ["template", "license", "size", "s"])
+    least = F.array_distinct(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda b: _least(F.col("s"), b)))
+    return [r.asDict() for r in made.select("*", least.alias("least"), _keys(F.col("s"), F.col("size")).alias("keys")).collect()]
 
 
-def notice_table(spark: SparkSession, notices: list[tuple[str, str, str]]) -> list[tuple[str, str, int, int]]:
+def notice_table(spark: SparkSession, notices: list[Template]) -> list[tuple[str, str, int, int]]:
     """(id, license, words, hash of all words) of each notice."""
-    if len(notices) > MOST_TEMPLATES:
-        raise ValueError(f"more than {MOST_TEMPLATES} notices")
     if not notices:
         return []
     lengths = range(1, SHINGLE)
-    rows = spark.createDataFrame(notices, "template string, license string, text string").withColumn("n", F.size(_words(F.col("text"))))
+    rows = _table(spark, notices, ["template", "license", "text"]).withColumn("n", F.size(_words(F.col("text"))))
     rows = _with_shingles(rows, "text", "s", set(lengths))
     whole = F.coalesce(*(F.when(F.col("n") == n, F.get(f"s_{n}", F.lit(0))) for n in lengths))
     found = [tuple(r) for r in rows.select("template", "license", "n", whole).collect()]
@@ -125,31 +124,81 @@ def notice_table(spark: SparkSession, notices: list[tuple[str, str, str]]) -> li
     return found
 
 
-def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: list[tuple[str, str, str]] | None = None, percent: int = 80, notices: list[tuple[str, str, str]] | None = None) -> DataFrame:
+def _batches(known: list[dict]) -> Iterator[list[dict]]:
+    batch, held = [], 0
+    for t in known:
+        if batch and (len(batch) >= BATCH or held + len(t["s"]) > BATCH_SHINGLES):
+            yield batch
+            batch, held = [], 0
+        batch.append(t)
+        held += len(t["s"])
+    if batch:
+        yield batch
+
+
+def _found_templates(rows: DataFrame, known: list[dict], percent: int) -> DataFrame:
+    """(doc_id, template, license, start, shared, m) for each window of rows (doc_id, s) with percent of a template."""
+    spark = rows.sparkSession
+    sizes = sorted({t["size"] for t in known})
+    rows = rows.select("doc_id", "s", _hits("s", [h for t in known for h in t["least"]]).alias("hits"))
+
+    def of(size: int) -> Column:
+        own = ",".join(f"{h}L" for h in sorted({h for t in known if t["size"] == size for h in t["least"]}))
+        return _windows(F.expr(f"filter(hits, p -> s[p] in ({own}))"), F.col("s"), size)
+
+    windows = rows.select("doc_id", F.explode(F.when(F.col("hits").isNotNull(), F.flatten(F.array(*map(of, sizes))))).alias("x")).select("doc_id", "x.*")
+    every = ",".join(f"{k}L" for k in sorted({k for t in known for k in t["keys"]}))
+    windows = windows.select("*", _keys(F.col("w"), F.col("size")).alias("k")).select("doc_id", "start", "w", F.expr(f"filter(k, x -> x in ({every}))").alias("collided"))
+    banded = windows.select("doc_id", "start", "w", "collided", F.explode("collided").alias("key"))
+    table = _table(spark, [(t["template"], t["license"], _longs(t["s"]), _longs(t["keys"])) for t in known], ["template", "license", "shingles", "keys"])
+    bands = table.select("template", F.explode(F.array_distinct("keys")).alias("t_key"))
+    found = banded.join(F.broadcast(bands), F.col("key") == F.col("t_key")).join(F.broadcast(table.withColumnRenamed("template", "t")), F.col("template") == F.col("t"))
+    found = found.where(F.get(F.array_intersect("collided", "keys"), F.lit(0)) == F.col("key"))  # one of the bands that collide is enough
+    found = found.select("doc_id", "template", "license", "start", F.size(F.array_intersect("w", "shingles")).alias("shared"), F.size("shingles").alias("m"))
+    return found.where(100 * F.col("shared") >= percent * F.col("m"))
+
+
+def _found_notices(rows: DataFrame, brief: list[tuple[str, str, int, int]]) -> DataFrame:
+    """(doc_id, template, license, start, shared, m) for each occurrence of a notice in rows (doc_id, s_n)."""
+
+    def of(n: int) -> Column:
+        hits = _hits(f"s_{n}", [h for _, _, k, h in brief if k == n])
+        return F.transform(hits, lambda p: F.struct(F.lit(n).alias("n"), p.alias("start"), F.get(f"s_{n}", p).alias("h")))
+
+    at = [of(n) for n in sorted({n for _, _, n, _ in brief})]
+    found = rows.select("doc_id", F.explode(F.flatten(F.array_compact(F.array(*at)))).alias("x")).select("doc_id", "x.*")
+    table = _table(rows.sparkSession, [(t, lic, F.lit(n), F.expr(f"{h}L")) for t, lic, n, h in brief], ["template", "license", "t_n", "t_h"])
+    one = F.lit(1)
+    return found.join(F.broadcast(table), (F.col("n") == F.col("t_n")) & (F.col("h") == F.col("t_h"))).select("doc_id", "template", "license", "start", one.alias("shared"), one.alias("m"))
+
+
+def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: list[Template] | None = None, percent: int = 80, notices: list[Template] | None = None) -> DataFrame:
     """(doc_id, template, license, containment, first_word, windows): a row per document and template or notice found in it.
 
     templates have five words or more, notices fewer; templates of one's own
     come without NOTICES. containment: the largest share of the template's
     shingles in one window, 1 for a notice; first_word: where the first
     verified window begins, in words; windows of a notice are its occurrences.
-    Null and empty texts match nothing; repeated rows of an id count as one
-    document; other columns of docs are not read.
+    Null and empty texts match nothing; long ones are scanned whole; repeated
+    rows of an id count as one document, as do rows without an id; templates
+    that tie are all reported; an empty table gives an empty result. Other
+    columns of docs are not read.
     """
     spark = docs.sparkSession
     known = template_table(spark, templates or TEMPLATES)
     brief = notice_table(spark, notices if notices is not None else [] if templates else NOTICES)
-    lengths = sorted({n for _, _, n, _ in brief})
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).where("text is not null")
-    hits = [_hits("s", [h for _, _, s in known for h in s]).alias("hits"), *(_hits(f"s_{n}", [h for _, _, k, h in brief if k == n]).alias(f"hits_{n}") for n in lengths)]
-    rows = _with_shingles(rows, "text", "s", set(lengths)).select("*", *hits)
-    found_in = [_windows(F.col("hits"), F.col("s"), m) for m in sorted({len(s) for _, _, s in known})] + [_whole_windows(F.col(f"hits_{n}"), F.col(f"s_{n}")) for n in lengths]
-    windows = rows.select("doc_id", F.explode(F.flatten(F.array_compact(F.array(*found_in)))).alias("x")).select("doc_id", "x.*")
-    known += [(t, lic, [h]) for t, lic, _, h in brief]
-    banded = windows.select("doc_id", "m", "start", "w", F.explode(_bands(F.col("w"))).alias("b")).select("doc_id", "m", "start", "w", "b.*")
-    table = spark.createDataFrame([(t, lic, s, len(s)) for t, lic, s in known], "template string, license string, shingles array<bigint>, t_m int")
-    table = table.select("*", F.explode(_bands(F.col("shingles"))).alias("t")).select("template", "license", "shingles", "t_m", F.col("t.band").alias("t_band"), F.col("t.least").alias("t_least"))
-    found = banded.join(F.broadcast(table), (F.col("m") == F.col("t_m")) & (F.col("band") == F.col("t_band")) & (F.col("least") == F.col("t_least")))
-    shared = F.size(F.array_intersect("w", "shingles"))
-    found = found.select("doc_id", "template", "license", "start", F.col("m").alias("size"), shared.alias("shared")).where(100 * F.col("shared") >= percent * F.col("size"))
-    out = found.groupBy("doc_id", "template", "license").agg((F.max("shared") / F.max("size")).alias("containment"), F.min("start").cast("long").alias("first_word"), F.count_distinct("start").alias("windows"))
+    rows = docs.select(named(id_col).alias("doc_id"), named(text_col).alias("text")).where("text is not null")
+    found = None
+    for batch in _batches(known):
+        part = _found_templates(_with_shingles(rows, "text", "s"), batch, percent)
+        found = part if found is None else found.unionByName(part)
+    if brief:
+        found = found.unionByName(_found_notices(_with_shingles(rows, "text", "s", {n for _, _, n, _ in brief}), brief))
+    out = found.groupBy("doc_id", "template", "license").agg((F.max("shared") / F.max("m")).alias("containment"), F.min("start").cast("long").alias("first_word"), F.count_distinct("start").alias("windows"))
     return out.select("doc_id", "template", "license", F.round("containment", 6).alias("containment"), "first_word", "windows")
+
+
+def read_templates(spark: SparkSession, path: str) -> list[Template]:
+    """The text files of a folder as templates, named after their files: whole license texts of one's own, of five words or more each."""
+    rows = spark.read.option("wholetext", "true").text(path).select(F.col("_metadata.file_name").alias("name"), "value")
+    return [(r["name"], r["name"].removesuffix(".txt"), r["value"]) for r in rows.collect()]
