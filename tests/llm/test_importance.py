@@ -1,6 +1,10 @@
+import math
 import random
+import re
 
 import numpy as np
+import pytest
+import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -17,9 +21,22 @@ def rows():
     return [(i, good() if i % 4 else bad(), "x") for i in range(200)]
 
 
+def plain_grams(text, buckets):
+    """Buckets of 1- and 2-grams, in whole numbers."""
+    h = [xxhash.xxh64_intdigest(t) for t in re.findall(r"\w+|[^\w\s]+", (text or "").lower())]
+    top = 1 << 64
+    two = [((a ^ a >> 31) * 0x9E3779B97F4A7C15 + b) % top for a, b in zip(h, h[1:])]
+    return np.array([x % buckets for x in h] + [(x ^ x >> 29) % buckets for x in two], int)
+
+
+def id_hash(doc_id, seed=17):
+    """Spark's 64-bit hash of an int and a long, each seeding the next, from 42 on."""
+    h = xxhash.xxh64_intdigest(seed.to_bytes(4, "little", signed=True), seed=42)
+    return xxhash.xxh64_intdigest(doc_id.to_bytes(8, "little", signed=True), seed=h)
+
+
 def plain(data, target, buckets):
-    hashed = im._Buckets(buckets)
-    grams = [hashed.grams(t) for _, t, _ in data]
+    grams = [plain_grams(t, buckets) for _, t, _ in data]
     raw = sum(np.bincount(g, minlength=buckets) for g in grams) + 1.0
     aim = sum(np.bincount(g, minlength=buckets) for (i, *_), g in zip(data, grams) if i in target).astype(float)
     aim += aim.sum() / (raw.sum() - buckets)
@@ -33,6 +50,8 @@ def test_weights_equal_loops_and_top_k_is_exact(spark):
     docs = spark.createDataFrame(data, SCHEMA)
     got = im.resample(docs, spark.createDataFrame([(i,) for i in target], "id long"), share=0.6, buckets=500).orderBy("doc_id").collect()
     assert np.allclose([r.log_weight for r in got], plain(data, target, 500))
+    noise = {i: -math.log(-math.log(((id_hash(i) >> 11) + 0.5) / (1 << 53))) for i, *_ in data[:20]}
+    assert all(r.sample_key == pytest.approx(r.log_weight + noise[r.doc_id]) for r in got if r.doc_id in noise)
     keys = sorted((r.sample_key for r in got), reverse=True)
     assert {r.doc_id for r in got if r.kept} == {r.doc_id for r in got if r.sample_key >= keys[119]} and sum(r.kept for r in got) == 120
     good = [r.kept for r in got if r.doc_id % 4]
@@ -52,6 +71,12 @@ def test_kth_largest(spark, values, data):
     assert im.kth_largest(df, "x", k, len(values), few=4, bins=3) == sorted(values, reverse=True)[k - 1]
 
 
+def test_odd_names_and_broken_text(spark):
+    docs = spark.sql("select 1L as `i.d`, cast(unhex('61ff62') as string) as `te``xt`, 2 as doc_id, 3 as grams")
+    got = im.resample(docs, spark.createDataFrame([(1,)], "`t.i` long"), 1.0, "i.d", "te`xt").collect()
+    assert [(r.doc_id, r.n_grams, r.kept) for r in got] == [(1, 5, True)]
+
+
 def test_edges(spark):
     none = spark.createDataFrame([], "id long")
     assert im.resample(spark.createDataFrame([], SCHEMA), none).collect() == []

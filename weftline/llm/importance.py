@@ -1,8 +1,9 @@
 """Importance resampling of documents towards a target.
 
-Two hashed n-gram models, of the target documents and of all documents, are
-counted over whole texts; a document's log importance weight is the log ratio
-of its n-grams' probabilities. Gumbel noise drawn from a hash of the id is
+Texts are tokenised once; the hashed n-grams of each, packed, form a table in
+the shared folder. Two models are counted over it, of the target documents and
+of all documents; a document's log importance weight is the log ratio of its
+n-grams' probabilities. Gumbel noise drawn from a hash of the id is
 added, and the top k are the sample: sampling without replacement in
 proportion to the weights, the same at every run.
 """
@@ -15,15 +16,20 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.common import cut
+from weftline.llm.common import cut, named
 
 #: Runs of word characters or of other signs.
 TOKEN = re.compile(r"\w+|[^\w\s]+")
-#: Token hashes that a worker keeps at once.
-CACHE = 300_000
+#: Bytes of tokens, and of what goes with each, whose hashes a worker keeps at once.
+CACHE = 16 << 20
+#: Ids of a target that are broadcast; more are joined as Spark sees fit.
+BROADCAST = 1 << 18
+#: Texts that an answer batch holds.
+ROWS = 1000
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -32,12 +38,14 @@ class _Buckets(dict):
 
     def __init__(self, buckets: int):
         super().__init__()
-        self.buckets = np.uint64(buckets)
+        self.buckets, self.used = np.uint64(buckets), 0
 
     def __missing__(self, token: str) -> int:
-        if len(self) >= CACHE:
+        if self.used > CACHE:
             self.clear()
+            self.used = 0
         self[token] = h = xxhash.xxh64_intdigest(token.encode("utf-8", "surrogatepass"))
+        self.used += len(token) + 180
         return h
 
     def grams(self, text: str | None) -> np.ndarray:
@@ -47,13 +55,35 @@ class _Buckets(dict):
         return (np.concatenate([h, two ^ (two >> np.uint64(29))]) % self.buckets).astype(np.int64)
 
 
-def _counts(buckets: int):
+def hashed(docs: DataFrame, id_col: str, text_col: str, buckets: int) -> DataFrame:
+    """(doc_id, n_grams, grams): the buckets of each text's n-grams, compressed, as a table written once."""
+    kind = np.dtype("<u2" if buckets <= 1 << 16 else "<u4")
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashed, raw, target = _Buckets(buckets), np.zeros(buckets, np.int64), np.zeros(buckets, np.int64)
+        known, pack = _Buckets(buckets), zstandard.ZstdCompressor(level=1)
         for b in batches:
             texts = b.column("text")
-            for i, chosen in enumerate(b.column("target").to_pylist()):
-                n = np.bincount(hashed.grams(texts[i].as_py()), minlength=buckets)
+            for lo in range(0, b.num_rows, ROWS):
+                grams = [known.grams(texts[i].as_py()) for i in range(lo, min(lo + ROWS, b.num_rows))]
+                packed = [pack.compress(g.astype(kind).tobytes()) if len(g) else None for g in grams]
+                yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(lo, ROWS), pa.array([len(g) for g in grams], pa.int64()), pa.array(packed, pa.binary())], ["doc_id", "n_grams", "grams"])
+
+    rows = docs.select(named(id_col).cast("long").alias("doc_id"), F.make_valid_utf8(named(text_col)).alias("text"))
+    return cut(rows.mapInArrow(run, "doc_id long, n_grams long, grams binary"))
+
+
+def _unpacked(packed: list[bytes | None], buckets: int) -> Iterator[np.ndarray]:
+    unpack, kind = zstandard.ZstdDecompressor(), np.dtype("<u2" if buckets <= 1 << 16 else "<u4")
+    for x in packed:
+        yield np.frombuffer(unpack.decompress(x), kind) if x is not None else np.empty(0, kind)
+
+
+def _counts(buckets: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        raw, target = np.zeros(buckets, np.int64), np.zeros(buckets, np.int64)
+        for b in batches:
+            for g, chosen in zip(_unpacked((x.as_py() for x in b.column("grams")), buckets), b.column("target").to_pylist(), strict=True):
+                n = np.bincount(g, minlength=buckets)
                 raw += n
                 if chosen:
                     target += n
@@ -64,15 +94,17 @@ def _counts(buckets: int):
     return run
 
 
-def log_ratio(docs: DataFrame, target_ids: DataFrame, id_col: str, text_col: str, buckets: int, smooth: float = 1.0) -> np.ndarray:
+def log_ratio(grams: DataFrame, target_ids: DataFrame, buckets: int, smooth: float = 1.0) -> np.ndarray:
     """Per bucket, the log of the target model's probability over that of all documents.
 
-    target_ids (one column, distinct, bounded by the caller) is broadcast. A
-    task returns at most one row per bucket and the driver gets one per bucket.
+    target_ids: one column. A task returns at most one row per bucket and the
+    driver gets one per bucket.
     """
-    ids = target_ids.select(F.col(target_ids.columns[0]).alias("__id"), F.lit(True).alias("target"))
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(ids), F.col("id") == F.col("__id"), "left")
-    counts = rows.select("text", F.coalesce("target", F.lit(False)).alias("target")).mapInArrow(_counts(buckets), "bucket long, raw long, target long")
+    ids = target_ids.select(named(target_ids.columns[0]).alias("__id"), F.lit(True).alias("target")).where("__id is not null").distinct()
+    if ids.count() <= BROADCAST:
+        ids = F.broadcast(ids)
+    rows = grams.join(ids, F.col("doc_id") == F.col("__id"), "left")
+    counts = rows.select("grams", F.coalesce("target", F.lit(False)).alias("target")).mapInArrow(_counts(buckets), "bucket long, raw long, target long")
     raw, target = np.zeros(buckets), np.zeros(buckets)
     for r in counts.groupBy("bucket").agg(F.sum("raw"), F.sum("target")).collect():
         raw[r[0]], target[r[0]] = r[1], r[2]
@@ -84,12 +116,9 @@ def log_ratio(docs: DataFrame, target_ids: DataFrame, id_col: str, text_col: str
 
 def _weights(ratio: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashed = _Buckets(len(ratio))
         for b in batches:
-            texts = b.column("text")
-            grams = (hashed.grams(texts[i].as_py()) for i in range(b.num_rows))
-            found = [(float(ratio[g].sum()), len(g)) for g in grams]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([w for w, _ in found], pa.float64()), pa.array([n for _, n in found], pa.int64())], ["doc_id", "log_weight", "n_grams"])
+            found = [float(ratio[g].sum()) for g in _unpacked((x.as_py() for x in b.column("grams")), len(ratio))]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("n_grams"), pa.array(found, pa.float64())], ["doc_id", "n_grams", "log_weight"])
 
     return run
 
@@ -122,12 +151,14 @@ def resample(docs: DataFrame, target_ids: DataFrame, share: float = 0.8, id_col:
 
     kept: the row is among the round(share * rows) with the largest keys;
     rows that tie with the last of them are kept too, so repeated rows fare
-    alike. A null or empty text has weight 1 (log 0). Without a target all
-    weights are 1. Other columns of docs are not read.
+    alike, as do rows without an id of equal weight. A null or empty text has
+    weight 1 (log 0); a long one is counted whole; invalid UTF-8 counts as
+    replacement characters. Without a target all weights are 1. An empty table
+    gives an empty one. Other columns of docs are not read.
     """
-    ratio = log_ratio(docs, target_ids, id_col, text_col, buckets)
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    scored = cut(rows.mapInArrow(_weights(ratio), "doc_id long, log_weight double, n_grams long").withColumn("sample_key", F.col("log_weight") + gumbel(F.col("doc_id"), seed)))
+    grams = hashed(docs, id_col, text_col, buckets)
+    ratio = log_ratio(grams, target_ids, buckets)
+    scored = cut(grams.mapInArrow(_weights(ratio), "doc_id long, n_grams long, log_weight double").withColumn("sample_key", F.col("log_weight") + gumbel(F.col("doc_id"), seed)))
     n = scored.count()
     k = round(share * n)
     kept = F.col("sample_key") >= kth_largest(scored, "sample_key", k, n) if k else F.lit(False)
@@ -136,5 +167,5 @@ def resample(docs: DataFrame, target_ids: DataFrame, share: float = 0.8, id_col:
 
 def labelled(labels: DataFrame, condition: Column, id_col: str = "doc_id", most: int = 4096) -> DataFrame:
     """At most most distinct ids of labels where condition holds, chosen by a hash."""
-    ids = labels.where(condition & F.col(id_col).isNotNull()).select(F.col(id_col).alias("id")).distinct()
+    ids = labels.where(condition & named(id_col).isNotNull()).select(named(id_col).alias("id")).distinct()
     return ids.orderBy(F.xxhash64(F.lit("target"), "id"), "id").limit(most)
