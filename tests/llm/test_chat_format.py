@@ -33,8 +33,10 @@ def test_typed_parts():
     back = cf.parse(formatted)
     assert back[0][1] == [{"type": "text", "text": "see <image 0>: "}, {"type": "image", "ref": 0}, {"type": "audio", "ref": 1}, {"type": "document", "ref": 2}, {"type": "text", "text": "end"}]
     assert [formatted[lo:hi] for lo, hi in spans] == ["<image 3>ok"]
-    with pytest.raises(ValueError):
-        cf.render([("user", [{"type": "video"}])])
+    odd = [{"type": "video", "uri": "v"}, {"type": "audio", "seconds": float("nan")}, {"type": "audio", "seconds": float("inf")}, {"type": "image", "width": -3, "height": 0}, {"type": "document", "pages": -1}, None, {"type": "__class__"}]
+    formatted, _, attached = cf.render([("user", odd)])
+    assert [(a["type"], a["tokens"]) for a in attached] == [("video", 1), ("audio", 1), ("audio", cf.MOST), ("image", 1), ("document", cf.PAGE), ("__class__", 1)]
+    assert [p["type"] for p in cf.parse(formatted)[0][1]] == ["other", "audio", "audio", "image", "document", "other"]
     with pytest.raises(ValueError):
         cf.parse("no turn")
 
@@ -57,6 +59,12 @@ def test_conversations(spark):
     assert cf.digests(cf.format_chats(spark.createDataFrame([], SCHEMA))).collect() == []
 
 
+def test_odd_names_and_broken_text(spark):
+    frame = spark.sql("select 1L as `c.d`, 0L as t, 'user' as `r``s`, cast(unhex('61ff62') as string) as `x.y`, 3 as conv_id")
+    r = cf.digests(cf.format_chats(frame, "c.d", "t", "r`s", "x.y")).first()
+    assert r.turns_sha256 == hashlib.sha256("user\na\ufffdb\n".encode()).hexdigest()
+
+
 def test_parts_column(spark):
     rows = [(1, 0, "user", [("text", "a<", None, None, None, None, None), ("image", None, "u", 28, 56, None, None)]), (1, 1, "assistant", None)]
     frame = spark.createDataFrame(rows, f"conv_id long, turn long, role string, parts array<{cf.PART}>")

@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from weftline.llm.common import named
+
 PART = "struct<type:string,text:string,uri:string,width:int,height:int,seconds:double,pages:int>"
 #: Side in pixels of an image patch that takes one token, tokens of a second of audio, tokens of a document's page.
 PATCH, AUDIO_RATE, PAGE = 28, 25, 512
@@ -29,7 +31,7 @@ PATCH, AUDIO_RATE, PAGE = 28, 25, 512
 _ESCAPES = {"\\": "\\\\", "<": "\\l", ">": "\\g"}
 _BACK = {v: k for k, v in _ESCAPES.items()}
 _TURN = re.compile(r"<turn ([^<>]*)>\n(.*?)</turn>\n", re.DOTALL)
-_PLACE = re.compile(r"<(image|audio|document) (\d+)>")
+_PLACE = re.compile(r"<(image|audio|document|other) (\d+)>")
 
 
 def escape(text: str) -> str:
@@ -40,6 +42,11 @@ def unescape(text: str) -> str:
     return re.sub(r"\\[\\lg]", lambda m: _BACK[m[0]], text) if "\\" in text else text
 
 
+#: Part types with a visitor of their own; any other is an attachment of kind "other" and one token. The most tokens that one part counts for.
+KINDS = ("text", "image", "audio", "document")
+MOST = 1 << 40
+
+
 class Flattener:
     """Visits parts; gathers text, attachments and expanded tokens."""
 
@@ -49,26 +56,33 @@ class Flattener:
 
     def visit(self, part: dict) -> None:
         kind = part.get("type") or "text"
-        method = getattr(self, f"visit_{kind}", None)
-        if method is None:
-            raise ValueError(f"unknown part type: {kind}")
-        method(part)
+        getattr(self, f"visit_{kind}" if kind in KINDS else "visit_other")(part)
 
     def visit_text(self, part: dict) -> None:
         self.out.append(escape(part.get("text") or ""))
 
     def visit_image(self, part: dict) -> None:
-        self._attach("image", part, math.ceil((part.get("width") or PATCH) / PATCH) * math.ceil((part.get("height") or PATCH) / PATCH))
+        self._attach("image", part, _units(part.get("width"), PATCH) * _units(part.get("height"), PATCH))
 
     def visit_audio(self, part: dict) -> None:
-        self._attach("audio", part, max(1, math.ceil((part.get("seconds") or 0) * AUDIO_RATE)))
+        self._attach("audio", part, _units(part.get("seconds"), 1 / AUDIO_RATE))
 
     def visit_document(self, part: dict) -> None:
-        self._attach("document", part, (part.get("pages") or 1) * PAGE)
+        self._attach("document", part, _units(part.get("pages"), 1) * PAGE)
+
+    def visit_other(self, part: dict) -> None:
+        self._attach("other", part, 1)
 
     def _attach(self, kind: str, part: dict, tokens: int) -> None:
         self.out.append(f"<{kind} {len(self.attachments)}>")
-        self.attachments.append({"type": kind, "uri": part.get("uri"), "tokens": tokens})
+        self.attachments.append({"type": part.get("type"), "uri": part.get("uri"), "tokens": min(tokens, MOST)})
+
+
+def _units(size: float | None, unit: float) -> int:
+    """Whole units that a size takes: 1 at least, and for a size that is missing, negative or no number."""
+    if not size or not size > 0:
+        return 1
+    return max(1, math.ceil(min(size / unit, MOST)))
 
 
 def render(turns: list[tuple[str | None, list[dict]]]) -> tuple[str, list[tuple[int, int]], list[dict]]:
@@ -77,7 +91,7 @@ def render(turns: list[tuple[str | None, list[dict]]]) -> tuple[str, list[tuple[
     for role, parts in turns:
         visitor.out = []
         for part in parts:
-            visitor.visit(part)
+            visitor.visit(part or {})
         head, body = f"<turn {escape(role or '')}>\n", "".join(visitor.out)
         if role == "assistant":
             spans.append((at + len(head), at + len(head) + len(body)))
@@ -114,11 +128,17 @@ def format_chats(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "t
     Rows are taken by turn (then role and text, so ties have one order; nulls
     first). parts_col: an array of PART instead of a text. A null text is an
     empty one, a null role an empty role, a null conversation id one
-    conversation; repeated rows are turns of their own. Other columns are not
-    read. A conversation is gathered into one row, as its formatted text is.
+    conversation; repeated rows are turns of their own; a null part is an
+    empty text; a part of unknown type is an attachment that keeps its type;
+    sizes that are missing, negative or no number count as one unit. Texts are
+    taken whole; invalid UTF-8 becomes replacement characters. An empty table
+    gives an empty one. Other columns are not read. A conversation is gathered
+    into one row, as its formatted text is.
     """
-    parts = F.col(parts_col) if parts_col else F.array(F.struct(F.lit("text").alias("type"), F.col(text_col).alias("text"), *(F.lit(None).cast(t).alias(n) for n, t in (("uri", "string"), ("width", "int"), ("height", "int"), ("seconds", "double"), ("pages", "int")))))
-    rows = turns.select(F.col(conv_col).cast("long").alias("conv_id"), F.struct(F.col(turn_col).cast("long").alias("turn"), F.col(role_col).alias("role"), parts.cast(f"array<{PART}>").alias("parts")).alias("t"))
+    parts = named(parts_col) if parts_col else F.array(F.struct(F.lit("text").alias("type"), named(text_col).alias("text"), *(F.lit(None).cast(t).alias(n) for n, t in (("uri", "string"), ("width", "int"), ("height", "int"), ("seconds", "double"), ("pages", "int")))))
+    valid = lambda p: F.when(p.isNotNull(), F.struct(*(F.make_valid_utf8(p[f]).alias(f) for f in ("type", "text", "uri")), *(p[f].alias(f) for f in ("width", "height", "seconds", "pages"))))
+    parts = F.transform(parts.cast(f"array<{PART}>"), valid)
+    rows = turns.select(named(conv_col).cast("long").alias("conv_id"), F.struct(named(turn_col).cast("long").alias("turn"), F.make_valid_utf8(named(role_col)).alias("role"), parts.alias("parts")).alias("t"))
     convs = rows.groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("turns"))
     span = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
     attachment = pa.list_(pa.struct([("type", pa.string()), ("uri", pa.string()), ("tokens", pa.int64())]))
