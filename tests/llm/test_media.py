@@ -49,6 +49,20 @@ def test_resize_equals_area_means(h, w, rows, cols):
     assert np.allclose(m.resize(a, rows, cols), want)
 
 
+def plain_hash(a):
+    """The difference hash with means of areas taken pixel by pixel, in parts of pixels where areas cut them."""
+    h, w, _ = a.shape
+    fine = np.repeat(np.repeat(a.astype(float), 8, axis=0), 9, axis=1)
+    grey = fine.reshape(8, h, 9, w, 3).mean(axis=(1, 3)).mean(axis=2).round(6)
+    return np.packbits(grey[:, :-1] < grey[:, 1:]).tobytes().hex()
+
+
+def test_difference_hash_equals_plain_means():
+    for h, w in ((1, 1), (3, 64), (17, 5), (40, 64)):
+        a = RNG.integers(0, 256, (h, w, 3), dtype=np.uint8)
+        assert m.difference_hash(a) == plain_hash(a)
+
+
 def test_integral_rows_by_strips():
     a = RNG.integers(0, 256, (50, 7, 3), dtype=np.uint8)
     at = np.array([0, 3, 3, 49, 50])
@@ -80,5 +94,11 @@ def test_texts_as_media(spark):
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(padded), hashlib.sha256(padded).hexdigest(), zlib.crc32(padded[-16:]))
         stored = m.encode_payload(padded)
         assert (r.media_bytes, r.media_sha256) == (len(stored), hashlib.sha256(stored).hexdigest())
+        image = np.frombuffer(padded, np.uint8).reshape(-1, 64, 3)
+        assert r.feature == plain_hash(image) if len(image) < 100 else r.feature
+        kept = [np.load(io.BytesIO(bytes(x))) for x in r.tiles]
+        assert r.n_tiles == len(kept) == -(-len(image) // m.TILE) and (np.concatenate(kept) == image).all()
+        assert r.tiles_sha256 == hashlib.sha256(b"".join(map(bytes, r.tiles))).hexdigest() and r.tile_hashes == " ".join(map(m.difference_hash, kept))
+        assert r.preview_sha256 == hashlib.sha256(m.decode(bytes(r.preview)).tobytes()).hexdigest() and m.decode(bytes(r.preview)).shape == (8, 8, 3)
     assert got[2][1:] == got[8][1:]
     assert m.text_media(spark.createDataFrame([], "doc_id long, text string")).collect() == []

@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from weftline.llm.common import named
+
 #: Bytes of a payload row: 64 pixels of 3 samples.
 ROW = 192
 #: Bytes that an answer batch holds at most, beyond its last row.
@@ -151,7 +153,7 @@ def resize(a: np.ndarray, h: int, w: int) -> np.ndarray:
 
 def difference_hash(a: np.ndarray) -> str:
     """64 bits as hex: whether each of 8 x 9 areas is darker than its right neighbour."""
-    grey = resize(a, 8, 9).mean(axis=2)
+    grey = resize(a, 8, 9).mean(axis=2).round(6)  # areas of equal brightness are equal
     return np.packbits(grey[:, :-1] < grey[:, 1:]).tobytes().hex()
 
 
@@ -161,21 +163,32 @@ def npy(a: np.ndarray) -> bytes:
     return out.getvalue()
 
 
-def tiles(df: DataFrame, id_col: str, media_col: str, tile: int = 256) -> DataFrame:
-    """(id, tile_y, tile_x, height, width, npy, dhash): every image cut into NPY tiles of at most tile x tile pixels.
+#: Pixels on a tile's side.
+TILE = 256
+
+
+def cut_tiles(a: np.ndarray, tile: int = TILE) -> Iterator[tuple[int, int, np.ndarray]]:
+    """(row of tiles, column of tiles, samples) of an image's tiles."""
+    for y in range(0, a.shape[0], tile):
+        for x in range(0, a.shape[1], tile):
+            yield y // tile, x // tile, np.ascontiguousarray(a[y : y + tile, x : x + tile])
+
 
-    A null image gives no rows; one that can't be read gives one row with the
-    reason in error and nulls elsewhere. Repeated rows repeat.
+def tiles(df: DataFrame, id_col: str, media_col: str, tile: int = TILE) -> DataFrame:
+    """(id, tile_y, tile_x, height, width, npy, dhash, error): every image cut into NPY tiles of at most tile x tile pixels.
+
+    A null image gives no rows; one that can't be read, as an empty one, gives
+    one row with the reason in error and nulls elsewhere. Repeated rows
+    repeat; images of any size are cut, a batch of tiles at a time; an empty
+    table gives no rows; other columns are not read.
     """
     schema = "id long, tile_y long, tile_x long, height long, width long, npy binary, dhash string, error string"
 
     def rows(key: int, data: bytes) -> Iterator[tuple]:
         try:
             a = decode(data)
-            for y in range(0, a.shape[0], tile):
-                for x in range(0, a.shape[1], tile):
-                    t = np.ascontiguousarray(a[y : y + tile, x : x + tile])
-                    yield key, y // tile, x // tile, *t.shape[:2], npy(t), difference_hash(t), None
+            for y, x, t in cut_tiles(a, tile):
+                yield key, y, x, *t.shape[:2], npy(t), difference_hash(t), None
         except (ValueError, struct.error, IndexError) as e:
             yield key, None, None, None, None, None, None, str(e)
 
@@ -201,7 +214,7 @@ def tiles(df: DataFrame, id_col: str, media_col: str, tile: int = 256) -> DataFr
             if found:
                 yield batch(found)
 
-    return df.select(F.col(id_col).cast("long").alias("id"), F.col(media_col).alias("media")).mapInArrow(run, schema)
+    return df.select(named(id_col).cast("long").alias("id"), named(media_col).alias("media")).mapInArrow(run, schema)
 
 
 # --- texts as images -------------------------------------------------------
@@ -220,24 +233,50 @@ def encode_payload(data: bytes) -> bytes:
 def text_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: its text stored as an image, read back, and measured.
 
-    A null text counts as empty; empty texts give one row of spaces; equal
-    texts give equal values; other columns are not read.
+    feature is the difference hash of the whole image. The image's NPY tiles
+    are in tiles, in order, with their count, the digest of their bytes and
+    their difference hashes; preview is an 8 x 8 BMP made of the resized
+    image, and preview_sha256 the digest of its samples, read back. A null
+    text counts as empty; empty texts give one row of spaces; long ones as
+    many rows as they take; equal texts, and so repeated rows, give equal
+    values; bytes that are no UTF-8 are stored as they are; an empty table
+    gives an empty one; other columns are not read.
     """
-    names = {"doc_id": pa.int64(), "n_bytes": pa.int64(), "payload_bytes": pa.int64(), "payload_sha256": pa.string(), "tail_crc32": pa.int64(), "media_bytes": pa.int64(), "media_sha256": pa.string(), "feature": pa.string(), "thumbnail": pa.binary()}
+    names = {
+        "doc_id": pa.int64(), "n_bytes": pa.int64(), "payload_bytes": pa.int64(), "payload_sha256": pa.string(), "tail_crc32": pa.int64(), "media_bytes": pa.int64(), "media_sha256": pa.string(), "feature": pa.string(),
+        "n_tiles": pa.int64(), "tiles_sha256": pa.string(), "tile_hashes": pa.string(), "preview_sha256": pa.string(), "preview": pa.binary(), "tiles": pa.list_(pa.binary()),
+    }
 
     def measured(text: bytes) -> tuple:
         media = encode_payload(payload(text))
         image = decode(media)
         back = image.tobytes()
-        return len(text), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-16:]), len(media), hashlib.sha256(media).hexdigest(), difference_hash(image), npy(np.round(resize(image, 8, 8)).astype(np.uint8))
+        cut_up = [t for _, _, t in cut_tiles(image)]
+        stored = [npy(t) for t in cut_up]
+        whole = hashlib.sha256()
+        for t in stored:
+            whole.update(t)
+        preview = write_bmp(np.round(resize(image, 8, 8)).astype(np.uint8))
+        seen = hashlib.sha256(np.ascontiguousarray(decode(preview)).tobytes()).hexdigest()
+        values = len(text), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-16:]), len(media), hashlib.sha256(media).hexdigest(), difference_hash(image)
+        return *values, len(stored), whole.hexdigest(), " ".join(map(difference_hash, cut_up)), seen, preview, stored
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = list(names.values())[1:]
+
+        def batch(ids: pa.Array, found: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([ids, *(pa.array(c, k) for c, k in zip(zip(*found, strict=True), kinds, strict=True))], list(names))
+
         for b in batches:
-            column = b.column("text").cast(pa.binary())
-            found = [measured(column[i].as_py() or b"") for i in range(b.num_rows)]
+            column, found, size, lo = b.column("text").cast(pa.binary()), [], 0, 0
+            for i in range(b.num_rows):
+                found.append(measured(column[i].as_py() or b""))
+                size += found[-1][1]
+                if size >= BATCH:
+                    yield batch(b.column("doc_id").slice(lo, len(found)), found)
+                    found, size, lo = [], 0, i + 1
             if found:
-                columns = zip(zip(*found, strict=True), list(names.values())[1:], strict=True)
-                yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array(c, k) for c, k in columns)], list(names))
+                yield batch(b.column("doc_id").slice(lo), found)
 
-    schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, thumbnail binary"
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
+    schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, n_tiles long, tiles_sha256 string, tile_hashes string, preview_sha256 string, preview binary, tiles array<binary>"
+    return docs.select(named(id_col).cast("long").alias("doc_id"), named(text_col).alias("text")).mapInArrow(run, schema)
