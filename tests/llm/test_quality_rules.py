@@ -47,10 +47,60 @@ def test_bad_hosts_lose_their_documents(spark):
     assert got[3000].base_failed and not got[3000].host_rejected and got[3001].kept and got[3002].kept
 
 
+def plain_verdicts(data, max_rate=0.5, deviations=1.5):
+    """Who is kept, by loops: measures, rates per host, the method of moments, and verdicts."""
+    fails = {}
+    for i, t, h in data:
+        n, _, symbols, dup, repeat = plain(t)
+        lines = sum(1 for x in (t or "").split("\n") if re.search(r"[^\x20\x09-\x0D]", x))
+        fails[i] = (h, [n < 20, 100 * repeat > 30 * n, 10 * symbols > n, 10 * dup > 3 * lines])
+    hosts = Counter(h for h, _ in fails.values())
+    total, over, suspect = len(fails), set(), set()
+    for r in range(4):
+        f = Counter(h for h, x in fails.values() if x[r])
+        mean = sum(f.values()) / total
+        v = sum(f[h] ** 2 / n for h, n in hosts.items()) / total - mean * mean - mean * (1 - mean) * len(hosts) / total
+        for h, n in hosts.items():
+            if v > 1e-12:
+                s = mean * (1 - mean) / v - 1
+                rate = (f[h] + mean * s) / (n + s)
+                low = rate - deviations * (max(rate * (1 - rate), 0) / (n + s + 1)) ** 0.5
+                suspect |= {(h, r)} if low > mean else set()
+            else:
+                low = mean
+            over |= {h} if low > max_rate else set()
+    return {i for i, (h, x) in fails.items() if not x[0] and not x[1] and h not in over and not any(x[r] and (h, r) in suspect for r in range(4))}
+
+
+def test_verdicts_equal_loops(spark):
+    """Hosts that differ: one that is bad throughout, one whose symbols are suspect, small ones, and the rest."""
+    rng = random.Random(2)
+    rows = [(i, good(i) + " ###" * (4 if rng.random() < (0.6 if i % 10 == 3 else 0.05) else 0), f"h{i % 10}") for i in range(500)]
+    rows += [(1000 + i, "too short" if rng.random() < 0.9 else good(i), "bad") for i in range(60)] + [(2000, "too short", "tiny"), (2001, good(1) + " ####", None)]
+    docs = spark.createDataFrame([(*r, 1, 2) for r in rows], SCHEMA + ", host int, `host.rate` int")
+    got = qr.judge(docs).collect()
+    assert {r.doc_id for r in got if r.kept} == plain_verdicts(rows)
+    assert any(r.host_rejected for r in got) and any(r.host_failed and not r.base_failed for r in got)
+    assert all(r.kept for r in got if r.host == "h1" and not r.base_failed)
+
+
+def test_hosts_that_do_not_differ_condemn_nothing(spark):
+    rows = [(i, good(i) + (" ####" if i // 10 == 3 else ""), f"h{i % 10}") for i in range(400)]
+    got = qr.judge(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert all(r.kept for r in got) and len({r.host_rate for r in got}) == 1
+
+
+def test_long_texts_and_odd_names(spark):
+    long = " ".join(f"w{k % 9999}" for k in range(120_000))
+    docs = spark.createDataFrame([(1, long, "a", 5)], "`i.d` long, `te``xt` string, `h.o` string, n int")
+    r = qr.judge(docs, "i.d", "te`xt", "h.o").first()
+    assert (r.doc_id, r.n_words, r.n_repeat_words) == (1, 120_000, plain(long)[4])
+
+
 def test_a_single_failure_does_not_condemn_a_small_host(spark):
-    rows = [(i, good(i), f"h{i % 10}") for i in range(400)] + [(999, "too short", "tiny")]
+    rows = [(i, good(i), f"h{i % 10}") for i in range(400)] + [(999, "too short", "tiny"), (998, good(5), "tiny")]
     got = {r.doc_id: r for r in qr.judge(spark.createDataFrame(rows, SCHEMA)).collect()}
-    assert not got[999].host_rejected and got[999].base_failed
+    assert not got[999].host_rejected and got[999].base_failed and got[998].kept
 
 
 def test_empty_table_and_repeated_rows(spark):

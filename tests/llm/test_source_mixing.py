@@ -83,6 +83,36 @@ def test_repetition_limit(spark):
     assert all(1 - 45 / tokens[s] <= taken[s] / tokens[s] <= 1.5 + 1e-6 for s in tokens)
 
 
+def test_passes_and_both_limits(spark):
+    """A budget of one and a half passes: alpha under 1, rows taken more and less often, no token over the limit."""
+    data = rows()
+    tokens = shares(data)
+    got = collected(spark, data, Target(entropy=0.97, passes=1.5))
+    assert got and len({r.copies for r in got}) > 2
+    w = {r.source: r.weight for r in got}
+    assert entropy(w) == pytest.approx(0.97 * math.log(len(tokens)), abs=1e-3)
+    taken = Counter()
+    for r in got:
+        taken[r.source] += r.copies * r.n_tokens
+    assert all(w[s] * 1.5 * sum(tokens.values()) - 45 <= taken[s] <= w[s] * 1.5 * sum(tokens.values()) + 1 for s in tokens)
+    limited = collected(spark, data, Target(entropy=0.99, passes=1.5, repeats=2.5))
+    assert max(r.copies for r in limited) == 3 and max(1.5 * r.weight * sum(tokens.values()) / tokens[r.source] for r in limited) == pytest.approx(2.5, abs=1e-3)
+
+
+def test_epochs_are_numbered(spark):
+    data = rows(n=200)
+    docs = spark.createDataFrame([(*r, "x") for r in data], "`i.d` long, text string, source string, epoch string")
+    got = apply_mixture(docs, Target(entropy=0.95, repeats=2.0), id_col="i.d", epoch_col="turn").collect()
+    by = Counter(r["i.d"] for r in got)
+    assert {(r["i.d"], r.turn) for r in got} == {(i, k + 1) for i, n in by.items() for k in range(n)}
+
+
+def test_rows_without_ids_and_long_texts(spark):
+    data = [(None, f"w{i} " * (1 + i % 5), "ab"[i % 2]) for i in range(300)] + [(1, "w " * 150_000, "c")]
+    got = collected(spark, data, Target(entropy=1.0, passes=1.0))
+    assert len({r.block_key for r in got if r.doc_id is None}) > 5 and max(r.n_tokens for r in got) == 150_000
+
+
 def test_rows_with_all_columns(spark):
     data = rows(n=200)
     docs = spark.createDataFrame([(*r, 7, "q", f"x{r[0]}") for r in data], SCHEMA + ", copies int, epochs string, __src string")

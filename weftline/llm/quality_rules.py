@@ -1,10 +1,13 @@
 """Host-level quality rules.
 
-Documents are measured by plain rules; failures are counted per host, the
-hosts' failure rates are shrunk with a beta prior fitted to all hosts, and a
-host whose shrunk rate of some rule is too high loses all its documents.
-Everything is DataFrame expressions; the only shuffle moves one partial count
-per host and task.
+Documents are measured by plain rules; failures are counted per host, and the
+hosts' failure rates are shrunk with a beta prior fitted to all hosts. A host
+of whose documents most surely break some rule loses all its documents. A host
+that surely breaks a rule more often than the corpus does is suspect under it,
+and loses the documents that break it; elsewhere the soft rules alone condemn
+nothing. Surely means by DEVIATIONS standard deviations of the host's
+posterior, so small hosts need no floor. Everything is DataFrame expressions;
+the only shuffle moves one partial count per host and task.
 """
 
 from __future__ import annotations
@@ -12,12 +15,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.common import WORD, cut, paired, shifted, words
+from weftline.llm.common import WORD, cut, named, paired, shifted, words
 
 #: Length in words of the windows whose repetition counts.
 WINDOW = 8
-#: The prior weighs at least as much as so many documents: a few failures do not condemn a small host.
-LEAST_PRIOR = 20.0
+#: Standard deviations of its posterior by which a host's rate must be over a bound.
+DEVIATIONS = 1.5
+#: Rules that a document must meet whatever its host is; the others need a suspect host.
+BASE = ("short", "repeated")
 
 
 def repeated_words(df: DataFrame, words_col: str, out: str) -> DataFrame:
@@ -51,11 +56,12 @@ def repeated_words(df: DataFrame, words_col: str, out: str) -> DataFrame:
 def measures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
     """One row per document: id, host and the counts that the rules use.
 
-    A null or empty text has no words and no symbols; other columns of docs
-    are not carried, so no name can clash.
+    A null or empty text has no words and no symbols; a long one is measured
+    whole; invalid UTF-8 is taken as it is. Other columns of docs are not
+    carried, so no name can clash.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
-    df = docs.select(F.col(id_col).alias("doc_id"), F.col(host_col).alias("host"), F.col(text_col).alias("text"))
+    df = docs.select(named(id_col).alias("doc_id"), named(host_col).alias("host"), named(text_col).alias("text"))
     df = df.select("doc_id", "host", text.alias("text"), words(F.col("text")).alias("w"))
     lines = F.filter(F.split("text", "\n"), lambda x: x.rlike(WORD))
     df = df.select(
@@ -83,42 +89,57 @@ def rules() -> dict[str, Column]:
     }
 
 
-def host_rates(measured: DataFrame, names: list[str]) -> DataFrame:
-    """Per host: its documents, and each rule's failure rate shrunk towards the rate of all hosts.
+def host_verdicts(measured: DataFrame, names: list[str], max_rate: float, deviations: float) -> DataFrame:
+    """Per host: its worst shrunk failure rate, whether it is rejected, and under which rules it is suspect.
 
-    The beta prior has the hosts' pooled rate as its mean; its strength comes
-    from the variance between hosts beyond what chance within hosts makes
-    (method of moments). Only one row of sums comes to the driver.
+    A rule's beta prior has the hosts' pooled rate as its mean; its strength
+    comes from the variance between hosts beyond what chance within hosts
+    makes (method of moments). Where there is none, the prior is a point:
+    every host has the pooled rate and none is suspect. Only one row of sums
+    comes to the driver.
     """
     hosts = cut(measured.groupBy("host").agg(F.count(F.lit(1)).alias("n"), *(F.sum(F.col(f"fails_{r}").cast("long")).alias(f"f_{r}") for r in names)))
     total = hosts.agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("hosts"), *(F.sum(f"f_{r}").alias(f"f_{r}") for r in names), *(F.sum(F.col(f"f_{r}") * F.col(f"f_{r}") / F.col("n")).alias(f"q_{r}") for r in names)).first()
-    shrunk = []
+    rates, over, suspect = [], [], []
     for r in names:
         n, mean = total["n"] or 1, (total[f"f_{r}"] or 0) / (total["n"] or 1)
         chance = mean * (1 - mean)
         between = (total[f"q_{r}"] or 0) / n - mean * mean - chance * total["hosts"] / n
-        strength = min(max(chance / between - 1, LEAST_PRIOR), 1e6) if between > 1e-9 else 1e6
-        shrunk.append(F.round((F.col(f"f_{r}") + mean * strength) / (F.col("n") + strength), 6).alias(f"rate_{r}"))
-    return hosts.select("host", *shrunk)
-
-
-def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", max_rate: float = 0.5) -> DataFrame:
+        if between > 1e-12:
+            strength = chance / between - 1
+            weight = F.col("n") + strength
+            rate = (F.col(f"f_{r}") + mean * strength) / weight
+            low = F.round(rate - deviations * F.sqrt(F.greatest(rate * (1 - rate), F.lit(0.0)) / (weight + 1)), 6)
+        else:
+            rate = low = F.lit(mean)
+        rates.append(F.round(rate, 6))
+        over.append(low > max_rate)
+        suspect.append((low > mean if between > 1e-12 else F.lit(False)).alias(f"suspect_{r}"))
+    rejected = over[0]
+    for x in over[1:]:
+        rejected |= x
+    return hosts.select("host", F.greatest(*rates).alias("host_rate"), rejected.alias("host_rejected"), *suspect)
+
+
+def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", max_rate: float = 0.5, deviations: float = DEVIATIONS) -> DataFrame:
     """Measures and verdicts, a row per row of docs.
 
     base_failed: the document itself breaks a base rule (short, repeated).
-    host_rejected: its host's shrunk rate of some rule is over max_rate.
-    kept: neither. Null hosts form one host; repeated rows count each; an
-    empty table gives an empty result.
+    host_rejected: its host's rate of some rule is surely over max_rate.
+    host_failed: it breaks a rule under which its host is suspect. kept: none
+    of these. Null hosts form one host; repeated rows count each; hosts that
+    tie in their counts fare alike; an empty table gives an empty result.
     """
     checks = rules()
     measured = measures(docs, id_col, text_col, host_col)
     measured = cut(measured.select("*", *(c.alias(f"fails_{r}") for r, c in checks.items())))
-    rates = host_rates(measured, list(checks))
-    worst = F.greatest(*(F.col(f"rate_{r}") for r in checks))
-    verdict = cut(rates.select(F.col("host").alias("__host"), worst.alias("host_rate"), (worst > max_rate).alias("host_rejected")))
+    verdict = cut(host_verdicts(measured, list(checks), max_rate, deviations).withColumnRenamed("host", "__host"))
     out = measured.join(verdict, F.col("host").eqNullSafe(F.col("__host")), "left")
-    base = F.col("fails_short") | F.col("fails_repeated")
+    base, failed = F.lit(False), F.lit(False)
+    for r in checks:
+        base = base | F.col(f"fails_{r}") if r in BASE else base
+        failed |= F.col(f"fails_{r}") & F.col(f"suspect_{r}")
     return out.select(
         "doc_id", "host", "n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words",
-        base.alias("base_failed"), "host_rate", "host_rejected", (~base & ~F.col("host_rejected")).alias("kept"),
+        base.alias("base_failed"), "host_rate", "host_rejected", failed.alias("host_failed"), (~base & ~F.col("host_rejected") & ~failed).alias("kept"),
     )

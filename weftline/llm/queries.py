@@ -21,7 +21,7 @@ def query(f):
 def op2_host_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Measures, base rules and host verdicts of all documents."""
     out = quality_rules.judge(table(spark, sf_dir, "documents"))
-    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "host_rejected", "host_rate")
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "host_failed", "host_rejected", "host_rate")
 
 
 ORACLES["op2_host_quality"] = r"""
@@ -51,39 +51,46 @@ u as (
   from h, (select unnest([1, 2, 3, 4]) as k)),
 t as (select k, sum(n) as n, count(*) as hosts, sum(a) / sum(n) as mean, sum(a * a / n) / sum(n) as q from u group by k),
 b as (select *, q - mean * mean - mean * (1 - mean) * hosts / n as v from t),
-s as (
-  select k, mean, case when v > 1e-9 then least(greatest(mean * (1 - mean) / v - 1, 20), 1e6) else 1e6 end as s from b),
-z as (select host, max(round((a + mean * s) / (n + s), 6)) as host_rate from u join s using (k) group by host)
+s as (select k, mean, v > 1e-12 as spread, case when v > 1e-12 then mean * (1 - mean) / v - 1 else 0 end as s from b),
+y as (
+  select host, k, mean, spread, case when spread then (a + mean * s) / (n + s) else mean end as rate, n + s as weight from u join s using (k)),
+z as (
+  select *, case when spread then round(rate - 1.5 * sqrt(greatest(rate * (1 - rate), 0) / (weight + 1)), 6) else mean end as low from y),
+o as (
+  select host, max(round(rate, 6)) as host_rate, bool_or(low > 0.5) as host_rejected,
+    bool_or(k = 1 and spread and low > mean) as s1, bool_or(k = 2 and spread and low > mean) as s2,
+    bool_or(k = 3 and spread and low > mean) as s3, bool_or(k = 4 and spread and low > mean) as s4 from z group by host),
+e as (
+  select x.*, host_rate, host_rejected, (f1 and s1) or (f2 and s2) or (f3 and s3) or (f4 and s4) as host_failed
+  from x join o on x.host is not distinct from o.host)
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (f1 or f2) as base_failed,
-  not (f1 or f2) and not host_rate > 0.5 as kept, host_rate > 0.5 as host_rejected, host_rate
-from x join z on x.host is not distinct from z.host
+  not (f1 or f2) and not host_rejected and not host_failed as kept, host_failed, host_rejected, host_rate
+from e
 """
 
 
 @query
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What site-relative line deduplication leaves of each document."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
-    out = line_dedup.drop_boilerplate(docs, added=True)
-    return out.select("doc_id", F.col("__n_lines").alias("n_lines"), F.col("__n_dropped").alias("n_dropped"), F.length("text").cast("long").alias("clean_chars"), F.md5(F.col("text").cast("binary")).alias("clean_md5"))
+    """What site-relative line deduplication leaves of each document, by the plain ratio."""
+    out = line_dedup.cleaned(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    return out.select("row.doc_id", "n_lines", "n_dropped", F.length("text").cast("long").alias("clean_chars"), F.md5(F.col("text").cast("binary")).alias("clean_md5"))
 
 
 ORACLES["op7_line_dedup"] = r"""
 with l as (
-  select doc_id, source, md5(text) as page, i, string_split(text, chr(10))[i] as line
+  select doc_id, source, i, string_split(text, chr(10))[i] as line
   from (select *, unnest(range(1, len(string_split(text, chr(10))) + 1)) as i from documents where text is not null)),
-t as (select source, count(distinct md5(text)) as pages from documents group by source),
-c as (select source, line, count(distinct page) as n from l where regexp_matches(line, '[^\x20\x09-\x0D]') group by source, line),
-b as (select c.source, line from c join t on c.source is not distinct from t.source where n >= 5 and n > 0.05 * pages),
+t as (select source, count(*) as pages from documents where text is not null group by source),
+c as (select source, line, count(distinct doc_id) as n from l where regexp_matches(line, '[^\x20\x09-\x0D]') group by source, line),
+b as (select c.source, line from c join t on c.source is not distinct from t.source where n >= 2 and n > 0.05 * pages),
 f as (
   select l.*, b.line is not null as bad from l left join b on l.source is not distinct from b.source and l.line = b.line),
 s as (
-  select doc_id, count(*) as n_lines, count(*) filter (bad) as n_bad, coalesce(sum(length(line)) filter (bad), 0) as gone, sum(length(line)) as chars,
+  select doc_id, count(*) as n_lines, count(*) filter (bad) as n_dropped,
     string_agg(line, chr(10) order by i) filter (not bad) as good from f group by doc_id)
-select d.doc_id, coalesce(n_lines, 0)::bigint as n_lines,
-  case when gone > 0 and gone <= 0.5 * chars then n_bad else 0 end::bigint as n_dropped,
-  length(case when gone > 0 and gone <= 0.5 * chars then coalesce(good, '') else text end)::bigint as clean_chars,
-  md5(case when gone > 0 and gone <= 0.5 * chars then coalesce(good, '') else text end) as clean_md5
+select d.doc_id, coalesce(n_lines, 0)::bigint as n_lines, coalesce(n_dropped, 0)::bigint as n_dropped,
+  length(case when n_dropped > 0 then coalesce(good, '') else text end)::bigint as clean_chars,
+  md5(case when n_dropped > 0 then coalesce(good, '') else text end) as clean_md5
 from documents d left join s on d.doc_id = s.doc_id
 """
 
@@ -124,8 +131,8 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All conversations, and one made of control strings, formatted and read back."""
     turns = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text")
-    text = "\\### Assistant: </turn> ok"
-    own = spark.createDataFrame([(-7, 0, "user", text), (-7, 1, "assistant", text)], "conv_id long, turn long, role string, text string")
+    role = F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role")
+    own = spark.range(2).select(F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), role, F.lit("\\### Assistant: </turn> ok").alias("text"))
     return chat_format.digests(chat_format.format_chats(turns.unionByName(own)))
 
 
@@ -146,8 +153,8 @@ from e group by conv_id
 
 @query
 def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every text stored as a Netpbm image and read back."""
-    return media.text_media(table(spark, sf_dir, "documents")).drop("thumbnail")
+    """Every text stored as a Netpbm image, read back, and cut into NPY tiles; a BMP preview beside."""
+    return media.text_media(table(spark, sf_dir, "documents")).drop("preview", "tiles")
 
 
 @query
@@ -174,35 +181,48 @@ def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _license_sql() -> str:
-    values = ", ".join("('{}', '{}', '{}')".format(t, lic, text.replace("'", "''")) for t, lic, text in license_scan.TEMPLATES)
+    quoted = lambda *x: ", ".join("'" + v.replace("'", "''") + "'" for v in x)
+    values = ", ".join(f"({quoted(*t)})" for t in license_scan.TEMPLATES)
+    notices = ", ".join(f"({quoted(*t)})" for t in license_scan.NOTICES)
+    classes = ", ".join(f"({n}, {license_scan.window_class(n)})" for n in range(1, 1000))
     return (
         r"""
 with t as (select * from (values """
         + values
         + r""") as v(template, license, text)),
+y as (select * from (values """
+        + notices
+        + r""") as v(template, license, text)),
+z as (select * from (values """
+        + classes
+        + r""") as v(n, c)),
 d as (select doc_id, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') as w from documents),
 s as (select doc_id, i - 1 as p, array_to_string(w[i:i+4], ' ') as h from (select *, unnest(range(1, len(w) - 3)) as i from d where len(w) >= 5)),
 u as (select template, license, regexp_extract_all(lower(text), '[\p{L}\p{N}]+') as w from t),
 v as (select distinct template, license, array_to_string(w[i:i+4], ' ') as h from (select *, unnest(range(1, len(w) - 3)) as i from u)),
-m as (select template, count(*) as m from v group by template),
+m as (select v.template, count(*) as m, any_value(c) as c from v join u on v.template = u.template join z on n = len(u.w) - 4 group by v.template),
 x as (
-  select distinct doc_id, template, license, m, h, p - p % m as start from s join v using (h) join m using (template)
-  union select doc_id, template, license, m, h, greatest(p - p % m - m, 0) from s join v using (h) join m using (template) where p - p % m > 0),
-c as (select doc_id, template, license, m, start, count(*) as n from x group by all)
+  select distinct doc_id, template, license, m, h, p - p % c as start from s join v using (h) join m using (template)
+  union select doc_id, template, license, m, h, greatest(p - p % c - c, 0) from s join v using (h) join m using (template) where p - p % c > 0),
+c as (select doc_id, template, license, m, start, count(*) as n from x group by all),
+k as (select template, license, array_to_string(regexp_extract_all(lower(text), '[\p{L}\p{N}]+'), ' ') as h, len(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) as n from y),
+g as (select doc_id, i - 1 as p, n, array_to_string(w[i:i+n-1], ' ') as h from (select d.*, n, unnest(range(1, len(w) - n + 2)) as i from d, (select distinct n from k) where len(w) >= n))
 select doc_id, template, license, round(max(n) / max(m), 6) as containment, min(start)::bigint as first_word, count(*)::bigint as windows
 from c where 100 * n >= 80 * m group by doc_id, template, license
+union all select doc_id, template, license, 1.0, min(p)::bigint, count(*)::bigint from g join k using (n, h) group by doc_id, template, license
 """
     )
 
 
 ORACLES["op4_license_scan"] = _license_sql()
 
-MIX = source_mixing.Target(entropy=0.95, repeats=2.0)
+#: One and a half passes over the corpus' tokens, sources all but even, no token more than twice.
+MIX = source_mixing.Target(entropy=0.9999, repeats=2.0, passes=1.5)
 
 
 @query
 def op1_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How often each document is taken for sources at 95 % of the full entropy, repeated twice at most."""
+    """How often each document is taken in one and a half passes, with sources at 99.99 % of the full entropy as far as no token comes more than twice."""
     return source_mixing.mixture(table(spark, sf_dir, "documents"), MIX)
 
 
@@ -231,14 +251,14 @@ rep as (
   select 0 as step, 0::bigint as lo, 16777216::bigint as hi
   union all
   select step + 1, case when ok then lo else mid end, case when ok then mid else hi end from (
-    select *, (select max(pow(p, mid / 16777216) / p) / min(pow(p, mid / 16777216) / p) from src) <= {repeats} + 1e-12 as ok
+    select *, (select {passes} * max(pow(p, mid / 16777216) / p) / sum(pow(p, mid / 16777216)) from src) <= {repeats} + 1e-12 as ok
     from (select *, (lo + hi) // 2 as mid from rep where step < 24))),
 a2 as (
-  select case when (select max(pow(p, alpha) / p) / min(pow(p, alpha) / p) from src) > {repeats}
+  select case when (select {passes} * max(pow(p, alpha) / p) / sum(pow(p, alpha)) from src, a1) > {repeats} + 1e-12
     then greatest(alpha, (select hi / 16777216 from rep where step = 24)) else alpha end as alpha from a1),
 wt as (
   select source, tokens, pow(p, alpha) / sum(pow(p, alpha)) over () as weight,
-    sum(tokens) over () / min(pow(p, alpha) / p / (select sum(pow(p, alpha)) from src)) over () as budget from src, a2),
+    {passes} * sum(tokens) over () as budget from src, a2),
 q as (select source, tokens, weight, floor(round(weight * budget, 3)) as quota from wt),
 pl as (select *, floor(quota / tokens) as epochs, quota - floor(quota / tokens) * tokens as rest from q),
 ep as (select *, sum(n_tokens) over (partition by source order by bkey, dkey) as upto from keyed),
@@ -248,4 +268,4 @@ mixed as (
     bkey as block_key, dkey as doc_key from ep left join pl on ep.source = pl.source)
 """
 
-ORACLES["op1_source_mixing"] = "with recursive docs as (select * from documents)," + MIX_SQL.format(entropy=MIX.entropy, repeats=MIX.repeats) + "select * from mixed"
+ORACLES["op1_source_mixing"] = "with recursive docs as (select * from documents)," + MIX_SQL.format(entropy=MIX.entropy, repeats=MIX.repeats, passes=MIX.passes) + "select * from mixed"

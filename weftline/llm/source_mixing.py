@@ -12,24 +12,32 @@ documents, both by hash, so no source is ever sorted as a whole.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftline.llm.common import WORD, cut
+from weftline.llm.common import WORD, carried, cut, named
 
 #: alpha is found on a grid of 2 ** -BITS; LEVELS levels of bisection are taken in one pass.
-BITS, LEVELS = 24, 4
+BITS, LEVELS = 24, 6
 
 
 @dataclass(frozen=True)
 class Target:
-    """entropy: as a share of the logarithm of the number of sources, or None; repeats: the most often a token may be taken, or None; budget: tokens, or None for as many as let every source be used whole once."""
+    """What alpha has to meet, and how many tokens to take.
+
+    entropy: as a share of the logarithm of the number of sources, or None.
+    repeats: the most often a token may be taken, or None. budget: tokens;
+    passes: the same as a multiple of the corpus' tokens; without both, as
+    many as let every source be used whole once.
+    """
 
     entropy: float | None = 0.95
     repeats: float | None = None
     budget: int | None = None
+    passes: float | None = None
 
 
 def token_count(text: Column) -> Column:
@@ -45,80 +53,77 @@ def block_key(source: Column, block: Column, seed: int) -> Column:
     return _ordered(F.lit(f"block{seed}"), source, block.cast("string"))
 
 
-def doc_key(doc_id: Column, seed: int) -> Column:
-    return _ordered(F.lit(f"doc{seed}"), doc_id.cast("string"))
+def doc_key(name: Column, seed: int) -> Column:
+    return _ordered(F.lit(f"doc{seed}"), name)
 
 
-def block_of(doc_id: Column, blocks: int, seed: int) -> Column:
-    digits = F.substring(F.md5(F.concat_ws("|", F.lit(f"deal{seed}"), doc_id.cast("string")).cast("binary")), 1, 8)
+def block_of(name: Column, blocks: int, seed: int) -> Column:
+    digits = F.substring(F.md5(F.concat_ws("|", F.lit(f"deal{seed}"), name).cast("binary")), 1, 8)
     return F.conv(digits, 16, 10).cast("long") % blocks
 
 
-def _bisect(sources: DataFrame, good, largest: bool) -> float:
-    """The end of the range of alphas in [0, 1] for which good(moments) holds, on the grid.
+def _bisect(sources: DataFrame, searches: list[tuple[Callable[[dict], bool], bool]]) -> list[float]:
+    """For each search (good, largest), the end of the range of alphas in [0, 1] for which good(moments) holds, on the grid.
 
     largest: good holds up to some alpha and that is sought; else from some
-    alpha on. Four levels of bisection are one aggregation of the sources, of
-    which only sums come to the driver.
+    alpha on. LEVELS levels of bisection of all searches are one aggregation
+    of the sources, of which only sums come to the driver.
     """
-    lo, hi = 0, 1 << BITS  # good is taken to hold at lo (largest) or hi
-    ends = [0 if not largest else hi]
-    checks = _moments(sources, [e / (1 << BITS) for e in ends])
-    if good(checks[0]):
-        return ends[0] / (1 << BITS)
-    while hi - lo > 1:
-        step = max(1, (hi - lo) >> LEVELS)
-        grid = list(range(lo + step, hi, step))
-        for k, m in zip(grid, _moments(sources, [k / (1 << BITS) for k in grid]), strict=True):
-            if good(m) == largest:
-                lo = k
-            else:
-                hi = k
-                break
-    return (lo if largest else hi) / (1 << BITS)
+    top = 1 << BITS
+    ends = [top if largest else 0 for _, largest in searches]
+    ranges = [[end, end] if good(m) else [0, top] for (good, _), end, m in zip(searches, ends, _moments(sources, [e / top for e in ends]), strict=True)]
+    while any(hi - lo > 1 for lo, hi in ranges):
+        grids = [list(range(lo + max(1, (hi - lo) >> LEVELS), hi, max(1, (hi - lo) >> LEVELS))) for lo, hi in ranges]
+        found = iter(_moments(sources, [k / top for grid in grids for k in grid]))
+        for (good, largest), grid, own in zip(searches, grids, ranges, strict=True):
+            for k, holds in [(k, good(next(found))) for k in grid]:
+                if holds == largest:
+                    own[0] = k
+                else:
+                    own[1] = k
+                    break
+    return [(lo if largest else hi) / top for (_, largest), (lo, hi) in zip(searches, ranges, strict=True)]
 
 
 def _moments(sources: DataFrame, alphas: list[float]) -> list[dict]:
     """For each alpha: z (sum of p ** alpha), h (entropy of the weights), top (largest weight by share), least (least weight by share)."""
-    logp = F.log("p")
-    columns = []
-    for i, a in enumerate(alphas):
-        power = F.exp(a * logp)
-        columns += [F.sum(power).alias(f"z{i}"), F.sum(power * logp).alias(f"e{i}"), F.max(power / F.col("p")).alias(f"t{i}"), F.min(power / F.col("p")).alias(f"l{i}")]
-    r = sources.agg(*columns).first()
-    return [{"alpha": a, "z": r[f"z{i}"], "h": math.log(r[f"z{i}"]) - a * r[f"e{i}"] / r[f"z{i}"], "top": r[f"t{i}"] / r[f"z{i}"], "least": r[f"l{i}"] / r[f"z{i}"]} for i, a in enumerate(alphas)]
+    every = sources.select("p", F.posexplode(F.array(*map(F.lit, alphas))).alias("k", "alpha"))
+    power = F.exp(F.col("alpha") * F.log("p"))
+    every = every.select("k", "alpha", "p", power.alias("w"))
+    sums = every.groupBy("k", "alpha").agg(F.sum("w").alias("z"), F.sum(F.col("w") * F.log("p")).alias("e"), F.max(F.col("w") / F.col("p")).alias("top"), F.min(F.col("w") / F.col("p")).alias("least"))
+    return [{"alpha": r["alpha"], "z": r["z"], "h": math.log(r["z"]) - r["alpha"] * r["e"] / r["z"], "top": r["top"] / r["z"], "least": r["least"] / r["z"]} for r in sorted(sums.collect())]
+
+
+def _name(doc_id: Column, text: Column) -> Column:
+    """What a row is dealt and ordered by: its id, or its text where it has none."""
+    return F.coalesce(doc_id.cast("string"), F.concat(F.lit("~"), F.md5(F.coalesce(text, F.lit("")).cast("binary"))))
 
 
 def plan(docs: DataFrame, target: Target, id_col: str, text_col: str, source_col: str, seed: int) -> tuple[DataFrame, DataFrame, int]:
-    """Documents' tokens (doc_id, source, n_tokens, block), the plan per source, and the number of blocks.
+    """Documents' tokens (doc_id, name, source, n_tokens, block), the plan per source, and the number of blocks.
 
     The plan: p, weight, epochs, and the block and document keys up to which
     one more epoch is taken (null: not begun).
     """
-    base = cut(docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.concat(F.lit("="), F.col(source_col)), F.lit("")).alias("source"), token_count(F.col(text_col)).alias("n_tokens")))
+    base = cut(docs.select(named(id_col).alias("doc_id"), _name(named(id_col), named(text_col)).alias("name"), F.coalesce(F.concat(F.lit("="), named(source_col)), F.lit("")).alias("source"), token_count(named(text_col)).alias("n_tokens")))
     rows = base.count()
     blocks = max(1, round(rows**0.5))
-    base = base.withColumn("block", F.coalesce(block_of(F.col("doc_id"), blocks, seed), F.lit(0)))
+    base = base.withColumn("block", block_of(F.col("name"), blocks, seed))
     dealt = cut(base.groupBy("source", "block").agg(F.sum("n_tokens").alias("tokens")))
     sources = dealt.groupBy("source").agg(F.sum("tokens").alias("tokens")).where("tokens > 0")
-    total = sources.agg(F.sum("tokens")).first()[0] or 0
+    total, n = sources.agg(F.sum("tokens"), F.count(F.lit(1))).first()
+    total = total or 0
     sources = cut(sources.select("source", "tokens", (F.col("tokens") / max(total, 1)).alias("p")))
-    alpha, weight_of = 1.0, None
     if total:
-        n = sources.count()
+        passes = target.budget / total if target.budget is not None else target.passes
+        searches = []
         if target.entropy is not None:
-            alpha = _bisect(sources, lambda m: m["h"] >= target.entropy * math.log(n) - 1e-12, True)
-
-        def repeats(m: dict) -> float:
-            budget = target.budget / total if target.budget is not None else 1 / m["least"]
-            return budget * m["top"]
-
+            searches.append((lambda m: m["h"] >= target.entropy * math.log(n) - 1e-12, True))
         if target.repeats is not None:
-            at = _moments(sources, [alpha])[0]
-            if repeats(at) > target.repeats:
-                alpha = max(alpha, _bisect(sources, lambda m: repeats(m) <= target.repeats + 1e-12, False))
+            searches.append((lambda m: (passes if passes is not None else 1 / m["least"]) * m["top"] <= target.repeats + 1e-12, False))
+        alpha = max(_bisect(sources, searches)) if searches else 1.0
         m = _moments(sources, [alpha])[0]
-        budget = target.budget if target.budget is not None else total / m["least"]
+        budget = total / m["least"] if passes is None else target.budget if target.budget is not None else passes * total
         weight_of = F.exp(F.lit(alpha) * F.log("p")) / F.lit(m["z"])
     else:
         budget, weight_of = 0, F.lit(0.0)
@@ -133,7 +138,7 @@ def plan(docs: DataFrame, target: Target, id_col: str, text_col: str, source_col
     own = plans.select(F.col("source").alias("__s"), "rest")
     edge = inner.join(own, F.col("source") == F.col("__s")).where((F.col("upto") > F.col("rest")) & (F.col("upto") - F.col("tokens") <= F.col("rest")))
     edge = cut(edge.select(F.col("source").alias("__s"), F.col("block").alias("__b"), "bkey", (F.col("rest") - F.col("upto") + F.col("tokens")).alias("room")))
-    last = base.join(edge, (F.col("source") == F.col("__s")) & (F.col("block") == F.col("__b"))).withColumn("dkey", F.coalesce(doc_key(F.col("doc_id"), seed), F.lit("")))
+    last = base.join(edge, (F.col("source") == F.col("__s")) & (F.col("block") == F.col("__b"))).withColumn("dkey", doc_key(F.col("name"), seed)).groupBy("source", "dkey", "room").agg(F.sum("n_tokens").alias("n_tokens"))
     within = last.withColumn("upto", F.sum("n_tokens").over(Window.partitionBy("source").orderBy("dkey"))).where("upto <= room")
     stop = within.groupBy("source").agg(F.max("dkey").alias("stop")).withColumnRenamed("source", "__d")
     cuts = edge.join(stop, F.col("__s") == F.col("__d"), "left").select(F.col("__s").alias("__e"), F.col("bkey").alias("cut_block"), F.col("stop").alias("cut_doc"))
@@ -148,9 +153,9 @@ def _taken(keyed: DataFrame, plans: DataFrame) -> DataFrame:
     return joined.withColumn("copies", F.coalesce(F.col("epochs") + F.coalesce(more, F.lit(False)).cast("long"), F.lit(0)).cast("long"))
 
 
-def _keyed(df: DataFrame, doc_id: Column, source: Column, blocks: int, seed: int) -> DataFrame:
-    df = df.withColumn("__src", source).withColumn("__block", F.coalesce(block_of(doc_id, blocks, seed), F.lit(0)))
-    return df.withColumn("__bkey", block_key(F.col("__src"), F.col("__block"), seed)).withColumn("__dkey", F.coalesce(doc_key(doc_id, seed), F.lit("")))
+def _keyed(df: DataFrame, name: Column, source: Column, blocks: int, seed: int) -> DataFrame:
+    df = df.withColumn("__src", source).withColumn("__block", block_of(name, blocks, seed))
+    return df.withColumn("__bkey", block_key(F.col("__src"), F.col("__block"), seed)).withColumn("__dkey", doc_key(name, seed))
 
 
 def mixture(docs: DataFrame, target: Target, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 0) -> DataFrame:
@@ -158,21 +163,22 @@ def mixture(docs: DataFrame, target: Target, id_col: str = "doc_id", text_col: s
 
     An epoch's order is block_key, doc_key; copies counts the epochs that take
     the row. The quota of a source is met from below, within the tokens of one
-    document (of all rows with one id). Null sources form one source; a source
-    without tokens has weight 0 and no copies; a row without an id is in
-    block 0, before those with one. Other columns are not read.
+    document (of all rows with one id, which tie and fare alike). Null sources
+    form one source; a source without tokens has weight 0 and no copies; a row
+    without an id goes by its text. Long texts are counted whole; an empty
+    table gives an empty one. Other columns are not read.
     """
     base, plans, blocks = plan(docs, target, id_col, text_col, source_col, seed)
-    out = _taken(_keyed(base, F.col("doc_id"), F.col("source"), blocks, seed), plans)
+    out = _taken(_keyed(base, F.col("name"), F.col("source"), blocks, seed), plans)
     source = F.when(F.col("source") != "", F.substring("source", 2, 1 << 30))
     return out.select("doc_id", source.alias("source"), "n_tokens", F.coalesce(F.round("weight", 6), F.lit(0.0)).alias("weight"), "copies", F.col("__bkey").alias("block_key"), F.col("__dkey").alias("doc_key"))
 
 
-def apply_mixture(docs: DataFrame, target: Target, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 0) -> DataFrame:
-    """docs with each row as often as the mixture takes it; all columns stay."""
+def apply_mixture(docs: DataFrame, target: Target, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = 0, epoch_col: str | None = None) -> DataFrame:
+    """docs with each row as often as the mixture takes it; all columns stay. epoch_col: a column to add that numbers a row's epochs from 1."""
     _, plans, blocks = plan(docs, target, id_col, text_col, source_col, seed)
-    source = F.coalesce(F.concat(F.lit("="), F.col(source_col)), F.lit(""))
-    names = docs.columns
-    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in names)).alias("__row"), F.col(id_col).alias("__id"), source.alias("__from"))
-    taken = _taken(_keyed(rows, F.col("__id"), F.col("__from"), blocks, seed), plans).where("copies > 0")
-    return taken.select("__row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("__row.*")
+    source = F.coalesce(F.concat(F.lit("="), named(source_col)), F.lit(""))
+    rows = docs.select(carried(docs), _name(named(id_col), named(text_col)).alias("__name"), source.alias("__from"))
+    taken = _taken(_keyed(rows, F.col("__name"), F.col("__from"), blocks, seed), plans).where("copies > 0")
+    taken = taken.select("row", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("epoch"))
+    return taken.select(*(F.col("row").getField(c).alias(c) for c in docs.columns), *([F.col("epoch").alias(epoch_col)] if epoch_col else []))
