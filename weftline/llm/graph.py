@@ -11,33 +11,37 @@ from weftline.llm.common import cut, release
 def _nearest(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(u, v) with the least of u and its neighbours as m, and the table that this reads.
 
-    The least is a small aggregate joined back, so a node with very many
-    neighbours is split by Spark's skew handling and never gathered.
+    The least is a small aggregate, joined back as a table of its own, so a
+    node with very many neighbours is split by Spark's skew handling and never
+    gathered.
     """
     least = cut(pairs.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("w"), F.least("w", "m").alias("m")))
     return pairs.join(least, F.col("u") == F.col("w")).select("u", "v", "m"), least
 
 
+def _are_stars(edges: DataFrame) -> bool:
+    """Whether every u has one v, and no v is a u."""
+    several = edges.groupBy("u").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("u")
+    inner = edges.select(F.col("v").alias("w")).distinct()
+    chained = edges.join(inner, F.col("u") == F.col("w"), "left_semi").select("u")
+    return several.unionByName(chained).isEmpty()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) for every node of edges (a, b); a component is named by its least node.
 
-    Alternating large-star and small-star steps, each a table of its own in
-    the shared folder; a step's tables are deleted when the next one is done.
-    Loops, repeated edges and nulls are harmless.
+    Alternating large-star and small-star steps until all components are
+    stars. The tables of a pair of steps are in the shared folder and deleted
+    when the next ones are done. Loops, repeated edges and nulls are harmless.
     """
     now = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
-    seen = None
-    while True:
-        state = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
-        if state == seen or not state[0]:
-            break
-        seen = state
+    while not _are_stars(now):
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         nearest, used = _nearest(both)
-        large = cut(nearest.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct())
+        large = nearest.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         small, used_too = _nearest(large)
         small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small.select("u", F.col("m").alias("v")))
         before, now = now, cut(small.where("u <> v").distinct())
-        release(before, used, large, used_too)
+        release(before, used, used_too)
     roots = now.select(F.col("v").alias("node")).distinct()
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots.select("node", F.col("node").alias("component")))

@@ -30,7 +30,7 @@ from weftline.llm.common import SPACE, Recent, named, worker_state
 #: Letter runs; a word is one, lower-cased.
 LETTERS = re.compile(r"[^\W\d_]+")
 #: Bytes of words and scores that a generation of a worker's memory holds before it ages; the longest word kept, in letters.
-CACHE, KEPT = 16 << 20, 32
+CACHE, KEPT = 24 << 20, 32
 #: Cells of a lattice that are made at a time, and letters between two rescalings.
 CELLS, STEP = 1 << 19, 16
 UNKNOWN = "und"
@@ -101,12 +101,12 @@ def lattice(words: list[str], vocabulary: dict[str, int], longest: int, lo: int,
         marked = "▁" + w[:longest]
         for end in range(lo + 1, hi + 1):
             flat.append(get(w[end - 1 : end] if end > 1 else marked[:2], unknown))
-            most = min(end, longest)
-            for size in range(2, most + 1):
+            for size in range(2, min(end, longest) + 1):
                 flat.append(get(w[end - size : end] if end > size else marked[: end + 1], -1))
-            if most < longest:
-                flat.extend([-1] * (longest - most))
-    return np.array(flat, np.int32).reshape(len(words), hi - lo, longest)
+    ids = np.full((len(words), hi - lo, longest), -1, np.int32)
+    reach = np.minimum(np.arange(lo + 1, hi + 1), longest)
+    ids[:, np.arange(longest) < reach[:, None]] = np.array(flat, np.int32).reshape(len(words), -1)
+    return ids
 
 
 def forward(words: list[str], vocabulary: dict[str, int], p: np.ndarray, longest: int) -> np.ndarray:

@@ -38,7 +38,7 @@ def boilerplate(docs: DataFrame, text_col: str = "text", host_col: str = "source
         number, page = F.count_distinct("page"), ["page"]
     else:
         number, page = F.count(F.lit(1)), []
-    totals = cut(pages.groupBy("host").agg(number.alias("pages")).select(F.col("host").alias("of"), "pages"))
+    totals = pages.groupBy("host").agg(number.alias("pages")).select(F.col("host").alias("of"), "pages")
     counts = pages.select("host", *page, F.explode(hashed).alias("line")).groupBy("host", "line").agg(number.alias("n")).where(F.col("n") >= least)
     shared = counts.join(totals, F.col("host").eqNullSafe(F.col("of"))).where(F.col("n") > ratio * F.col("pages"))
     return cut(shared.groupBy("host").agg(F.collect_list("line").alias("flags")))

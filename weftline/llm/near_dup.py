@@ -259,7 +259,7 @@ def _hub_verified(size: int, num: int, den: int):
 def _hub_links(edges: DataFrame, texts: DataFrame, sizes: DataFrame, size: int, num: int, den: int) -> DataFrame:
     """The edges (a, hub) that hold on the full sets. A hub of many members is split, its own text going to every part."""
     load = edges.join(sizes, F.col("a") == F.col("rep")).groupBy("hub").agg(F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_TEXTS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("parts"))
-    load = cut(load.select(F.col("hub").alias("h"), "parts"))
+    load = load.select(F.col("hub").alias("h"), "parts")
     member = edges.join(load, F.col("hub") == F.col("h")).select("hub", F.pmod(F.xxhash64("a"), F.col("parts").cast("long")).cast("int").alias("salt"), F.lit(1).alias("side"), "a")
     own = load.select(F.col("h").alias("hub"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("salt"), F.lit(0).alias("side"), F.col("h").alias("a"))
     rows = member.unionByName(own).join(texts, F.col("a") == F.col("node")).select("hub", "salt", "side", "node", "text")
@@ -303,14 +303,14 @@ def _block_pairs(nodes: DataFrame, sizes: DataFrame) -> DataFrame:
     groups share blocks, each whole in one.
     """
     several = nodes.groupBy(F.col("cluster").alias("c")).agg(F.min("group").alias("g"), F.max("group").alias("h")).where("g <> h").select("c")
-    nodes = nodes.join(several, F.col("cluster") == F.col("c"), "left_semi").join(sizes, F.col("node") == F.col("rep"))
+    nodes = nodes.join(several, F.col("cluster") == F.col("c"), "left_semi").join(sizes, F.col("node") == F.col("rep")).select("node", "cluster", "group", "n")
     fill = F.greatest(F.count(F.lit(1)) / BLOCK_TEXTS, F.sum("n") / BLOCK_SHINGLES).alias("fill")
     groups = cut(nodes.groupBy("cluster", "group").agg(fill))
     large = groups.where("fill > 0.5").select("cluster", "group", F.ceil("fill").cast("int").alias("parts"))
     upto = Window.partitionBy("cluster").orderBy("group").rowsBetween(Window.unboundedPreceding, -1)
     large = large.select(F.col("cluster").alias("lc"), F.col("group").alias("lg"), "parts", F.coalesce(F.sum("parts").over(upto), F.lit(0)).cast("int").alias("first"))
     totals = groups.groupBy(F.col("cluster").alias("tc")).agg(F.coalesce(F.sum(F.when(F.col("fill") > 0.5, F.ceil("fill"))), F.lit(0)).cast("int").alias("owned"), F.ceil(F.coalesce(F.sum(F.when(F.col("fill") <= 0.5, F.col("fill"))), F.lit(0.0))).cast("int").alias("common"))
-    placed = nodes.join(cut(large), (F.col("cluster") == F.col("lc")) & (F.col("group") == F.col("lg")), "left").join(cut(totals), F.col("cluster") == F.col("tc"))
+    placed = nodes.join(large, (F.col("cluster") == F.col("lc")) & (F.col("group") == F.col("lg")), "left").join(totals, F.col("cluster") == F.col("tc"))
     own = F.col("first") + F.pmod(F.xxhash64("node"), F.col("parts").cast("long")).cast("int")
     shared = F.col("owned") + F.pmod(F.xxhash64("group"), F.greatest("common", F.lit(1)).cast("long")).cast("int")
     others = F.filter(F.sequence(F.lit(0), F.col("owned") + F.col("common") - 1), lambda x: F.col("first").isNull() | (x < F.col("first")) | (x >= F.col("first") + F.col("parts")))
@@ -341,21 +341,21 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     chosen = cut(chosen.select("rep", "n", "bands"))
     sizes = chosen.groupBy("rep").agg(F.max("n").alias("n"))
     banded = chosen.select("rep", F.explode("bands").alias("k"))
-    hubs = cut(banded.groupBy("k").agg(F.min("rep").alias("hub"), F.max("rep").alias("__last")).where("hub < __last").select(F.col("k").alias("__k"), "hub"))
+    hubs = banded.groupBy("k").agg(F.min("rep").alias("hub"), F.max("rep").alias("__last")).where("hub < __last").select(F.col("k").alias("__k"), "hub")
     star = cut(banded.join(hubs, F.col("k") == F.col("__k")).where("rep <> hub").groupBy(F.col("rep").alias("a"), "hub").agg(F.count(F.lit(1)).alias("bands")))
 
-    nodes = cut(components(star.select("a", F.col("hub").alias("b"))).withColumnRenamed("component", "cluster"))
+    nodes = components(star.select("a", F.col("hub").alias("b"))).withColumnRenamed("component", "cluster")
     texts = cut(docs.join(nodes.hint("merge"), F.col("doc_id") == F.col("node")).select("node", "text"))
     best = F.struct(F.col("bands"), -F.col("hub"))
-    first = cut(star.groupBy("a").agg(F.max_by("hub", best).alias("hub")))
-    one = cut(components(_hub_links(first, texts, sizes, size, num, den)))
+    first = star.groupBy("a").agg(F.max_by("hub", best).alias("hub"))
+    one = components(_hub_links(first, texts, sizes, size, num, den))
 
     of = one.select(F.col("node").alias("hub_node"), F.col("component").alias("hub_group"))
     rest = _named(star.withColumn("node", F.col("a")), one).join(of, F.col("hub") == F.col("hub_node"), "left").withColumn("hub_group", F.coalesce("hub_group", "hub"))
     rest = rest.join(first.select(F.col("a").alias("fa"), F.col("hub").alias("fh")), (F.col("a") == F.col("fa")) & (F.col("hub") == F.col("fh")), "left_anti")
     rest = cut(rest.where(F.col("group") != F.col("hub_group")).groupBy("a").agg(F.max_by("hub", best).alias("hub")))
     so_far = one.select(F.col("node").alias("a"), F.col("component").alias("b"))
-    two = cut(components(so_far.unionByName(_hub_links(rest, texts, sizes, size, num, den))))
+    two = components(so_far.unionByName(_hub_links(rest, texts, sizes, size, num, den)))
 
     pairs = cut(_block_pairs(_named(nodes, two), sizes))
     left = texts.join(pairs.select(F.col("node").alias("__n")), F.col("node") == F.col("__n"), "left_semi").groupBy(F.col("node").alias("__n"), F.xxhash64("text").alias("__h")).agg(F.first("text").alias("text"))
@@ -363,8 +363,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     links = dealt.repartition("cluster", "lo", "hi").sortWithinPartitions("cluster", "lo", "hi").mapInArrow(_verified(size, num, den), "a long, b long")
 
     so_far = two.select(F.col("node").alias("a"), F.col("component").alias("b"))
-    named_groups = cut(components(so_far.unionByName(links)))
-    grouped = cut(reps.join(named_groups, F.col("rep") == F.col("node"), "left").select(F.col("digest").alias("__d"), F.coalesce("component", "rep").alias("__group")))
+    named_groups = components(so_far.unionByName(links))
+    grouped = reps.join(named_groups, F.col("rep") == F.col("node"), "left").select(F.col("digest").alias("__d"), F.coalesce("component", "rep").alias("__group"))
     out = d.where("digest is not null").join(grouped, F.col("digest") == F.col("__d"), "left").select("doc_id", "n", "__group")
     out = out.unionByName(d.where("digest is null").select("doc_id", "n", F.lit(None).cast("long").alias("__group")))
     group = F.coalesce("__group", "doc_id")

@@ -292,9 +292,9 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source
         used = weights.select("source", F.col("weight").cast("double").alias("weight")).join(known, F.col("source").eqNullSafe(F.col("__s")))
         norm = used.agg(F.sum("weight")).first()[0] or 1.0
         shares = used.select("source", (F.col("weight") / norm).alias("share"))
-    shares = cut(shares.select(F.col("source").alias("__s"), "share"))
+    shares = shares.select(F.col("source").alias("__s"), "share")
     sizes = exclusive_prefix(served.groupBy("shard").agg(F.sum("served").alias("size")), [], "shard", "size", "before", LANE)
-    sizes = cut(sizes.select(F.col("shard").alias("__shard"), "before"))
+    sizes = sizes.select(F.col("shard").alias("__shard"), "before")
     plan = exclusive_prefix(served, ["source"], "shard", "served", "done", LANE)
     plan = plan.join(sizes, F.col("shard") == F.col("__shard")).join(shares, F.col("source").eqNullSafe(F.col("__s")), "left")
     share = F.coalesce("share", F.lit(0.0))

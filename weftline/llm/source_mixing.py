@@ -113,7 +113,7 @@ def plan(docs: DataFrame, target: Target, id_col: str, text_col: str, source_col
     sources = dealt.groupBy("source").agg(F.sum("tokens").alias("tokens")).where("tokens > 0")
     total, n = sources.agg(F.sum("tokens"), F.count(F.lit(1))).first()
     total = total or 0
-    sources = cut(sources.select("source", "tokens", (F.col("tokens") / max(total, 1)).alias("p")))
+    sources = sources.select("source", "tokens", (F.col("tokens") / max(total, 1)).alias("p"))
     if total:
         passes = target.budget / total if target.budget is not None else target.passes
         searches = []
@@ -130,14 +130,14 @@ def plan(docs: DataFrame, target: Target, id_col: str, text_col: str, source_col
     quota = F.floor(F.round(weight_of * budget, 3)).cast("long")
     plans = sources.select("source", "tokens", weight_of.alias("weight"), quota.alias("quota"))
     plans = plans.select("*", F.floor(F.col("quota") / F.col("tokens")).alias("epochs"))
-    plans = cut(plans.select("*", (F.col("quota") - F.col("epochs") * F.col("tokens")).alias("rest")))
+    plans = plans.select("*", (F.col("quota") - F.col("epochs") * F.col("tokens")).alias("rest"))
 
     inner = dealt.withColumn("bkey", block_key(F.col("source"), F.col("block"), seed))
     order = Window.partitionBy("source").orderBy("bkey", "block")
     inner = inner.select("source", "block", "bkey", "tokens", F.sum("tokens").over(order).alias("upto"))
     own = plans.select(F.col("source").alias("__s"), "rest")
     edge = inner.join(own, F.col("source") == F.col("__s")).where((F.col("upto") > F.col("rest")) & (F.col("upto") - F.col("tokens") <= F.col("rest")))
-    edge = cut(edge.select(F.col("source").alias("__s"), F.col("block").alias("__b"), "bkey", (F.col("rest") - F.col("upto") + F.col("tokens")).alias("room")))
+    edge = edge.select(F.col("source").alias("__s"), F.col("block").alias("__b"), "bkey", (F.col("rest") - F.col("upto") + F.col("tokens")).alias("room"))
     last = base.join(edge, (F.col("source") == F.col("__s")) & (F.col("block") == F.col("__b"))).withColumn("dkey", doc_key(F.col("name"), seed)).groupBy("source", "dkey", "room").agg(F.sum("n_tokens").alias("n_tokens"))
     within = last.withColumn("upto", F.sum("n_tokens").over(Window.partitionBy("source").orderBy("dkey"))).where("upto <= room")
     stop = within.groupBy("source").agg(F.max("dkey").alias("stop")).withColumnRenamed("source", "__d")
