@@ -1,4 +1,6 @@
 import math
+from datetime import datetime
+from pathlib import Path
 
 import pytest
 
@@ -135,6 +137,18 @@ def test_runner(spark, tmp_path):
     assert all(math.isclose(r.MFLOPS, 12 / r.Time_s / 1e6, rel_tol=1e-3, abs_tol=0.006) for r in perf.collect())
 
 
+def test_empty_matrices_take_no_time_and_a_suite_logs(spark, tmp_path):
+    (tmp_path / "none.mtx").write_text("%%MatrixMarket matrix coordinate real general\n2 2 0\n")
+    meta, coo = matrix_market.read(spark, str(tmp_path))
+    out = runner.run_folder(str(tmp_path / "out"), datetime(2024, 2, 3, 4, 5, 6))
+    assert out.endswith("out/benchmark_results_20240203_040506")
+    found = runner.run_suite(spark, meta, coo, [2], out=out, threads=[1], blocks=[128], runs=1)
+    assert [(r.Time_s, r.MFLOPS, r.status) for r in found["results_csr_cuda.txt"].collect()] == [(0.0, -1.0, "OK")]
+    assert [r.MFLOPS for r in found["results_csr_serial.txt"].collect()] == [0.0]
+    log = (Path(out) / runner.LOG).read_text()
+    assert log.count("completed") == 5 and (Path(out) / "results_hll_cuda2.txt").read_text().startswith("[PERF] Format:HLL, Mode:CUDA")
+
+
 def test_a_failed_run_is_a_record(spark, tmp_path, monkeypatch):
     (tmp_path / "tiny.mtx").write_text(TINY)
     meta, coo = matrix_market.read(spark, str(tmp_path))

@@ -137,8 +137,58 @@ def test_bad_sizes(spark):
 def test_distribution_keeps_rows_together(spark):
     coo, rows, counts = relations(spark, TINY, 6)
     parts = partitioning.distribute(coo, counts, 3)
-    assert parts.rdd.getNumPartitions() == 3 and parts.count() == 6
-    assert {(r.i, r.owner) for r in parts.collect()} == {(0, 0), (2, 1), (4, 1)}
+    assert parts.rdd.getNumPartitions() == 3 and parts.where("j is not null").count() == 6
+    assert {(r.i, r.owner) for r in parts.collect()} == {(0, 0), (1, 1), (2, 1), (3, 1), (4, 1), (5, 2)}
+    at = parts.selectExpr("spark_partition_id() as p", "owner").distinct().collect()
+    assert len(at) == len({r.p for r in at}) == len({r.owner for r in at})
+
+
+def test_owned_rows_are_added_up_where_they_are(spark):
+    """After the one move of the entries to their owners, no sum is shuffled, with or without a small x."""
+    coo, rows, counts = relations(spark, TINY, 6)
+    owned = partitioning.distribute(coo, counts, 3).persist()
+    owned.count()
+    for x in (None, spmv.ones(spark, 4)):
+        y = spmv.spmv_owned(owned, x)
+        assert ys(y) == [6, 0, 3, 0, 6, 0]
+    top = spmv.spmv_owned(owned)._jdf.queryExecution().executedPlan().toString().split("InMemoryTableScan")[0]
+    assert "Exchange" not in top
+    blocks = partitioning.distribute_blocks(formats.hll_blocks(coo, counts, 2), 2).persist()
+    product = spmv.spmv_blocks(blocks)
+    assert ys(product) == [6, 0, 3, 0, 6, 0]
+    top = product._jdf.queryExecution().executedPlan().toString().split("InMemoryTableScan")[0]
+    assert "Exchange" not in top and "Join" not in top
+    owned.unpersist()
+    blocks.unpersist()
+
+
+def test_kernels_take_a_vector_per_matrix_and_missing_columns(spark):
+    coo = spark.createDataFrame([("a", 0, 0, 0, 2.0), ("a", 1, 0, 3, 9.0), ("b", 0, 0, 0, 3.0), ("b", 1, 1, 1, 1.0), ("c", 0, 0, 0, 5.0)], "matrix string, pos long, i int, j int, v float")
+    rows = spark.createDataFrame([("a", 0), ("b", 0), ("b", 1), ("c", 0)], "matrix string, i long")
+    x = spark.createDataFrame([("a", 0, 10.0), ("b", 0, 100.0), ("b", 9, 1.0), ("d", 0, 1.0)], "matrix string, idx int, val double")
+    counts, csr = formats.row_counts(coo, rows), formats.csr_rows(coo)
+    want = {("a", 0): 20, ("b", 0): 300, ("b", 1): 0, ("c", 0): 0}
+    for y in (spmv.spmv_coo(coo, rows, x), spmv.spmv_csr(csr, rows, x), spmv.spmv_arrow(csr, rows, x), spmv.spmv_arrow(csr, rows, x, 1), spmv.spmv_blocks_arrow(formats.hll_blocks(coo, counts, 2), rows, x, 1), spmv.spmv_owned(partitioning.distribute(coo, counts, 2), x)):
+        assert {(r.matrix, r.i): r.y for r in y.collect()} == want
+
+
+def test_a_large_index_is_not_sent(spark):
+    coo, rows, _ = relations(spark, TINY, 6)
+    x = spark.createDataFrame([(0, 1.0), (2, 1.0), (2**31 - 1, 1.0), (-5, 1.0)], "idx long, val double")
+    assert ys(spmv.spmv_arrow(formats.csr_rows(coo), rows, x)) == [6, 0, 0, 0, 0, 0]
+
+
+def test_products_have_the_rows_asked_for(spark):
+    coo, rows, _ = relations(spark, TINY, 6)
+    few = rows.where("i < 3")
+    for y in (spmv.spmv_coo(coo, few), spmv.spmv_csr(formats.csr_rows(coo), few), spmv.spmv_arrow(formats.csr_rows(coo), few, spmv.ones(spark, 4)), spmv.spmv_ordered(coo, few)):
+        assert [(r.i, r.y) for r in y.orderBy("i").collect()] == [(0, 6), (1, 0), (2, 3)]
+
+
+def test_printed_vectors(spark):
+    y = spark.createDataFrame([("m", i, i / 3) for i in range(7)], "matrix string, i long, y double")
+    got = [r.text for r in spmv.vector_text(y, 4).orderBy("chunk").collect()]
+    assert "".join(got) == "".join(f"{i / 3:.2f} " for i in range(7)) and len(got) == 2
 
 
 def test_gather_is_one_join_and_one_shuffle_of_sums(spark):

@@ -34,6 +34,11 @@ def grid_size(rows: Column, block: Column | int) -> Column:
     return ceil_div(rows, block)
 
 
+def launch_status(rows: Column, cols: Column, nnz: Column) -> Column:
+    """What a kernel does with a matrix before it starts: nothing to do (y is all zeros and takes no time), wrong arguments, or a run."""
+    return F.when(rows == 0, "EMPTY").when(cols <= 0, "E_ARGS").when(nnz == 0, "EMPTY").otherwise("RUN")
+
+
 def launch_block(size: int) -> int:
     """A block size for a kernel: 1 to 1024, else 256."""
     return size if 1 <= size <= 1024 else 256

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftline.functions.prefix import exclusive_prefix
-from weftline.functions.scalars import ceil_div, int_div
+from weftline.functions.scalars import int_div
 
 POS = ["pos"]
 #: Rows that one generator step makes.
@@ -85,10 +85,6 @@ def hll_offsets(blocks: DataFrame) -> DataFrame:
     return exclusive_prefix(blocks, ["matrix"], "block", "cells", "start_offset")
 
 
-def block_count(rows, hack: int):
-    return ceil_div(rows, _checked(hack))
-
-
 def padding_ratio(counts: DataFrame, hack: int) -> DataFrame:
     """(matrix, nnz, cells, padding): how much of the padded form is padding."""
     cells = hll_meta(counts, hack).groupBy("matrix").agg(F.sum("cells").alias("cells"))
@@ -97,28 +93,46 @@ def padding_ratio(counts: DataFrame, hack: int) -> DataFrame:
     return cells.join(nnz, F.col("matrix") == F.col("__m")).select("matrix", "nnz", "cells", padding.alias("padding"))
 
 
+def _padded_rows(coo: DataFrame, counts: DataFrame, hack: int, order: list[str]) -> DataFrame:
+    """(matrix, block, nr, i, ja, a): every row of the blocks, its arrays padded to the block's width; blocks of width 0 are absent."""
+    blocks = hll_meta(counts, hack).select(F.col("matrix").alias("__bm"), F.col("block").alias("__b"), "nr", "k")
+    cells = csr_rows(coo, order).select(F.col("matrix").alias("__m"), F.col("i").alias("__i"), "ja", "a")
+    rows = counts.join(cells, (F.col("matrix") == F.col("__m")) & (F.col("i") == F.col("__i")), "left").withColumn("block", int_div(F.col("i"), hack))
+    rows = rows.join(blocks, (F.col("matrix") == F.col("__bm")) & (F.col("block") == F.col("__b"))).where("k > 0")
+    missing = (F.col("k") - F.col("n")).cast("int")
+    last = F.coalesce(F.get("ja", F.size("ja") - 1), F.lit(0).cast(coo.schema["j"].dataType))
+    none = lambda c: F.coalesce(c, F.array().cast(csr_type(coo, c)))
+    ja = F.concat(none("ja"), F.array_repeat(last, missing))
+    a = F.concat(none("a"), F.array_repeat(F.lit(0).cast(coo.schema["v"].dataType), missing))
+    return rows.select("matrix", "block", "nr", "i", ja.alias("ja"), a.alias("a"))
+
+
+def csr_type(coo: DataFrame, array: str) -> str:
+    return f"array<{coo.schema['j' if array == 'ja' else 'v'].dataType.simpleString()}>"
+
+
 def hll_cells(coo: DataFrame, counts: DataFrame, hack: int, order: list[str] = POS) -> DataFrame:
     """(matrix, block, flat, i, ja, a): every cell of the padded blocks, column by column within a block.
 
     Padding repeats the row's last column (0 in an empty row) with value 0.
     The relation is as large as the padding makes it; see padding_ratio.
     """
-    blocks = hll_meta(counts, hack).select(F.col("matrix").alias("__bm"), F.col("block").alias("__b"), "nr", "k")
-    grid = counts.withColumn("block", int_div(F.col("i"), hack)).join(blocks, (F.col("matrix") == F.col("__bm")) & (F.col("block") == F.col("__b")))
-    grid = grid.where("k > 0").select("matrix", "block", "nr", "i", F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1)).alias("slot"))
-    entries = slots(coo, order).select(F.col("matrix").alias("__m"), F.col("i").alias("__i"), F.col("slot").alias("__slot"), "j", "v")
-    last = coo.groupBy(F.col("matrix").alias("__lm"), F.col("i").alias("__li")).agg(F.max_by("j", F.struct(*order)).alias("last"))
-    filled = grid.join(entries, (F.col("matrix") == F.col("__m")) & (F.col("i") == F.col("__i")) & (F.col("slot") == F.col("__slot")), "left")
-    filled = filled.join(last, (F.col("matrix") == F.col("__lm")) & (F.col("i") == F.col("__li")), "left")
+    rows = _padded_rows(coo, counts, hack, order)
+    cells = rows.select("matrix", "block", "nr", "i", F.posexplode(F.arrays_zip("ja", "a")).alias("slot", "c"))
     flat = F.col("slot") * F.col("nr") + (F.col("i") - F.col("block") * hack)
-    return filled.select("matrix", "block", flat.cast("long").alias("flat"), "i", F.coalesce("j", "last", F.lit(0)).alias("ja"), F.coalesce("v", F.lit(0)).alias("a"))
+    return cells.select("matrix", "block", flat.cast("long").alias("flat"), "i", F.col("c.ja").alias("ja"), F.col("c.a").alias("a"))
 
 
 def hll_blocks(coo: DataFrame, counts: DataFrame, hack: int, order: list[str] = POS) -> DataFrame:
-    """One row per block with its arrays: (matrix, hack, block, nr, k, cells, start_offset, ja, a)."""
-    cells = hll_cells(coo, counts, hack, order).groupBy(F.col("matrix").alias("__m"), F.col("block").alias("__b")).agg(F.sort_array(F.collect_list(F.struct("flat", "ja", "a"))).alias("c"))
-    blocks = hll_offsets(hll_meta(counts, hack)).join(cells, (F.col("matrix") == F.col("__m")) & (F.col("block") == F.col("__b")), "left")
-    return blocks.select("matrix", F.lit(hack).alias("hack"), "block", "nr", "k", "cells", "start_offset", F.col("c.ja").alias("ja"), F.col("c.a").alias("a"))
+    """One row per block with its arrays: (matrix, hack, block, nr, k, cells, start_offset, ja, a).
+
+    A block's padded rows, hack of them at most, are gathered and transposed.
+    """
+    rows = _padded_rows(coo, counts, hack, order).groupBy(F.col("matrix").alias("__m"), F.col("block").alias("__b")).agg(F.sort_array(F.collect_list(F.struct("i", "ja", "a"))).alias("r"))
+    blocks = hll_offsets(hll_meta(counts, hack)).join(rows, (F.col("matrix") == F.col("__m")) & (F.col("block") == F.col("__b")), "left")
+    columns = F.sequence(F.lit(0), F.col("k").cast("int") - 1)
+    turned = lambda c: F.when(F.col("k") > 0, F.flatten(F.transform(columns, lambda s: F.transform(f"r.{c}", lambda row: F.get(row, s)))))
+    return blocks.select("matrix", F.lit(hack).alias("hack"), "block", "nr", "k", "cells", "start_offset", turned("ja").alias("ja"), turned("a").alias("a"))
 
 
 def block_cells(blocks: DataFrame) -> DataFrame:

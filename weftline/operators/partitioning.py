@@ -6,7 +6,7 @@ row has a closed form, so no search is needed.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftline.functions.prefix import exclusive_prefix
@@ -47,13 +47,26 @@ def nnz_loads(counts: DataFrame, parts: int) -> DataFrame:
 
 
 def bounds_sweep(counts: DataFrame, parts: list[int]) -> DataFrame:
-    """(matrix, parts, t, lo, hi): the bounds for every number of partitions in parts, from one pass over the rows."""
-    every = F.explode(F.array(*(F.lit(_parts(p)) for p in parts))).alias("parts")
-    owned = _starts(counts).select("matrix", "irp", "__nnz", every).select("matrix", "parts", _owner(F.col("parts")).alias("owner"))
-    sizes = owned.groupBy(F.col("matrix").alias("__m"), F.col("parts").alias("__p"), F.col("owner").alias("__t")).agg(F.count(F.lit(1)).alias("size"))
-    slots = counts.select("matrix").distinct().select("matrix", every).select("matrix", "parts", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("t"))
-    sized = slots.join(sizes, (F.col("matrix") == F.col("__m")) & (F.col("parts") == F.col("__p")) & (F.col("t") == F.col("__t")), "left").select("matrix", "parts", "t", F.coalesce("size", F.lit(0)).alias("size"))
-    return exclusive_prefix(sized, ["matrix", "parts"], "t", "size", "lo").select("matrix", "parts", "t", "lo", (F.col("lo") + F.col("size")).alias("hi"))
+    """(matrix, parts, t, lo, hi): the bounds for every number of partitions in parts, from one pass over the rows.
+
+    Partition t ends behind the row in which entry (t + 1) * step, counted
+    from 1, lies; a row gives only the ends that lie in it, so few rows give
+    any.
+    """
+    starts = _starts(counts)
+    step = lambda p: F.greatest(ceil_div(F.col("__nnz"), p), F.lit(1))
+    first = lambda p: int_div(F.col("irp"), step(p)) + 1
+    last = lambda p: F.least(int_div(F.col("irp") + F.col("n"), step(p)), int_div(F.col("__nnz") - 1, step(p)))
+    ends = lambda p: F.when(last(p) >= first(p), F.transform(F.sequence(first(p), last(p)), lambda m: F.struct(p.alias("p"), (m - 1).cast("int").alias("at"), (F.col("i") + 1).alias("hi"))))
+    every = F.array(*(F.lit(_parts(p)).cast("long") for p in parts))
+    found = starts.where("n > 0").select(F.col("matrix").alias("__m"), F.inline(F.flatten(F.array_compact(F.transform(every, ends)))))
+    totals = counts.groupBy("matrix").agg(F.count(F.lit(1)).alias("rows"), F.sum("n").alias("nnz"))
+    slots = totals.select("matrix", "rows", "nnz", F.explode(every).alias("parts")).select("matrix", "rows", "nnz", F.col("parts").cast("int").alias("parts"), F.explode(F.sequence(F.lit(0), F.col("parts").cast("int") - 1)).alias("t"))
+    joined = slots.join(found, (F.col("matrix") == F.col("__m")) & (F.col("parts") == F.col("p")) & (F.col("t") == F.col("at")), "left")
+    # Without entries the last partition owns all rows.
+    end = F.when(F.col("nnz") == 0, F.when(F.col("t") == F.col("parts") - 1, F.col("rows")).otherwise(0)).otherwise(F.coalesce("hi", "rows")).cast("long")
+    before = Window.partitionBy("matrix", "parts").orderBy("t")
+    return joined.select("matrix", "parts", "t", end.alias("hi")).select("matrix", "parts", "t", F.coalesce(F.lag("hi").over(before), F.lit(0)).cast("long").alias("lo"), "hi")
 
 
 def bounds_by_nnz(counts: DataFrame, parts: int) -> DataFrame:
@@ -81,6 +94,18 @@ def owner_of_block(blocks: DataFrame, parts: int) -> DataFrame:
 
 
 def distribute(coo: DataFrame, counts: DataFrame, parts: int) -> DataFrame:
-    """coo repartitioned by the owner of its row, with equal entries in each partition."""
-    owners = owner_by_nnz(counts, parts).select(F.col("matrix").alias("__m"), F.col("i").alias("__i"), "owner")
-    return coo.join(owners, (F.col("matrix") == F.col("__m")) & (F.col("i") == F.col("__i"))).drop("__m", "__i").repartition(parts, "owner")
+    """coo with owner, partition t holding what owner t owns: about equal entries, and one without column and value for each row.
+
+    The owner of an entry is found in its matrix's bounds, a row of parts
+    numbers per matrix, so entries move once, to where spmv_owned adds them up.
+    """
+    bounds = bounds_by_nnz(counts, parts).groupBy(F.col("matrix").alias("__m")).agg(F.array_sort(F.collect_list("hi")).alias("__ends"))
+    entries = coo.select("matrix", F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j"), F.col("v").cast("double").alias("v"))
+    rows = counts.select("matrix", F.col("i").cast("long").alias("i"), F.lit(None).cast("long").alias("j"), F.lit(0.0).alias("v"))
+    owner = F.size(F.filter("__ends", lambda end: end <= F.col("i"))).alias("owner")
+    return entries.unionByName(rows).join(bounds, F.col("matrix") == F.col("__m")).select("matrix", "i", "j", "v", owner).repartitionById(parts, "owner")
+
+
+def distribute_blocks(blocks: DataFrame, parts: int) -> DataFrame:
+    """hll_blocks with owner, partition t holding the blocks that owner t owns."""
+    return owner_of_block(blocks, parts).repartitionById(parts, "owner")

@@ -12,10 +12,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Elements of x that the Arrow kernel sends to every executor at most (80 MB).
+from weftline.functions.scalars import int_div
+from weftline.operators.formats import block_cells
+
+#: Cells of x that an Arrow kernel sends to every executor at most (90 MB).
 MOST_BROADCAST = 10_000_000
 
 
@@ -41,9 +45,10 @@ def _dense(rows: DataFrame, sums: DataFrame, zero: Column) -> DataFrame:
 
 
 def _summed(products: DataFrame, rows: DataFrame) -> DataFrame:
-    """y of products __t: one sum over them and a zero for each row, so the dense result takes one shuffle and no join."""
-    zeros = rows.select("matrix", F.col("i").cast("long").alias("i"), F.lit(0.0).alias("__t"))
-    return zeros.union(products.select("matrix", F.col("i").cast("long"), "__t")).groupBy("matrix", "i").agg(F.sum("__t").alias("y"))
+    """y of products __t for the rows in rows: one sum over the products and a zero for each row, so the dense result takes one shuffle and no join. Products of other rows are left out."""
+    zeros = rows.select("matrix", F.col("i").cast("long").alias("i"), F.lit(0.0).alias("__t"), F.lit(True).alias("__row"))
+    both = zeros.union(products.select("matrix", F.col("i").cast("long"), "__t", F.lit(False)))
+    return both.groupBy("matrix", "i").agg(F.sum("__t").alias("y"), F.max("__row").alias("__row")).where("__row").drop("__row")
 
 
 def spmv_coo(coo: DataFrame, rows: DataFrame, x: DataFrame | None = None) -> DataFrame:
@@ -77,27 +82,121 @@ def spmv_hll(cells: DataFrame, rows: DataFrame, x: DataFrame | None = None) -> D
     return _summed(_times(entries, x, "ja", "a", "double"), rows)
 
 
-def spmv_arrow(csr: DataFrame, rows: DataFrame, x: DataFrame) -> DataFrame:
-    """(matrix, i, y) from csr_rows by a numpy kernel in Arrow batches.
-
-    x (idx, val) is sent to every executor; beyond MOST_BROADCAST elements the
-    product goes by spmv_csr, whose join has no such bound.
+def _dense_vectors(x: DataFrame) -> dict[str | None, tuple[np.ndarray, np.ndarray]] | None:
+    """By matrix (or None for all): the values of x by index, and which there are. None if they have more than MOST_BROADCAST cells in all."""
+    keyed = "matrix" in x.columns
+    good = x.where("idx >= 0 and val is not null").select(F.col("matrix") if keyed else F.lit(None).cast("string").alias("matrix"), F.col("idx").cast("long").alias("idx"), F.col("val").cast("double").alias("val"))
+    sizes = good.groupBy("matrix").agg((F.max("idx") + 1).alias("size"), F.count(F.lit(1)).alias("n"))
+    size, n, matrices = sizes.agg(F.sum("size"), F.sum("n"), F.count(F.lit(1))).first()
+    if max(size or 0, n or 0, matrices) > MOST_BROADCAST:
+        return None
+    found = {r["matrix"]: (np.zeros(r["size"]), np.zeros(r["size"], bool)) for r in sizes.collect()}
+    for matrix, pairs in good.toPandas().groupby("matrix", dropna=False) if found else ():
+        value, there = found[matrix if keyed else None]
+        at = pairs["idx"].to_numpy()
+        np.add.at(value, at, pairs["val"].to_numpy())  # like a join, a repeated index counts each time
+        there[at] = True
+    return found
+
+
+def spmv_arrow(csr: DataFrame, rows: DataFrame, x: DataFrame, block: int = 1 << 16) -> DataFrame:
+    """(matrix, i, y) from csr_rows by a numpy kernel in Arrow batches, block rows at a time.
+
+    x (idx, val), or (matrix, idx, val) with a vector per matrix, is sent to
+    every executor; where its cells, counted up to the largest index, are more
+    than MOST_BROADCAST, the product goes by spmv_csr, whose join has no such
+    bound and gives the same. Columns that x lacks contribute nothing.
     """
-    spark = csr.sparkSession
-    if x.count() > MOST_BROADCAST:
+    vectors = _dense_vectors(x)
+    if vectors is None:
         return spmv_csr(csr, rows, x)
-    pairs = x.toPandas()
-    dense = np.zeros(int(pairs["idx"].max()) + 1 if len(pairs) else 0)
-    dense[pairs["idx"].to_numpy()] = pairs["val"].to_numpy()
-    sent = spark.sparkContext.broadcast(dense)
+    sent = csr.sparkSession.sparkContext.broadcast((vectors, "matrix" in x.columns))
+
+    def kernel(part: pa.RecordBatch) -> np.ndarray:
+        vectors, keyed = sent.value
+        ja, a = part.column("ja").flatten().to_numpy(zero_copy_only=False), part.column("a").flatten().to_numpy(zero_copy_only=False).astype(float)
+        n = pc.list_value_length(part.column("ja")).fill_null(0).to_numpy(zero_copy_only=False)
+        products = np.zeros(len(ja))
+        names = part.column("matrix").to_pylist() if keyed else [None]
+        of = np.repeat(names, n) if keyed else None
+        for name in set(names):
+            value, there = vectors.get(name, (np.zeros(0), np.zeros(0, bool)))
+            own = (of == name) if keyed else np.ones(len(ja), bool)
+            own &= ja < len(value)
+            own[own] = there[ja[own]]
+            products[own] = a[own] * value[ja[own]]
+        starts = np.cumsum(n) - n
+        return np.add.reduceat(np.append(products, 0.0), starts) * (n > 0) if len(n) else products
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ja, a = b.column("ja"), b.column("a")
-            ends = ja.offsets.to_numpy()
-            products = a.values.to_numpy(zero_copy_only=False).astype(float) * sent.value[ja.values.to_numpy(zero_copy_only=False)]
-            sums = np.add.reduceat(np.append(products, 0.0), ends[:-1]) * (np.diff(ends) > 0)
-            yield pa.RecordBatch.from_arrays([b.column("matrix"), b.column("i").cast(pa.int64()), pa.array(sums)], ["matrix", "i", "y"])
+            for lo in range(0, b.num_rows, block):
+                part = b.slice(lo, block)
+                yield pa.RecordBatch.from_arrays([part.column("matrix"), part.column("i").cast(pa.int64()), pa.array(kernel(part))], ["matrix", "i", "y"])
 
     sums = csr.select("matrix", "i", "ja", "a").mapInArrow(run, "matrix string, i long, y double")
     return _dense(rows, sums, F.lit(0.0))
+
+
+def vector_text(y: DataFrame, width: int = 1 << 16) -> DataFrame:
+    """(matrix, chunk, text): a vector (matrix, i, y) printed with two decimals and a space after each element, width elements to a chunk."""
+    chunked = y.groupBy("matrix", int_div(F.col("i"), width).alias("chunk"))
+    listed = F.sort_array(F.collect_list(F.struct("i", F.format_string("%.2f ", F.col("y").cast("double")).alias("t"))))
+    return chunked.agg(F.array_join(F.transform(listed, lambda e: e["t"]), "").alias("text"))
+
+
+def spmv_owned(owned: DataFrame, x: DataFrame | None = None) -> DataFrame:
+    """(matrix, i, y) of partitioning.distribute: every partition adds up the rows that it owns, so no sum is shuffled.
+
+    x is joined as Spark sees fit; a small one is broadcast and leaves the
+    partitions where they are.
+    """
+    if x is None:
+        products = owned.withColumn("__t", F.col("v").cast("double"))
+    else:
+        keyed = "matrix" in x.columns
+        right = x.select(F.col("idx").alias("__idx"), F.col("val").cast("double").alias("__val"), *([F.col("matrix").alias("__xm")] if keyed else []))
+        on = F.col("j") == F.col("__idx")
+        products = owned.join(right, on & (F.col("matrix") == F.col("__xm")) if keyed else on, "left")
+        products = products.withColumn("__t", F.when(F.col("__val").isNotNull(), F.col("v").cast("double") * F.col("__val")).otherwise(0.0))
+    return products.groupBy("owner", "matrix", "i").agg(F.sum("__t").alias("y")).select("matrix", "i", "y")
+
+
+def spmv_blocks(blocks: DataFrame) -> DataFrame:
+    """(matrix, i, y) of hll_blocks for x all ones, each block added up in its row: no shuffle and no join."""
+    row = lambda r: F.aggregate(F.sequence(F.lit(1).cast("long"), F.col("k")), F.lit(0.0), lambda acc, s: acc + F.element_at("a", ((s - 1) * F.col("nr") + r + 1).cast("int")).cast("double"))
+    rows = F.transform(F.sequence(F.lit(0).cast("long"), F.col("nr") - 1), lambda r: F.struct((F.col("block") * F.col("hack") + r).alias("i"), F.when(F.col("k") > 0, row(r)).otherwise(0.0).alias("y")))
+    return blocks.select("matrix", F.inline(rows))
+
+
+def spmv_blocks_arrow(blocks: DataFrame, rows: DataFrame, x: DataFrame, block: int = 1 << 10) -> DataFrame:
+    """(matrix, i, y) of hll_blocks by a numpy kernel that takes block rows of the matrix at a time. x as for spmv_arrow.
+
+    Stored zeros, padding or not, take no part.
+    """
+    vectors = _dense_vectors(x)
+    if vectors is None:
+        return spmv_hll(block_cells(blocks), rows, x)
+    sent = blocks.sparkSession.sparkContext.broadcast((vectors, "matrix" in x.columns))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vectors, keyed = sent.value
+        for b in batches:
+            for matrix, at, hack, nr, k, ja, a in zip(*(b.column(c).to_pylist() for c in ("matrix", "block", "hack", "nr", "k")), b.column("ja"), b.column("a"), strict=True):
+                value, there = vectors.get(matrix if keyed else None, (np.zeros(0), np.zeros(0, bool)))
+                if k:
+                    j, v = ja.values.to_numpy(zero_copy_only=False).reshape(k, nr), a.values.to_numpy(zero_copy_only=False).astype(float).reshape(k, nr)
+                for lo in range(0, nr, block):
+                    y = np.zeros(min(block, nr - lo))
+                    if k:
+                        c, w = j[:, lo : lo + block], v[:, lo : lo + block]
+                        used = (w != 0) & (c < len(value))
+                        used[used] = there[c[used]]
+                        products = np.zeros(w.shape)
+                        products[used] = w[used] * value[c[used]]
+                        y = products.sum(axis=0)
+                    i = at * hack + lo
+                    yield pa.RecordBatch.from_arrays([pa.array([matrix] * len(y), pa.string()), pa.array(np.arange(i, i + len(y))), pa.array(y)], ["matrix", "i", "y"])
+
+    sums = blocks.select("matrix", "hack", "block", "nr", "k", "ja", "a").mapInArrow(run, "matrix string, i long, y double")
+    return _dense(rows, sums, F.lit(0.0))

@@ -7,14 +7,17 @@ are made from events. The SQL is written for DuckDB.
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from weftline.functions import perf_metrics as pm
-from weftline.functions.scalars import grid_size, mflops
+from weftline.functions import tables
+from weftline.functions.scalars import grid_size, launch_block, launch_status, mflops, option_block
 from weftline.operators import formats, partitioning, spmv
-from weftline.plans import report
-from weftline.sources import matrix_market, perf_log
+from weftline.plans import cli, report, runner
+from weftline.sources import lines, matrix_market, perf_log
 
 QUERIES = {}
 ORACLES = {}
@@ -100,6 +103,62 @@ def spmv_arrow(spark, sf_dir):
     return whole_y(spmv.spmv_arrow(formats.csr_rows(lineitem_coo(spark, sf_dir), ORDER), order_rows(spark, sf_dir), price_vector(spark, sf_dir)))
 
 
+@query(Y_SQL)
+def spmv_balanced(spark, sf_dir):
+    """Over seven partitions of about equal entries, each adding up the rows that it owns."""
+    return whole_y(spmv.spmv_owned(partitioning.distribute(lineitem_coo(spark, sf_dir), counts_a1(spark, sf_dir), 7), price_vector(spark, sf_dir)))
+
+
+@query(
+    f"""with {COO}, m as (select 'A' as matrix, i, j, v from coo union all select 'B', i, j, 2 * v from coo),
+v as (select 'A' as matrix, p_partkey as j, p_partkey as x from part where p_partkey % 2 = 0 union all select 'B', p_partkey, 1 from part where p_partkey % 3 = 0),
+s as (select m.matrix, i, cast(sum(v * x) as bigint) as y from m join v on m.matrix = v.matrix and m.j = v.j group by 1, 2)
+select k.matrix, o_orderkey as i, coalesce(y, 0) as y from orders cross join (select unnest(['A', 'B']) as matrix) k left join s on s.matrix = k.matrix and s.i = o_orderkey"""
+)
+def spmv_keyed_vectors(spark, sf_dir):
+    """Two matrices with a vector each, which lack half or two thirds of the columns."""
+    coo, part = lineitem_coo(spark, sf_dir), table(spark, sf_dir, "part")
+    both = coo.withColumn("matrix", F.lit("A")).unionByName(coo.withColumn("matrix", F.lit("B")).withColumn("v", F.col("v") * 2))
+    rows = order_rows(spark, sf_dir).select(F.explode(F.array(F.lit("A"), F.lit("B"))).alias("matrix"), "i")
+    x = part.where("p_partkey % 2 = 0").select(F.lit("A").alias("matrix"), F.col("p_partkey").alias("idx"), F.col("p_partkey").alias("val"))
+    x = x.unionByName(part.where("p_partkey % 3 = 0").select(F.lit("B").alias("matrix"), F.col("p_partkey").alias("idx"), F.lit(1).cast("long").alias("val")))
+    return spmv.spmv_arrow(formats.csr_rows(both, ORDER), rows, x).withColumn("y", F.col("y").cast("long"))
+
+
+@query(
+    f"""with {COO}, {X}, s as (select i, sum(v * x) as y from coo join x on coo.j = x.j group by i),
+k as (select unnest(['CSR', 'HLL']) as form), b as (select unnest([128, 256, 512, 1024])::integer as block)
+select form, block, (select count(*) from orders) as n, cast((select sum(y) from s) as bigint) as total, cast((select sum((i % 97) * y) from s) as bigint) as mixed from k, b"""
+)
+def kernel_block_sweep(spark, sf_dir):
+    """Both kernels at every block size, as the number of rows and two sums of y."""
+    coo, rows, x = lineitem_coo(spark, sf_dir), order_rows(spark, sf_dir), price_vector(spark, sf_dir)
+    csr, blocks = tables.cut(formats.csr_rows(coo, ORDER)), tables.cut(formats.hll_blocks(coo, counts_a1(spark, sf_dir), 32, ORDER))
+    out = None
+    for b in runner.BLOCKS:
+        for form, y in (("CSR", spmv.spmv_arrow(csr, rows, x, b)), ("HLL", spmv.spmv_blocks_arrow(blocks, rows, x, b))):
+            one = whole_y(y).agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("total"), F.sum(F.col("i") % 97 * F.col("y")).alias("mixed"))
+            one = one.select(F.lit(form).alias("form"), F.lit(b).alias("block"), "n", "total", "mixed")
+            out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query(f"with {COO} select o_orderkey as i, coalesce(y, 0) as y from orders left join (select i, cast(sum(v) as bigint) as y from coo group by i) on i = o_orderkey")
+def hll_spmv_owned(spark, sf_dir):
+    """Padded blocks dealt to seven owners and added up where they are, x all ones."""
+    blocks = formats.hll_blocks(lineitem_coo(spark, sf_dir), counts_a1(spark, sf_dir), 32, ORDER)
+    return whole_y(spmv.spmv_blocks(partitioning.distribute_blocks(blocks, 7)))
+
+
+@query(
+    f"""with {COO}, y as (select o_orderkey as i, coalesce(y, 0) as y from orders left join (select i, sum(v) as y from coo group by i) on i = o_orderkey)
+select i // 1000 as chunk, string_agg(printf('%.2f ', y::double), '' order by i) as text from y group by 1"""
+)
+def vector_print(spark, sf_dir):
+    """y as printed text, a thousand elements to a line."""
+    return spmv.vector_text(spmv.spmv_coo(lineitem_coo(spark, sf_dir), order_rows(spark, sf_dir)), 1000).select("chunk", "text")
+
+
 @query(f"with {COO} select o_orderkey as i, cast(coalesce(y, 0) as bigint) as y from orders left join (select i, sum(v) as y from coo group by i) on i = o_orderkey")
 def spmv_ordered_float(spark, sf_dir):
     return whole_y(spmv.spmv_ordered(lineitem_coo(spark, sf_dir), order_rows(spark, sf_dir), order=("j", "v")))
@@ -172,8 +231,10 @@ union all select p * 2 + 1, cast(j as integer), cast(i as integer), cast(v as do
 )
 def mm_symmetric(spark, sf_dir):
     e = table(spark, sf_dir, "lineitem").where("l_partkey >= l_suppkey")
-    at = F.row_number().over(Window.partitionBy(F.lit("s")).orderBy("l_partkey", "l_suppkey", "l_quantity")) + 2
-    body = e.select(F.lit("s.mtx").alias("file"), at.cast("long").alias("line_no"), F.concat_ws(" ", F.col("l_partkey") + 1, F.col("l_suppkey") + 1, "l_quantity").alias("value"))
+    coo = e.select(F.lit("s").alias("matrix"), F.col("l_partkey").alias("i"), F.col("l_suppkey").alias("j"), F.col("l_quantity").alias("v"))
+    counts = formats.row_counts(coo, table(spark, sf_dir, "part").select(F.lit("s").alias("matrix"), F.col("p_partkey").alias("i")))
+    placed = formats.csr_entries(coo, counts, ORDER)
+    body = placed.select(F.lit("s.mtx").alias("file"), (F.col("k") + 3).alias("line_no"), F.concat_ws(" ", F.col("i") + 1, F.col("ja") + 1, "a").alias("value"))
     n = table(spark, sf_dir, "part").count()
     head = body.agg(F.count(F.lit(1)).alias("n")).select(F.lit("s.mtx").alias("file"), F.inline(F.array(F.struct(F.lit(1).cast("long").alias("line_no"), F.lit("%%MatrixMarket matrix coordinate real symmetric").alias("value")), F.struct(F.lit(2).cast("long").alias("line_no"), F.concat_ws(" ", F.lit(n), F.lit(n), "n").alias("value")))))
     _, coo = matrix_market.parse(body.unionByName(head))
@@ -207,8 +268,125 @@ FILES = {
 
 @query("select * from (values " + ", ".join(f"('{k}', '{s}', cast({'null' if n is None else n} as bigint))" for k, (s, n, _) in FILES.items()) + ") as t(matrix, status, nnz)")
 def mm_reject(spark, sf_dir):
-    lines = spark.createDataFrame([(k, n, v) for k, (_, _, text) in FILES.items() for n, v in enumerate(text, 1)], "file string, line_no long, value string")
-    return matrix_market.parse(lines)[0].select("matrix", "status", "nnz")
+    made = spark.createDataFrame([(k, n, v) for k, (_, _, text) in FILES.items() for n, v in enumerate(text, 1)], "file string, line_no long, value string")
+    return matrix_market.parse(made)[0].select("matrix", "status", "nnz")
+
+
+def _folder(spark: SparkSession, files: dict[str, list[str]]) -> str:
+    """Small text files in a new folder that all executors share."""
+    path = tables.fresh_path(spark)
+    for name, lines in files.items():
+        tables.write_text(spark, f"{path}/{name}", lines)
+    return path
+
+
+_STATUS = [(f"{k}.mtx", s, n) for k, (s, n, _) in FILES.items()] + [("empty.mtx", "E_EMPTY", None), ("missing.mtx", "E_OPEN", None)]
+
+
+@query("select * from (values " + ", ".join(f"('{k}', '{s}', cast({'null' if n is None else n} as bigint))" for k, s, n in _STATUS) + ") as t(matrix, status, nnz)")
+def mm_scan(spark, sf_dir):
+    """Files written to a folder and read from it, one empty, one missing and one with another suffix among them."""
+    path = _folder(spark, {f"{k}.mtx": text for k, (_, _, text) in FILES.items()} | {"empty.mtx": [], "notes.txt": ["%%MatrixMarket"]})
+    return matrix_market.read(spark, [path, f"{path}/missing.mtx"])[0].select("matrix", "status", "nnz")
+
+
+_LINES = [(f"{k}.mtx", n, v) for k, (_, _, text) in FILES.items() for n, v in enumerate(text, 1)]
+
+
+@query("select file, line_no::bigint as line_no, value from (values " + ", ".join(f"('{f}', {n}, '{v}')" for f, n, v in _LINES) + ") as t(file, line_no, value)")
+def text_lines(spark, sf_dir):
+    """The numbered lines of a folder's *.mtx files."""
+    return lines.read_lines(spark, _folder(spark, {f"{k}.mtx": text for k, (_, _, text) in FILES.items()} | {"a.MTX": ["x"], "b.mtx.txt": ["y"]}), "*.mtx")
+
+
+# --- runs ------------------------------------------------------------------
+
+#: Name -> text of small matrices that are run, and the number of their non-zeros.
+RUN = {"tiny.mtx": ([_GENERAL, "6 4 6", "1 3 5", "1 1 1", "3 2 3", "5 4 2", "5 4 4", "5 1 0"], 6), "none.mtx": ([_GENERAL, "3 3 0"], 0)}
+THREADS = (1, 3)
+
+
+def _run_records() -> list[tuple]:
+    """Format, mode, threads, block size, hack size, non-zeros, matrix and status of every configuration."""
+    made = []
+    for name, (_, nnz) in RUN.items():
+        made.append(("CSR", "SerialRef", -1, -1, -1, nnz, name, "OK"))
+        made += [("CSR", "OpenMP", t, -1, -1, nnz, name, "OK") for t in THREADS] + [("CSR", "CUDA", -1, b, -1, nnz, name, "OK") for b in runner.BLOCKS]
+        made += [("HLL", "OpenMP", t, -1, 16, nnz, name, "OK") for t in THREADS] + [("HLL", "CUDA", -1, b, 16, nnz, name, "OK") for b in runner.BLOCKS]
+    return made
+
+
+RUN_COLUMNS = ["Format", "Mode", "Threads", "BlockSize", "HackSize", "NNZ", "Matrix", "status"]
+
+
+@query("select " + ", ".join(f'"{c}"' + ("::integer" if c in ("Threads", "BlockSize", "HackSize") else "::bigint" if c == "NNZ" else "") + f' as "{c}"' for c in RUN_COLUMNS) + " from (values " + ", ".join(str(r) for r in _run_records()) + ") as t(" + ", ".join(f'"{c}"' for c in RUN_COLUMNS) + ")")
+def runner_records(spark, sf_dir):
+    """The records of the suites on small matrices, with one hack size, without the times."""
+    meta, coo = matrix_market.read(spark, _folder(spark, {k: text for k, (text, _) in RUN.items()}))
+    out = None
+    for df in runner.run_suite(spark, meta, coo, [16], threads=THREADS, runs=1).values():
+        one = df.select(*RUN_COLUMNS)
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+_SUITES = ["csr_serial", "csr_openmp", "csr_cuda", *(f"hll_{k}{h}" for k in ("openmp", "cuda") for h in (16, 32, 64))]
+
+
+@query("select * from (values " + ", ".join(f"('{runner.LOG}', 'results_{n}.txt: completed', 1::bigint), ('results_{n}.txt', '[PERF]', {c}::bigint)" for n, c in ((n, 1) for n in _SUITES)) + ") as t(file, text, n)")
+def suite_logs(spark, sf_dir):
+    """What a run of all suites writes to its dated folder: records by log, and the master log's completed suites."""
+    meta, coo = matrix_market.read(spark, _folder(spark, {"tiny.mtx": RUN["tiny.mtx"][0]}))
+    path = runner.run_folder(tables.fresh_path(spark), datetime(2024, 1, 2, 3, 4, 5))
+    if not path.endswith("/benchmark_results_20240102_030405"):
+        raise ValueError(path)
+    runner.run_suite(spark, meta, coo, threads=[2], blocks=[256], runs=1, out=path)
+    found = lines.read_lines(spark, path).withColumn("text", F.when(F.col("file") == runner.LOG, F.col("value")).otherwise(F.substring("value", 1, 6)))
+    return found.where("text like '%: completed' or file <> 'master_execution_log.txt'").groupBy("file", "text").agg(F.count(F.lit(1)).alias("n"))
+
+
+_COMMANDS = {
+    "csr_serial in": ("csr_serial", 0, 256, 32, 10),
+    "csr_openmp in --threads 16": ("csr_openmp", 16, 256, 32, 10),
+    "csr_openmp in --threads junk": ("csr_openmp", 0, 256, 32, 10),
+    "csr_openmp in --threads -3 --runs 0": ("csr_openmp", 0, 256, 32, 10),
+    "csr_cuda in --block 512 --runs 3": ("csr_cuda", 0, 512, 32, 3),
+    "csr_cuda in --block 100": ("csr_cuda", 0, 256, 32, 10),
+    "hll_cuda in --block 2048 --hack 64": ("hll_cuda", 0, 256, 64, 10),
+    "hll_openmp in --hack -1 --threads 4": ("hll_openmp", 4, 256, 32, 10),
+}
+
+
+@query("select * from (values " + ", ".join(f"('{k}', '{m}', {t}::integer, {b}::integer, {h}::integer, {r}::integer)" for k, (m, t, b, h, r) in _COMMANDS.items()) + ") as t(command, mode, threads, block, hack, runs)")
+def command_lines(spark, sf_dir):
+    found = [(c, *(cli.options(c.split())[k] for k in ("mode", "threads", "block", "hack", "runs"))) for c in _COMMANDS]
+    return spark.createDataFrame(found, "command string, mode string, threads int, block int, hack int, runs int")
+
+
+_SIZES = (-4, 0, 1, 2, 100, 128, 256, 1000, 1024, 1025, 2048)
+
+
+@query(
+    "select n::integer as size, (case when n between 1 and 1024 then n else 256 end)::integer as launch, (case when n between 1 and 1024 and n & (n - 1) = 0 then n else 256 end)::integer as option, n > 0 as hack_ok "
+    f"from (select unnest({list(_SIZES)}) as n)"
+)
+def size_checks(spark, sf_dir):
+    """Block sizes as a launch and as the command line take them, and whether a number can be a hack size."""
+
+    def accepted(hack: int) -> bool:
+        try:
+            formats.hll_meta(spark.createDataFrame([("m", 0, 1)], "matrix string, i long, n long"), hack)
+        except ValueError:
+            return False
+        return True
+
+    return spark.createDataFrame([(n, launch_block(n), option_block(n), accepted(n)) for n in _SIZES], "size int, launch int, option int, hack_ok boolean")
+
+
+@query("select rows, cols, nnz, case when rows = 0 then 'EMPTY' when cols <= 0 then 'E_ARGS' when nnz = 0 then 'EMPTY' else 'RUN' end as status from (select unnest([0, 1, 5]) as rows), (select unnest([-1, 0, 3]) as cols), (select unnest([0, 2]) as nnz)")
+def kernel_arguments(spark, sf_dir):
+    sizes = spark.range(1).select(F.explode(F.array(*map(F.lit, (0, 1, 5)))).alias("rows")).select("rows", F.explode(F.array(*map(F.lit, (-1, 0, 3)))).alias("cols")).select("rows", "cols", F.explode(F.array(*map(F.lit, (0, 2)))).alias("nnz"))
+    return sizes.select("rows", "cols", "nnz", launch_status(F.col("rows"), F.col("cols"), F.col("nnz")).alias("status"))
 
 
 # --- compressed rows and padded blocks -------------------------------------
@@ -406,10 +584,10 @@ def perf_parse(spark, sf_dir):
     file = F.concat(F.lit("results_"), F.lower("Format"), F.lit("_"), mode, F.when((F.col("Mode") == "OpenMP") & (F.col("Format") == "HLL"), "48").otherwise(""), F.lit(".txt"))
     keyed = perf.withColumn("line_no", F.col("event_id")).withColumn("file", file)
     text = F.format_string("[PERF] Format:X, Mode:X, Threads:%d, BlockSize:%d, HackSize:%d, Time_s:%.8f, MFLOPS:%.2f, NNZ:%d, Matrix:%s", "Threads", "BlockSize", "HackSize", "Time_s", "MFLOPS", "NNZ", "Matrix")
-    lines = keyed.select("file", "line_no", text.alias("value"))
-    noise = lines.withColumn("value", F.concat(F.lit("info: "), "value"))
-    other = lines.withColumn("file", F.lit("notes.txt"))
-    return perf_log.parse(lines.unionByName(noise).unionByName(other)).drop("file", "line_no")
+    made = keyed.select("file", "line_no", text.alias("value"))
+    noise = made.withColumn("value", F.concat(F.lit("info: "), "value"))
+    other = made.withColumn("file", F.lit("notes.txt"))
+    return perf_log.parse(made.unionByName(noise).unionByName(other)).drop("file", "line_no")
 
 
 _NAMES = {
@@ -537,13 +715,41 @@ cbest as (select * exclude (rn) from (select *, row_number() over (partition by
 
 
 def _charts(mode: str, spark: SparkSession, sf_dir: str) -> DataFrame:
-    perf = valid_perf(spark, sf_dir).withColumn("file", F.lit("")).withColumn("line_no", F.col("event_id")).persist()
-    out = None
-    for name, data in report.charts(perf, mode).items():
-        x, y = data.columns[1], data.columns[2]
-        one = data.select(F.lit(name).alias("chart"), "Matrix", F.col(x).cast("string").alias("x"), F.round(y, 6).alias("y"))
-        out = one if out is None else out.unionByName(one)
-    return out
+    perf = valid_perf(spark, sf_dir).withColumn("file", F.lit("")).withColumn("line_no", F.col("event_id"))
+    return rounded(report.chart_data(perf, mode), "y")
+
+
+_LOG = {
+    "results_csr_serial.txt": [("a.mtx", -1, -1, -1, 0.03, 400.0), ("b.mtx", -1, -1, -1, 0.01, 200.0)],
+    "results_csr_openmp.txt": [("a.mtx", 8, -1, -1, 0.006, 2000.0), ("b.mtx", 8, -1, -1, 0.005, 400.0), ("c.mtx", 2, -1, -1, 0.1, 0.0)],
+    "results_hll_openmp16.txt": [("a.mtx", 8, -1, 99, 0.003, 4000.0)],
+    "results_hll_cuda64.txt": [("a.mtx", -1, 256, 64, 0.001, 12000.0), ("a.mtx", -1, 512, 64, 0.0, -1.0)],
+}
+
+
+def _log_folder(spark: SparkSession) -> str:
+    text = "[PERF] Format:X, Mode:X, Threads:{}, BlockSize:{}, HackSize:{}, Time_s:{:.8f}, MFLOPS:{:.2f}, NNZ:7, Matrix:{}"
+    return _folder(spark, {k: ["a line of notes", *(text.format(t, b, h, s, m, name) for name, t, b, h, s, m in v)] for k, v in _LOG.items()} | {"results.txt": ["[PERF] x"], "other.log": ["x"]})
+
+
+_PARSED = [(f, *_NAMES.get(f, ("CSR", "OpenMP", -1))[:2], t, b, _NAMES.get(f, (0, 0, -1))[2] if _NAMES.get(f, (0, 0, -1))[2] != -1 else h, s, m, name) for f, v in _LOG.items() for name, t, b, h, s, m in v]
+
+
+@query('select file, "Format", "Mode", t::integer as "Threads", b::integer as "BlockSize", h::integer as "HackSize", s::double as "Time_s", m::double as "MFLOPS", "Matrix" from (values ' + ", ".join(str(r) for r in _PARSED) + ') as x(file, "Format", "Mode", t, b, h, s, m, "Matrix")')
+def perf_scan(spark, sf_dir):
+    """Logs written to a folder and read from it."""
+    return perf_log.read(spark, _log_folder(spark)).select("file", "Format", "Mode", "Threads", "BlockSize", "HackSize", "Time_s", "MFLOPS", "Matrix")
+
+
+_WRITTEN = {"csv/openmp_csr_perf": 3, "csv/openmp_hll_perf": 1, "csv/cuda_csr_perf": 0, "csv/cuda_hll_perf": 1, "charts/palette": 3, "charts/OpenMP/CSR/Speedup": 3, "charts/OpenMP/HLL/HackSize_16/GFLOPS": 1, "charts/OpenMP/Comparisons/Efficiency": 3, "charts/CUDA/CSR/GFLOPS": 0, "charts/CUDA/HLL/HackSize_64/Speedup": 1, "charts/CUDA/Comparisons/GFLOPS": 1}
+
+
+@query("select * from (values " + ", ".join(f"('{k}', {n}::bigint)" for k, n in _WRITTEN.items()) + ") as t(path, n)")
+def report_files(spark, sf_dir):
+    """The rows of files that a report writes, in folders that it makes."""
+    out = f"{tables.fresh_path(spark)}/made/by/the/report"
+    report.main(spark, _log_folder(spark), out)
+    return spark.createDataFrame([(p, spark.read.csv(f"{out}/{p}", header=True, schema="a string").count()) for p in _WRITTEN], "path string, n long")
 
 
 @query(_chart_sql("OpenMP"))

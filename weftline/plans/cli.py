@@ -32,22 +32,31 @@ def parser() -> argparse.ArgumentParser:
     return p
 
 
-def main(argv: list[str] | None = None) -> None:
+def options(argv: list[str] | None) -> dict:
+    """The options of a command line, those out of range replaced by their defaults; 0 threads stands for the session's parallelism."""
     args = parser().parse_args(argv)
+    return {
+        "mode": args.mode, "folder": args.folder, "threads": max(args.threads, 0), "block": option_block(args.block), "hack": args.hack if args.hack > 0 else runner.DEFAULTS["hack"],
+        "runs": args.runs if args.runs > 0 else runner.RUNS, "suite": args.suite, "out": args.out,
+    }
+
+
+def main(argv: list[str] | None = None) -> None:
+    o = options(argv)
     spark = SparkSession.builder.appName("weftline").getOrCreate()
-    meta, coo = matrix_market.read(spark, args.folder)
+    meta, coo = matrix_market.read(spark, o["folder"])
     meta.select("matrix", "nrows", "ncols", "nnz", "status").show(100, truncate=False)
-    mode, hack = runner.Mode(args.mode), args.hack if args.hack > 0 else runner.DEFAULTS["hack"]
-    coo = coo.persist()
-    if args.suite:
-        perf = runner.run(spark, meta, coo, mode, hack=hack, runs=args.runs or runner.RUNS)
+    mode, coo = runner.Mode(o["mode"]), coo.persist()
+    if o["suite"]:
+        perf = runner.run(spark, meta, coo, mode, hack=o["hack"], runs=o["runs"])
     else:
-        perf = runner.single(spark, meta, coo, mode, args.threads if args.threads > 0 else None, option_block(args.block), hack, args.runs or runner.RUNS)
+        perf = runner.single(spark, meta, coo, mode, o["threads"] or None, o["block"], o["hack"], o["runs"])
     lines = perf_log.format_lines(perf)
-    if args.out:
-        lines.write.mode("overwrite").text(args.out)
+    if o["out"]:
+        lines.write.mode("overwrite").text(o["out"])
     else:
         lines.show(1000, truncate=False)
+    coo.unpersist()
 
 
 if __name__ == "__main__":

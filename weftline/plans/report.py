@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from weftline.functions import perf_metrics as pm
+from weftline.functions.tables import cut
 from weftline.sources import perf_log
 
 EXPORTS = {"openmp_csr_perf": ("OpenMP", "CSR"), "openmp_hll_perf": ("OpenMP", "HLL"), "cuda_csr_perf": ("CUDA", "CSR"), "cuda_hll_perf": ("CUDA", "HLL")}
@@ -18,31 +20,42 @@ def exports(perf: DataFrame) -> dict[str, DataFrame]:
     return {name: pm.select_runs(perf, mode, fmt) for name, (mode, fmt) in EXPORTS.items()}
 
 
-def charts(perf: DataFrame, mode: str) -> dict[str, DataFrame]:
-    """Path of a chart -> its data: lines per format and hack size, bars of the best configurations.
+def chart_data(perf: DataFrame, mode: str) -> DataFrame:
+    """(chart, Matrix, x, y) of all charts of a mode, in one plan: lines per format and hack size, bars of the best configurations.
 
     Empty inputs give empty data; without serial runs the speedups are null
     and leave no bars.
     """
     x, measures, efficiency = CHARTS[mode]
-    reference = pm.serial_reference(perf)
-    csr, hll = (pm.with_speedup(pm.select_runs(perf, mode, fmt), reference, efficiency) for fmt in ("CSR", "HLL"))
-    found = {f"{mode}/CSR/{y}": pm.line_series(csr, x, y) for y in measures}
-    for r in pm.hack_sizes(hll).collect():
-        own = hll.where(hll["HackSize"] == r["HackSize"])
-        found |= {f"{mode}/HLL/HackSize_{r['HackSize']}/{y}": pm.line_series(own, x, y) for y in measures}
-    best = pm.best_configuration(pm.union_formats(csr, hll, measures), ORDER)
-    return found | {f"{mode}/Comparisons/{y}": pm.bar_means(best, y) for y in measures}
+    runs = pm.with_speedup(pm.select_runs(perf, mode).where(F.col("Format").isin("CSR", "HLL")), pm.serial_reference(perf), efficiency)
+    every = F.inline(F.array(*(F.struct(F.lit(m).alias("measure"), F.col(m).alias("value")) for m in measures)))
+    place = F.when(F.col("Format") == "CSR", "CSR").otherwise(F.concat(F.lit("HLL/HackSize_"), F.col("HackSize")))
+    lines = runs.where("Format = 'CSR' or HackSize <> -1").select(place.alias("place"), "Matrix", F.col(x).cast("string").alias("x"), every)
+    best = pm.best_configuration(runs.dropna(subset=measures), ORDER)
+    bars = best.select(F.lit("Comparisons").alias("place"), "Matrix", F.col("Format").alias("x"), every)
+    chart = F.concat_ws("/", F.lit(mode), "place", "measure").alias("chart")
+    return lines.unionByName(bars).groupBy(chart, "Matrix", "x").agg(F.avg("value").alias("y"))
+
+
+def charts(perf: DataFrame, mode: str) -> dict[str, DataFrame]:
+    """Path of a chart -> its data, (Matrix, x, measure). The paths, a short list, come to the driver."""
+    x, measures, _ = CHARTS[mode]
+    data = cut(chart_data(perf, mode))
+    names = {f"{mode}/{kind}/{y}" for kind in ("CSR", "Comparisons") for y in measures} | {r["chart"] for r in data.select("chart").distinct().collect()}
+    found = {}
+    for name in sorted(names):
+        bar, y = "/Comparisons/" in name, name.rsplit("/", 1)[-1]
+        found[name] = data.where(F.col("chart") == name).select("Matrix", F.col("x").alias("Format") if bar else F.col("x").cast("int").alias(x), F.col("y").alias(y))
+    return found
 
 
 def main(spark: SparkSession, logs: str, out: str) -> dict[str, DataFrame]:
     """Read the logs, write the four CSV folders and every chart's data (as CSV) under out, and return the chart data."""
-    perf = pm.valid(perf_log.read(spark, logs)).persist()
+    perf = cut(pm.valid(perf_log.read(spark, logs)))
     for name, records in exports(perf).items():
         perf_log.write_csv(records, f"{out}/csv/{name}")
     found = charts(perf, "OpenMP") | charts(perf, "CUDA")
     for name, data in found.items():
         data.write.mode("overwrite").csv(f"{out}/charts/{name}", header=True)
     pm.palette(perf).write.mode("overwrite").csv(f"{out}/charts/palette", header=True)
-    perf.unpersist()
     return found

@@ -1,23 +1,28 @@
 """Timed products: sweeps of configurations to benchmark records.
 
 Modes name physical strategies of one logical plan: csr_serial runs it in one
-task, csr_openmp over entry-balanced partitions, hll_openmp over the padded
-blocks; csr_cuda and hll_cuda run numpy kernels in Arrow batches and the block
-plan (there is no GPU). Times are wall-clock seconds of a run whose rows are
-all made and none kept.
+task; csr_openmp over partitions that own rows of about equal entries and
+hll_openmp over partitions that own equal numbers of padded blocks, both
+adding up where the rows are; csr_cuda and hll_cuda run numpy kernels in Arrow
+batches, a launch's block size being the rows that the kernel takes at a time
+(there is no GPU). Times are wall-clock seconds of a run whose rows are all
+made and none kept.
 """
 
 from __future__ import annotations
 
 import time
 from collections.abc import Callable, Iterable
+from datetime import datetime
 from enum import Enum
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.functions.scalars import launch_block, mflops
+from weftline.functions.scalars import launch_block, launch_status, mflops
+from weftline.functions.tables import append_text, write_text
 from weftline.operators import formats, partitioning, spmv
+from weftline.sources import perf_log
 
 RUNS = 10
 THREADS = tuple(range(1, 41))
@@ -35,6 +40,10 @@ class Mode(Enum):
     HLL_CUDA = "hll_cuda"
 
 
+#: Modes whose kernels check their arguments first.
+KERNELS = (Mode.CSR_CUDA, Mode.HLL_CUDA)
+
+
 def timed(df: DataFrame, runs: int = RUNS) -> float:
     """Mean seconds of computing df."""
     total = 0.0
@@ -59,7 +68,8 @@ def run(spark: SparkSession, meta: DataFrame, coo: DataFrame, mode: Mode, thread
     loop over matrices is short: names and sizes come to the driver.
     """
     records = []
-    for m in meta.where("status = 'OK'").select("matrix", "nnz", "nrows", "ncols").collect():
+    launch = launch_status(F.col("nrows"), F.col("ncols"), F.col("nnz")).alias("launch")
+    for m in meta.where("status = 'OK'").select("matrix", "nnz", "nrows", "ncols", launch).collect():
         own = coo.where(F.col("matrix") == m["matrix"])
         rows = formats.row_index(meta.where(F.col("matrix") == m["matrix"])).persist()
         counts = formats.row_counts(own, rows).persist()
@@ -67,7 +77,10 @@ def run(spark: SparkSession, meta: DataFrame, coo: DataFrame, mode: Mode, thread
         kept = [rows, counts]
 
         def add(fmt: str, name: str, t: int, b: int, h: int, make: Callable[[], DataFrame], m=m) -> None:
-            seconds, status = _measured(make, runs)
+            if mode in KERNELS and m["launch"] != "RUN":
+                seconds, status = (0.0, "OK") if m["launch"] == "EMPTY" else (None, m["launch"])
+            else:
+                seconds, status = _measured(make, runs)
             records.append((fmt, name, t, b, h, seconds, m["nnz"], m["matrix"], status, "wall"))
 
         if mode is Mode.CSR_SERIAL:
@@ -78,28 +91,31 @@ def run(spark: SparkSession, meta: DataFrame, coo: DataFrame, mode: Mode, thread
             for t in threads:
                 data = partitioning.distribute(own, counts, t).persist()
                 data.count()
-                add("CSR", "OpenMP", t, -1, -1, lambda data=data: spmv.spmv_coo(data, rows, x))
+                add("CSR", "OpenMP", t, -1, -1, lambda data=data: spmv.spmv_owned(data))
                 data.unpersist()
         elif mode is Mode.CSR_CUDA:
             data = formats.csr_rows(own).persist()
             data.count()
             kept.append(data)
             for b in map(launch_block, blocks):
-                add("CSR", "CUDA", -1, b, -1, lambda data=data: spmv.spmv_arrow(data, rows, x))
+                add("CSR", "CUDA", -1, b, -1, lambda data=data, b=b: spmv.spmv_arrow(data, rows, x, b))
         else:
             data = formats.hll_blocks(own, counts, hack).persist()
             data.count()
             kept.append(data)
             if mode is Mode.HLL_OPENMP:
                 for t in threads:
-                    add("HLL", "OpenMP", t, -1, hack, lambda data=data, t=t: spmv.spmv_hll(formats.block_cells(data.coalesce(t)), rows, x))
+                    owned = partitioning.distribute_blocks(data, t).persist()
+                    owned.count()
+                    add("HLL", "OpenMP", t, -1, hack, lambda owned=owned: spmv.spmv_blocks(owned))
+                    owned.unpersist()
             else:
                 for b in map(launch_block, blocks):
-                    add("HLL", "CUDA", -1, b, hack, lambda data=data: spmv.spmv_hll(formats.block_cells(data), rows, x))
+                    add("HLL", "CUDA", -1, b, hack, lambda data=data, b=b: spmv.spmv_blocks_arrow(data, rows, x, b))
         for df in kept:
             df.unpersist()
     frame = spark.createDataFrame(records, RECORD)
-    rate = F.coalesce(mflops(F.col("NNZ"), F.col("Time_s"), -1.0 if mode in (Mode.CSR_CUDA, Mode.HLL_CUDA) else 0.0), F.lit(-1.0))
+    rate = F.coalesce(mflops(F.col("NNZ"), F.col("Time_s"), -1.0 if mode in KERNELS else 0.0), F.lit(-1.0))
     return frame.withColumn("MFLOPS", rate)
 
 
@@ -108,14 +124,42 @@ def single(spark: SparkSession, meta: DataFrame, coo: DataFrame, mode: Mode, thr
     return run(spark, meta, coo, mode, [threads or spark.sparkContext.defaultParallelism], [block], hack, runs)
 
 
-def run_suite(spark: SparkSession, meta: DataFrame, coo: DataFrame, hacks: Iterable[int] = HACKS, **options) -> dict[str, DataFrame]:
-    """Log name -> records of the nine suites; a suite that fails is left out and the others go on."""
+# The names of a suite's folder and of its log.
+FOLDER = "benchmark_results_%Y%m%d_%H%M%S"
+LOG = "master_execution_log.txt"
+
+
+def run_folder(base: str, when: datetime) -> str:
+    """The dated folder of a run."""
+    return f"{base.rstrip('/')}/{when.strftime(FOLDER)}"
+
+
+def run_suite(spark: SparkSession, meta: DataFrame, coo: DataFrame, hacks: Iterable[int] = HACKS, out: str | None = None, **options) -> dict[str, DataFrame]:
+    """Log name -> records of the nine suites; a suite that fails is left out and the others go on.
+
+    out: a folder that each suite's log goes to as a file of lines, with a
+    master log of what ran and how it ended.
+    """
     suites = [("results_csr_serial.txt", Mode.CSR_SERIAL, DEFAULTS["hack"]), ("results_csr_openmp.txt", Mode.CSR_OPENMP, DEFAULTS["hack"]), ("results_csr_cuda.txt", Mode.CSR_CUDA, DEFAULTS["hack"])]
     suites += [(f"results_hll_{kind}{h}.txt", mode, h) for kind, mode in (("openmp", Mode.HLL_OPENMP), ("cuda", Mode.HLL_CUDA)) for h in hacks]
-    found = {}
+    found, log = {}, []
+
+    def note(*lines: str) -> None:
+        log.extend(lines)
+        if out:
+            append_text(spark, f"{out}/{LOG}", list(lines))
+        else:
+            print(*lines, sep="\n")
+
+    note(f"suites started at {datetime.now().isoformat(timespec='seconds')}")
     for name, mode, hack in suites:
+        note(f"{name}: {mode.value} begins")
         try:
             found[name] = run(spark, meta, coo, mode, hack=hack, **options)
+            if out:
+                write_text(spark, f"{out}/{name}", [r["value"] for r in perf_log.format_lines(found[name]).collect()])
+            note(f"{name}: completed")
         except Exception as e:
-            print(f"{name}: failed: {e}")
+            note(f"{name}: failed: {e}")
+    note(f"suites ended at {datetime.now().isoformat(timespec='seconds')}")
     return found

@@ -1,12 +1,5 @@
-"""Schemas of the relations that sources, operators and reports exchange."""
+"""Schemas that sources and sinks share."""
 
 LINES = "file string, line_no bigint, value string"
-META = "matrix string, fmt string, field string, symmetry string, nrows int, ncols int, nnz_header bigint, nnz bigint, status string"
-COO = "matrix string, pos bigint, i int, j int, v float"
-CSR_PTR = "matrix string, i bigint, irp bigint"
-CSR_ENTRY = "matrix string, k bigint, i int, ja int, a float"
-HLL_BLOCK = "matrix string, hack int, block bigint, nr bigint, k bigint, cells bigint, start_offset bigint, ja array<int>, a array<float>"
-VECTOR = "idx int, val double"
-PERF = "Threads int, BlockSize int, HackSize int, Time_s double, MFLOPS double, NNZ bigint, Matrix string, Format string, Mode string, GFLOPS double"
 #: Column order of exported records.
 PERF_COLUMNS = ["Threads", "BlockSize", "HackSize", "Time_s", "MFLOPS", "NNZ", "Matrix", "Format", "Mode", "GFLOPS"]

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline import schema
+from weftline.functions.tables import cut
 from weftline.sources.lines import read_lines
 
 _INT = r"([+-]?\d+)"
@@ -54,14 +55,14 @@ def parse(lines: DataFrame, strict: bool = False) -> tuple[DataFrame, DataFrame]
     Only symmetric files are mirrored; skew-symmetric and hermitian ones are
     read like general ones, or with strict rejected as E_SYMMETRY. Numbers are
     read like scanf reads them: a prefix counts and the rest of a line is
-    ignored, as are lines after the last entry.
+    ignored, as are lines after the last entry. Lines are parsed once, into a
+    table that both the status and the entries come from.
     """
-    heads = _headers(lines, strict).persist()
-    heads.count()  # one row per file; its known size lets Spark choose the join
+    heads = cut(_headers(lines, strict))  # one row per file; its known size lets Spark choose the join
     body = lines.join(heads.where("early is null"), F.col("file") == F.col("matrix")).where((F.col("line_no") > F.col("size_no")) & (F.col("line_no") <= F.col("size_no") + F.col("nnz_header")))
     pattern = F.col("field") == "pattern"
     value = F.when(pattern, F.lit(1.0).cast("float")).when(F.col("field") == "integer", _group(_ENTRY["integer"], 3, "int").cast("float")).otherwise(_group(_ENTRY["real"], 3, "float"))
-    read = body.select("matrix", "symmetry", "nrows", "ncols", (F.col("line_no") - F.col("size_no") - 1).alias("p"), _group(_ENTRY["pattern"], 1, "int").alias("r"), _group(_ENTRY["pattern"], 2, "int").alias("c"), value.alias("v"))
+    read = cut(body.select("matrix", "symmetry", "nrows", "ncols", (F.col("line_no") - F.col("size_no") - 1).alias("p"), _group(_ENTRY["pattern"], 1, "int").alias("r"), _group(_ENTRY["pattern"], 2, "int").alias("c"), value.alias("v")))
     inside = F.col("r").between(1, F.col("nrows")) & F.col("c").between(1, F.col("ncols"))
     fault = F.when(F.col("r").isNull() | F.col("c").isNull() | F.col("v").isNull(), "E_ENTRY").when(~inside, "E_OOB")
     found = read.groupBy("matrix").agg(F.count(F.lit(1)).alias("found"), F.min(F.when(fault.isNotNull(), F.struct("p", fault.alias("code")))).alias("bad"), F.sum((F.col("r") != F.col("c")).cast("long")).alias("off"))
