@@ -32,7 +32,7 @@ from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm.common import named, paired, shifted
+from weftline.llm.common import cut, named, paired, shifted
 from weftline.llm.license_texts import NOTICES, TEMPLATES
 
 BANDS, SHINGLE = 40, 5
@@ -136,19 +136,29 @@ def _batches(known: list[dict]) -> Iterator[list[dict]]:
         yield batch
 
 
-def _found_templates(rows: DataFrame, known: list[dict], percent: int) -> DataFrame:
-    """(doc_id, template, license, start, shared, m) for each window of rows (doc_id, s) with percent of a template."""
-    spark = rows.sparkSession
-    sizes = sorted({t["size"] for t in known})
-    rows = rows.select("doc_id", "s", _hits("s", [h for t in known for h in t["least"]]).alias("hits"))
+def _candidates(rows: DataFrame, known: list[dict], brief: list[tuple[str, str, int, int]]) -> DataFrame:
+    """(doc_id, size, start, w): windows with a minimum of a template, and occurrences of notices as windows of size -n; one pass over the texts, written once."""
+    lengths = sorted({n for _, _, n, _ in brief})
+    rows = _with_shingles(rows, "text", "s", set(lengths))
+    places = [_hits(f"s_{n}", [h for _, _, k, h in brief if k == n]).alias(f"hits_{n}") for n in lengths]
+    rows = rows.select("doc_id", "s", *(f"s_{n}" for n in lengths), _hits("s", [h for t in known for h in t["least"]]).alias("hits"), *places)
 
     def of(size: int) -> Column:
         own = ",".join(f"{h}L" for h in sorted({h for t in known if t["size"] == size for h in t["least"]}))
         return _windows(F.expr(f"filter(hits, p -> s[p] in ({own}))"), F.col("s"), size)
 
-    windows = rows.select("doc_id", F.explode(F.when(F.col("hits").isNotNull(), F.flatten(F.array(*map(of, sizes))))).alias("x")).select("doc_id", "x.*")
+    def whole(n: int) -> Column:
+        return F.transform(f"hits_{n}", lambda p: F.struct(F.lit(-n).alias("size"), p.alias("start"), F.array(F.get(f"s_{n}", p)).alias("w")))
+
+    long = F.when(F.col("hits").isNotNull(), F.flatten(F.array(*(of(size) for size in sorted({t["size"] for t in known})))))
+    return cut(rows.select("doc_id", F.explode(F.flatten(F.array_compact(F.array(long, *map(whole, lengths))))).alias("x")).select("doc_id", "x.*"))
+
+
+def _found_templates(windows: DataFrame, known: list[dict], percent: int) -> DataFrame:
+    """(doc_id, template, license, start, shared, m) for each of the windows with percent of a template."""
+    spark = windows.sparkSession
     every = ",".join(f"{k}L" for k in sorted({k for t in known for k in t["keys"]}))
-    windows = windows.select("*", _keys(F.col("w"), F.col("size")).alias("k")).select("doc_id", "start", "w", F.expr(f"filter(k, x -> x in ({every}))").alias("collided"))
+    windows = windows.where("size > 0").select("*", _keys(F.col("w"), F.col("size")).alias("k")).select("doc_id", "start", "w", F.expr(f"filter(k, x -> x in ({every}))").alias("collided"))
     banded = windows.select("doc_id", "start", "w", "collided", F.explode("collided").alias("key"))
     table = _table(spark, [(t["template"], t["license"], _longs(t["s"]), _longs(t["keys"])) for t in known], ["template", "license", "shingles", "keys"])
     bands = table.select("template", F.explode(F.array_distinct("keys")).alias("t_key"))
@@ -158,18 +168,12 @@ def _found_templates(rows: DataFrame, known: list[dict], percent: int) -> DataFr
     return found.where(100 * F.col("shared") >= percent * F.col("m"))
 
 
-def _found_notices(rows: DataFrame, brief: list[tuple[str, str, int, int]]) -> DataFrame:
-    """(doc_id, template, license, start, shared, m) for each occurrence of a notice in rows (doc_id, s_n)."""
-
-    def of(n: int) -> Column:
-        hits = _hits(f"s_{n}", [h for _, _, k, h in brief if k == n])
-        return F.transform(hits, lambda p: F.struct(F.lit(n).alias("n"), p.alias("start"), F.get(f"s_{n}", p).alias("h")))
-
-    at = [of(n) for n in sorted({n for _, _, n, _ in brief})]
-    found = rows.select("doc_id", F.explode(F.flatten(F.array_compact(F.array(*at)))).alias("x")).select("doc_id", "x.*")
-    table = _table(rows.sparkSession, [(t, lic, F.lit(n), F.expr(f"{h}L")) for t, lic, n, h in brief], ["template", "license", "t_n", "t_h"])
+def _found_notices(windows: DataFrame, brief: list[tuple[str, str, int, int]]) -> DataFrame:
+    """(doc_id, template, license, start, shared, m) for each occurrence of a notice."""
+    table = _table(windows.sparkSession, [(t, lic, F.lit(-n), F.expr(f"{h}L")) for t, lic, n, h in brief], ["template", "license", "t_size", "t_h"])
     one = F.lit(1)
-    return found.join(F.broadcast(table), (F.col("n") == F.col("t_n")) & (F.col("h") == F.col("t_h"))).select("doc_id", "template", "license", "start", one.alias("shared"), one.alias("m"))
+    found = windows.where("size < 0").join(F.broadcast(table), (F.col("size") == F.col("t_size")) & (F.get("w", F.lit(0)) == F.col("t_h")))
+    return found.select("doc_id", "template", "license", "start", one.alias("shared"), one.alias("m"))
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: list[Template] | None = None, percent: int = 80, notices: list[Template] | None = None) -> DataFrame:
@@ -189,11 +193,11 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templa
     brief = notice_table(spark, notices if notices is not None else [] if templates else NOTICES)
     rows = docs.select(named(id_col).alias("doc_id"), named(text_col).alias("text")).where("text is not null")
     found = None
-    for batch in _batches(known):
-        part = _found_templates(_with_shingles(rows, "text", "s"), batch, percent)
-        found = part if found is None else found.unionByName(part)
-    if brief:
-        found = found.unionByName(_found_notices(_with_shingles(rows, "text", "s", {n for _, _, n, _ in brief}), brief))
+    for k, batch in enumerate(_batches(known)):
+        windows = _candidates(rows, batch, brief if k == 0 else [])
+        parts = [_found_templates(windows, batch, percent), *([_found_notices(windows, brief)] if brief and k == 0 else [])]
+        for part in parts:
+            found = part if found is None else found.unionByName(part)
     out = found.groupBy("doc_id", "template", "license").agg((F.max("shared") / F.max("m")).alias("containment"), F.min("start").cast("long").alias("first_word"), F.count_distinct("start").alias("windows"))
     return out.select("doc_id", "template", "license", F.round("containment", 6).alias("containment"), "first_word", "windows")
 
