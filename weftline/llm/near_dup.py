@@ -302,7 +302,7 @@ def _block_pairs(nodes: DataFrame, sizes: DataFrame) -> DataFrame:
     Large groups have blocks of their own, which never meet each other; small
     groups share blocks, each whole in one.
     """
-    several = nodes.groupBy(F.col("cluster").alias("c")).agg(F.min("group").alias("g"), F.max("group").alias("h")).where("g <> h").select("c")
+    several = cut(nodes.groupBy(F.col("cluster").alias("c")).agg(F.min("group").alias("g"), F.max("group").alias("h")).where("g <> h").select("c"))
     nodes = nodes.join(several, F.col("cluster") == F.col("c"), "left_semi").join(sizes, F.col("node") == F.col("rep")).select("node", "cluster", "group", "n")
     fill = F.greatest(F.count(F.lit(1)) / BLOCK_TEXTS, F.sum("n") / BLOCK_SHINGLES).alias("fill")
     groups = cut(nodes.groupBy("cluster", "group").agg(fill))
@@ -310,7 +310,7 @@ def _block_pairs(nodes: DataFrame, sizes: DataFrame) -> DataFrame:
     upto = Window.partitionBy("cluster").orderBy("group").rowsBetween(Window.unboundedPreceding, -1)
     large = large.select(F.col("cluster").alias("lc"), F.col("group").alias("lg"), "parts", F.coalesce(F.sum("parts").over(upto), F.lit(0)).cast("int").alias("first"))
     totals = groups.groupBy(F.col("cluster").alias("tc")).agg(F.coalesce(F.sum(F.when(F.col("fill") > 0.5, F.ceil("fill"))), F.lit(0)).cast("int").alias("owned"), F.ceil(F.coalesce(F.sum(F.when(F.col("fill") <= 0.5, F.col("fill"))), F.lit(0.0))).cast("int").alias("common"))
-    placed = nodes.join(large, (F.col("cluster") == F.col("lc")) & (F.col("group") == F.col("lg")), "left").join(totals, F.col("cluster") == F.col("tc"))
+    placed = nodes.join(cut(large), (F.col("cluster") == F.col("lc")) & (F.col("group") == F.col("lg")), "left").join(cut(totals), F.col("cluster") == F.col("tc"))
     own = F.col("first") + F.pmod(F.xxhash64("node"), F.col("parts").cast("long")).cast("int")
     shared = F.col("owned") + F.pmod(F.xxhash64("group"), F.greatest("common", F.lit(1)).cast("long")).cast("int")
     others = F.filter(F.sequence(F.lit(0), F.col("owned") + F.col("common") - 1), lambda x: F.col("first").isNull() | (x < F.col("first")) | (x >= F.col("first") + F.col("parts")))

@@ -40,7 +40,7 @@ from weftline.functions.prefix import exclusive_prefix
 from weftline.llm.common import Recent, cut, named, worker_state
 
 #: Bytes of chunks and ids that a generation of a worker's memory holds before it ages; the longest chunk kept, in bytes.
-CACHE, CHUNK = 16 << 20, 64
+CACHE, CHUNK = 24 << 20, 64
 #: Bytes of text that are tokenised at a time.
 BATCH = 4 << 20
 LANE = 1024
