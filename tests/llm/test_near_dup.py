@@ -3,7 +3,7 @@ import random
 
 import numpy as np
 import pytest
-from hypothesis import given, settings
+from hypothesis import example, given, settings
 from hypothesis import strategies as st
 
 from weftline.llm import near_dup as nd
@@ -169,8 +169,11 @@ def test_estimate_keeps_links():
             assert nd.estimates(np.array([nd.registers(a)]), np.array([nd.registers(b)]), np.array([len(a)]), np.array([len(b)]), 0.85).all()
 
 
-@settings(max_examples=15, deadline=None)
+@settings(max_examples=12, deadline=None)
 @given(st.lists(st.tuples(st.integers(0, 15), st.integers(0, 15)), max_size=25))
+@example([(k, k + 1) for k in range(15)])
+@example([(15, k) for k in range(15)])
+@example([(k, 15 - j) for j in range(4) for k in range(3 * j, 3 * j + 3)])
 def test_components(spark, edges):
     parent = list(range(16))
     for _ in range(16):

@@ -7,41 +7,66 @@ from pyspark.sql import functions as F
 
 from weftline.llm.common import cut, release
 
+#: Steps towards the root that one pass of _rooted takes at most.
+STEPS = 3
 
-def _nearest(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(u, v) with the least of u and its neighbours as m, and the table that this reads.
 
-    The least is a small aggregate, joined back as a table of its own, so a
-    node with very many neighbours is split by Spark's skew handling and never
-    gathered.
-    """
-    least = cut(pairs.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("w"), F.least("w", "m").alias("m")))
-    return pairs.join(least, F.col("u") == F.col("w")).select("u", "v", "m"), least
+def _downwards(edges: DataFrame, a: str, b: str) -> DataFrame:
+    """(u, v) with u > v for the edges between different nodes."""
+    return edges.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v"))
+
+
+def _joined(edges: DataFrame, node: str, parents: DataFrame) -> DataFrame:
+    """edges with __p, the parent of the column node; null for roots."""
+    up = parents.select(F.col("u").alias("__u"), F.col("v").alias("__p"))
+    return edges.join(up, F.col(node) == F.col("__u"), "left").drop("__u")
 
 
-def _are_stars(edges: DataFrame) -> bool:
-    """Whether every u has one v, and no v is a u."""
-    several = edges.groupBy("u").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("u")
-    inner = edges.select(F.col("v").alias("w")).distinct()
-    chained = edges.join(inner, F.col("u") == F.col("w"), "left_semi").select("u")
-    return several.unionByName(chained).isEmpty()
+def _rooted(parents: DataFrame) -> DataFrame:
+    """The root of each node, from a table of cut() with one parent each: (u, v), where every v is less than its u."""
+    while True:
+        step = parents.select("u", "v")
+        for _ in range(STEPS):
+            step = _joined(step.select("u", "v"), "v", parents).select("u", F.coalesce("__p", "v").alias("v"), F.col("__p").isNotNull().alias("more"))
+        before, parents = parents, cut(step)
+        release(before)
+        if parents.where("more").isEmpty():
+            return parents
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, stored: bool = False) -> DataFrame:
     """(node, component) for every node of edges (a, b); a component is named by its least node.
 
-    Alternating large-star and small-star steps until all components are
-    stars. The tables of a pair of steps are in the shared folder and deleted
-    when the next ones are done. Loops, repeated edges and nulls are harmless.
+    In rounds: every node takes its least smaller neighbour as parent, nodes
+    move to the roots of these trees, and the edges between different roots
+    are the next round's. A root without a node of its own has a smaller
+    neighbour in the next round, so two rounds halve the nodes at least. The
+    sums are combined before they are shuffled, and a node with very many
+    neighbours is only ever on the side of a join that Spark splits. Loops,
+    repeated edges and nulls are harmless. stored: edges come from a table
+    and need not be written.
     """
-    now = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
-    while not _are_stars(now):
-        both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        nearest, used = _nearest(both)
-        large = nearest.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        small, used_too = _nearest(large)
-        small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small.select("u", F.col("m").alias("v")))
-        before, now = now, cut(small.where("u <> v").distinct())
-        release(before, used, used_too)
-    roots = now.select(F.col("v").alias("node")).distinct()
-    return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots.select("node", F.col("node").alias("component")))
+    now, first = _downwards(edges, "a", "b"), None
+    if not stored:
+        now = first = cut(now)
+    trees = []
+    while True:
+        trees.append(_rooted(cut(now.groupBy("u").agg(F.min("v").alias("v")))))
+        left = _joined(now, "u", trees[-1]).withColumnRenamed("__p", "a")
+        left = _downwards(_joined(left, "v", trees[-1]).select("a", F.coalesce("__p", "v").alias("b")), "a", "b")
+        if left.isEmpty():
+            break
+        now = cut(left.distinct())
+        if first is not None:
+            release(first)
+        first = now
+    if first is not None:
+        release(first)
+    found = trees[0]
+    if len(trees) > 1:  # a node has a parent in one round alone, so the trees are trees together
+        every = trees[0].select("u", "v")
+        for t in trees[1:]:
+            every = every.unionByName(t.select("u", "v"))
+        found = _rooted(cut(every))
+        release(*trees)
+    return found.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(found.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

@@ -344,7 +344,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     hubs = banded.groupBy("k").agg(F.min("rep").alias("hub"), F.max("rep").alias("__last")).where("hub < __last").select(F.col("k").alias("__k"), "hub")
     star = cut(banded.join(hubs, F.col("k") == F.col("__k")).where("rep <> hub").groupBy(F.col("rep").alias("a"), "hub").agg(F.count(F.lit(1)).alias("bands")))
 
-    nodes = components(star.select("a", F.col("hub").alias("b"))).withColumnRenamed("component", "cluster")
+    nodes = components(star.select("a", F.col("hub").alias("b")), stored=True).withColumnRenamed("component", "cluster")
     texts = cut(docs.join(nodes.hint("merge"), F.col("doc_id") == F.col("node")).select("node", "text"))
     best = F.struct(F.col("bands"), -F.col("hub"))
     first = star.groupBy("a").agg(F.max_by("hub", best).alias("hub"))
