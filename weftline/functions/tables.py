@@ -7,6 +7,8 @@ import contextlib
 import tempfile
 import uuid
 import weakref
+from collections.abc import Callable, Iterator
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,6 +16,7 @@ from pyspark.sql import functions as F
 _own_dir: list[str] = []
 _written: dict[str, SparkSession] = {}
 _paths: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
+_scope: ContextVar[list[str] | None] = ContextVar("scope", default=None)
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -33,6 +36,8 @@ def fresh_path(spark: SparkSession) -> str:
     """A new path in the shared folder, deleted by release()."""
     path = f"{shared_dir(spark)}/weftline-{uuid.uuid4().hex}"
     _written[path] = spark
+    if (scope := _scope.get()) is not None:
+        scope.append(path)
     return path
 
 
@@ -70,13 +75,38 @@ def append_text(spark: SparkSession, path: str, lines: list[str]) -> None:
     write_text(spark, path, before + lines)
 
 
+def _delete(path: str) -> None:
+    spark = _written.pop(path, None)
+    with contextlib.suppress(Exception):  # the session may have ended
+        hadoop, fs = _hadoop(spark, path)
+        fs.delete(hadoop, True)
+
+
 def release(*tables: DataFrame) -> None:
     """Delete the given tables of cut(), or without any all that is in the shared folder; what reads them is void afterwards."""
     for path in [_paths.pop(t) for t in tables] if tables else list(_written):
-        spark = _written.pop(path, None)
-        with contextlib.suppress(Exception):  # the session may have ended
-            hadoop, fs = _hadoop(spark, path)
-            fs.delete(hadoop, True)
+        _delete(path)
+
+
+@contextlib.contextmanager
+def scratch() -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Tables of cut() that are made within are deleted at its end, but for those given to the function it yields."""
+    made, kept = [], set()
+
+    def keep(table: DataFrame) -> DataFrame:
+        kept.add(_paths[table])
+        return table
+
+    outer = _scope.set(made)
+    try:
+        yield keep
+    finally:
+        _scope.reset(outer)
+        for path in made:
+            if path not in kept:
+                _delete(path)
+            elif (scope := _scope.get()) is not None:
+                scope.append(path)
 
 
 atexit.register(release)
