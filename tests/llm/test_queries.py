@@ -35,7 +35,7 @@ def test_equals_sql(spark, con, name):
 
 
 def test_every_operator_has_one_query():
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 14))
 
 
 def test_language_id_is_right_on_held_out_documents(spark):

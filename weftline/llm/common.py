@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.functions.tables import carried, cut, named, release, shared_dir
+from weftline.functions.tables import carried, cut, named, release, scratch, shared_dir
 
-__all__ = ["SPACE", "WORD", "Recent", "carried", "cut", "named", "paired", "release", "shared_dir", "shifted", "table", "words", "worker_state"]
+__all__ = ["SPACE", "WORD", "Recent", "carried", "cut", "named", "paired", "release", "scratch", "shared_dir", "shifted", "table", "words", "worker_state"]
 
 #: Java patterns of white space between words and of a word, over ASCII white space only.
 SPACE = r"[\x20\x09-\x0D]+"

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm import chat_format, importance, language_id, license_scan, line_dedup, media, near_dup, packing, quality_rules, source_mixing
+from weftline.llm import centroids, chat_format, importance, language_id, license_scan, line_dedup, media, near_dup, packing, prefix_trie, quality_rules, sharding, source_mixing
 from weftline.llm.common import table
 
 QUERIES = {}
@@ -269,3 +269,100 @@ mixed as (
 """
 
 ORACLES["op1_source_mixing"] = "with recursive docs as (select * from documents)," + MIX_SQL.format(entropy=MIX.entropy, repeats=MIX.repeats, passes=MIX.passes) + "select * from mixed"
+
+
+@query
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The prefix trie of all conversations, each beginning like the first of its twenty."""
+    turns = prefix_trie.turns_of(table(spark, sf_dir, "conversations"), group=20, most=4)
+    return prefix_trie.prefix_trie(turns)
+
+
+ORACLES["op11_prefix_trie"] = r"""
+with a as (
+  select conv_id, turn, md5(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) as h,
+    len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::bigint as n from conversations where conv_id is not null),
+t as (select *, row_number() over (partition by conv_id order by turn nulls first, h) as p from a),
+z as (
+  select conv_id as c, count(*) as len, flatten(list_transform(range(1, length(conv_id::varchar) + 1),
+    lambda i: [unicode(substr(conv_id::varchar, i::bigint, 1)), -1, -1, -1, -1, -1, -1, -1, -1])) as steps from t group by conv_id),
+o as (
+  select c, len, xor(4294967295, list_reduce(list_prepend(4294967295::bigint, list_transform(steps, lambda s: s::bigint)),
+    lambda x, s: case when s >= 0 then xor(x, s) else xor(x >> 1, 3988292384 * (x & 1)) end)) % 4 as h from z),
+b as (select o.c, o.h, o.c - o.c % 20 as base, least(o.h, coalesce(y.len, 0)) as hb from o left join o y on y.c = o.c - o.c % 20),
+r as (
+  select c, 0::bigint as d, '' as h, 0::bigint as n from b
+  union all select b.c, p, t.h, n from b join t on t.conv_id = base and p <= hb
+  union all select b.c, p - b.h + hb, t.h, n from b join t on t.conv_id = b.c and p > b.h),
+k as (select c, d, n, md5(string_agg(h, '') over (partition by c order by d)) as key, max(d) over (partition by c) as len from r),
+g as (
+  select d, key, min(c) as conv_id, count(*) as n_convs, min(n) as n,
+    sha256(coalesce(string_agg(c::varchar, ',' order by c) filter (len = d), '')) as ends_sha256 from k group by d, key),
+m as (select k.c, k.d, g.conv_id from k join g using (d, key)),
+q as (select g.*, m.conv_id as parent from g left join m on m.c = g.conv_id and m.d = g.d - 1),
+e as (select parent, d - 1 as d, count(*) as n_children from q where parent is not null group by all),
+w as (select q.conv_id, q.d, q.parent, n_convs, n, ends_sha256, coalesce(n_children, 0) as n_children from q left join e on e.parent = q.conv_id and e.d = q.d),
+u as (
+  select m.conv_id, m.d, sum((n_children = 0)::bigint)::bigint as n_leaves, sum((n_convs - 1) * n)::bigint as saved_tokens
+  from w join m on m.c = w.conv_id and m.d <= w.d group by all)
+select conv_id, d as depth, parent as parent_conv_id, n_convs, n_children::bigint as n_children, n_leaves, saved_tokens, ends_sha256 from w join u using (conv_id, d)
+"""
+
+
+@query
+def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All embeddings of 64 components after three rounds over 16 centroids."""
+    return centroids.cluster(table(spark, sf_dir, "embeddings"), width=64)
+
+
+def _centroid_sql() -> str:
+    parts = [
+        r"""v as (
+  select row_number() over () as r, vec_id, list_transform(embedding, lambda x: floor(64 * x::double)::bigint) as x,
+    row_number() over (order by sha256('1:' || coalesce(vec_id::varchar, '')), embedding) - 1 as first
+  from embeddings where len(embedding) = 64 and len(list_filter(embedding, lambda x: isfinite(x))) = 64),
+c0 as (select first as k, x as c from v where first < 16)"""
+    ]
+    for i in range(4):
+        parts.append(f"""d{i} as materialized (
+  select r, vec_id, x, k, d from (
+    select r, vec_id, x, k, d, row_number() over (partition by r order by d, k) as n from (
+      select r, vec_id, x, k, list_sum(list_transform(list_zip(x, c), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::bigint as d from v, c{i})) where n = 1)""")
+        if i < 3:
+            parts.append(f"""s{i} as (select k, p, count(*) as n, sum(e)::bigint as s from (select k, unnest(x) as e, unnest(range(64)) as p from d{i}) group by k, p),
+m{i} as (select k, list((s - ((s % n) + n) % n) // n order by p) as c from s{i} group by k),
+c{i + 1} as materialized (select c{i}.k, coalesce(m{i}.c, c{i}.c) as c from c{i} left join m{i} using (k))""")
+    return "with " + ", ".join(parts) + """
+select vec_id, k::integer as "cluster", d as distance, sum(d) over (partition by k)::bigint as cluster_inertia, sum(d) over ()::bigint as inertia,
+  sha256(array_to_string(c3.c, ',')) as centroid_sha256 from d3 join c3 using (k)"""
+
+
+ORACLES["op12_centroids"] = _centroid_sql()
+
+
+@query
+def op13_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in eight shards, and where one more shard would put them."""
+    return sharding.sharded(table(spark, sf_dir, "documents"), [1.0] * 8)
+
+
+#: The unsigned CRC-32 of the column text of a table named base, as crc; one step for each byte by a table made from the polynomial.
+CRC_SQL = r"""
+tb as (select list(v order by i) as tbl from (
+  select i, list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda x, s: case when x & 1 = 1 then xor(x >> 1, 3988292384) else x >> 1 end) as v from (select unnest(range(0, 256)) as i))),
+bytes as (select *, list_transform(string_split(regexp_replace(hex(encode(text)), '(..)', '\1,', 'g'), ','), lambda h: case when h = '' then null else ('0x' || h)::bigint end) as b from base),
+summed as (select *, xor(4294967295, list_reduce(list_prepend(4294967295::bigint, b[:-2]), lambda x, v: xor(x >> 8, tbl[(xor(x, v) & 255) + 1])))::bigint as crc from bytes, tb)
+"""
+
+ORACLES["op13_sharding"] = (
+    r"""with base as (select row_number() over () as r, doc_id, coalesce(doc_id::varchar, '') as key, coalesce(text, '') as text from documents),"""
+    + CRC_SQL
+    + r""",
+draws as (select r, s, -ln((('0x' || substr(md5(key || '/' || s), 1, 13))::bigint + 0.5::double) / 4503599627370496::double) as e from base, (select unnest(range(0, 9)) as s)),
+own as (select r, arg_min(s, (e, s)) as shard from draws where s < 8 group by r),
+grown as (select r, arg_min(s, (e, s)) as shard from draws group by r)
+select doc_id, octet_length(encode(text)) + 1 as size, crc as text_crc32, 'key' as law, own.shard::integer as shard,
+  row_number() over (partition by own.shard order by doc_id nulls first, crc, octet_length(encode(text))) - 1 as slot, grown.shard::integer as grown_shard
+from summed join own using (r) join grown using (r)
+"""
+)
