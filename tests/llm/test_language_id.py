@@ -3,19 +3,28 @@ import random
 from decimal import Decimal
 
 import numpy as np
-import pandas as pd
 import pytest
+import regex
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from weftline.llm import language_id as li
-from weftline.llm.language_id import UNKNOWN, Model, fit, letter_words, predict, train
+from weftline.llm.language_id import UNKNOWN, Model, fit_language, predict, train
 
 SCHEMA = "doc_id long, text string, lang string"
 VOCABULARY = {p: i for i, p in enumerate(["a", "b", "ab", "▁a", "▁ab", "ba", "▁b", "bab"])}
 
 
+def letter_words(text):
+    return regex.findall(r"\p{L}+", text.lower())
+
+
+def fit(counts, rounds, smooth):
+    log_p = fit_language([w for w, _ in counts], np.array([n for _, n in counts], float), VOCABULARY, rounds, smooth)
+    return Model(["x"], VOCABULARY, log_p[:, None])
+
+
 def plain_score(word, p):
     """Summed probability of all segmentations, by recursion."""
 
@@ -99,8 +108,7 @@ def plain_fit(counts, rounds, smooth):
 
 def test_fitting_equals_listing_all_segmentations():
     counts = [("abab", 5), ("ab", 9), ("ba", 2), ("bcab", 1), ("c", 3), ("babbab", 2)]
-    model = fit(pd.DataFrame([("x", *c) for c in counts], columns=["lang", "word", "n"]), VOCABULARY, 3, 0.05)
-    assert np.allclose(model.logp[:, 0], plain_fit(counts, 3, 0.05), atol=1e-5)
+    assert np.allclose(fit(counts, 3, 0.05).logp[:, 0], plain_fit(counts, 3, 0.05), atol=1e-5)
 
 
 def test_predictions_equal_plain_posteriors(spark):
@@ -126,19 +134,27 @@ def test_ties_repeated_rows_and_broken_text(spark):
 
 
 def test_teaching_is_bounded(spark):
-    rows = [(i, "ab " * 10, f"l{i % 5}") for i in range(50)] + [(100, "ab " * 9000, "l0")]
+    rows = [(i, "ab " * 10, f"l{i % 5}") for i in range(50)] + [(100, "ab " * 9000, "l0"), (101, "½ Ⅷ 12", "none")]
+    frame = spark.createDataFrame(rows, SCHEMA)
+    few = li.sample_words(frame, "text", "lang", "doc_id", 400, 3000).groupBy("lang").agg(F.sum("n")).collect()
+    assert {r[0]: r[1] for r in few} == {f"l{k}": 100 + (125 if k == 0 else 0) for k in range(5)}  # of the long text, 375 code points
+    assert train(frame).langs == [f"l{k}" for k in range(5)]
+
+
+def test_every_language_is_learnt(spark):
+    """Seventy of them, one with nothing but a long text."""
+    rows = [(i, f"word{chr(97 + i % 26)}{chr(97 + i // 26)} " * 5, f"l{i}") for i in range(70)] + [(200, "qqq zzz " * 300_000, "long")]
     frame = spark.createDataFrame(rows, SCHEMA)
-    assert train(frame, most_langs=2).langs == ["l0", "l1"]
-    few = li.sample_counts(frame, "text", "lang", "doc_id", 400, 64, 3000).groupBy("lang").agg(F.sum("n")).collect()
-    assert {r[0]: r[1] for r in few} == {f"l{k}": 110 for k in range(5)}  # ten texts of ten words and what is after the last space
+    model = train(frame)
+    assert model.langs == sorted([f"l{i}" for i in range(70)] + ["long"])
+    assert [r.p.lang for r in frame.where("doc_id = 200").select(predict(F.col("text"), model).alias("p")).collect()] == ["long"]
 
 
 def test_fitting_raises_the_likelihood():
-    counts = pd.DataFrame({"lang": "x", "word": ["abab", "ab", "ba", "bcab"], "n": [5, 9, 2, 1]})
+    counts = [("abab", 5), ("ab", 9), ("ba", 2), ("bcab", 1)]
     scores = []
     for rounds in (1, 3, 8):
-        model = fit(counts, VOCABULARY, rounds, smooth=1e-9)
-        scores.append(float(model.word_scores(counts["word"].tolist())[:, 0] @ counts["n"]))
+        scores.append(float(fit(counts, rounds, 1e-9).word_scores([w for w, _ in counts])[:, 0] @ [n for _, n in counts]))
     assert scores == sorted(scores)
 
 
@@ -205,7 +221,7 @@ def test_unknown_language_column(spark):
         train(spark.createDataFrame([(1, "a")], "doc_id long, text string"), lang_col="lang")
 
 
-def test_words_are_runs_of_letters_of_any_length():
-    assert letter_words("a" * 60) == ["a" * 60]
-    assert letter_words("It's 3pm, ÀB_c") == ["it", "s", "pm", "àb", "c"]
-    assert letter_words("--- 12") == []
+def test_words_are_runs_of_letters_of_any_length(spark):
+    rows = [(1, "a" * 60, "x"), (2, "It's 3pm, ÀB_c ½Ⅷ", "x"), (3, "--- 12", "x")]
+    found = li.sample_words(spark.createDataFrame(rows, SCHEMA), "text", "lang", "doc_id", 400, 3000).collect()
+    assert sorted(r["word"] for r in found) == sorted(["a" * 60, "it", "s", "pm", "àb", "c"])

@@ -13,22 +13,20 @@ scripts without spaces.
 from __future__ import annotations
 
 import math
-import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.common import SPACE, Recent, named, worker_state
+from weftline.llm.common import Recent, named, worker_state
 
-#: Letter runs; a word is one, lower-cased.
-LETTERS = re.compile(r"[^\W\d_]+")
+#: What parts words, for Java and for RE2 alike; a word is a run of letters, lower-cased.
+NO_LETTERS = r"[^\p{L}]+"
 #: Bytes of words and scores that a generation of a worker's memory holds before it ages; the longest word kept, in letters.
 CACHE, KEPT = 24 << 20, 32
 #: Cells of a lattice that are made at a time, and letters between two rescalings.
@@ -147,65 +145,62 @@ def _log_sums(ids: np.ndarray, logp: np.ndarray, forwards: bool) -> np.ndarray:
     return out
 
 
-def fit(counts: pd.DataFrame, vocabulary: dict[str, int], rounds: int = 4, smooth: float = 0.05) -> Model:
-    """A model from (lang, word, n). Each round replaces the probabilities by the expected piece counts, smoothed."""
-    langs = sorted(counts["lang"].unique())
+def fit_language(words: list[str], weight: np.ndarray, vocabulary: dict[str, int], rounds: int = 4, smooth: float = 0.05) -> np.ndarray:
+    """Log probabilities of the pieces, and of an unknown letter, in one language. Each round replaces them by the expected piece counts, smoothed."""
     pieces, longest = len(vocabulary) + 1, longest_piece(vocabulary)
-    logp = np.empty((pieces, len(langs)))
-    for k, lang in enumerate(langs):
-        own = counts[counts["lang"] == lang]
-        words, weight = own["word"].tolist(), own["n"].to_numpy(float)
-        batches = [(lattice([words[i] for i in rows], vocabulary, longest, 0, len(words[rows[0]])), weight[rows]) for rows in same_length(words, longest)]
-        log_p = np.append(np.full(pieces, -math.log(pieces)), -np.inf)  # the last is that of no piece, -1
-        for _ in range(rounds):
-            expected = np.full(pieces, smooth)
-            for ids, n in batches:
-                before, after = _log_sums(ids, log_p, True), _log_sums(ids, log_p, False)
-                for size in range(1, min(ids.shape[1:]) + 1):
-                    piece = ids[:, size - 1 :, size - 1].T  # (ends, words)
-                    value = np.exp(before[: len(piece)] + log_p[piece] + after[size:] - before[-1]) * n
-                    has = piece >= 0
-                    expected += np.bincount(piece[has], value[has], pieces)
-            log_p[:-1] = np.log(expected / expected.sum())
-        logp[:, k] = log_p[:-1]
-    return Model(langs, vocabulary, logp.astype(np.float32))
-
-
-def sample_counts(docs: DataFrame, text_col: str, lang_col: str, id_col: str, per_lang: int, most_langs: int, chars: int) -> DataFrame:
-    """(lang, word, n) over about per_lang documents, of about chars letters and signs in all, of each of the most_langs commonest languages, chosen by a hash of the id."""
+    batches = [(lattice([words[i] for i in rows], vocabulary, longest, 0, len(words[rows[0]])), weight[rows]) for rows in same_length(words, longest)]
+    log_p = np.append(np.full(pieces, -math.log(pieces)), -np.inf)  # the last is that of no piece, -1
+    for _ in range(rounds):
+        expected = np.full(pieces, smooth)
+        for ids, n in batches:
+            before, after = _log_sums(ids, log_p, True), _log_sums(ids, log_p, False)
+            for size in range(1, min(ids.shape[1:]) + 1):
+                piece = ids[:, size - 1 :, size - 1].T  # (ends, words)
+                value = np.exp(before[: len(piece)] + log_p[piece] + after[size:] - before[-1]) * n
+                has = piece >= 0
+                expected += np.bincount(piece[has], value[has], pieces)
+        log_p[:-1] = np.log(expected / expected.sum())
+    return log_p[:-1]
+
+
+def sample_words(docs: DataFrame, text_col: str, lang_col: str, id_col: str, per_lang: int, chars: int) -> DataFrame:
+    """(lang, word, n) over about per_lang documents, of about chars code points in all, of each language, chosen by a hash of the id. Of a long text an eighth of chars is taken."""
     text, lang = named(text_col), named(lang_col).cast("string")
-    known = docs.where(text.isNotNull() & lang.isNotNull() & (F.length(text) <= chars // 8)).select(named(id_col).alias("id"), F.make_valid_utf8(text).alias("text"), lang.alias("lang"))
-    sizes = known.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("text")).alias("chars")).orderBy(F.desc("n"), "lang").limit(most_langs).collect()
-    if not sizes:
-        return known.select("lang", F.col("text").alias("word"), F.lit(1).cast("long").alias("n"))
-    chance = F.create_map(*(F.lit(x) for r in sizes for x in (r["lang"], min(1.0, per_lang / r["n"], chars / max(r["chars"], 1)))))
+    most = max(1, chars // 8)
+    known = docs.where(text.isNotNull() & lang.isNotNull()).select(named(id_col).alias("id"), F.make_valid_utf8(text).alias("text"), lang.alias("lang"))
+    size = F.least(F.length("text"), F.lit(most))
+    chance = F.least(F.lit(1.0), per_lang / F.count(F.lit(1)), chars / F.greatest(F.sum(size), F.lit(1)))
+    sizes = known.groupBy(F.col("lang").alias("l")).agg(chance.alias("chance"))
     draw = F.pmod(F.xxhash64(F.lit("sample"), "id"), F.lit(1 << 20)) / float(1 << 20)
-    words = F.explode(F.split(F.lower("text"), SPACE)).alias("word")
-    return known.where(draw < F.coalesce(chance[F.col("lang")], F.lit(0.0))).select("lang", words).groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n"))
+    drawn = known.withColumn("draw", draw).join(sizes, F.col("lang") == F.col("l")).where("draw < chance")
+    words = F.explode(F.split(F.lower(F.substring("text", 1, most)), NO_LETTERS)).alias("word")
+    return drawn.select("lang", words).where("word <> ''").groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n"))
 
 
-def letter_words(chunk: str) -> list[str]:
-    return LETTERS.findall(chunk.lower())
-
-
-def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", vocabulary: str | None = None, per_lang: int = 400, rounds: int = 4, most_langs: int = 64, chars: int = 8_000_000) -> Model | None:
+def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", vocabulary: str | None = None, per_lang: int = 400, rounds: int = 4, chars: int = 8_000_000) -> Model | None:
     """A model of the languages in lang_col, or None without a labelled text (as of an empty table).
 
-    Bounded: about per_lang documents of a language are used, whole, with
-    about chars code points in all, none of them longer than an eighth of
-    that; languages beyond the most_langs commonest are not learnt. Rows with
-    a null text or language teach nothing; repeated rows teach each; invalid
-    UTF-8 counts as replacement characters; other columns are not read.
+    Every language is learnt, in a task of its own, from a bounded sample:
+    about per_lang documents of about chars code points in all, and of a text
+    of over an eighth of that its beginning. A language whose sample holds no
+    letter is not learnt. Only the languages' probabilities reach the driver.
+    Rows with a null text or language teach nothing; repeated rows teach each;
+    invalid UTF-8 counts as replacement characters; other columns are not read.
     """
-    found = sample_counts(docs, text_col, lang_col, id_col, per_lang, most_langs, chars).toPandas()
-    words: dict[tuple[str, str], int] = {}
-    for lang, chunk, n in zip(found["lang"], found["word"], found["n"], strict=True):
-        for w in letter_words(chunk):
-            words[lang, w] = words.get((lang, w), 0) + int(n)
-    if not words:
+    path = vocabulary or default_vocabulary()
+
+    def fitted(key: tuple, counts: pa.Table) -> pa.Table:
+        words = counts.column("word").to_pylist()
+        order = sorted(range(len(words)), key=words.__getitem__)  # sums in one order give one result
+        weight = counts.column("n").to_numpy().astype(float)
+        log_p = fit_language([words[i] for i in order], weight[order], read_vocabulary(path), rounds)
+        return pa.table({"lang": [key[0].as_py()], "logp": [log_p.astype(np.float32).tobytes()]})
+
+    counts = sample_words(docs, text_col, lang_col, id_col, per_lang, chars)
+    found = sorted(counts.groupBy("lang").applyInArrow(fitted, "lang string, logp binary").collect())
+    if not found:
         return None
-    counts = pd.DataFrame([(lang, w, n) for (lang, w), n in words.items()], columns=["lang", "word", "n"])
-    return fit(counts, read_vocabulary(vocabulary or default_vocabulary()), rounds)
+    return Model([r["lang"] for r in found], read_vocabulary(path), np.stack([np.frombuffer(r["logp"], np.float32) for r in found], axis=1))
 
 
 class Scorer:
@@ -231,7 +226,7 @@ class Scorer:
 
 def best_languages(texts: pa.StringArray, scorer: Scorer) -> tuple[np.ndarray, np.ndarray]:
     """Index of each text's language (the number of languages: none) and its posterior probability."""
-    letters = pc.replace_substring_regex(pc.utf8_lower(pc.fill_null(texts, "")), r"[^\p{L}]+", " ")
+    letters = pc.replace_substring_regex(pc.utf8_lower(pc.fill_null(texts, "")), NO_LETTERS, " ")
     cut_up = pc.ascii_split_whitespace(letters)
     told = cut_up.values.dictionary_encode()
     words = told.dictionary.to_pylist()
