@@ -14,10 +14,10 @@ texts = st.one_of(st.sampled_from(TRICKY), st.text("\\<>lg/turn \n0", max_size=1
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.tuples(st.sampled_from(["user", "assistant", "sys>\n\\<", ""]), texts), max_size=6))
 def test_round_trip(turns):
-    formatted, spans, attached = cf.render([(r, [{"type": "text", "text": t}]) for r, t in turns])
+    formatted, spans, attached, tokens = cf.render([(r, [{"type": "text", "text": t}]) for r, t in turns])
     assert [(r, "".join(p.get("text", "") for p in parts)) for r, parts in cf.parse(formatted)] == turns
     assert [cf.unescape(formatted[lo:hi]) for lo, hi in spans] == [t for r, t in turns if r == "assistant"]
-    assert not attached
+    assert not attached and tokens == sum(len(t.encode().split()) for _, t in turns)
 
 
 def test_typed_parts():
@@ -28,13 +28,15 @@ def test_typed_parts():
         {"type": "document", "uri": "c.pdf", "pages": 3},
         {"type": "text", "text": "end"},
     ]
-    formatted, spans, attached = cf.render([("user", parts), ("assistant", [{"type": "image", "uri": "d"}, {"type": "text", "text": "ok"}])])
+    answer = [{"type": "text", "text": "hi "}, {"type": "text", "text": "<you>"}, {"type": "image", "uri": "d"}, {"type": "text", "text": "ok"}]
+    formatted, spans, attached, tokens = cf.render([("user", parts), ("assistant", answer)])
+    assert tokens == 3 + 38 + 1536 + 1 + len("see <image 0>: end hi <you> ok".split())
     assert [(a["type"], a["uri"], a["tokens"]) for a in attached] == [("image", "s3://a.png", 3), ("audio", "b.wav", 38), ("document", "c.pdf", 1536), ("image", "d", 1)]
     back = cf.parse(formatted)
     assert back[0][1] == [{"type": "text", "text": "see <image 0>: "}, {"type": "image", "ref": 0}, {"type": "audio", "ref": 1}, {"type": "document", "ref": 2}, {"type": "text", "text": "end"}]
-    assert [formatted[lo:hi] for lo, hi in spans] == ["<image 3>ok"]
+    assert [cf.unescape(formatted[lo:hi]) for lo, hi in spans] == ["hi <you>", "ok"]
     odd = [{"type": "video", "uri": "v"}, {"type": "audio", "seconds": float("nan")}, {"type": "audio", "seconds": float("inf")}, {"type": "image", "width": -3, "height": 0}, {"type": "document", "pages": -1}, None, {"type": "__class__"}]
-    formatted, _, attached = cf.render([("user", odd)])
+    formatted, _, attached, _ = cf.render([("user", odd)])
     assert [(a["type"], a["tokens"]) for a in attached] == [("video", 1), ("audio", 1), ("audio", cf.MOST), ("image", 1), ("document", cf.PAGE), ("__class__", 1)]
     assert [p["type"] for p in cf.parse(formatted)[0][1]] == ["other", "audio", "audio", "image", "document", "other"]
     with pytest.raises(ValueError):
@@ -70,4 +72,13 @@ def test_parts_column(spark):
     frame = spark.createDataFrame(rows, f"conv_id long, turn long, role string, parts array<{cf.PART}>")
     r = cf.format_chats(frame, parts_col="parts").first()
     assert r.formatted == "<turn user>\na\\l<image 0></turn>\n<turn assistant>\n</turn>\n"
-    assert r.expanded_tokens == 2 and [tuple(a) for a in r.attachments] == [("image", "u", 2)]
+    assert r.expanded_tokens == 3 and [tuple(a) for a in r.attachments] == [("image", "u", 2)]
+
+
+def test_loss_and_turns_agree_on_typed_parts(spark):
+    """The loss text of an assistant turn is the turn's text, without its placeholders."""
+    parts = [("text", "hi ", None, None, None, None, None), ("image", None, "u", 28, 28, None, None), ("text", "yo", None, None, None, None, None)]
+    frame = spark.createDataFrame([(1, 0, "assistant", parts)], f"conv_id long, turn long, role string, parts array<{cf.PART}>")
+    r = cf.digests(cf.format_chats(frame, parts_col="parts")).first()
+    assert r.turns_sha256 == hashlib.sha256(b"assistant\nhi yo\n").hexdigest() and r.loss_sha256 == hashlib.sha256(b"hi yo").hexdigest()
+    assert (r.loss_chars, r.n_attachments, r.expanded_tokens) == (5, 1, 3)

@@ -2,6 +2,7 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from weftline.llm import license_scan as ls
 
@@ -54,15 +55,28 @@ def test_whole_license_texts(spark, tmp_path):
     """A text of thousands of words, read from a folder, is found in a longer document, with some words changed."""
     rng = random.Random(3)
     body = [f"w{rng.randrange(900)}" for _ in range(4000)]
-    (tmp_path / "L-1.0.txt").write_text(" ".join(body))
+    (tmp_path / "L-1.0.txt").write_text("".join(w + ("\n\n" if k % 40 == 39 else "\n" if k % 9 == 8 else " ") for k, w in enumerate(body)))
+    assert [(t, lic, text.split()) for t, lic, text in ls.read_templates(spark, str(tmp_path))] == [("L-1.0.txt", "L-1.0", body)]
     changed = [f"x{k}" if k % 100 == 7 else w for k, w in enumerate(body)]
     docs = spark.createDataFrame([(1, "pre " * 3333 + " ".join(changed) + " post" * 5000, "", ""), (2, " ".join(body[:2500]), "", "")], SCHEMA)
     got = ls.scan(docs, templates=ls.read_templates(spark, str(tmp_path))).collect()
     assert [(r.doc_id, r.license) for r in got] == [(1, "L-1.0")] and 0.9 < got[0].containment < 1
 
 
-def test_window_classes():
+def test_many_long_templates_are_a_table(spark):
+    """The plan does not hold the templates' shingles, however many there are."""
+    rng = random.Random(7)
+    own = [(f"t{k}", "L", " ".join(f"w{rng.randrange(5000)}" for _ in range(1500))) for k in range(60)]
+    docs = spark.createDataFrame([(k, "x y z " * 40 + own[k][2] + " tail", "", "") for k in (3, 59)], SCHEMA)
+    found = ls.scan(docs, templates=own)
+    assert sorted((r.doc_id, r.template, r.containment) for r in found.collect()) == [(3, "t3", 1.0), (59, "t59", 1.0)]
+    assert len(found._jdf.queryExecution().analyzed().toString()) < 400_000
+
+
+def test_window_classes(spark):
     assert all(n <= ls.window_class(n) <= max(n, n * 5 // 4) for n in range(1, 6000)) and len({ls.window_class(n) for n in range(1, 6000)}) < 45
+    got = spark.range(1, 3000).select("id", ls._class_of(F.col("id"), 3000)).collect()
+    assert all(c == ls.window_class(n) for n, c in got)
 
 
 def test_empty_and_repeated(spark):

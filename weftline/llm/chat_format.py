@@ -2,8 +2,9 @@ r"""Conversations with typed content parts as training text with a loss mask.
 
 A visitor flattens the parts of each turn in order: text is escaped; images,
 audio and documents become placeholders, with the attachment's reference and
-the number of tokens that it expands to recorded beside the text. The format
-can be parsed back without loss:
+the number of tokens that it expands to recorded beside the text. The loss
+mask covers the texts of assistant turns and no placeholder. The format can be
+parsed back without loss:
 
     <turn user>\n ... </turn>\n
 
@@ -48,18 +49,34 @@ MOST = 1 << 40
 
 
 class Flattener:
-    """Visits parts; gathers text, attachments and expanded tokens."""
+    """Visits parts; gathers text, which of it came from text parts, attachments and expanded tokens."""
 
     def __init__(self) -> None:
-        self.out: list[str] = []
         self.attachments: list[dict] = []
+        self.tokens = 0
+        self.begin()
+
+    def begin(self) -> None:
+        """A turn begins."""
+        self.out: list[str] = []
+        self.size, self.texts = 0, []
+
+    def _put(self, piece: str) -> None:
+        self.out.append(piece)
+        self.size += len(piece)
 
     def visit(self, part: dict) -> None:
         kind = part.get("type") or "text"
         getattr(self, f"visit_{kind}" if kind in KINDS else "visit_other")(part)
 
     def visit_text(self, part: dict) -> None:
-        self.out.append(escape(part.get("text") or ""))
+        text = part.get("text") or ""
+        self.tokens += len(text.encode("utf-8", "surrogatepass").split())
+        start = self.size
+        self._put(escape(text))
+        if self.texts and self.texts[-1][1] == start:
+            start = self.texts.pop()[0]
+        self.texts.append((start, self.size))
 
     def visit_image(self, part: dict) -> None:
         self._attach("image", part, _units(part.get("width"), PATCH) * _units(part.get("height"), PATCH))
@@ -74,8 +91,9 @@ class Flattener:
         self._attach("other", part, 1)
 
     def _attach(self, kind: str, part: dict, tokens: int) -> None:
-        self.out.append(f"<{kind} {len(self.attachments)}>")
+        self._put(f"<{kind} {len(self.attachments)}>")
         self.attachments.append({"type": part.get("type"), "uri": part.get("uri"), "tokens": min(tokens, MOST)})
+        self.tokens += self.attachments[-1]["tokens"]
 
 
 def _units(size: float | None, unit: float) -> int:
@@ -85,19 +103,19 @@ def _units(size: float | None, unit: float) -> int:
     return max(1, math.ceil(min(size / unit, MOST)))
 
 
-def render(turns: list[tuple[str | None, list[dict]]]) -> tuple[str, list[tuple[int, int]], list[dict]]:
-    """The formatted text, the spans of it under the loss mask (assistant turns, in code points), and the attachments."""
+def render(turns: list[tuple[str | None, list[dict]]]) -> tuple[str, list[tuple[int, int]], list[dict], int]:
+    """The formatted text, its spans under the loss mask (runs of text in assistant turns, in code points), the attachments, and the expanded tokens: words of texts and what attachments expand to."""
     visitor, pieces, spans, at = Flattener(), [], [], 0
     for role, parts in turns:
-        visitor.out = []
+        visitor.begin()
         for part in parts:
             visitor.visit(part or {})
-        head, body = f"<turn {escape(role or '')}>\n", "".join(visitor.out)
+        head = f"<turn {escape(role or '')}>\n"
         if role == "assistant":
-            spans.append((at + len(head), at + len(head) + len(body)))
-        pieces += head, body, "</turn>\n"
-        at += len(head) + len(body) + len("</turn>\n")
-    return "".join(pieces), spans, visitor.attachments
+            spans += [(at + len(head) + lo, at + len(head) + hi) for lo, hi in visitor.texts]
+        pieces += head, *visitor.out, "</turn>\n"
+        at += len(head) + visitor.size + len("</turn>\n")
+    return "".join(pieces), spans, visitor.attachments, visitor.tokens
 
 
 def parse(formatted: str) -> list[tuple[str, list[dict]]]:
@@ -153,7 +171,7 @@ def format_chats(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "t
                     pa.array([d[0] for d in done], pa.string()),
                     pa.array([[{"start": lo, "stop": hi} for lo, hi in d[1]] for d in done], span),
                     pa.array([d[2] for d in done], attachment),
-                    pa.array([sum(a["tokens"] for a in d[2]) for d in done], pa.int64()),
+                    pa.array([d[3] for d in done], pa.int64()),
                 ],
                 ["conv_id", "n_turns", "formatted", "spans", "attachments", "expanded_tokens"],
             )
@@ -162,7 +180,7 @@ def format_chats(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "t
 
 
 def digests(formatted: DataFrame) -> DataFrame:
-    """Each conversation's turns and loss text, read back from the formatted text, as counts and digests."""
+    """Each conversation's turns and loss text, read back from the formatted text, as counts and digests; and its attachments and expanded tokens."""
 
     def read(conv: str, spans: list[dict]) -> tuple:
         turns = parse(conv)
@@ -177,6 +195,8 @@ def digests(formatted: DataFrame) -> DataFrame:
         for b in batches:
             found = [read(c, s) for c, s in zip(b.column("formatted").to_pylist(), b.column("spans").to_pylist(), strict=True)]
             columns = zip(*found, strict=True) if found else [[]] * 5
-            yield pa.RecordBatch.from_arrays([b.column("conv_id"), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"])
+            read_back = [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column("conv_id"), *read_back, b.column("n_attachments"), b.column("expanded_tokens")], ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars", "n_attachments", "expanded_tokens"])
 
-    return formatted.select("conv_id", "formatted", "spans").mapInArrow(run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    rows = formatted.select("conv_id", "formatted", "spans", F.size("attachments").cast("long").alias("n_attachments"), "expanded_tokens")
+    return rows.mapInArrow(run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, n_attachments long, expanded_tokens long")

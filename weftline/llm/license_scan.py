@@ -21,8 +21,9 @@ all its words instead, whose window is as long as itself: two sets of one
 shingle collide in all bands if they are equal and else in none, so the lookup
 of that shingle is retrieval and verification in one.
 
-Templates may be any number: they are taken in batches of bounded size, a
-batch being one pass over the texts.
+Templates may be any number. Their shingles and bands are tables that are
+joined by hash; a plan holds only the 40 minima of each as literals, and a
+batch of bounded size is one pass over the texts.
 """
 
 from __future__ import annotations
@@ -72,10 +73,6 @@ def _table(spark: SparkSession, rows: list[tuple], names: list[str]) -> DataFram
     return spark.range(1).select(F.inline(made))
 
 
-def _longs(values: list[int]) -> Column:
-    return F.expr("array(" + ",".join(f"{v}L" if v > -(1 << 63) else f"({v + 1}L - 1L)" for v in values) + ")")
-
-
 def _least(shingles: Column, b: Column) -> Column:
     """The shingle that is the minimum in a band."""
     return F.array_min(F.transform(shingles, lambda h: F.struct(F.xxhash64(h, b).alias("x"), h.alias("h"))))["h"]
@@ -99,15 +96,30 @@ def _windows(hits: Column, shingles: Column, size: int) -> Column:
     return F.transform(F.array_distinct(F.flatten(near)), lambda start: F.struct(F.lit(size).alias("size"), start.alias("start"), inside(start).alias("w")))
 
 
-def template_table(spark: SparkSession, templates: list[Template]) -> list[dict]:
-    """For each template: template, license, s (distinct shingles), size (class), least (its bands' minimal shingles) and keys (its bands)."""
-    rows = _with_shingles(_table(spark, templates, ["template", "license", "text"]), "text", "s")
-    sized = [(r["template"], r["license"], window_class(r["n"]), r["s"]) for r in rows.select("template", "license", F.size("s").alias("n"), F.array_distinct("s").alias("s")).collect()]
-    if short := [t for t, _, _, s in sized if not s]:
-        raise ValueError(f"templates of fewer than {SHINGLE} words, which are notices: {short}")
-    made = _table(spark, [(t, lic, F.lit(size), _longs(s)) for t, lic, size, s in sized], ["template", "license", "size", "s"])
+def _class_of(shingles: Column, most: int) -> Column:
+    """window_class() of a column, whose values are at most most."""
+    sizes = [1]
+    while sizes[-1] < most:
+        sizes.append(window_class(sizes[-1] + 1))
+    return F.array_min(F.filter(F.array(*map(F.lit, sizes)), lambda c: c >= shingles))
+
+
+def template_table(spark: SparkSession, templates: list[Template]) -> tuple[DataFrame, list[dict]]:
+    """A table (number, template, license, size, s, least, keys) of the templates, and of each its number, size, m and least.
+
+    s: its distinct shingles, of which there are m; size: its class; least:
+    its bands' minimal shingles; keys: its bands.
+    """
+    rows = spark.createDataFrame([(k, *t) for k, t in enumerate(templates)], "number int, template string, license string, text string")
+    rows = _with_shingles(rows, "text", "s").select("number", "template", "license", F.size("s").alias("n"), F.array_distinct("s").alias("s"))
+    longest = max((len(text) for _, _, text in templates), default=1)  # no text has more words than signs
+    rows = rows.withColumn("size", _class_of(F.col("n"), longest))
     least = F.array_distinct(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda b: _least(F.col("s"), b)))
-    return [r.asDict() for r in made.select("*", least.alias("least"), _keys(F.col("s"), F.col("size")).alias("keys")).collect()]
+    table = cut(rows.select("number", "template", "license", "size", "s", F.when(F.col("n") > 0, least).alias("least"), F.when(F.col("n") > 0, _keys(F.col("s"), F.col("size"))).alias("keys")))
+    known = [r.asDict() for r in table.select("number", "template", "size", F.size("s").alias("m"), "least").orderBy("number").collect()]
+    if short := [t["template"] for t in known if not t["m"]]:
+        raise ValueError(f"templates of fewer than {SHINGLE} words, which are notices: {short}")
+    return table, known
 
 
 def notice_table(spark: SparkSession, notices: list[Template]) -> list[tuple[str, str, int, int]]:
@@ -127,11 +139,11 @@ def notice_table(spark: SparkSession, notices: list[Template]) -> list[tuple[str
 def _batches(known: list[dict]) -> Iterator[list[dict]]:
     batch, held = [], 0
     for t in known:
-        if batch and (len(batch) >= BATCH or held + len(t["s"]) > BATCH_SHINGLES):
+        if batch and (len(batch) >= BATCH or held + t["m"] > BATCH_SHINGLES):
             yield batch
             batch, held = [], 0
         batch.append(t)
-        held += len(t["s"])
+        held += t["m"]
     if batch:
         yield batch
 
@@ -154,17 +166,14 @@ def _candidates(rows: DataFrame, known: list[dict], brief: list[tuple[str, str,
     return cut(rows.select("doc_id", F.explode(F.flatten(F.array_compact(F.array(long, *map(whole, lengths))))).alias("x")).select("doc_id", "x.*"))
 
 
-def _found_templates(windows: DataFrame, known: list[dict], percent: int) -> DataFrame:
-    """(doc_id, template, license, start, shared, m) for each of the windows with percent of a template."""
-    spark = windows.sparkSession
-    every = ",".join(f"{k}L" for k in sorted({k for t in known for k in t["keys"]}))
-    windows = windows.where("size > 0").select("*", _keys(F.col("w"), F.col("size")).alias("k")).select("doc_id", "start", "w", F.expr(f"filter(k, x -> x in ({every}))").alias("collided"))
-    banded = windows.select("doc_id", "start", "w", "collided", F.explode("collided").alias("key"))
-    table = _table(spark, [(t["template"], t["license"], _longs(t["s"]), _longs(t["keys"])) for t in known], ["template", "license", "shingles", "keys"])
-    bands = table.select("template", F.explode(F.array_distinct("keys")).alias("t_key"))
-    found = banded.join(F.broadcast(bands), F.col("key") == F.col("t_key")).join(F.broadcast(table.withColumnRenamed("template", "t")), F.col("template") == F.col("t"))
+def _found_templates(windows: DataFrame, table: DataFrame, percent: int) -> DataFrame:
+    """(doc_id, template, license, start, shared, m) for each of the windows with percent of a template of table, which is small enough to broadcast."""
+    keyed = windows.where("size > 0").select("doc_id", "start", "w", _keys(F.col("w"), F.col("size")).alias("collided"))
+    banded = keyed.select("doc_id", "start", "w", "collided", F.explode("collided").alias("key"))
+    bands = table.select(F.col("number").alias("of"), F.explode(F.array_distinct("keys")).alias("t_key"))
+    found = banded.join(F.broadcast(bands), F.col("key") == F.col("t_key")).join(F.broadcast(table), F.col("of") == F.col("number"))
     found = found.where(F.get(F.array_intersect("collided", "keys"), F.lit(0)) == F.col("key"))  # one of the bands that collide is enough
-    found = found.select("doc_id", "template", "license", "start", F.size(F.array_intersect("w", "shingles")).alias("shared"), F.size("shingles").alias("m"))
+    found = found.select("doc_id", "template", "license", "start", F.size(F.array_intersect("w", "s")).alias("shared"), F.size("s").alias("m"))
     return found.where(100 * F.col("shared") >= percent * F.col("m"))
 
 
@@ -189,13 +198,14 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templa
     columns of docs are not read.
     """
     spark = docs.sparkSession
-    known = template_table(spark, templates or TEMPLATES)
+    table, known = template_table(spark, templates or TEMPLATES)
     brief = notice_table(spark, notices if notices is not None else [] if templates else NOTICES)
     rows = docs.select(named(id_col).alias("doc_id"), named(text_col).alias("text")).where("text is not null")
     found = None
     for k, batch in enumerate(_batches(known)):
         windows = _candidates(rows, batch, brief if k == 0 else [])
-        parts = [_found_templates(windows, batch, percent), *([_found_notices(windows, brief)] if brief and k == 0 else [])]
+        own = table.where(F.col("number").between(batch[0]["number"], batch[-1]["number"]))
+        parts = [_found_templates(windows, own, percent), *([_found_notices(windows, brief)] if brief and k == 0 else [])]
         for part in parts:
             found = part if found is None else found.unionByName(part)
     out = found.groupBy("doc_id", "template", "license").agg((F.max("shared") / F.max("m")).alias("containment"), F.min("start").cast("long").alias("first_word"), F.count_distinct("start").alias("windows"))
@@ -203,6 +213,6 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templa
 
 
 def read_templates(spark: SparkSession, path: str) -> list[Template]:
-    """The text files of a folder as templates, named after their files: whole license texts of one's own, of five words or more each."""
-    rows = spark.read.option("wholetext", "true").text(path).select(F.col("_metadata.file_name").alias("name"), "value")
-    return [(r["name"], r["name"].removesuffix(".txt"), r["value"]) for r in rows.collect()]
+    """The text files of a folder as templates, each whole and named after its file: license texts of one's own, of five words or more each."""
+    rows = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_name").alias("name"), "value")
+    return [(r["name"], r["name"].removesuffix(".txt"), r["value"]) for r in rows.orderBy("path").collect()]

@@ -230,36 +230,40 @@ def encode_payload(data: bytes) -> bytes:
     return write_netpbm(np.frombuffer(data, np.uint8).reshape(-1, ROW // 3, 3))
 
 
-def text_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def text_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", files: bool = False) -> DataFrame:
     """One row per row of docs: its text stored as an image, read back, and measured.
 
-    feature is the difference hash of the whole image. The image's NPY tiles
-    are in tiles, in order, with their count, the digest of their bytes and
-    their difference hashes; preview is an 8 x 8 BMP made of the resized
-    image, and preview_sha256 the digest of its samples, read back. A null
+    feature is the difference hash of the whole image. The image is cut into
+    NPY tiles, of which there are the count, the digest of their bytes, in
+    order, and their difference hashes; an 8 x 8 BMP is made of the resized
+    image, and preview_sha256 is the digest of its samples, read back. With
+    files, the BMP and the tiles come too, in preview and tiles. A null
     text counts as empty; empty texts give one row of spaces; long ones as
     many rows as they take; equal texts, and so repeated rows, give equal
     values; bytes that are no UTF-8 are stored as they are; an empty table
     gives an empty one; other columns are not read.
     """
+    stored_files = {"preview": pa.binary(), "tiles": pa.list_(pa.binary())} if files else {}
     names = {
         "doc_id": pa.int64(), "n_bytes": pa.int64(), "payload_bytes": pa.int64(), "payload_sha256": pa.string(), "tail_crc32": pa.int64(), "media_bytes": pa.int64(), "media_sha256": pa.string(), "feature": pa.string(),
-        "n_tiles": pa.int64(), "tiles_sha256": pa.string(), "tile_hashes": pa.string(), "preview_sha256": pa.string(), "preview": pa.binary(), "tiles": pa.list_(pa.binary()),
+        "n_tiles": pa.int64(), "tiles_sha256": pa.string(), "tile_hashes": pa.string(), "preview_sha256": pa.string(), **stored_files,
     }
 
     def measured(text: bytes) -> tuple:
         media = encode_payload(payload(text))
         image = decode(media)
         back = image.tobytes()
-        cut_up = [t for _, _, t in cut_tiles(image)]
-        stored = [npy(t) for t in cut_up]
-        whole = hashlib.sha256()
-        for t in stored:
-            whole.update(t)
+        whole, n_tiles, hashes, stored = hashlib.sha256(), 0, [], []
+        for _, _, tile in cut_tiles(image):
+            whole.update(data := npy(tile))
+            n_tiles += 1
+            hashes.append(difference_hash(tile))
+            if files:
+                stored.append(data)
         preview = write_bmp(np.round(resize(image, 8, 8)).astype(np.uint8))
         seen = hashlib.sha256(np.ascontiguousarray(decode(preview)).tobytes()).hexdigest()
         values = len(text), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-16:]), len(media), hashlib.sha256(media).hexdigest(), difference_hash(image)
-        return *values, len(stored), whole.hexdigest(), " ".join(map(difference_hash, cut_up)), seen, preview, stored
+        return *values, n_tiles, whole.hexdigest(), " ".join(hashes), seen, *((preview, stored) if files else ())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = list(names.values())[1:]
@@ -278,5 +282,5 @@ def text_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
             if found:
                 yield batch(b.column("doc_id").slice(lo), found)
 
-    schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, n_tiles long, tiles_sha256 string, tile_hashes string, preview_sha256 string, preview binary, tiles array<binary>"
+    schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, n_tiles long, tiles_sha256 string, tile_hashes string, preview_sha256 string" + (", preview binary, tiles array<binary>" if files else "")
     return docs.select(named(id_col).cast("long").alias("doc_id"), named(text_col).alias("text")).mapInArrow(run, schema)

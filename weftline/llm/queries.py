@@ -146,7 +146,8 @@ select conv_id, count(*)::bigint as n_turns,
   sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn, role, text)) as turns_sha256,
   coalesce(sum(length(text)) filter (role = 'assistant'), 0)::bigint as loss_chars,
   sha256(coalesce(string_agg(text, '' order by turn, role, text) filter (role = 'assistant'), '')) as loss_sha256,
-  sum(n + length(role) + length('<turn >') + length('</turn>') + 2)::bigint as formatted_chars
+  sum(n + length(role) + length('<turn >') + length('</turn>') + 2)::bigint as formatted_chars,
+  0::bigint as n_attachments, sum(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')))::bigint as expanded_tokens
 from e group by conv_id
 """
 
@@ -154,7 +155,7 @@ from e group by conv_id
 @query
 def op8_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text stored as a Netpbm image, read back, and cut into NPY tiles; a BMP preview beside."""
-    return media.text_media(table(spark, sf_dir, "documents")).drop("preview", "tiles")
+    return media.text_media(table(spark, sf_dir, "documents"))
 
 
 @query
