@@ -78,6 +78,16 @@ def near_copies(n):
     return rows, [(k, " ".join(base[: 270 - 40 * k] + [f"z{k}_{j}" for j in range(60)])) for k in range(3)]
 
 
+def test_groups_of_long_texts_meet_once(spark, monkeypatch, shipped):
+    """Two groups that share three quarters of their words meet under many rare shingles, and each text comes once."""
+    monkeypatch.setattr(nd, "BLOCK_TEXTS", 10)
+    base = [f"w{k}" for k in range(2000)]
+    rows = [(100 * g + i, " ".join([*base[:1500], *(f"g{g}_{k}" for k in range(500)), f"own{i}"])) for g in range(3) for i in range(20)]
+    got = {r.doc_id: r.component_id for r in nd.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {100 * g + i: 100 * g for g in range(3) for i in range(20)}
+    assert shipped["post"] <= 4 * len(rows) * 3
+
+
 @pytest.fixture
 def shipped(monkeypatch):
     """Rows with texts that meet hubs, and that the rest of a large cluster takes."""
@@ -123,9 +133,11 @@ def test_texts_that_are_alike_but_not_linked_cost_in_proportion(spark, monkeypat
     assert sum(shipped.values()) <= 4 * len(rows)
 
 
-def test_groups_in_one_cluster(spark, monkeypatch):
+@pytest.mark.parametrize("few", [64, 3, 1])
+def test_groups_in_one_cluster(spark, monkeypatch, few):
     """Several groups, large and small, whose texts are candidates of each other."""
     monkeypatch.setattr(nd, "BLOCK_TEXTS", 8)
+    monkeypatch.setattr(nd, "FEW", few)
     rng = random.Random(8)
     rows, n = [], 0
     base = [f"w{k}" for k in range(80)]

@@ -19,9 +19,9 @@
    linked must share one of the rarest shingles of both: of the larger set
    one in about the first 15 %, of the smaller in about the first 8 %. So its
    texts are dealt by these shingles, and only those that different groups
-   hold on both sides are looked at; pages of one template whose fillings
-   differ too much to be linked never meet. Rounds return only links that span
-   components, never all pairs.
+   hold on both sides are looked at, each text once for every group that it
+   meets; pages of one template whose fillings differ too much to be linked
+   never meet. Rounds return only links that span components, never all pairs.
 4. Connected components of the verified links name the groups.
 """
 
@@ -46,6 +46,8 @@ EMPTY = np.uint16(0xFFFF)
 BLOCK_TEXTS, BLOCK_SHINGLES = 512, 1 << 20
 #: Buckets in which texts' shingles are counted to tell rare ones.
 COUNTERS = 1 << 18
+#: Groups under one rare shingle that are paired; of more, the shingle itself is what brings them together.
+FEW = 64
 #: Bytes of words, and of what goes with each, whose hashes a worker keeps at once.
 CACHE = 16 << 20
 
@@ -349,13 +351,25 @@ def _rarest(counts: Broadcast, size: int, num: int, den: int):
 
 
 def _postings(left: DataFrame, size: int, num: int, den: int) -> DataFrame:
-    """(post, node, group, n, side) of left (node, cluster, group, text), where different groups hold the shingle post, one of them on side 0."""
+    """(post, node, group, n, side) of left (node, cluster, group, text): what is to be compared, side 0 with side 1 of each post.
+
+    Two groups that meet under a few shingles, or under thousands, are one
+    post of those texts that meet, so a text comes once for each group that it
+    meets. Only a shingle of more than FEW groups is a post of its own.
+    """
     counted = left.select("cluster", "text").mapInArrow(_tally(size), "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).toPandas()  # COUNTERS rows at most
     often = np.zeros(COUNTERS, np.int64)
     often[counted["bucket"].to_numpy()] = counted["n"].to_numpy()
     entries = cut(left.select("node", "cluster", "group", "text").mapInArrow(_rarest(left.sparkSession.sparkContext.broadcast(often), size, num, den), "post long, node long, group long, n long, side int"))
-    met = entries.groupBy(F.col("post").alias("p")).agg(F.min("group").alias("g"), F.max("group").alias("h"), F.min("side").alias("s")).where("g <> h and s = 0").select("p")
-    return cut(entries.join(met, F.col("post") == F.col("p"), "left_semi"))
+    held = entries.groupBy("post", "group", "side").agg(F.lit(1).alias("one")).drop("one")
+    met = cut(held.groupBy(F.col("post").alias("p")).agg(F.min("group").alias("g"), F.max("group").alias("h"), F.min("side").alias("s"), F.count_distinct("group").alias("groups")).where("g <> h and s = 0").select("p", "groups"))
+    entries = cut(entries.join(met, F.col("post") == F.col("p")).drop("p"))
+    few = entries.where(F.col("groups") <= FEW)
+    others = few.groupBy(F.col("post").alias("p"), F.col("group").alias("other"), F.col("side").alias("far")).agg(F.lit(1).alias("one")).drop("one")
+    pairs = few.join(others, (F.col("post") == F.col("p")) & (F.col("group") != F.col("other")) & (F.col("side") != F.col("far")))
+    pair = F.when(F.col("side") == 0, F.xxhash64("group", "other")).otherwise(F.xxhash64("other", "group"))
+    pairs = pairs.groupBy(pair.alias("post"), "node", "group", "n", "side").agg(F.lit(1).alias("one")).drop("one")
+    return cut(pairs.unionByName(entries.where(F.col("groups") > FEW).drop("groups")))
 
 
 def _sided_blocks(entries: DataFrame) -> DataFrame:
@@ -469,7 +483,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     gives an empty one. Names of other columns cannot clash: they are not read.
     """
     found = _groups(docs.select(*_keyed(docs, id_col, text_col)), num, den, size)
-    least = found.where("component is not null").groupBy(F.col("component").alias("c")).agg(F.min("doc_id").alias("least"))
+    least = cut(found.where("component is not null").groupBy(F.col("component").alias("c")).agg(F.min("doc_id").alias("least")))
     out = found.where("component is not null").join(least, F.col("component") == F.col("c")).select("doc_id", "n", "least")
     out = out.unionByName(found.where("component is null").select("doc_id", "n", F.col("doc_id").alias("least")))
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.col("least").alias("component_id"), F.coalesce(F.col("doc_id") == F.col("least"), F.col("least").isNull()).alias("kept"))
@@ -487,9 +501,9 @@ def drop_near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str
     """
     doc_id, key, text = _keyed(docs, id_col, text_col)
     found = _groups(docs.select(doc_id, key, text), num, den, size)
-    named_rows = found.where("component is not null").groupBy("component", "doc_id", "key").agg(F.count(F.lit(1)).alias("rows"))
+    named_rows = cut(found.where("component is not null").groupBy("component", "doc_id", "key").agg(F.count(F.lit(1)).alias("rows")))
     order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "key")
-    best = named_rows.groupBy(F.col("component").alias("c")).agg(F.min(order).alias("best"))
+    best = cut(named_rows.groupBy(F.col("component").alias("c")).agg(F.min(order).alias("best")))
     judged = cut(named_rows.join(best, F.col("component") == F.col("c")).select(F.col("doc_id").alias("i"), F.col("key").alias("k"), (order == F.col("best")).alias("stays"), "rows"))
     rows = docs.select(carried(docs), doc_id.alias("id"), key)
     same = F.col("id").eqNullSafe(F.col("i")) & (F.col("key") == F.col("k"))
