@@ -71,11 +71,11 @@ def test_report(spark, tmp_path):
     logs.mkdir()
     charts = report.main(spark, write(logs), str(out))
     for name, n in (("openmp_csr_perf", 3), ("openmp_hll_perf", 2), ("cuda_csr_perf", 1), ("cuda_hll_perf", 2)):
-        frame = spark.read.csv(f"{out}/csv/{name}", header=True)
+        frame = spark.read.csv(f"{out}/csv/table={name}", header=True)
         assert frame.columns == perf_log.PERF_COLUMNS and frame.count() == n
     assert set(charts) >= {"OpenMP/CSR/Efficiency", "OpenMP/HLL/HackSize_16/Speedup", "OpenMP/Comparisons/GFLOPS", "CUDA/HLL/HackSize_64/GFLOPS", "CUDA/Comparisons/Speedup"}
-    bars = spark.read.csv(f"{out}/charts/OpenMP/Comparisons/GFLOPS", header=True).collect()
-    assert {(r.Matrix, r.Format): float(r.GFLOPS) for r in bars} == pytest.approx({("a.mtx", "CSR"): 3.0838, ("a.mtx", "HLL"): 3.0838})
+    bars = spark.read.csv(f"{out}/charts", header=True).where("chart = 'OpenMP/Comparisons/GFLOPS'").collect()
+    assert {(r.Matrix, r.x): float(r.y) for r in bars} == pytest.approx({("a.mtx", "CSR"): 3.0838, ("a.mtx", "HLL"): 3.0838})
 
 
 def test_ties_go_to_the_first(spark, tmp_path):
@@ -163,3 +163,40 @@ def test_command_line(spark, tmp_path):
     cli.main(["hll_openmp", str(tmp_path / "in"), "--threads", "2", "--hack", "junk", "--runs", "1", "--out", str(tmp_path / "out")])
     text = spark.read.text(str(tmp_path / "out")).collect()
     assert len(text) == 1 and text[0].value.startswith("[PERF] Format:HLL, Mode:OpenMP, Threads:2, BlockSize:-1, HackSize:32,")
+
+
+def test_logs_are_written_by_name_and_read_back(spark, tmp_path):
+    perf = perf_log.read(spark, write(tmp_path))
+    perf_log.write_logs(perf, str(tmp_path / "logs"))
+    again = perf_log.read(spark, str(tmp_path / "logs"), recursive=True)
+    columns = ["Threads", "BlockSize", "HackSize", "Time_s", "MFLOPS", "NNZ", "Matrix", "Format", "Mode"]
+    assert sorted(map(tuple, again.select(columns).collect())) == sorted(map(tuple, perf.select(columns).collect()))
+    assert {r.file for r in again.select("file").distinct().collect()} == {"results_csr_serial.txt", "results_csr_openmp.txt", "results_csr_cuda.txt", "results_hll_openmp16.txt", "results_hll_cuda64.txt", "results_hll_openmp.txt"} - {"results_hll_openmp.txt"}
+
+
+def test_best_configuration_is_one_aggregate(spark):
+    rows = [("m", "CSR", 16, g, f, k) for k, (g, f) in enumerate([(1.0, "b"), (3.0, "c"), (3.0, "a"), (None, "a"), (0.0, "a")])] + [("n", "CSR", -1, None, "z", 9)]
+    perf = spark.createDataFrame(rows, "Matrix string, Format string, HackSize int, GFLOPS double, file string, line_no int")
+    best = pm.best_configuration(perf, ["file", "line_no"])
+    assert best.columns == perf.columns and sorted(map(tuple, best.collect())) == [("m", "CSR", 16, 3.0, "a", 2), ("n", "CSR", -1, None, "z", 9)]
+    assert "Window" not in best._jdf.queryExecution().executedPlan().toString()
+
+
+def test_what_a_run_reads_is_made_before(spark, tmp_path):
+    """With a source of half a second a row, no mode's time includes it; and both clocks run."""
+    from pyspark.sql import functions as F
+
+    (tmp_path / "tiny.mtx").write_text(TINY)
+    meta, coo = matrix_market.read(spark, str(tmp_path))
+
+    @F.udf("float")
+    def slow(v):
+        import time
+
+        time.sleep(0.5)
+        return v
+
+    late = coo.withColumn("v", slow.asNondeterministic()("v"))
+    for mode in (runner.Mode.CSR_SERIAL, runner.Mode.CSR_OPENMP, runner.Mode.CSR_CUDA):
+        rows = runner.run(spark, meta, late, mode, threads=[1], blocks=[128], runs=2, clocks=runner.CLOCKS).collect()
+        assert [r.clock for r in rows] == ["wall", "cpu"] and all(0 < r.Time_s < 2.9 for r in rows)

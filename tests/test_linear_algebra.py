@@ -1,3 +1,5 @@
+import re
+
 import numpy as np
 import pytest
 from hypothesis import given, settings
@@ -22,7 +24,7 @@ def ys(df):
 def test_tiny_matrix(spark):
     coo, rows, counts = relations(spark, TINY, 6)
     assert ys(spmv.spmv_coo(coo, rows)) == [6, 0, 3, 0, 6, 0]
-    ent = formats.csr_entries(coo, counts).orderBy("k").collect()
+    ent = formats.csr_entries(coo).orderBy("k").collect()
     assert [(r.k, r.ja, r.a) for r in ent] == [(k, j, v) for k, (_, j, v) in enumerate(TINY)]
     blocks = formats.hll_blocks(coo, counts, 4).orderBy("block").collect()
     assert [(r.nr, r.k, r.cells, r.start_offset) for r in blocks] == [(4, 2, 8, 0), (2, 3, 6, 8)]
@@ -108,10 +110,29 @@ def test_several_matrices_and_vectors(spark):
     assert {(r.matrix, r.i): r.y for r in spmv.spmv_coo(coo, rows, x).collect()} == {("a", 0): 20, ("b", 0): 300, ("b", 1): 0}
 
 
-def test_a_vector_too_large_to_send(spark, monkeypatch):
-    monkeypatch.setattr(spmv, "MOST_BROADCAST", 1)
+@pytest.mark.parametrize(("stripe", "tile"), [(1, 1), (2, 3), (1 << 16, 1 << 17)])
+def test_tiles_of_any_size_give_one_product(spark, monkeypatch, stripe, tile):
+    monkeypatch.setattr(spmv, "STRIPE", stripe)
+    monkeypatch.setattr(spmv, "TILE", tile)
+    coo, rows, counts = relations(spark, TINY, 6)
+    x = spark.createDataFrame([(0, 2.0), (0, 1.0), (2, 10.0), (3, None), (-1, 7.0), (2**40, 5.0)], "idx long, val double")
+    tiled = spmv.spmv_tiled
+    for y in (tiled(coo, rows, x), tiled(coo, rows, x, 1), spmv.spmv_arrow(formats.csr_rows(coo), rows, x), spmv.spmv_blocks_arrow(formats.hll_blocks(coo, counts, 4), rows, x)):
+        assert ys(y) == [53, 0, 0, 0, 0, 0]
+
+
+def test_tiles_take_x_without_the_driver(spark, monkeypatch):
+    """No job runs, and nothing is broadcast from the driver, before the product is asked for."""
     coo, rows, _ = relations(spark, TINY, 6)
-    assert ys(spmv.spmv_arrow(formats.csr_rows(coo), rows, spmv.ones(spark, 4))) == [6, 0, 3, 0, 6, 0]
+    x, csr = spmv.ones(spark, 4), formats.csr_rows(coo)
+
+    def forbidden(*a, **k):
+        raise AssertionError("rows reached the driver")
+
+    for name in ("collect", "toPandas", "first", "toLocalIterator"):
+        monkeypatch.setattr(type(x), name, forbidden)
+    y = spmv.spmv_arrow(csr, rows, x)
+    assert "MapInArrow" in y._jdf.queryExecution().executedPlan().toString()
 
 
 @settings(max_examples=15, deadline=None)
@@ -134,25 +155,41 @@ def test_bad_sizes(spark):
             partitioning.owner_by_nnz(counts, parts)
 
 
-def test_distribution_keeps_rows_together(spark):
+def test_distribution_gives_equal_parts(spark):
     coo, rows, counts = relations(spark, TINY, 6)
     parts = partitioning.distribute(coo, counts, 3)
     assert parts.rdd.getNumPartitions() == 3 and parts.where("j is not null").count() == 6
-    assert {(r.i, r.owner) for r in parts.collect()} == {(0, 0), (1, 1), (2, 1), (3, 1), (4, 1), (5, 2)}
+    assert [r["count"] for r in parts.groupBy("owner").count().orderBy("owner").collect()] == [4, 4, 4]
+    assert {(r.i, r.owner, r.split) for r in parts.collect()} == {(0, 0, False), (1, 0, False), (2, 1, False), (3, 1, False), (4, 1, True), (4, 2, True), (5, 2, False)}
     at = parts.selectExpr("spark_partition_id() as p", "owner").distinct().collect()
     assert len(at) == len({r.p for r in at}) == len({r.owner for r in at})
 
 
+def test_a_dense_row_is_split_evenly(spark):
+    """One row with half of all entries: no owner has over 1.2 times the mean, and the product is right."""
+    entries = [(7, j % 40, 1.0) for j in range(3000)] + [(i % 50, i % 40, 2.0) for i in range(3000)]
+    coo, rows, counts = relations(spark, entries, 50)
+    parts = partitioning.distribute(coo, counts, 8).persist()
+    loads = [r["count"] for r in parts.groupBy("owner").count().collect()]
+    assert len(loads) == 8 and max(loads) <= 1.2 * sum(loads) / 8
+    x = spark.createDataFrame([(j, float(j)) for j in range(40)], "idx int, val double")
+    want = [0.0] * 50
+    for i, j, v in entries:
+        want[i] += v * j
+    assert ys(spmv.spmv_owned(parts, x)) == want
+    parts.unpersist()
+
+
 def test_owned_rows_are_added_up_where_they_are(spark):
-    """After the one move of the entries to their owners, no sum is shuffled, with or without a small x."""
+    """After the one move of the entries to their owners, no sum is shuffled but those of rows with several owners."""
     coo, rows, counts = relations(spark, TINY, 6)
     owned = partitioning.distribute(coo, counts, 3).persist()
     owned.count()
     for x in (None, spmv.ones(spark, 4)):
         y = spmv.spmv_owned(owned, x)
         assert ys(y) == [6, 0, 3, 0, 6, 0]
-    top = spmv.spmv_owned(owned)._jdf.queryExecution().executedPlan().toString().split("InMemoryTableScan")[0]
-    assert "Exchange" not in top
+    executed = spmv.spmv_owned(owned.where("not split"))._jdf.queryExecution().executedPlan().toString()
+    assert executed.split("InMemoryTableScan")[0].count("Exchange") == 0
     blocks = partitioning.distribute_blocks(formats.hll_blocks(coo, counts, 2), 2).persist()
     product = spmv.spmv_blocks(blocks)
     assert ys(product) == [6, 0, 3, 0, 6, 0]
@@ -162,6 +199,42 @@ def test_owned_rows_are_added_up_where_they_are(spark):
     blocks.unpersist()
 
 
+def test_rows_and_blocks_come_in_bounded_pieces(spark):
+    """A dense row, and a block of a dense row, are many small rows; together they hold every cell once."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "100")
+    try:
+        entries = [(3, j, float(j + 1)) for j in range(1500)] + [(i, 0, 2.0) for i in range(6)]
+        coo, rows, counts = relations(spark, entries, 6)
+        pieces = formats.csr_rows(coo).where("i = 3").orderBy("piece").collect()
+        assert len(pieces) > 10 and max(len(p.ja) for p in pieces) <= 100
+        assert [j for p in pieces for j in p.ja] == [*range(1500), 0]
+        for hack in (4, 1 << 20):
+            blocks = formats.hll_blocks(coo, counts, hack).collect()
+            assert max(len(b.ja) for b in blocks) <= 100 and sum(len(b.ja) for b in blocks) == sum({b.block: b.cells for b in blocks}.values())
+            cells = {(r.block, r.flat): (r.i, r.ja, r.a) for r in formats.hll_cells(coo, counts, hack).collect()}
+            assert {(r.block, r.flat): (r.i, r.ja, r.a) for r in formats.block_cells(formats.hll_blocks(coo, counts, hack)).collect()} == cells
+        assert cells[0, 1 * 6 + 0] == (0, 0, 0.0) and cells[0, 1500 * 6 + 3] == (3, 0, 2.0)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_entries_are_placed_without_a_window_over_rows(spark):
+    coo, _, _ = relations(spark, TINY, 6)
+    plan = formats.csr_entries(coo)._jdf.queryExecution().optimizedPlan().toString()
+    assert "windowspecdefinition(i" not in plan and "windowspecdefinition(matrix" not in plan
+
+
+def test_pointers_are_found_in_one_folder(spark, tmp_path):
+    counts = spark.createDataFrame([("m", i, i % 3) for i in range(500)] + [("n", i, 0) for i in range(5)], "matrix string, i long, n long")
+    ptr = formats.csr_ptr(counts)
+    partitioning.store_pointers(ptr, str(tmp_path / "p"), width=50)
+    for value in (0, 1, 100, 498, 499, 10_000):
+        got = {r.matrix: r["at"] for r in partitioning.stored_lower_bound(spark, str(tmp_path / "p"), value).collect()}
+        assert got == {r.matrix: r["at"] for r in partitioning.lower_bound(ptr, value).collect()}
+    plan = partitioning.stored_lower_bound(spark, str(tmp_path / "p"), 100)._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"PartitionFilters: \[[^\]]*bucket", plan) and "GreaterThanOrEqual(irp,100)" in plan
+
+
 def test_kernels_take_a_vector_per_matrix_and_missing_columns(spark):
     coo = spark.createDataFrame([("a", 0, 0, 0, 2.0), ("a", 1, 0, 3, 9.0), ("b", 0, 0, 0, 3.0), ("b", 1, 1, 1, 1.0), ("c", 0, 0, 0, 5.0)], "matrix string, pos long, i int, j int, v float")
     rows = spark.createDataFrame([("a", 0), ("b", 0), ("b", 1), ("c", 0)], "matrix string, i long")
@@ -172,12 +245,6 @@ def test_kernels_take_a_vector_per_matrix_and_missing_columns(spark):
         assert {(r.matrix, r.i): r.y for r in y.collect()} == want
 
 
-def test_a_large_index_is_not_sent(spark):
-    coo, rows, _ = relations(spark, TINY, 6)
-    x = spark.createDataFrame([(0, 1.0), (2, 1.0), (2**31 - 1, 1.0), (-5, 1.0)], "idx long, val double")
-    assert ys(spmv.spmv_arrow(formats.csr_rows(coo), rows, x)) == [6, 0, 0, 0, 0, 0]
-
-
 def test_products_have_the_rows_asked_for(spark):
     coo, rows, _ = relations(spark, TINY, 6)
     few = rows.where("i < 3")

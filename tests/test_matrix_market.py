@@ -3,6 +3,7 @@ import pytest
 from weftline.operators import formats
 from weftline.plans.catalog import FILES
 from weftline.sources import matrix_market as mm
+from weftline.sources import mtx_source
 from weftline.sources.lines import read_lines
 
 GENERAL = "%%MatrixMarket matrix coordinate real general\n"
@@ -82,8 +83,48 @@ def test_reading_files(spark, tmp_path):
     (tmp_path / "sub").mkdir()
     (tmp_path / "sub" / "deep.mtx").write_text(TINY)
     meta, coo = mm.read(spark, [str(tmp_path), str(tmp_path / "missing.mtx")])
-    assert {(r.matrix, r.status) for r in meta.collect()} == {("tiny.mtx", "OK"), ("empty.mtx", "E_EMPTY"), ("missing.mtx", "E_OPEN")}
+    assert {(r.name, r.status) for r in meta.collect()} == {("tiny.mtx", "OK"), ("empty.mtx", "E_EMPTY"), ("missing.mtx", "E_OPEN")}
     assert coo.count() == 6
+    nothing, _ = mm.read(spark, str(tmp_path / "missing.mtx"))
+    assert [(r.name, r.status) for r in nothing.collect()] == [("missing.mtx", "E_OPEN")]
+
+
+def test_files_of_one_name_are_two_matrices(spark, tmp_path):
+    for folder, text in (("x y", TINY), ("z", SYMMETRIC)):
+        (tmp_path / folder).mkdir()
+        (tmp_path / folder / "a.mtx").write_text(text)
+    for meta, coo in (mm.read(spark, [str(tmp_path / "x y"), str(tmp_path / "z")]), mm.read(spark, str(tmp_path), recursive=True), mtx_source.relations(mtx_source.load(spark, str(tmp_path), recursive=True))):
+        rows = meta.collect()
+        assert sorted((r.name, r.nnz, r.status) for r in rows) == [("a.mtx", 6, "OK"), ("a.mtx", 6, "OK")] and len({r.matrix for r in rows}) == 2
+        of = {r.symmetry: r.matrix for r in rows}
+        assert [(r.i, r.j, r.v) for r in coo.where(coo.matrix == of["symmetric"]).orderBy("pos").collect()] == [(0, 0, 2), (1, 0, -1), (0, 1, -1), (2, 1, 5), (1, 2, 5), (2, 2, 4)]
+        assert coo.where(coo.matrix == of["general"]).count() == 6
+        assert coo.groupBy("matrix", "pos").count().where("count > 1").count() == 0
+
+
+def test_written_files_read_back(spark, tmp_path):
+    meta, coo = mm.parse(lines_of(spark, tiny=TINY, sym=SYMMETRIC))
+    mm.write(meta, coo, str(tmp_path / "out"))
+    again, back = mm.read(spark, str(tmp_path / "out"), recursive=True)
+    names = {r.matrix: r.matrix.split("matrix=")[1].split(".mtx")[0] for r in again.collect()}
+    assert sorted(names.values()) == ["sym", "tiny"] and {r.status for r in again.collect()} == {"OK"}
+    for path, name in names.items():
+        got = [(r.i, r.j, r.v) for r in back.where(back.matrix == path).orderBy("pos").collect()]
+        assert got == entries(coo, name)
+
+
+@pytest.mark.parametrize("split", [1, 7, 1 << 20])
+def test_the_data_source_gives_what_text_lines_give(spark, tmp_path, split):
+    for k, (_, _, text) in FILES.items():
+        (tmp_path / f"{k}.mtx").write_text("\n".join(text) + ("\n" if len(k) % 2 else ""))
+    (tmp_path / "empty.mtx").write_text("")
+    (tmp_path / "notes.txt").write_text("x")
+    meta, coo = mtx_source.relations(mtx_source.load(spark, str(tmp_path), split=split))
+    assert {r.name: (r.status, r.nnz) for r in meta.collect()} == {f"{k}.mtx": (s, n) for k, (s, n, _) in FILES.items()} | {"empty.mtx": ("E_EMPTY", None)}
+    plain, want = mm.read(spark, str(tmp_path))
+    cells = lambda m, c: {(r.matrix.rsplit("/", 1)[-1], r.pos, r.i, r.j, r.v) for r in c.collect()}
+    assert cells(meta, coo) == cells(plain, want)
+    assert mtx_source.load(spark, str(tmp_path / "ok.mtx"), split=4).rdd.getNumPartitions() > 3
 
 
 def test_lines_of_a_split_file_are_in_order(spark, tmp_path):

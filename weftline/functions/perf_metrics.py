@@ -45,9 +45,16 @@ def union_formats(csr: DataFrame, hll: DataFrame, needed: list[str]) -> DataFram
 
 
 def best_configuration(perf: DataFrame, order: list[str]) -> DataFrame:
-    """The record with most GFLOPS per (Matrix, Format, HackSize); of ties the first by order."""
-    rank = F.row_number().over(Window.partitionBy("Matrix", "Format", "HackSize").orderBy(F.desc("GFLOPS"), *order))
-    return perf.withColumn("__rank", rank).where("__rank = 1").drop("__rank")
+    """The record with most GFLOPS per (Matrix, Format, HackSize); of ties the first by order.
+
+    An aggregate of structs that are ordered by these fields: the best so far
+    of each group is all that a task keeps and shuffles.
+    """
+    groups = ["Matrix", "Format", "HackSize"]
+    rest = [c for c in perf.columns if c not in {*groups, "GFLOPS", *order}]
+    least = F.struct(F.col("GFLOPS").isNull().alias("__none"), (-F.col("GFLOPS")).alias("__less"), *order, *rest)
+    best = perf.groupBy(*groups).agg(F.min(least).alias("__best"))
+    return best.select(*((-F.col("__best.__less")).alias(c) if c == "GFLOPS" else F.col(c) if c in groups else F.col("__best")[c].alias(c) for c in perf.columns))
 
 
 def hack_sizes(perf: DataFrame) -> DataFrame:

@@ -11,17 +11,21 @@ from weftline.functions.tables import cut
 BITS = 33
 
 
+def in_order(df: DataFrame, order: list[str | Column]) -> DataFrame:
+    """df dealt to ranges of the order and sorted where it is, nulls first; rows that tie are dealt by where they stand in df."""
+    keys = [*order, "__tie"]
+    return df.withColumn("__tie", F.monotonically_increasing_id()).repartitionByRange(*keys).sortWithinPartitions(*keys).drop("__tie")
+
+
 def numbered(df: DataFrame, order: list[str | Column], out: str) -> DataFrame:
     """df with out: each row's place from 0 in the order of the given columns, nulls first.
 
     Rows are dealt to ranges of the order, sorted where they are, and written
     once with their range and their place in it; the ranges' counts, one row
-    for each, say what comes before. Rows that tie are dealt by where they
-    stand in df, so neither a frequent key nor equal rows meet in one task.
+    for each, say what comes before. Neither a frequent key nor equal rows
+    meet in one task.
     """
-    keys = [*order, "__tie"]
-    dealt = df.withColumn("__tie", F.monotonically_increasing_id()).repartitionByRange(*keys).sortWithinPartitions(*keys)
-    table = cut(dealt.drop("__tie").withColumn("__id", F.monotonically_increasing_id()))
+    table = cut(in_order(df, order).withColumn("__id", F.monotonically_increasing_id()))
     table = table.withColumn("__range", F.shiftright("__id", BITS)).withColumn("__at", F.col("__id").bitwiseAND(F.lit((1 << BITS) - 1)))
     counts = table.groupBy(F.col("__range").alias("__r")).agg(F.count(F.lit(1)).alias("__n"))
     upto = Window.orderBy("__r").rowsBetween(Window.unboundedPreceding, -1)  # over a row for each task that wrote

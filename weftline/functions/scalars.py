@@ -47,3 +47,13 @@ def launch_block(size: int) -> int:
 def option_block(size: int) -> int:
     """A block size from the command line: a power of two from 1 to 1024, else 256."""
     return size if 1 <= size <= 1024 and not size & (size - 1) else 256
+
+
+def launch_blocks(size: Column) -> Column:
+    """launch_block() of a column."""
+    return F.when(size.between(1, 1024), size).otherwise(256)
+
+
+def option_blocks(size: Column) -> Column:
+    """option_block() of a column."""
+    return F.when(size.between(1, 1024) & (size.bitwiseAND(size - 1) == 0), size).otherwise(256)

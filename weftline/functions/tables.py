@@ -69,10 +69,16 @@ def write_text(spark: SparkSession, path: str, lines: list[str]) -> None:
 
 
 def append_text(spark: SparkSession, path: str, lines: list[str]) -> None:
-    """Lines added to the end of a small text file; file systems that cannot append get the file anew."""
+    """Lines added to the end of a small text file; where the file system cannot append, the file is written anew."""
     hadoop, fs = _hadoop(spark, path)
-    before = [r[0] for r in spark.read.text(path).collect()] if fs.exists(hadoop) else []
-    write_text(spark, path, before + lines)
+    if not fs.exists(hadoop):
+        return write_text(spark, path, lines)
+    try:
+        out = fs.append(hadoop)
+    except Exception:
+        return write_text(spark, path, [r[0] for r in spark.read.text(path).collect()] + lines)
+    out.write(bytearray("".join(f"{x}\n" for x in lines).encode()))
+    out.close()
 
 
 def _delete(path: str) -> None:

@@ -2,19 +2,26 @@
 
 Every function takes the name of the matrix column as part of its relations,
 so any number of matrices go through one plan. order names the columns that
-order the entries of a row.
+order the entries of a row. Entries are placed by one sort over ranges of
+(row, order) and the ranges' counts, so no row, however dense, passes through
+one task, and arrays come in pieces that a batch of a sorted range fills.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from weftline.functions.places import in_order, numbered_within
 from weftline.functions.prefix import exclusive_prefix
 from weftline.functions.scalars import int_div
 
 POS = ["pos"]
-#: Rows that one generator step makes.
+#: Rows, or cells of padding, that one generator step makes.
 CHUNK = 1 << 16
 
 
@@ -38,24 +45,62 @@ def csr_ptr(counts: DataFrame) -> DataFrame:
     return starts.unionByName(ends)
 
 
-def slots(coo: DataFrame, order: list[str] = POS) -> DataFrame:
-    """coo with slot: the entry's place in its row, from 0."""
-    rank = F.row_number().over(Window.partitionBy("matrix", "i").orderBy(*order)) - 1
-    return coo.withColumn("slot", rank.cast("long"))
+def _entries(coo: DataFrame, order: list[str]) -> DataFrame:
+    return coo.select(*dict.fromkeys(["matrix", "i", "j", "v", *order]))
 
 
-def csr_entries(coo: DataFrame, counts: DataFrame, order: list[str] = POS) -> DataFrame:
+def csr_entries(coo: DataFrame, order: list[str] = POS) -> DataFrame:
     """(matrix, k, i, ja, a): the entries in the order of their rows; a row keeps its own order."""
-    ptr = exclusive_prefix(counts, ["matrix"], "i", "n", "irp").select(F.col("matrix").alias("__m"), F.col("i").alias("__i"), "irp")
-    placed = slots(coo, order).join(ptr, (F.col("matrix") == F.col("__m")) & (F.col("i") == F.col("__i")))
-    return placed.select("matrix", (F.col("irp") + F.col("slot")).alias("k"), "i", F.col("j").alias("ja"), F.col("v").alias("a"))
+    placed = numbered_within(_entries(coo, order), ["matrix"], ["i", *order], "k")
+    return placed.select("matrix", "k", "i", F.col("j").alias("ja"), F.col("v").alias("a"))
+
+
+def slots(coo: DataFrame, order: list[str] = POS) -> DataFrame:
+    """(matrix, i, slot, n, ja, a): every entry's place in its row, from 0, and the row's number of entries."""
+    entries = csr_entries(coo, order)
+    rows = entries.groupBy(F.col("matrix").alias("__m"), F.col("i").alias("__i")).agg(F.min("k").alias("__first"), F.count(F.lit(1)).alias("n"))
+    return entries.join(rows, (F.col("matrix") == F.col("__m")) & (F.col("i") == F.col("__i"))).select("matrix", "i", (F.col("k") - F.col("__first")).alias("slot"), "n", "ja", "a")
+
+
+def run_starts(batch: pa.RecordBatch, keys: list[str]) -> np.ndarray:
+    """Where in a batch one of the keys differs from the row before."""
+    begins = np.zeros(batch.num_rows, bool)
+    begins[:1] = True
+    for key in keys:
+        column = batch.column(key)
+        value = column.dictionary_encode().indices.to_numpy(zero_copy_only=False) if pa.types.is_string(column.type) or pa.types.is_large_string(column.type) else column.to_numpy(zero_copy_only=False)
+        begins[1:] |= value[1:] != value[:-1]
+    return np.flatnonzero(begins)
+
+
+def _pieces(keys: list[str], single: list[str], lists: list[str]) -> Callable:
+    """Each run of equal keys in a batch as one row: keys and single of its first row, and lists as arrays."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            starts = run_starts(b, keys)
+            offsets = pa.array(np.append(starts, b.num_rows), pa.int32())
+            first = [b.column(c).take(pa.array(starts)) for c in (*keys, *single)]
+            yield pa.RecordBatch.from_arrays([*first, *(pa.ListArray.from_arrays(offsets, b.column(c)) for c in lists)], [*keys, *single, *lists])
+
+    return run
+
+
+def _typed(df: DataFrame, columns: list[str], lists: list[str]) -> str:
+    kind = lambda c: df.schema[c].dataType.simpleString()
+    return ", ".join([*(f"{c} {kind(c)}" for c in columns), *(f"{c} array<{kind(c)}>" for c in lists)])
 
 
 def csr_rows(coo: DataFrame, order: list[str] = POS) -> DataFrame:
-    """(matrix, i, ja, a): a row's columns and values as arrays; empty rows are absent."""
-    cells = F.sort_array(F.collect_list(F.struct(*order, F.col("j").alias("__j"), F.col("v").alias("__v"))))
-    rows = coo.groupBy("matrix", "i").agg(cells.alias("c"))
-    return rows.select("matrix", "i", F.col("c.__j").alias("ja"), F.col("c.__v").alias("a"))
+    """(matrix, i, piece, ja, a): a row's columns and values as arrays, in pieces of at most an Arrow batch; empty rows are absent.
+
+    A row's pieces are in the order of piece, a number that has gaps.
+    """
+    entries = in_order(_entries(coo, order), ["matrix", "i", *order]).select("matrix", "i", F.col("j").alias("ja"), F.col("v").alias("a"))
+    packed = entries.mapInArrow(_pieces(["matrix", "i"], [], ["ja", "a"]), _typed(entries, ["matrix", "i"], ["ja", "a"]))
+    return packed.select("matrix", "i", F.monotonically_increasing_id().alias("piece"), "ja", "a")
 
 
 def width_stats(counts: DataFrame) -> DataFrame:
@@ -93,50 +138,43 @@ def padding_ratio(counts: DataFrame, hack: int) -> DataFrame:
     return cells.join(nnz, F.col("matrix") == F.col("__m")).select("matrix", "nnz", "cells", padding.alias("padding"))
 
 
-def _padded_rows(coo: DataFrame, counts: DataFrame, hack: int, order: list[str]) -> DataFrame:
-    """(matrix, block, nr, i, ja, a): every row of the blocks, its arrays padded to the block's width; blocks of width 0 are absent."""
-    blocks = hll_meta(counts, hack).select(F.col("matrix").alias("__bm"), F.col("block").alias("__b"), "nr", "k")
-    cells = csr_rows(coo, order).select(F.col("matrix").alias("__m"), F.col("i").alias("__i"), "ja", "a")
-    rows = counts.join(cells, (F.col("matrix") == F.col("__m")) & (F.col("i") == F.col("__i")), "left").withColumn("block", int_div(F.col("i"), hack))
-    rows = rows.join(blocks, (F.col("matrix") == F.col("__bm")) & (F.col("block") == F.col("__b"))).where("k > 0")
-    missing = (F.col("k") - F.col("n")).cast("int")
-    last = F.coalesce(F.get("ja", F.size("ja") - 1), F.lit(0).cast(coo.schema["j"].dataType))
-    none = lambda c: F.coalesce(c, F.array().cast(csr_type(coo, c)))
-    ja = F.concat(none("ja"), F.array_repeat(last, missing))
-    a = F.concat(none("a"), F.array_repeat(F.lit(0).cast(coo.schema["v"].dataType), missing))
-    return rows.select("matrix", "block", "nr", "i", ja.alias("ja"), a.alias("a"))
-
-
-def csr_type(coo: DataFrame, array: str) -> str:
-    return f"array<{coo.schema['j' if array == 'ja' else 'v'].dataType.simpleString()}>"
-
-
 def hll_cells(coo: DataFrame, counts: DataFrame, hack: int, order: list[str] = POS) -> DataFrame:
     """(matrix, block, flat, i, ja, a): every cell of the padded blocks, column by column within a block.
 
     Padding repeats the row's last column (0 in an empty row) with value 0.
     The relation is as large as the padding makes it; see padding_ratio.
     """
-    rows = _padded_rows(coo, counts, hack, order)
-    cells = rows.select("matrix", "block", "nr", "i", F.posexplode(F.arrays_zip("ja", "a")).alias("slot", "c"))
-    flat = F.col("slot") * F.col("nr") + (F.col("i") - F.col("block") * hack)
-    return cells.select("matrix", "block", flat.cast("long").alias("flat"), "i", F.col("c.ja").alias("ja"), F.col("c.a").alias("a"))
+    blocks = hll_meta(counts, hack).select(F.col("matrix").alias("__bm"), F.col("block").alias("__b"), "nr", "k")
+    placed = slots(coo, order).withColumn("i", F.col("i").cast("long"))
+    last = placed.where(F.col("slot") == F.col("n") - 1).select(F.col("matrix").alias("__m"), F.col("i").alias("__i"), F.col("ja").alias("last"))
+    inside = lambda df: df.withColumn("block", int_div(F.col("i"), hack)).join(blocks, (F.col("matrix") == F.col("__bm")) & (F.col("block") == F.col("__b")))
+    flat = (F.col("slot") * F.col("nr") + (F.col("i") - F.col("block") * hack)).cast("long").alias("flat")
+    full = inside(placed).select("matrix", "block", flat, "i", "ja", "a")
+    rows = inside(counts.withColumn("i", F.col("i").cast("long"))).where("k > n").join(last, (F.col("matrix") == F.col("__m")) & (F.col("i") == F.col("__i")), "left")
+    steps = rows.withColumn("from", F.explode(F.sequence(F.col("n"), F.col("k") - 1, F.lit(CHUNK).cast("long"))))
+    steps = steps.withColumn("slot", F.explode(F.sequence("from", F.least(F.col("from") + CHUNK, F.col("k")) - 1)))
+    none = F.lit(0)
+    padding = steps.select("matrix", "block", flat, "i", F.coalesce("last", none).cast(coo.schema["j"].dataType).alias("ja"), none.cast(coo.schema["v"].dataType).alias("a"))
+    return full.unionByName(padding)
 
 
 def hll_blocks(coo: DataFrame, counts: DataFrame, hack: int, order: list[str] = POS) -> DataFrame:
-    """One row per block with its arrays: (matrix, hack, block, nr, k, cells, start_offset, ja, a).
+    """The blocks with their arrays in pieces: (matrix, hack, block, nr, k, cells, start_offset, at, ja, a).
 
-    A block's padded rows, hack of them at most, are gathered and transposed.
+    A piece holds the cells of its block from at on, at most an Arrow batch of
+    them, so a block of any size is made of bounded rows; a block without
+    cells is one row without arrays.
     """
-    rows = _padded_rows(coo, counts, hack, order).groupBy(F.col("matrix").alias("__m"), F.col("block").alias("__b")).agg(F.sort_array(F.collect_list(F.struct("i", "ja", "a"))).alias("r"))
-    blocks = hll_offsets(hll_meta(counts, hack)).join(rows, (F.col("matrix") == F.col("__m")) & (F.col("block") == F.col("__b")), "left")
-    columns = F.sequence(F.lit(0), F.col("k").cast("int") - 1)
-    turned = lambda c: F.when(F.col("k") > 0, F.flatten(F.transform(columns, lambda s: F.transform(f"r.{c}", lambda row: F.get(row, s)))))
-    return blocks.select("matrix", F.lit(hack).alias("hack"), "block", "nr", "k", "cells", "start_offset", turned("ja").alias("ja"), turned("a").alias("a"))
+    cells = in_order(hll_cells(coo, counts, hack, order), ["matrix", "block", "flat"]).select("matrix", "block", F.col("flat").alias("at"), "ja", "a")
+    packed = cells.mapInArrow(_pieces(["matrix", "block"], ["at"], ["ja", "a"]), _typed(cells, ["matrix", "block", "at"], ["ja", "a"]))
+    packed = packed.select(F.col("matrix").alias("__m"), F.col("block").alias("__b"), "at", "ja", "a")
+    blocks = hll_offsets(hll_meta(counts, hack)).join(packed, (F.col("matrix") == F.col("__m")) & (F.col("block") == F.col("__b")), "left")
+    return blocks.select("matrix", F.lit(hack).alias("hack"), "block", "nr", "k", "cells", "start_offset", F.coalesce("at", F.lit(0)).cast("long").alias("at"), "ja", "a")
 
 
 def block_cells(blocks: DataFrame) -> DataFrame:
     """The cells of hll_blocks, with the row of the matrix that each belongs to."""
-    cells = blocks.where("k > 0").select("matrix", "hack", "block", "nr", F.posexplode(F.arrays_zip("ja", "a")).alias("flat", "c"))
+    cells = blocks.where("k > 0").select("matrix", "hack", "block", "nr", "at", F.posexplode(F.arrays_zip("ja", "a")).alias("p", "c"))
+    cells = cells.withColumn("flat", F.col("at") + F.col("p"))
     row = F.col("block") * F.col("hack") + F.col("flat") % F.col("nr")
-    return cells.select("matrix", "block", F.col("flat").cast("long").alias("flat"), row.alias("i"), F.col("c.ja").alias("ja"), F.col("c.a").alias("a"))
+    return cells.select("matrix", "block", "flat", row.alias("i"), F.col("c.ja").alias("ja"), F.col("c.a").alias("a"))

@@ -6,9 +6,10 @@ row has a closed form, so no search is needed.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from weftline.functions.places import numbered_within
 from weftline.functions.prefix import exclusive_prefix
 from weftline.functions.scalars import ceil_div, int_div
 
@@ -46,22 +47,47 @@ def nnz_loads(counts: DataFrame, parts: int) -> DataFrame:
     return owner_by_nnz(counts, parts).groupBy("matrix", "owner").agg(F.count(F.lit(1)).alias("n_rows"), F.sum("n").cast("long").alias("nnz"))
 
 
+#: Rows of a range that thresholds are sought in.
+WIDTH = 1 << 12
+
+
+def _latest(known: DataFrame, wanted: DataFrame, by: list[str], value: str) -> DataFrame:
+    """wanted (by, pos, ...) with value: that of the last row of known (by, pos, value) at or before pos. One sort of both, no pairs."""
+    both = known.select(*by, "pos", value, F.lit(None).alias("__w")).unionByName(wanted.select(*by, "pos", F.lit(None).alias(value), F.struct(*(c for c in wanted.columns if c not in by)).alias("__w")))
+    upto = Window.partitionBy(*by).orderBy("pos", F.col("__w").isNotNull(), value).rowsBetween(Window.unboundedPreceding, -1)
+    found = both.withColumn("__v", F.last(value, ignorenulls=True).over(upto)).where("__w is not null")
+    return found.select(*by, "__w.*", F.col("__v").alias(value))
+
+
 def bounds_sweep(counts: DataFrame, parts: list[int]) -> DataFrame:
-    """(matrix, parts, t, lo, hi): the bounds for every number of partitions in parts, from one pass over the rows.
+    """(matrix, parts, t, lo, hi): the bounds for every number of partitions in parts.
 
     Partition t ends behind the row in which entry (t + 1) * step, counted
-    from 1, lies; a row gives only the ends that lie in it, so few rows give
-    any.
+    from 1, lies. These thresholds, a small relation, are sought among the
+    sums of ranges of rows first, and then among the rows of the ranges that
+    are hit; all other rows are summed and no more.
     """
-    starts = _starts(counts)
-    step = lambda p: F.greatest(ceil_div(F.col("__nnz"), p), F.lit(1))
-    first = lambda p: int_div(F.col("irp"), step(p)) + 1
-    last = lambda p: F.least(int_div(F.col("irp") + F.col("n"), step(p)), int_div(F.col("__nnz") - 1, step(p)))
-    ends = lambda p: F.when(last(p) >= first(p), F.transform(F.sequence(first(p), last(p)), lambda m: F.struct(p.alias("p"), (m - 1).cast("int").alias("at"), (F.col("i") + 1).alias("hi"))))
     every = F.array(*(F.lit(_parts(p)).cast("long") for p in parts))
-    found = starts.where("n > 0").select(F.col("matrix").alias("__m"), F.inline(F.flatten(F.array_compact(F.transform(every, ends)))))
-    totals = counts.groupBy("matrix").agg(F.count(F.lit(1)).alias("rows"), F.sum("n").alias("nnz"))
-    slots = totals.select("matrix", "rows", "nnz", F.explode(every).alias("parts")).select("matrix", "rows", "nnz", F.col("parts").cast("int").alias("parts"), F.explode(F.sequence(F.lit(0), F.col("parts").cast("int") - 1)).alias("t"))
+    ranged = counts.withColumn("range", int_div(F.col("i"), WIDTH))
+    ranges = ranged.groupBy("matrix", "range").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("rows"))
+    upto = Window.partitionBy("matrix").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = ranges.withColumn("pos", F.coalesce(F.sum("total").over(upto), F.lit(0)).cast("long"))
+
+    totals = ranges.groupBy("matrix").agg(F.sum("rows").alias("rows"), F.sum("total").alias("nnz"))
+    step = F.greatest(ceil_div(F.col("nnz"), F.col("p")), F.lit(1))
+    sized = totals.select("matrix", "rows", "nnz", F.explode(every).alias("p")).withColumn("step", step)
+    wanted = sized.where("nnz > step").select("matrix", F.col("p"), "step", F.explode(F.sequence(F.lit(1).cast("long"), int_div(F.col("nnz") - 1, F.col("step")))).alias("m"))
+    wanted = wanted.select("matrix", F.col("p").cast("int").alias("p"), (F.col("m") - 1).cast("int").alias("at"), (F.col("m") * F.col("step") - 1).alias("pos"))
+    hit = _latest(ranges.select("matrix", "pos", "range"), wanted, ["matrix"], "range")
+
+    few = hit.select(F.col("matrix").alias("__m"), F.col("range").alias("__r")).distinct()
+    start = ranges.join(few, (F.col("matrix") == F.col("__m")) & (F.col("range") == F.col("__r")), "left_semi").select(F.col("matrix").alias("__m"), F.col("range").alias("__r"), F.col("pos").alias("__start"))
+    inside = Window.partitionBy("matrix", "range").orderBy("i").rowsBetween(Window.unboundedPreceding, -1)
+    rows = ranged.join(start, (F.col("matrix") == F.col("__m")) & (F.col("range") == F.col("__r")))
+    rows = rows.withColumn("pos", (F.col("__start") + F.coalesce(F.sum("n").over(inside), F.lit(0))).cast("long")).where("n > 0")
+    found = _latest(rows.select("matrix", "range", "pos", F.col("i").cast("long").alias("i")), hit, ["matrix", "range"], "i").select(F.col("matrix").alias("__m"), "p", "at", (F.col("i") + 1).alias("hi"))
+
+    slots = sized.select("matrix", "rows", "nnz", F.col("p").cast("int").alias("parts"), F.explode(F.sequence(F.lit(0), F.col("p").cast("int") - 1)).alias("t"))
     joined = slots.join(found, (F.col("matrix") == F.col("__m")) & (F.col("parts") == F.col("p")) & (F.col("t") == F.col("at")), "left")
     # Without entries the last partition owns all rows.
     end = F.when(F.col("nnz") == 0, F.when(F.col("t") == F.col("parts") - 1, F.col("rows")).otherwise(0)).otherwise(F.coalesce("hi", "rows")).cast("long")
@@ -79,6 +105,25 @@ def lower_bound(ptr: DataFrame, value: int) -> DataFrame:
     return ptr.groupBy("matrix").agg(F.count_if(F.col("irp") < value).alias("at"))
 
 
+def store_pointers(ptr: DataFrame, path: str, width: int = 1 << 16) -> None:
+    """csr_ptr as Parquet under path, in folders of width pointers, with the least and largest of each folder beside."""
+    ranged = ptr.withColumn("bucket", int_div(F.col("i"), width))
+    ranged.repartition("bucket").sortWithinPartitions("bucket", "matrix", "i").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/pointers")
+    stored = ptr.sparkSession.read.parquet(f"{path}/pointers")
+    ends = stored.groupBy("matrix", "bucket").agg(F.min("irp").alias("least"), F.max("irp").alias("most"), F.max("i").alias("last"))
+    ends.write.mode("overwrite").parquet(f"{path}/ends")
+
+
+def stored_lower_bound(spark: SparkSession, path: str, value: int) -> DataFrame:
+    """lower_bound of stored pointers, from the one folder of each matrix that holds it; behind the last pointer where all are under value."""
+    ends = spark.read.parquet(f"{path}/ends")
+    hit = ends.groupBy("matrix").agg(F.min(F.when(F.col("most") >= value, F.col("bucket"))).alias("in"), (F.max("last") + 1).alias("behind"))
+    buckets = [r[0] for r in hit.select("in").where("in is not null").distinct().collect()]  # a number per matrix at most
+    pointers = spark.read.parquet(f"{path}/pointers").where(F.col("bucket").isin(buckets) & (F.col("irp") >= value)).select(F.col("matrix").alias("__m"), F.col("bucket").alias("__b"), "i")
+    found = pointers.groupBy("__m", "__b").agg(F.min("i").alias("at"))
+    return hit.join(found, (F.col("matrix") == F.col("__m")) & (F.col("in") == F.col("__b")), "left").select("matrix", F.coalesce("at", "behind").alias("at"))
+
+
 def block_bounds(blocks: DataFrame, parts: int) -> DataFrame:
     """(matrix, t, lo, hi): equal numbers of blocks for each partition t, the last ones maybe fewer or none."""
     totals = blocks.groupBy("matrix").agg(F.count(F.lit(1)).alias("n"))
@@ -89,21 +134,26 @@ def block_bounds(blocks: DataFrame, parts: int) -> DataFrame:
 
 def owner_of_block(blocks: DataFrame, parts: int) -> DataFrame:
     """blocks with owner: the partition of each block under block_bounds."""
-    totals = blocks.groupBy(F.col("matrix").alias("__m")).agg(ceil_div(F.count(F.lit(1)), _parts(parts)).alias("__step"))
+    totals = blocks.groupBy(F.col("matrix").alias("__m")).agg(ceil_div(F.max("block") + 1, _parts(parts)).alias("__step"))
     return blocks.join(totals, F.col("matrix") == F.col("__m")).withColumn("owner", int_div(F.col("block"), F.col("__step")).cast("int")).drop("__m", "__step")
 
 
 def distribute(coo: DataFrame, counts: DataFrame, parts: int) -> DataFrame:
-    """coo with owner, partition t holding what owner t owns: about equal entries, and one without column and value for each row.
+    """coo with owner and split, partition t holding what owner t owns, and with one entry without column and value for each row of counts.
 
-    The owner of an entry is found in its matrix's bounds, a row of parts
-    numbers per matrix, so entries move once, to where spmv_owned adds them up.
+    Rows and entries together, in the order of the rows, are cut into parts
+    equal runs, so no owner has more than another, wherever a run ends: a row
+    of any number of entries may have several owners, and is split then.
     """
-    bounds = bounds_by_nnz(counts, parts).groupBy(F.col("matrix").alias("__m")).agg(F.array_sort(F.collect_list("hi")).alias("__ends"))
-    entries = coo.select("matrix", F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j"), F.col("v").cast("double").alias("v"))
-    rows = counts.select("matrix", F.col("i").cast("long").alias("i"), F.lit(None).cast("long").alias("j"), F.lit(0.0).alias("v"))
-    owner = F.size(F.filter("__ends", lambda end: end <= F.col("i"))).alias("owner")
-    return entries.unionByName(rows).join(bounds, F.col("matrix") == F.col("__m")).select("matrix", "i", "j", "v", owner).repartitionById(parts, "owner")
+    entries = coo.select("matrix", F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j"), F.col("v").cast("double").alias("v"), F.lit(1).alias("mark"))
+    rows = counts.select("matrix", F.col("i").cast("long").alias("i"), F.lit(None).cast("long").alias("j"), F.lit(0.0).alias("v"), F.lit(0).alias("mark"))
+    placed = numbered_within(entries.unionByName(rows), ["matrix"], ["i", "mark"], "at")
+    steps = placed.groupBy(F.col("matrix").alias("__m")).agg(ceil_div(F.count(F.lit(1)), _parts(parts)).alias("__step"))
+    owned = placed.join(steps, F.col("matrix") == F.col("__m")).select("matrix", "i", "j", "v", int_div(F.col("at"), F.col("__step")).cast("int").alias("owner"))
+    ends = owned.groupBy("matrix", "owner").agg(F.min("i").alias("lo"), F.max("i").alias("hi")).select("matrix", "owner", F.explode(F.array("lo", "hi")).alias("i"))
+    shared = ends.groupBy(F.col("matrix").alias("__m"), F.col("i").alias("__i")).agg(F.count_distinct("owner").alias("__owners")).where("__owners > 1")
+    marked = owned.join(shared, (F.col("matrix") == F.col("__m")) & (F.col("i") == F.col("__i")), "left")
+    return marked.select("matrix", "i", "j", "v", "owner", F.col("__owners").isNotNull().alias("split")).repartitionById(parts, "owner")
 
 
 def distribute_blocks(blocks: DataFrame, parts: int) -> DataFrame:

@@ -3,7 +3,8 @@
 The product is a join of the entries with x on the column and a sum by row;
 partial sums are taken where the entries are, so a dense row is split over
 tasks. x None means ones and needs no join. y is dense: rows without entries
-give 0.
+give 0. The numpy kernels take tiles: entries of one stripe of columns beside
+that stripe of x, so x is never gathered anywhere, however large it is.
 """
 
 from __future__ import annotations
@@ -12,15 +13,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.functions.scalars import int_div
-from weftline.operators.formats import block_cells
+from weftline.functions.scalars import ceil_div, int_div
+from weftline.operators.formats import block_cells, run_starts
 
-#: Cells of x that an Arrow kernel sends to every executor at most (90 MB).
-MOST_BROADCAST = 10_000_000
+#: Columns of a tile, and entries that a tile has at most, on average.
+STRIPE, TILE = 1 << 16, 1 << 17
 
 
 def ones(spark: SparkSession, n: int) -> DataFrame:
@@ -56,24 +56,48 @@ def spmv_coo(coo: DataFrame, rows: DataFrame, x: DataFrame | None = None) -> Dat
     return _summed(_times(coo, x, "j", "v", "double"), rows)
 
 
+def _folded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of products t sorted by (matrix, i) and order: each row's sequential single-precision sum. Only a row's sum so far outlives a batch."""
+    row, total = None, np.float32(0)
+    for b in batches:
+        if not b.num_rows:
+            continue
+        starts = run_starts(b, ["matrix", "i"])
+        at = pa.array(starts)
+        keys = list(zip(b.column("matrix").take(at).to_pylist(), b.column("i").take(at).to_pylist(), strict=True))
+        done = []
+        for key, t in zip(keys, np.split(b.column("t").to_numpy(zero_copy_only=False), starts[1:]), strict=True):
+            if row is not None and key != row:
+                done.append((*row, total))
+                total = np.float32(0)
+            row = key
+            total = np.add.accumulate(np.concatenate([[total], t], dtype=np.float32))[-1]
+        if done:
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*done, strict=True)], ["matrix", "i", "y"])
+    if row is not None:
+        yield pa.RecordBatch.from_arrays([pa.array([row[0]]), pa.array([row[1]]), pa.array([total])], ["matrix", "i", "y"])
+
+
 def spmv_ordered(coo: DataFrame, rows: DataFrame, x: DataFrame | None = None, order: tuple[str, ...] = ("pos",)) -> DataFrame:
     """(matrix, i, y) in single precision, each row added up in its own order like a sequential loop does.
 
-    A row's products are gathered in one task, which bounds the rows it suits.
+    Rows are sorted where they are dealt to and folded as a stream. A row's
+    sum has one order and so one task, which holds a batch of it at a time.
     """
-    products = _times(coo, x, "j", "v", "float")
-    listed = products.groupBy("matrix", "i").agg(F.sort_array(F.collect_list(F.struct(*order, F.col("__t")))).alias("c"))
-    y = F.aggregate("c", F.lit(0).cast("float"), lambda acc, e: (acc + e["__t"]).cast("float"))
-    return _dense(rows, listed.select("matrix", "i", y.alias("y")), F.lit(0).cast("float"))
+    products = _times(coo, x, "j", "v", "float").select("matrix", F.col("i").cast("long").alias("i"), *(F.col(c).alias(f"__o{k}") for k, c in enumerate(order)), F.col("__t").alias("t"))
+    dealt = products.repartition("matrix", "i").sortWithinPartitions("matrix", "i", *(f"__o{k}" for k in range(len(order))), "t").select("matrix", "i", "t")
+    return _dense(rows, dealt.mapInArrow(_folded, "matrix string, i long, y float"), F.lit(0).cast("float"))
 
 
 def spmv_csr(csr: DataFrame, rows: DataFrame, x: DataFrame | None = None) -> DataFrame:
     """(matrix, i, y) from csr_rows."""
     if x is None:
-        sums = csr.select("matrix", "i", F.aggregate("a", F.lit(0.0), lambda acc, v: acc + v.cast("double")).alias("y"))
-        return _dense(rows, sums, F.lit(0.0))
-    entries = csr.select("matrix", "i", F.inline(F.arrays_zip("ja", "a")))
-    return _dense(rows, _times(entries, x, "ja", "a", "double").groupBy("matrix", "i").agg(F.sum("__t").alias("y")), F.lit(0.0))
+        return _summed(csr.select("matrix", "i", F.aggregate("a", F.lit(0.0), lambda acc, v: acc + v.cast("double")).alias("__t")), rows)
+    return _summed(_times(_unpacked(csr), x, "ja", "a", "double"), rows)
+
+
+def _unpacked(csr: DataFrame) -> DataFrame:
+    return csr.select("matrix", "i", F.inline(F.arrays_zip("ja", "a")))
 
 
 def spmv_hll(cells: DataFrame, rows: DataFrame, x: DataFrame | None = None) -> DataFrame:
@@ -82,60 +106,59 @@ def spmv_hll(cells: DataFrame, rows: DataFrame, x: DataFrame | None = None) -> D
     return _summed(_times(entries, x, "ja", "a", "double"), rows)
 
 
-def _dense_vectors(x: DataFrame) -> dict[str | None, tuple[np.ndarray, np.ndarray]] | None:
-    """By matrix (or None for all): the values of x by index, and which there are. None if they have more than MOST_BROADCAST cells in all."""
-    keyed = "matrix" in x.columns
-    good = x.where("idx >= 0 and val is not null").select(F.col("matrix") if keyed else F.lit(None).cast("string").alias("matrix"), F.col("idx").cast("long").alias("idx"), F.col("val").cast("double").alias("val"))
-    sizes = good.groupBy("matrix").agg((F.max("idx") + 1).alias("size"), F.count(F.lit(1)).alias("n"))
-    size, n, matrices = sizes.agg(F.sum("size"), F.sum("n"), F.count(F.lit(1))).first()
-    if max(size or 0, n or 0, matrices) > MOST_BROADCAST:
-        return None
-    found = {r["matrix"]: (np.zeros(r["size"]), np.zeros(r["size"], bool)) for r in sizes.collect()}
-    for matrix, pairs in good.toPandas().groupby("matrix", dropna=False) if found else ():
-        value, there = found[matrix if keyed else None]
-        at = pairs["idx"].to_numpy()
-        np.add.at(value, at, pairs["val"].to_numpy())  # like a join, a repeated index counts each time
-        there[at] = True
-    return found
-
-
-def spmv_arrow(csr: DataFrame, rows: DataFrame, x: DataFrame, block: int = 1 << 16) -> DataFrame:
-    """(matrix, i, y) from csr_rows by a numpy kernel in Arrow batches, block rows at a time.
-
-    x (idx, val), or (matrix, idx, val) with a vector per matrix, is sent to
-    every executor; where its cells, counted up to the largest index, are more
-    than MOST_BROADCAST, the product goes by spmv_csr, whose join has no such
-    bound and gives the same. Columns that x lacks contribute nothing.
-    """
-    vectors = _dense_vectors(x)
-    if vectors is None:
-        return spmv_csr(csr, rows, x)
-    sent = csr.sparkSession.sparkContext.broadcast((vectors, "matrix" in x.columns))
-
-    def kernel(part: pa.RecordBatch) -> np.ndarray:
-        vectors, keyed = sent.value
-        ja, a = part.column("ja").flatten().to_numpy(zero_copy_only=False), part.column("a").flatten().to_numpy(zero_copy_only=False).astype(float)
-        n = pc.list_value_length(part.column("ja")).fill_null(0).to_numpy(zero_copy_only=False)
-        products = np.zeros(len(ja))
-        names = part.column("matrix").to_pylist() if keyed else [None]
-        of = np.repeat(names, n) if keyed else None
-        for name in set(names):
-            value, there = vectors.get(name, (np.zeros(0), np.zeros(0, bool)))
-            own = (of == name) if keyed else np.ones(len(ja), bool)
-            own &= ja < len(value)
-            own[own] = there[ja[own]]
-            products[own] = a[own] * value[ja[own]]
-        starts = np.cumsum(n) - n
-        return np.add.reduceat(np.append(products, 0.0), starts) * (n > 0) if len(n) else products
+def _tile_kernel(block: int):
+    """Over rows sorted by tile and side: a stripe of x (side 0: j, v) and then the entries (side 1) that it multiplies, block at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tile, value, there = None, np.zeros(STRIPE), np.zeros(STRIPE, bool)
         for b in batches:
-            for lo in range(0, b.num_rows, block):
-                part = b.slice(lo, block)
-                yield pa.RecordBatch.from_arrays([part.column("matrix"), part.column("i").cast(pa.int64()), pa.array(kernel(part))], ["matrix", "i", "y"])
+            if not b.num_rows:
+                continue
+            starts = run_starts(b, ["matrix", "stripe", "part", "side"])
+            for lo, hi in zip(starts.tolist(), [*starts[1:].tolist(), b.num_rows], strict=True):
+                key = tuple(b.column(c)[lo].as_py() for c in ("matrix", "stripe", "part"))
+                if key != tile:
+                    tile = key
+                    value[:] = 0
+                    there[:] = False
+                i, j, v = (b.column(c).slice(lo, hi - lo).to_numpy(zero_copy_only=False) for c in ("i", "j", "v"))
+                j = j - key[1] * STRIPE
+                if b.column("side")[lo].as_py() == 0:
+                    np.add.at(value, j, v)  # like a join, a repeated index counts each time
+                    there[j] = True
+                    continue
+                for k in range(0, len(i), block):
+                    own = there[j[k : k + block]]
+                    rows, at = np.unique(i[k : k + block][own], return_inverse=True)
+                    y = np.bincount(at, v[k : k + block][own] * value[j[k : k + block][own]], len(rows)).astype(float)
+                    yield pa.RecordBatch.from_arrays([pa.array([key[0]] * len(rows), pa.string()), pa.array(rows), pa.array(y)], ["matrix", "i", "__t"])
+
+    return run
+
+
+def spmv_tiled(entries: DataFrame, rows: DataFrame, x: DataFrame, block: int = 1 << 16) -> DataFrame:
+    """(matrix, i, y) of entries (matrix, i, j, v) by a numpy kernel over tiles, block entries at a time.
+
+    A tile is a stripe of columns and a class of rows, of which a stripe has as
+    many as its entries need. x (idx, val), or (matrix, idx, val) with a vector
+    per matrix, goes to the tiles of its stripe, so a worker holds one stripe
+    of it. Columns that x lacks contribute nothing.
+    """
+    keyed = "matrix" in x.columns
+    e = entries.select("matrix", F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j"), F.col("v").cast("double").alias("v"), int_div(F.col("j"), STRIPE).alias("stripe"))
+    parts = e.groupBy(F.col("matrix").alias("tm"), F.col("stripe").alias("ts")).agg(ceil_div(F.count(F.lit(1)), TILE).alias("parts"))
+    on = F.col("stripe") == F.col("ts")
+    dealt = e.join(parts, on & (F.col("matrix") == F.col("tm"))).select("matrix", "stripe", F.pmod(F.xxhash64("i"), F.col("parts")).alias("part"), F.lit(1).alias("side"), "i", "j", "v")
+    good = x.where("idx >= 0 and val is not null").select(*([F.col("matrix").alias("xm")] if keyed else []), F.col("idx").cast("long").alias("j"), F.col("val").cast("double").alias("v"), int_div(F.col("idx"), STRIPE).alias("stripe"))
+    sent = good.join(parts, on & (F.col("xm") == F.col("tm")) if keyed else on).select(F.col("tm").alias("matrix"), "stripe", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), F.lit(0).alias("side"), F.lit(0).cast("long").alias("i"), "j", "v")
+    tile = ["matrix", "stripe", "part"]
+    tiles = sent.unionByName(dealt).repartition(*tile).sortWithinPartitions(*tile, "side")
+    return _summed(tiles.mapInArrow(_tile_kernel(block), "matrix string, i long, __t double"), rows)
 
-    sums = csr.select("matrix", "i", "ja", "a").mapInArrow(run, "matrix string, i long, y double")
-    return _dense(rows, sums, F.lit(0.0))
+
+def spmv_arrow(csr: DataFrame, rows: DataFrame, x: DataFrame, block: int = 1 << 16) -> DataFrame:
+    """(matrix, i, y) from csr_rows by spmv_tiled."""
+    return spmv_tiled(_unpacked(csr).select("matrix", "i", F.col("ja").alias("j"), F.col("a").alias("v")), rows, x, block)
 
 
 def vector_text(y: DataFrame, width: int = 1 << 16) -> DataFrame:
@@ -146,10 +169,12 @@ def vector_text(y: DataFrame, width: int = 1 << 16) -> DataFrame:
 
 
 def spmv_owned(owned: DataFrame, x: DataFrame | None = None) -> DataFrame:
-    """(matrix, i, y) of partitioning.distribute: every partition adds up the rows that it owns, so no sum is shuffled.
+    """(matrix, i, y) of partitioning.distribute: every partition adds up what it owns.
 
-    x is joined as Spark sees fit; a small one is broadcast and leaves the
-    partitions where they are.
+    Sums of rows that one partition owns alone are not shuffled. A row over
+    several leaves one partial sum in each, and only these, at most two for
+    each partition, are added up in a second aggregation. x is joined as Spark
+    sees fit; a small one is broadcast and leaves the partitions where they are.
     """
     if x is None:
         products = owned.withColumn("__t", F.col("v").cast("double"))
@@ -159,44 +184,21 @@ def spmv_owned(owned: DataFrame, x: DataFrame | None = None) -> DataFrame:
         on = F.col("j") == F.col("__idx")
         products = owned.join(right, on & (F.col("matrix") == F.col("__xm")) if keyed else on, "left")
         products = products.withColumn("__t", F.when(F.col("__val").isNotNull(), F.col("v").cast("double") * F.col("__val")).otherwise(0.0))
-    return products.groupBy("owner", "matrix", "i").agg(F.sum("__t").alias("y")).select("matrix", "i", "y")
-
+    sums = lambda some: some.groupBy("owner", "matrix", "i").agg(F.sum("__t").alias("y"))
+    carried = sums(products.where("split")).groupBy("matrix", "i").agg(F.sum("y").alias("y"))
+    return sums(products.where("not split")).select("matrix", "i", "y").unionByName(carried)
 
-def spmv_blocks(blocks: DataFrame) -> DataFrame:
-    """(matrix, i, y) of hll_blocks for x all ones, each block added up in its row: no shuffle and no join."""
-    row = lambda r: F.aggregate(F.sequence(F.lit(1).cast("long"), F.col("k")), F.lit(0.0), lambda acc, s: acc + F.element_at("a", ((s - 1) * F.col("nr") + r + 1).cast("int")).cast("double"))
-    rows = F.transform(F.sequence(F.lit(0).cast("long"), F.col("nr") - 1), lambda r: F.struct((F.col("block") * F.col("hack") + r).alias("i"), F.when(F.col("k") > 0, row(r)).otherwise(0.0).alias("y")))
-    return blocks.select("matrix", F.inline(rows))
 
+def spmv_blocks(owned: DataFrame) -> DataFrame:
+    """(matrix, i, y) of partitioning.distribute_blocks for x all ones: blocks are added up where they are, without a shuffle or a join."""
+    row = F.col("block") * F.col("hack")
+    cells = owned.where("k > 0").select("owner", "matrix", "block", "hack", "nr", "at", F.posexplode("a").alias("p", "v"))
+    cells = cells.select("owner", "matrix", (row + (F.col("at") + F.col("p")) % F.col("nr")).alias("i"), F.col("v").cast("double").alias("t"))
+    empty = owned.where("k = 0").select("owner", "matrix", F.explode(F.sequence(row, row + F.col("nr") - 1)).alias("i"), F.lit(0.0).alias("t"))
+    sums = lambda some: some.groupBy("owner", "matrix", "i").agg(F.sum("t").alias("y")).select("matrix", "i", "y")
+    return sums(cells).unionByName(sums(empty))
 
-def spmv_blocks_arrow(blocks: DataFrame, rows: DataFrame, x: DataFrame, block: int = 1 << 10) -> DataFrame:
-    """(matrix, i, y) of hll_blocks by a numpy kernel that takes block rows of the matrix at a time. x as for spmv_arrow.
 
-    Stored zeros, padding or not, take no part.
-    """
-    vectors = _dense_vectors(x)
-    if vectors is None:
-        return spmv_hll(block_cells(blocks), rows, x)
-    sent = blocks.sparkSession.sparkContext.broadcast((vectors, "matrix" in x.columns))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vectors, keyed = sent.value
-        for b in batches:
-            for matrix, at, hack, nr, k, ja, a in zip(*(b.column(c).to_pylist() for c in ("matrix", "block", "hack", "nr", "k")), b.column("ja"), b.column("a"), strict=True):
-                value, there = vectors.get(matrix if keyed else None, (np.zeros(0), np.zeros(0, bool)))
-                if k:
-                    j, v = ja.values.to_numpy(zero_copy_only=False).reshape(k, nr), a.values.to_numpy(zero_copy_only=False).astype(float).reshape(k, nr)
-                for lo in range(0, nr, block):
-                    y = np.zeros(min(block, nr - lo))
-                    if k:
-                        c, w = j[:, lo : lo + block], v[:, lo : lo + block]
-                        used = (w != 0) & (c < len(value))
-                        used[used] = there[c[used]]
-                        products = np.zeros(w.shape)
-                        products[used] = w[used] * value[c[used]]
-                        y = products.sum(axis=0)
-                    i = at * hack + lo
-                    yield pa.RecordBatch.from_arrays([pa.array([matrix] * len(y), pa.string()), pa.array(np.arange(i, i + len(y))), pa.array(y)], ["matrix", "i", "y"])
-
-    sums = blocks.select("matrix", "hack", "block", "nr", "k", "ja", "a").mapInArrow(run, "matrix string, i long, y double")
-    return _dense(rows, sums, F.lit(0.0))
+def spmv_blocks_arrow(blocks: DataFrame, rows: DataFrame, x: DataFrame, block: int = 1 << 16) -> DataFrame:
+    """(matrix, i, y) of hll_blocks by spmv_tiled. Stored zeros, padding or not, take no part."""
+    return spmv_tiled(block_cells(blocks).where("a <> 0").select("matrix", "i", F.col("ja").alias("j"), F.col("a").alias("v")), rows, x, block)

@@ -105,7 +105,7 @@ def spmv_arrow(spark, sf_dir):
 
 @query(Y_SQL)
 def spmv_balanced(spark, sf_dir):
-    """Over seven partitions of about equal entries, each adding up the rows that it owns."""
+    """Over seven partitions of equal numbers of rows and entries, each adding up what it owns."""
     return whole_y(spmv.spmv_owned(partitioning.distribute(lineitem_coo(spark, sf_dir), counts_a1(spark, sf_dir), 7), price_vector(spark, sf_dir)))
 
 
@@ -232,8 +232,7 @@ union all select p * 2 + 1, cast(j as integer), cast(i as integer), cast(v as do
 def mm_symmetric(spark, sf_dir):
     e = table(spark, sf_dir, "lineitem").where("l_partkey >= l_suppkey")
     coo = e.select(F.lit("s").alias("matrix"), F.col("l_partkey").alias("i"), F.col("l_suppkey").alias("j"), F.col("l_quantity").alias("v"))
-    counts = formats.row_counts(coo, table(spark, sf_dir, "part").select(F.lit("s").alias("matrix"), F.col("p_partkey").alias("i")))
-    placed = formats.csr_entries(coo, counts, ORDER)
+    placed = formats.csr_entries(coo, ORDER)
     body = placed.select(F.lit("s.mtx").alias("file"), (F.col("k") + 3).alias("line_no"), F.concat_ws(" ", F.col("i") + 1, F.col("ja") + 1, "a").alias("value"))
     n = table(spark, sf_dir, "part").count()
     head = body.agg(F.count(F.lit(1)).alias("n")).select(F.lit("s.mtx").alias("file"), F.inline(F.array(F.struct(F.lit(1).cast("long").alias("line_no"), F.lit("%%MatrixMarket matrix coordinate real symmetric").alias("value")), F.struct(F.lit(2).cast("long").alias("line_no"), F.concat_ws(" ", F.lit(n), F.lit(n), "n").alias("value")))))
@@ -399,7 +398,7 @@ def csr_row_ptr(spark, sf_dir):
 
 @query(f"with {COO} select row_number() over (order by i, j, v) - 1 as k, i, j as ja, v as a from coo")
 def csr_entries(spark, sf_dir):
-    return formats.csr_entries(lineitem_coo(spark, sf_dir), counts_a1(spark, sf_dir), ORDER).select("k", "i", "ja", "a")
+    return formats.csr_entries(lineitem_coo(spark, sf_dir), ORDER).select("k", "i", "ja", "a")
 
 
 @query(f"with {LEN} select min(n) as min_nnz, max(n) as max_nnz, round(avg(n), 6) as avg_nnz, count(*) filter (n = 0) as empty_rows from len")

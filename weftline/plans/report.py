@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from weftline.functions import perf_metrics as pm
 from weftline.functions.tables import cut
+from weftline.schema import PERF_COLUMNS
 from weftline.sources import perf_log
 
 EXPORTS = {"openmp_csr_perf": ("OpenMP", "CSR"), "openmp_hll_perf": ("OpenMP", "HLL"), "cuda_csr_perf": ("CUDA", "CSR"), "cuda_hll_perf": ("CUDA", "HLL")}
@@ -39,8 +40,12 @@ def chart_data(perf: DataFrame, mode: str) -> DataFrame:
 
 def charts(perf: DataFrame, mode: str) -> dict[str, DataFrame]:
     """Path of a chart -> its data, (Matrix, x, measure). The paths, a short list, come to the driver."""
+    return _by_path(cut(chart_data(perf, mode)), mode)
+
+
+def _by_path(data: DataFrame, mode: str) -> dict[str, DataFrame]:
     x, measures, _ = CHARTS[mode]
-    data = cut(chart_data(perf, mode))
+    data = data.where(F.col("chart").startswith(f"{mode}/"))
     names = {f"{mode}/{kind}/{y}" for kind in ("CSR", "Comparisons") for y in measures} | {r["chart"] for r in data.select("chart").distinct().collect()}
     found = {}
     for name in sorted(names):
@@ -49,13 +54,21 @@ def charts(perf: DataFrame, mode: str) -> dict[str, DataFrame]:
     return found
 
 
-def main(spark: SparkSession, logs: str, out: str) -> dict[str, DataFrame]:
-    """Read the logs, write the four CSV folders and every chart's data (as CSV) under out, and return the chart data."""
-    perf = cut(pm.valid(perf_log.read(spark, logs)))
-    for name, records in exports(perf).items():
-        perf_log.write_csv(records, f"{out}/csv/{name}")
-    found = charts(perf, "OpenMP") | charts(perf, "CUDA")
-    for name, data in found.items():
-        data.write.mode("overwrite").csv(f"{out}/charts/{name}", header=True)
-    pm.palette(perf).write.mode("overwrite").csv(f"{out}/charts/palette", header=True)
-    return found
+def main(spark: SparkSession, logs: str, out: str, recursive: bool = False) -> dict[str, DataFrame]:
+    """Read the logs, write the four tables as CSV and all charts' data, and return the chart data.
+
+    The records go to csv/table=NAME and the data of all charts to
+    charts/chart=PATH (slashes as %2F), each in one write, whose folders that
+    a run makes anew replace those of a run before.
+    """
+    perf = cut(pm.valid(perf_log.read(spark, logs, recursive)))
+    name = F.coalesce(*(F.when((F.col("Mode") == mode) & (F.col("Format") == fmt), n) for n, (mode, fmt) in EXPORTS.items()))
+    _written(perf.withColumn("table", name).where("table is not null").select("table", *PERF_COLUMNS), "table", f"{out}/csv")
+    data = cut(chart_data(perf, "OpenMP").unionByName(chart_data(perf, "CUDA")))
+    _written(data, "chart", f"{out}/charts")
+    pm.palette(perf).write.mode("overwrite").csv(f"{out}/palette", header=True)
+    return _by_path(data, "OpenMP") | _by_path(data, "CUDA")
+
+
+def _written(df: DataFrame, by: str, path: str) -> None:
+    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by).csv(path, header=True)

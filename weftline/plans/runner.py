@@ -4,18 +4,23 @@ Modes name physical strategies of one logical plan: csr_serial runs it in one
 task; csr_openmp over partitions that own rows of about equal entries and
 hll_openmp over partitions that own equal numbers of padded blocks, both
 adding up where the rows are; csr_cuda and hll_cuda run numpy kernels in Arrow
-batches, a launch's block size being the rows that the kernel takes at a time
-(there is no GPU). Times are wall-clock seconds of a run whose rows are all
-made and none kept.
+batches, a launch's block size being the entries that the kernel takes at a
+time (there is no GPU). Times are those of a run whose rows are all made and
+none kept, by two clocks: wall-clock seconds, and the CPU seconds of all tasks
+of the run's jobs (of their JVM threads; Python workers are not in them). What
+a run reads is made and stored before.
 """
 
 from __future__ import annotations
 
+import contextlib
 import time
+import uuid
 from collections.abc import Callable, Iterable
 from datetime import datetime
 from enum import Enum
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -44,69 +49,92 @@ class Mode(Enum):
 KERNELS = (Mode.CSR_CUDA, Mode.HLL_CUDA)
 
 
-def timed(df: DataFrame, runs: int = RUNS) -> float:
-    """Mean seconds of computing df."""
-    total = 0.0
-    for _ in range(runs):
-        start = time.perf_counter()
-        df.write.format("noop").mode("overwrite").save()
-        total += time.perf_counter() - start
-    return total / runs
+CLOCKS = ("wall", "cpu")
 
 
-def _measured(make: Callable[[], DataFrame], runs: int) -> tuple[float | None, str]:
+def _cpu_seconds(spark: SparkSession, group: str) -> float:
+    """CPU seconds of the tasks of a job group, from Spark's own status store."""
+    sc = spark.sparkContext._jsc.sc()
+    sc.listenerBus().waitUntilEmpty()
+    tracker, total = spark.sparkContext.statusTracker(), 0
+    stages = {s for j in tracker.getJobIdsForGroup(group) if (job := tracker.getJobInfo(j)) for s in job.stageIds}
+    for s in stages:
+        with contextlib.suppress(Py4JJavaError):  # a stage that was skipped has no attempt
+            total += sc.statusStore().lastStageAttempt(s).executorCpuTime()
+    return total / 1e9
+
+
+def timed(df: DataFrame, runs: int = RUNS) -> dict[str, float]:
+    """Mean seconds of computing df, by clock."""
+    spark, wall = df.sparkSession, 0.0
+    group = f"timed-{uuid.uuid4().hex}"
+    spark.sparkContext.setJobGroup(group, "timed product")
+    try:
+        for _ in range(runs):
+            start = time.perf_counter()
+            df.write.format("noop").mode("overwrite").save()
+            wall += time.perf_counter() - start
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    return {"wall": wall / runs, "cpu": _cpu_seconds(spark, group) / runs}
+
+
+def _measured(make: Callable[[], DataFrame], runs: int) -> tuple[dict[str, float | None], str]:
     try:
         return timed(make(), runs), "OK"
     except Exception as e:  # a failed configuration is a record, and the sweep goes on
-        return None, f"E_RUN {type(e).__name__}"
+        return dict.fromkeys(CLOCKS), f"E_RUN {type(e).__name__}"
+
+
+def _stored(df: DataFrame) -> DataFrame:
+    df = df.persist()
+    df.count()
+    return df
 
 
-def run(spark: SparkSession, meta: DataFrame, coo: DataFrame, mode: Mode, threads: Iterable[int] = THREADS, blocks: Iterable[int] = BLOCKS, hack: int = DEFAULTS["hack"], runs: int = RUNS) -> DataFrame:
-    """Benchmark records of every OK matrix in one mode, x all ones.
+def run(spark: SparkSession, meta: DataFrame, coo: DataFrame, mode: Mode, threads: Iterable[int] = THREADS, blocks: Iterable[int] = BLOCKS, hack: int = DEFAULTS["hack"], runs: int = RUNS, clocks: Iterable[str] = ("wall",)) -> DataFrame:
+    """Benchmark records of every OK matrix in one mode, x all ones; a record for each of clocks.
 
     Formats and partitions are built and stored before the clock starts. The
     loop over matrices is short: names and sizes come to the driver.
     """
     records = []
     launch = launch_status(F.col("nrows"), F.col("ncols"), F.col("nnz")).alias("launch")
-    for m in meta.where("status = 'OK'").select("matrix", "nnz", "nrows", "ncols", launch).collect():
+    shown = F.substring_index("matrix", "/", -1) if "name" not in meta.columns else F.col("name")
+    for m in meta.where("status = 'OK'").select("matrix", shown.alias("name"), "nnz", "nrows", "ncols", launch).collect():
         own = coo.where(F.col("matrix") == m["matrix"])
-        rows = formats.row_index(meta.where(F.col("matrix") == m["matrix"])).persist()
-        counts = formats.row_counts(own, rows).persist()
-        x = spmv.ones(spark, m["ncols"])
-        kept = [rows, counts]
+        rows = _stored(formats.row_index(meta.where(F.col("matrix") == m["matrix"])))
+        counts = _stored(formats.row_counts(own, rows))
+        x = _stored(spmv.ones(spark, m["ncols"]))
+        kept = [rows, counts, x]
 
         def add(fmt: str, name: str, t: int, b: int, h: int, make: Callable[[], DataFrame], m=m) -> None:
             if mode in KERNELS and m["launch"] != "RUN":
-                seconds, status = (0.0, "OK") if m["launch"] == "EMPTY" else (None, m["launch"])
+                seconds, status = (dict.fromkeys(CLOCKS, 0.0), "OK") if m["launch"] == "EMPTY" else (dict.fromkeys(CLOCKS), m["launch"])
             else:
                 seconds, status = _measured(make, runs)
-            records.append((fmt, name, t, b, h, seconds, m["nnz"], m["matrix"], status, "wall"))
+            records.extend((fmt, name, t, b, h, seconds[clock], m["nnz"], m["name"], status, clock) for clock in clocks)
 
         if mode is Mode.CSR_SERIAL:
-            data = own.coalesce(1).persist()
+            data = _stored(own.coalesce(1))
             kept.append(data)
             add("CSR", "SerialRef", -1, -1, -1, lambda data=data: spmv.spmv_coo(data, rows, x).coalesce(1))
         elif mode is Mode.CSR_OPENMP:
             for t in threads:
-                data = partitioning.distribute(own, counts, t).persist()
-                data.count()
+                data = _stored(partitioning.distribute(own, counts, t))
                 add("CSR", "OpenMP", t, -1, -1, lambda data=data: spmv.spmv_owned(data))
                 data.unpersist()
         elif mode is Mode.CSR_CUDA:
-            data = formats.csr_rows(own).persist()
-            data.count()
+            data = _stored(formats.csr_rows(own))
             kept.append(data)
             for b in map(launch_block, blocks):
                 add("CSR", "CUDA", -1, b, -1, lambda data=data, b=b: spmv.spmv_arrow(data, rows, x, b))
         else:
-            data = formats.hll_blocks(own, counts, hack).persist()
-            data.count()
+            data = _stored(formats.hll_blocks(own, counts, hack))
             kept.append(data)
             if mode is Mode.HLL_OPENMP:
                 for t in threads:
-                    owned = partitioning.distribute_blocks(data, t).persist()
-                    owned.count()
+                    owned = _stored(partitioning.distribute_blocks(data, t))
                     add("HLL", "OpenMP", t, -1, hack, lambda owned=owned: spmv.spmv_blocks(owned))
                     owned.unpersist()
             else:

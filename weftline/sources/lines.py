@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 
 def read_lines(spark: SparkSession, path: str | list[str], glob: str = "*", recursive: bool = False) -> DataFrame:
-    """(file, line_no, value) of the text files in path whose names match glob (case-sensitive), lines from 1.
+    """(path, file, line_no, value) of the text files in path whose names match glob (case-sensitive), lines from 1.
 
+    path is the whole path, file the name, which files in several folders may share.
     A large file is read in splits; lines are numbered within a split, and the
     splits' line counts, a few rows, give the numbers before each split.
     """
@@ -19,4 +20,4 @@ def read_lines(spark: SparkSession, path: str | list[str], glob: str = "*", recu
     before = counts.select(F.col("__path").alias("__p"), F.col("__start").alias("__s"), F.coalesce(F.sum("n").over(upto), F.lit(0)).alias("__before"))
     within = F.row_number().over(Window.partitionBy("__path", "__start").orderBy("__id"))
     numbered = split.withColumn("__within", within).join(before, (F.col("__path") == F.col("__p")) & (F.col("__start") == F.col("__s")))
-    return numbered.select("file", (F.col("__before") + F.col("__within")).cast("long").alias("line_no"), "value")
+    return numbered.select(F.col("__path").alias("path"), "file", (F.col("__before") + F.col("__within")).cast("long").alias("line_no"), "value")

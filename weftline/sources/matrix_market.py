@@ -1,6 +1,7 @@
 """Matrix Market coordinate files as validated relations.
 
-A file is taken as a whole or not at all: meta.status says OK or why not, and
+A file is known by its whole path, which is its matrix in all relations; name
+is its file name, which files in several folders may share. A file is taken as a whole or not at all: meta.status says OK or why not, and
 coo has the entries of OK files only. Entries keep the file's order in pos; a
 mirrored entry follows its original. Columns are not sorted, equal cells are
 not merged and explicit zeros stay.
@@ -8,6 +9,7 @@ not merged and explicit zeros stay.
 
 from __future__ import annotations
 
+import re
 from urllib.parse import unquote
 
 from pyspark.errors import AnalysisException
@@ -59,10 +61,16 @@ def parse(lines: DataFrame, strict: bool = False) -> tuple[DataFrame, DataFrame]
     table that both the status and the entries come from.
     """
     heads = cut(_headers(lines, strict))  # one row per file; its known size lets Spark choose the join
-    body = lines.join(heads.where("early is null"), F.col("file") == F.col("matrix")).where((F.col("line_no") > F.col("size_no")) & (F.col("line_no") <= F.col("size_no") + F.col("nnz_header")))
+    entries = lines.select("file", "line_no", "value")
+    body = entries.join(heads.where("early is null"), F.col("file") == F.col("matrix")).where((F.col("line_no") > F.col("size_no")) & (F.col("line_no") <= F.col("size_no") + F.col("nnz_header")))
     pattern = F.col("field") == "pattern"
     value = F.when(pattern, F.lit(1.0).cast("float")).when(F.col("field") == "integer", _group(_ENTRY["integer"], 3, "int").cast("float")).otherwise(_group(_ENTRY["real"], 3, "float"))
     read = cut(body.select("matrix", "symmetry", "nrows", "ncols", (F.col("line_no") - F.col("size_no") - 1).alias("p"), _group(_ENTRY["pattern"], 1, "int").alias("r"), _group(_ENTRY["pattern"], 2, "int").alias("c"), value.alias("v")))
+    return judged(heads, read)
+
+
+def judged(heads: DataFrame, read: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(meta, coo) of headers and read entries (matrix, symmetry, nrows, ncols, p, r, c, v), both tables; null numbers could not be read."""
     inside = F.col("r").between(1, F.col("nrows")) & F.col("c").between(1, F.col("ncols"))
     fault = F.when(F.col("r").isNull() | F.col("c").isNull() | F.col("v").isNull(), "E_ENTRY").when(~inside, "E_OOB")
     found = read.groupBy("matrix").agg(F.count(F.lit(1)).alias("found"), F.min(F.when(fault.isNotNull(), F.struct("p", fault.alias("code")))).alias("bad"), F.sum((F.col("r") != F.col("c")).cast("long")).alias("off"))
@@ -71,7 +79,7 @@ def parse(lines: DataFrame, strict: bool = False) -> tuple[DataFrame, DataFrame]
     status = F.coalesce("early", late, F.lit("OK"))
     extra = F.when(F.col("symmetry") == "symmetric", F.coalesce("off", F.lit(0))).otherwise(0)
     meta = heads.join(found, F.col("matrix") == F.col("__m"), "left").withColumn("status", status)
-    meta = meta.select("matrix", "fmt", "field", "symmetry", "nrows", "ncols", "nnz_header", F.when(F.col("status") == "OK", F.col("nnz_header") + extra).cast("long").alias("nnz"), "status")
+    meta = meta.select("matrix", F.substring_index("matrix", "/", -1).alias("name"), "fmt", "field", "symmetry", "nrows", "ncols", "nnz_header", F.when(F.col("status") == "OK", F.col("nnz_header") + extra).cast("long").alias("nnz"), "status")
     good = meta.where("status = 'OK'").select(F.col("matrix").alias("__ok"))
     coo = read.join(good, F.col("matrix") == F.col("__ok"), "left_semi")
     return meta, expand_symmetric(coo.select("matrix", "symmetry", "p", (F.col("r") - 1).alias("i"), (F.col("c") - 1).alias("j"), "v"))
@@ -87,21 +95,34 @@ def expand_symmetric(entries: DataFrame) -> DataFrame:
     return entries.select("matrix", F.inline(F.when(both, F.array(cell("i", "j", 0), cell("j", "i", 1))).otherwise(F.array(cell("i", "j", 0)))))
 
 
-def read(spark: SparkSession, path: str | list[str], strict: bool = False) -> tuple[DataFrame, DataFrame]:
+def read(spark: SparkSession, path: str | list[str], strict: bool = False, recursive: bool = False) -> tuple[DataFrame, DataFrame]:
     """(meta, coo) of all *.mtx files in the given folders or files; missing paths and empty files have a status too."""
-    there, names, status = [], [], []
+    there, listed, missing = [], set(), []
     for p in [path] if isinstance(path, str) else path:
-        try:
-            names += spark.read.option("pathGlobFilter", "*.mtx").text(p).inputFiles()
+        try:  # the driver's own listing; a scan leaves empty files out
+            listed.update(spark.read.option("pathGlobFilter", "*.mtx").option("recursiveFileLookup", str(recursive).lower()).text(p).inputFiles())
             there.append(p)
         except AnalysisException:
-            status.append((p.rstrip("/").rsplit("/", 1)[-1], "E_OPEN"))
-    lines = read_lines(spark, there, "*.mtx") if there else spark.createDataFrame([], schema.LINES)
+            missing.append((p, p.rstrip("/").rsplit("/", 1)[-1], "E_OPEN"))
+    lines = read_lines(spark, there, "*.mtx", recursive).select(F.regexp_replace("path", "^file:/+", "file:///").alias("file"), "line_no", "value") if there else spark.createDataFrame([], schema.LINES)
     meta, coo = parse(lines, strict)
-    listed = spark.createDataFrame([(unquote(n.rsplit("/", 1)[-1]), "E_EMPTY") for n in names], "matrix string, status string")
-    silent = listed.join(meta.select(F.col("matrix").alias("__m")), F.col("matrix") == F.col("__m"), "left_anti")
-    missing = spark.createDataFrame(status, "matrix string, status string")
-    return meta.unionByName(silent.unionByName(missing), allowMissingColumns=True), coo
+    names = [(re.sub("^file:/+", "file:///", p), unquote(p.rsplit("/", 1)[-1])) for p in sorted(listed)]
+    known = spark.createDataFrame(names, "__path string, __name string")
+    known = known.join(meta, F.col("__path") == F.col("matrix"), "left")
+    meta = known.select(*(F.col("__path").alias(c) if c == "matrix" else F.col("__name").alias(c) if c == "name" else F.coalesce("status", F.lit("E_EMPTY")).alias(c) if c == "status" else c for c in meta.columns))
+    return meta.unionByName(spark.createDataFrame(missing, "matrix string, name string, status string"), allowMissingColumns=True), coo
+
+
+def write(meta: DataFrame, coo: DataFrame, path: str) -> None:
+    """The OK matrices as general *.mtx files under path, as write_lines() does."""
+    write_lines(format_lines(meta, coo), path)
+
+
+def write_lines(lines: DataFrame, path: str) -> None:
+    """lines (matrix, line_no, value) as *.mtx files under path, one in each folder matrix=NAME. A file is written by one task, in the order of its lines; different ones side by side."""
+    dealt = lines.repartition("matrix").sortWithinPartitions("matrix", "line_no").select("matrix", "value")
+    plain = {"sep": "\u0001", "quote": "\u0000", "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false", "extension": "mtx"}
+    dealt.write.mode("overwrite").partitionBy("matrix").options(**plain).csv(path)
 
 
 def format_lines(meta: DataFrame, coo: DataFrame) -> DataFrame:

@@ -42,16 +42,31 @@ def parse(lines: DataFrame) -> DataFrame:
     return rows.withColumn("HackSize", F.when(F.col("__hack") != -1, F.col("__hack")).otherwise(F.col("HackSize"))).drop("__hack")
 
 
-def read(spark: SparkSession, path: str) -> DataFrame:
-    """Records of all logs in a folder."""
-    return parse(read_lines(spark, path, "results_*"))
+def read(spark: SparkSession, path: str, recursive: bool = False) -> DataFrame:
+    """Records of all logs in a folder, or with recursive of those of write_logs()."""
+    lines = read_lines(spark, path, "*" if recursive else "results_*", recursive)
+    if recursive:
+        lines = lines.withColumn("file", F.coalesce(F.nullif(F.regexp_extract("path", "/log=([^/]+)/", 1), F.lit("")), "file"))
+    return parse(lines.select("file", "line_no", "value"))
 
 
-def format_lines(perf: DataFrame) -> DataFrame:
-    """(value): the log line of each record; write.text() stores it."""
+def log_name(fmt: Column, mode: Column, hack: Column) -> Column:
+    """The name of the log that a record belongs in."""
+    kind = F.when(mode == "SerialRef", "serial").otherwise(F.lower(mode))
+    return F.concat(F.lit("results_"), F.lower(fmt), F.lit("_"), kind, F.when(hack != -1, hack.cast("string")).otherwise(""), F.lit(".txt"))
+
+
+def write_logs(perf: DataFrame, path: str) -> None:
+    """The records as log lines under path, those of each log in a folder log=NAME, in one pass."""
+    lines = format_lines(perf.withColumn("__log", log_name(F.col("Format"), F.col("Mode"), F.col("HackSize"))), "__log")
+    lines.withColumnRenamed("__log", "log").write.mode("overwrite").partitionBy("log").text(path)
+
+
+def format_lines(perf: DataFrame, *beside: str) -> DataFrame:
+    """(value): the log line of each record, and the columns named beside; write.text() stores it."""
     number = lambda c: F.coalesce(F.col(c), F.lit(-1))
     line = F.format_string("[PERF] Format:%s, Mode:%s, Threads:%d, BlockSize:%d, HackSize:%d, Time_s:%.8f, MFLOPS:%.2f, NNZ:%d, Matrix:%s", "Format", "Mode", number("Threads"), number("BlockSize"), number("HackSize"), number("Time_s").cast("double"), number("MFLOPS").cast("double"), "NNZ", "Matrix")
-    return perf.select(line.alias("value"))
+    return perf.select(line.alias("value"), *beside)
 
 
 def write_csv(perf: DataFrame, path: str) -> None:
