@@ -172,7 +172,7 @@ def sample_words(docs: DataFrame, text_col: str, lang_col: str, id_col: str, per
     chance = F.least(F.lit(1.0), per_lang / F.count(F.lit(1)), chars / F.greatest(F.sum(size), F.lit(1)))
     sizes = known.groupBy(F.col("lang").alias("l")).agg(chance.alias("chance"))
     draw = F.pmod(F.xxhash64(F.lit("sample"), "id"), F.lit(1 << 20)) / float(1 << 20)
-    drawn = known.withColumn("draw", draw).join(sizes, F.col("lang") == F.col("l")).where("draw < chance")
+    drawn = known.withColumn("draw", draw).join(F.broadcast(sizes), F.col("lang") == F.col("l")).where("draw < chance")  # a row per language, of which the model holds a whole vocabulary
     words = F.explode(F.split(F.lower(F.substring("text", 1, most)), NO_LETTERS)).alias("word")
     return drawn.select("lang", words).where("word <> ''").groupBy("lang", "word").agg(F.count(F.lit(1)).alias("n"))
 
