@@ -14,10 +14,10 @@ from pyspark.sql import functions as F
 
 from weftline.functions import perf_metrics as pm
 from weftline.functions import tables
-from weftline.functions.scalars import grid_size, launch_block, launch_status, mflops, option_block
+from weftline.functions.scalars import grid_size, launch_blocks, launch_status, mflops, option_blocks
 from weftline.operators import formats, partitioning, spmv
 from weftline.plans import cli, report, runner
-from weftline.sources import lines, matrix_market, perf_log
+from weftline.sources import lines, matrix_market, mtx_source, perf_log
 
 QUERIES = {}
 ORACLES = {}
@@ -183,6 +183,58 @@ def vector_ones(spark, sf_dir):
     return spmv.ones(spark, table(spark, sf_dir, "part").count())
 
 
+DENSE = f"""{COO}, dn as (select i, j, v from coo union all select 0, l_partkey, cast(l_quantity as bigint) from lineitem)"""
+DENSE_Y = f"with {DENSE}, {X} select o_orderkey as i, coalesce(y, 0) as y from orders left join (select i, cast(sum(v * x) as bigint) as y from dn join x on dn.j = x.j group by i) on i = o_orderkey"
+
+
+def dense_coo(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """lineitem's matrix, and all its entries once more in row 0, which holds half of all then."""
+    coo = lineitem_coo(spark, sf_dir)
+    return coo.unionByName(coo.withColumn("i", F.lit(0).cast(coo.schema["i"].dataType)))
+
+
+@query(DENSE_Y)
+def spmv_split_rows(spark, sf_dir):
+    """A row with half of all entries, over several owners, whose partial sums are carried out."""
+    counts = formats.row_counts(dense_coo(spark, sf_dir), order_rows(spark, sf_dir))
+    return whole_y(spmv.spmv_owned(partitioning.distribute(dense_coo(spark, sf_dir), counts, 7), price_vector(spark, sf_dir)))
+
+
+@query(f"with {DENSE}, c as (select (select count(*) from dn) + (select count(*) from orders) as n) select t::integer as owner, greatest(least((t + 1) * ((n + 6) // 7), n) - t * ((n + 6) // 7), 0) as items from c, (select unnest(range(7)) as t)")
+def split_row_loads(spark, sf_dir):
+    """Rows and entries of each owner of that matrix."""
+    counts = formats.row_counts(dense_coo(spark, sf_dir), order_rows(spark, sf_dir))
+    return partitioning.distribute(dense_coo(spark, sf_dir), counts, 7).groupBy("owner").agg(F.count(F.lit(1)).alias("items"))
+
+
+@query(DENSE_Y)
+def spmv_tiled(spark, sf_dir):
+    """That matrix in tiles."""
+    return whole_y(spmv.spmv_tiled(dense_coo(spark, sf_dir), order_rows(spark, sf_dir), price_vector(spark, sf_dir)))
+
+
+@query(f"with {DENSE} select row_number() over (order by i, j, v) - 1 as k, i, j as ja, v as a from dn")
+def csr_entries_dense(spark, sf_dir):
+    return formats.csr_entries(dense_coo(spark, sf_dir), ORDER).select("k", "i", "ja", "a")
+
+
+@query(f"""with {COO}, len as (select o_orderkey as i, count(j) as n from orders left join coo on i = o_orderkey group by o_orderkey), w as (select count(*) as nr, max(n) as k from len),
+en as (select i, j, v, row_number() over (partition by i order by j, v) - 1 as slot from coo), lst as (select i, max(j) as lc from coo group by i)
+select s * nr + len.i as flat, len.i as i, coalesce(en.j, lc, 0) as ja, coalesce(en.v, 0) as a from len, w, unnest(range(0, k)) u(s) left join en on en.i = len.i and en.slot = s left join lst on lst.i = len.i""")
+def hll_one_block(spark, sf_dir):
+    """All rows in one block of 2^20, from its arrays."""
+    blocks = formats.hll_blocks(lineitem_coo(spark, sf_dir), counts_a1(spark, sf_dir), 1 << 20, ORDER)
+    return formats.block_cells(blocks).select("flat", "i", "ja", "a")
+
+
+@query(f"with {IRP} select count(*) filter (irp < 1000) as at from (select irp from irp union all select sum(n) from len)")
+def ptr_stored_lower_bound(spark, sf_dir):
+    """The search in stored pointers."""
+    path = tables.fresh_path(spark)
+    partitioning.store_pointers(formats.csr_ptr(counts_a1(spark, sf_dir)), path, 1 << 10)
+    return partitioning.stored_lower_bound(spark, path, 1000).select("at")
+
+
 # --- Matrix Market ---------------------------------------------------------
 
 
@@ -265,66 +317,123 @@ FILES = {
 }
 
 
-@query("select * from (values " + ", ".join(f"('{k}', '{s}', cast({'null' if n is None else n} as bigint))" for k, (s, n, _) in FILES.items()) + ") as t(matrix, status, nnz)")
+#: What is wrong with the files of lineitem, dealt over matrices by their number: status, and how much nnz differs from the entries.
+KINDS = ["OK", "E_BANNER", "E_BANNER", "E_FORMAT", "E_FIELD", "E_SIZE", "E_DIMS", "E_NOT_SQUARE", "E_TRUNCATED", "E_ENTRY", "E_OOB", "E_OOB", "E_NOSIZE", "OK"]
+MATRICES = 2 * len(KINDS)
+
+
+def _faulty_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(matrix, line_no, value): lineitem as MATRICES files, each with the fault of its kind."""
+    li = table(spark, sf_dir, "lineitem").select((F.col("l_orderkey") % MATRICES).cast("int").alias("m"), "l_orderkey", "l_partkey", "l_quantity")
+    numbers = F.row_number().over(Window.partitionBy("m").orderBy("l_orderkey", "l_partkey", "l_quantity")).cast("long")
+    kind = (F.col("m") % len(KINDS)).cast("int")
+    orders, parts = (table(spark, sf_dir, t).count() for t in ("orders", "part"))
+    name = F.format_string("m%d", "m").alias("matrix")
+    sizes = li.groupBy("m").agg(F.count(F.lit(1)).alias("n"))
+    entry = li.withColumn("at", numbers).join(sizes.withColumnRenamed("m", "sm"), F.col("m") == F.col("sm"))
+    row = F.when((kind == 10) & (F.col("at") == 1), 0).otherwise(F.col("l_orderkey") + 1)
+    column = F.when((kind == 11) & (F.col("at") == F.col("n")), parts + 1).otherwise(F.col("l_partkey") + 1)
+    value = F.when((kind == 9) & (F.col("at") == 1), F.lit(None)).otherwise(F.col("l_quantity").cast("int").cast("string"))
+    text = F.concat_ws(" ", row, column, value)
+    body = entry.select(name, (F.col("at") + 3).alias("line_no"), F.when(kind == 12, F.concat(F.lit("% "), text)).otherwise(text).alias("value"))
+    banner = F.when(kind == 1, "%%MatrixMarket matrix coordinate real").when(kind == 2, "%%matrixmarket matrix coordinate real general").when(kind == 3, "%%MatrixMarket matrix array real general").when(kind == 4, "%%MatrixMarket matrix coordinate complex general").when(kind == 7, "%%MatrixMarket matrix coordinate real symmetric").otherwise("%%MatrixMarket matrix coordinate real general")
+    head = sizes.select(name, F.lit(1).cast("long").alias("line_no"), banner.alias("value")).unionByName(sizes.select(name, F.lit(2).cast("long").alias("line_no"), F.lit("% made of lineitem").alias("value")))
+    nnz = F.when(kind == 8, F.col("n") + 1).when(kind == 13, F.col("n") - 1).otherwise(F.col("n"))
+    size = F.concat_ws(" ", F.when(kind == 6, 0).otherwise(orders), F.lit(parts), F.when(kind == 5, F.lit(None)).otherwise(nnz))
+    return body.unionByName(head).unionByName(sizes.where(kind != 12).select(name, F.lit(3).cast("long").alias("line_no"), size.alias("value")))
+
+
+FAULTY = f"""ln as (
+  select l_orderkey % {MATRICES} as m, l_orderkey, l_partkey, l_quantity, row_number() over (partition by l_orderkey % {MATRICES} order by l_orderkey, l_partkey, l_quantity) as nth from lineitem),
+sz as (select m, m % {len(KINDS)} as kind, count(*) as n from ln group by m),
+st as (select 'm' || m as matrix, m, kind, n, {KINDS}[kind + 1] as status, case when kind = 13 then n - 1 when kind = 0 then n end as nnz from sz)"""
+
+
+@query(f"with {FAULTY} select matrix, status, nnz from st")
 def mm_reject(spark, sf_dir):
-    made = spark.createDataFrame([(k, n, v) for k, (_, _, text) in FILES.items() for n, v in enumerate(text, 1)], "file string, line_no long, value string")
-    return matrix_market.parse(made)[0].select("matrix", "status", "nnz")
+    return matrix_market.parse(_faulty_lines(spark, sf_dir).withColumnRenamed("matrix", "file"))[0].select("matrix", "status", "nnz")
 
 
-def _folder(spark: SparkSession, files: dict[str, list[str]]) -> str:
-    """Small text files in a new folder that all executors share."""
-    path = tables.fresh_path(spark)
-    for name, lines in files.items():
-        tables.write_text(spark, f"{path}/{name}", lines)
-    return path
+def _of_folder(path: str) -> Column:
+    """The matrix that a file of write_lines() holds."""
+    return F.regexp_extract(path, "matrix=([^/]+)", 1)
 
 
-_STATUS = [(f"{k}.mtx", s, n) for k, (s, n, _) in FILES.items()] + [("empty.mtx", "E_EMPTY", None), ("missing.mtx", "E_OPEN", None)]
+def _written_lines(spark: SparkSession, sf_dir: str) -> str:
+    path = tables.fresh_path(spark)
+    matrix_market.write_lines(_faulty_lines(spark, sf_dir), path)
+    return path
 
 
-@query("select * from (values " + ", ".join(f"('{k}', '{s}', cast({'null' if n is None else n} as bigint))" for k, s, n in _STATUS) + ") as t(matrix, status, nnz)")
+@query(f"with {FAULTY} select matrix, status, nnz from st union all select 'missing.mtx', 'E_OPEN', null")
 def mm_scan(spark, sf_dir):
-    """Files written to a folder and read from it, one empty, one missing and one with another suffix among them."""
-    path = _folder(spark, {f"{k}.mtx": text for k, (_, _, text) in FILES.items()} | {"empty.mtx": [], "notes.txt": ["%%MatrixMarket"]})
-    return matrix_market.read(spark, [path, f"{path}/missing.mtx"])[0].select("matrix", "status", "nnz")
+    """Files of lineitem written to a folder and read from it, and one that is missing."""
+    path = _written_lines(spark, sf_dir)
+    meta, _ = matrix_market.read(spark, [path, f"{path}/missing.mtx"], recursive=True)
+    return meta.select(F.when(F.col("status") == "E_OPEN", F.col("name")).otherwise(_of_folder("matrix")).alias("matrix"), "status", "nnz")
 
 
-_LINES = [(f"{k}.mtx", n, v) for k, (_, _, text) in FILES.items() for n, v in enumerate(text, 1)]
+@query(f"""with {FAULTY} select matrix, (nth - 1) * 2 as pos, l_orderkey::integer as i, l_partkey::integer as j, l_quantity::double as v from ln join st using (m) where status = 'OK' and nth <= nnz""")
+def mm_source(spark, sf_dir):
+    """The entries of these files by the data source, in ranges of 64 KB."""
+    rows = mtx_source.load(spark, _written_lines(spark, sf_dir), recursive=True, split=1 << 16)
+    coo = mtx_source.relations(rows)[1]
+    return coo.select(_of_folder("matrix").alias("matrix"), "pos", "i", "j", F.col("v").cast("double").alias("v"))
 
 
-@query("select file, line_no::bigint as line_no, value from (values " + ", ".join(f"('{f}', {n}, '{v}')" for f, n, v in _LINES) + ") as t(file, line_no, value)")
+@query(f"""with {FAULTY} select matrix, nth + 3 as line_no, length(case when kind = 12 then '% ' else '' end) + length((l_orderkey + 1)::varchar) + length((l_partkey + 1)::varchar) + length(l_quantity::integer::varchar) + 2 as chars from ln join st using (m) where kind not in (9, 10, 11, 12)""")
 def text_lines(spark, sf_dir):
-    """The numbered lines of a folder's *.mtx files."""
-    return lines.read_lines(spark, _folder(spark, {f"{k}.mtx": text for k, (_, _, text) in FILES.items()} | {"a.MTX": ["x"], "b.mtx.txt": ["y"]}), "*.mtx")
+    """The numbered lines of these files, by their lengths."""
+    found = lines.read_lines(spark, _written_lines(spark, sf_dir), "*.mtx", recursive=True).withColumn("matrix", _of_folder("path"))
+    kind = F.substring("matrix", 2, 9).cast("int") % len(KINDS)
+    return found.where((F.col("line_no") > 3) & ~kind.isin(9, 10, 11, 12)).select("matrix", "line_no", F.length("value").cast("long").alias("chars"))
 
 
 # --- runs ------------------------------------------------------------------
 
-#: Name -> text of small matrices that are run, and the number of their non-zeros.
-RUN = {"tiny.mtx": ([_GENERAL, "6 4 6", "1 3 5", "1 1 1", "3 2 3", "5 4 2", "5 4 4", "5 1 0"], 6), "none.mtx": ([_GENERAL, "3 3 0"], 0)}
-THREADS = (1, 3)
+THREADS, RUN_BLOCKS = (1, 3), (1024,)
+
+
+def _run_matrices(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(meta, coo) of lineitem, and of an empty matrix of as many rows."""
+    coo = tables.cut(lineitem_coo(spark, sf_dir).withColumn("pos", F.col("j").cast("long") * 64 + F.col("v")))
+    sizes = [table(spark, sf_dir, t).agg((F.max(c) + 1).cast("int")).first()[0] for t, c in (("orders", "o_orderkey"), ("part", "p_partkey"))]
+    nnz = coo.count()
+    meta = spark.createDataFrame([("A1", *sizes, nnz, "OK"), ("none", sizes[0], sizes[1], 0, "OK"), ("broken", None, None, None, "E_SIZE")], "matrix string, nrows int, ncols int, nnz long, status string")
+    return meta, coo
 
 
 def _run_records() -> list[tuple]:
-    """Format, mode, threads, block size, hack size, non-zeros, matrix and status of every configuration."""
-    made = []
-    for name, (_, nnz) in RUN.items():
-        made.append(("CSR", "SerialRef", -1, -1, -1, nnz, name, "OK"))
-        made += [("CSR", "OpenMP", t, -1, -1, nnz, name, "OK") for t in THREADS] + [("CSR", "CUDA", -1, b, -1, nnz, name, "OK") for b in runner.BLOCKS]
-        made += [("HLL", "OpenMP", t, -1, 16, nnz, name, "OK") for t in THREADS] + [("HLL", "CUDA", -1, b, 16, nnz, name, "OK") for b in runner.BLOCKS]
+    """Format, mode, threads, block size and hack size of every configuration."""
+    made = [("CSR", "SerialRef", -1, -1, -1)]
+    for fmt, hack in (("CSR", -1), ("HLL", 32)):
+        made += [(fmt, "OpenMP", t, -1, hack) for t in THREADS] + [(fmt, "CUDA", -1, b, hack) for b in RUN_BLOCKS]
     return made
 
 
-RUN_COLUMNS = ["Format", "Mode", "Threads", "BlockSize", "HackSize", "NNZ", "Matrix", "status"]
+RUN_COLUMNS = ["Format", "Mode", "Threads", "BlockSize", "HackSize", "NNZ", "Matrix", "status", "clock", "timed"]
 
 
-@query("select " + ", ".join(f'"{c}"' + ("::integer" if c in ("Threads", "BlockSize", "HackSize") else "::bigint" if c == "NNZ" else "") + f' as "{c}"' for c in RUN_COLUMNS) + " from (values " + ", ".join(str(r) for r in _run_records()) + ") as t(" + ", ".join(f'"{c}"' for c in RUN_COLUMNS) + ")")
+@query("select \"Format\", \"Mode\", \"Threads\"::integer as \"Threads\", \"BlockSize\"::integer as \"BlockSize\", \"HackSize\"::integer as \"HackSize\", \"NNZ\", \"Matrix\", 'OK' as status, clock, \"NNZ\" > 0 or \"Mode\" <> 'CUDA' as timed from (values " + ", ".join(str(r) for r in _run_records()) + ") as t(\"Format\", \"Mode\", \"Threads\", \"BlockSize\", \"HackSize\"), (select count(*) as \"NNZ\", 'A1' as \"Matrix\" from lineitem union all select 0, 'none'), (select unnest(['wall', 'cpu']) as clock)")
 def runner_records(spark, sf_dir):
-    """The records of the suites on small matrices, with one hack size, without the times."""
-    meta, coo = matrix_market.read(spark, _folder(spark, {k: text for k, (text, _) in RUN.items()}))
+    """Runs of every mode on the matrix of lineitem and on an empty one, by both clocks; timed says whether a time was taken."""
+    meta, coo = _run_matrices(spark, sf_dir)
     out = None
-    for df in runner.run_suite(spark, meta, coo, [16], threads=THREADS, runs=1).values():
-        one = df.select(*RUN_COLUMNS)
+    for mode in runner.Mode:
+        one = runner.run(spark, meta, coo, mode, THREADS, RUN_BLOCKS, 32, runs=1, clocks=runner.CLOCKS)
+        one = one.withColumn("timed", F.coalesce(F.col("Time_s") > 0, F.lit(False))).select(*RUN_COLUMNS)
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query("select 'csr_serial' as chosen, 'SerialRef' as \"Mode\", count(*) as \"NNZ\", 1::bigint as records from lineitem union all select 'hll_openmp', 'OpenMP', count(*), 1 from lineitem")
+def runner_single(spark, sf_dir):
+    """One configuration of two modes on the matrix of lineitem."""
+    meta, coo = _run_matrices(spark, sf_dir)
+    out = None
+    for mode in (runner.Mode.CSR_SERIAL, runner.Mode.HLL_OPENMP):
+        one = runner.single(spark, meta.where("nnz > 0"), coo, mode, threads=2, runs=1).where("Time_s > 0 and MFLOPS > 0 and status = 'OK'")
+        one = one.groupBy("Mode", "NNZ").agg(F.count(F.lit(1)).alias("records")).select(F.lit(mode.value).alias("chosen"), "Mode", "NNZ", "records")
         out = one if out is None else out.unionByName(one)
     return out
 
@@ -334,58 +443,53 @@ _SUITES = ["csr_serial", "csr_openmp", "csr_cuda", *(f"hll_{k}{h}" for k in ("op
 
 @query("select * from (values " + ", ".join(f"('{runner.LOG}', 'results_{n}.txt: completed', 1::bigint), ('results_{n}.txt', '[PERF]', {c}::bigint)" for n, c in ((n, 1) for n in _SUITES)) + ") as t(file, text, n)")
 def suite_logs(spark, sf_dir):
-    """What a run of all suites writes to its dated folder: records by log, and the master log's completed suites."""
-    meta, coo = matrix_market.read(spark, _folder(spark, {"tiny.mtx": RUN["tiny.mtx"][0]}))
+    """What a run of all suites on the matrix of lineitem writes to its dated folder: records by log, and the master log's completed suites."""
+    meta, coo = _run_matrices(spark, sf_dir)
     path = runner.run_folder(tables.fresh_path(spark), datetime(2024, 1, 2, 3, 4, 5))
     if not path.endswith("/benchmark_results_20240102_030405"):
         raise ValueError(path)
-    runner.run_suite(spark, meta, coo, threads=[2], blocks=[256], runs=1, out=path)
+    runner.run_suite(spark, meta.where("nnz > 0"), coo, threads=[2], blocks=[256], runs=1, out=path)
     found = lines.read_lines(spark, path).withColumn("text", F.when(F.col("file") == runner.LOG, F.col("value")).otherwise(F.substring("value", 1, 6)))
     return found.where("text like '%: completed' or file <> 'master_execution_log.txt'").groupBy("file", "text").agg(F.count(F.lit(1)).alias("n"))
 
 
-_COMMANDS = {
-    "csr_serial in": ("csr_serial", 0, 256, 32, 10),
-    "csr_openmp in --threads 16": ("csr_openmp", 16, 256, 32, 10),
-    "csr_openmp in --threads junk": ("csr_openmp", 0, 256, 32, 10),
-    "csr_openmp in --threads -3 --runs 0": ("csr_openmp", 0, 256, 32, 10),
-    "csr_cuda in --block 512 --runs 3": ("csr_cuda", 0, 512, 32, 3),
-    "csr_cuda in --block 100": ("csr_cuda", 0, 256, 32, 10),
-    "hll_cuda in --block 2048 --hack 64": ("hll_cuda", 0, 256, 64, 10),
-    "hll_openmp in --hack -1 --threads 4": ("hll_openmp", 4, 256, 32, 10),
-}
-
-
-@query("select * from (values " + ", ".join(f"('{k}', '{m}', {t}::integer, {b}::integer, {h}::integer, {r}::integer)" for k, (m, t, b, h, r) in _COMMANDS.items()) + ") as t(command, mode, threads, block, hack, runs)")
+@query("""select c_custkey, mode, (case when mode like '%cuda' then 0 else greatest(t, 0) end)::integer as threads,
+  (case when mode like '%cuda' and t between 1 and 1024 and t & (t - 1) = 0 then t else 256 end)::integer as block, (case when h > 0 then h else 32 end)::integer as hack, (case when h > 0 then h else 10 end)::integer as runs
+from (select c_custkey, ['csr_serial', 'csr_openmp', 'csr_cuda', 'hll_openmp', 'hll_cuda'][c_custkey % 5 + 1] as mode, c_custkey % 1100 - 20 as t, c_nationkey - 3 as h from customer)""")
 def command_lines(spark, sf_dir):
-    found = [(c, *(cli.options(c.split())[k] for k in ("mode", "threads", "block", "hack", "runs"))) for c in _COMMANDS]
-    return spark.createDataFrame(found, "command string, mode string, threads int, block int, hack int, runs int")
+    """The options of a command line for each customer, numbers out of range among them."""
+    mode = F.element_at(F.array(*(F.lit(m.value) for m in runner.Mode)), (F.col("c_custkey") % 5 + 1).cast("int"))
+    number = (F.col("c_custkey") % 1100 - 20).cast("int")
+    option = F.when(mode.endswith("cuda"), F.lit("--block")).otherwise("--threads")
+    text = F.concat_ws(" ", mode, F.lit("in"), option, number, F.lit("--hack"), F.col("c_nationkey") - 3, F.lit("--runs"), F.col("c_nationkey") - 3)
+    kind = "mode string, threads int, block int, hack int, runs int"
 
+    def parse(line: str) -> tuple:
+        found = cli.options(line.split())
+        return tuple(found[k] for k in ("mode", "threads", "block", "hack", "runs"))
 
-_SIZES = (-4, 0, 1, 2, 100, 128, 256, 1000, 1024, 1025, 2048)
+    parsed = F.udf(parse, kind)
+    return table(spark, sf_dir, "customer").select("c_custkey", parsed(text).alias("o")).select("c_custkey", "o.*")
 
 
 @query(
-    "select n::integer as size, (case when n between 1 and 1024 then n else 256 end)::integer as launch, (case when n between 1 and 1024 and n & (n - 1) = 0 then n else 256 end)::integer as option, n > 0 as hack_ok "
-    f"from (select unnest({list(_SIZES)}) as n)"
+    "select n::integer as size, (case when n between 1 and 1024 then n else 256 end)::integer as launch, (case when n between 1 and 1024 and n & (n - 1) = 0 then n else 256 end)::integer as option, n > 0 as hack_ok, count(*) as orders "
+    "from (select o_orderkey % 2100 - 20 as n from orders) group by n"
 )
 def size_checks(spark, sf_dir):
-    """Block sizes as a launch and as the command line take them, and whether a number can be a hack size."""
-
-    def accepted(hack: int) -> bool:
-        try:
-            formats.hll_meta(spark.createDataFrame([("m", 0, 1)], "matrix string, i long, n long"), hack)
-        except ValueError:
-            return False
-        return True
+    """Numbers of orders as block sizes of a launch and of the command line, and whether they can be hack sizes."""
+    size = (F.col("o_orderkey") % 2100 - 20).cast("int")
+    checked = table(spark, sf_dir, "orders").select(size.alias("size"), launch_blocks(size).cast("int").alias("launch"), option_blocks(size).cast("int").alias("option"), (size > 0).alias("hack_ok"))
+    return checked.groupBy("size", "launch", "option", "hack_ok").agg(F.count(F.lit(1)).alias("orders"))
 
-    return spark.createDataFrame([(n, launch_block(n), option_block(n), accepted(n)) for n in _SIZES], "size int, launch int, option int, hack_ok boolean")
 
-
-@query("select rows, cols, nnz, case when rows = 0 then 'EMPTY' when cols <= 0 then 'E_ARGS' when nnz = 0 then 'EMPTY' else 'RUN' end as status from (select unnest([0, 1, 5]) as rows), (select unnest([-1, 0, 3]) as cols), (select unnest([0, 2]) as nnz)")
+@query("select r::bigint as rows, c::bigint as cols, nnz, case when r = 0 then 'EMPTY' when c <= 0 then 'E_ARGS' when nnz = 0 then 'EMPTY' else 'RUN' end as status, count(*) as suppliers from (select s_suppkey % 3 as r, s_nationkey % 4 - 1 as c, count(l_orderkey) as nnz from supplier left join lineitem on l_suppkey = s_suppkey and l_quantity > 49 group by s_suppkey, s_nationkey) group by all")
 def kernel_arguments(spark, sf_dir):
-    sizes = spark.range(1).select(F.explode(F.array(*map(F.lit, (0, 1, 5)))).alias("rows")).select("rows", F.explode(F.array(*map(F.lit, (-1, 0, 3)))).alias("cols")).select("rows", "cols", F.explode(F.array(*map(F.lit, (0, 2)))).alias("nnz"))
-    return sizes.select("rows", "cols", "nnz", launch_status(F.col("rows"), F.col("cols"), F.col("nnz")).alias("status"))
+    """What a kernel does with a matrix for each supplier, of the rows and columns that its keys say and the entries of its large items."""
+    li = table(spark, sf_dir, "lineitem").where("l_quantity > 49").groupBy("l_suppkey").agg(F.count(F.lit(1)).alias("n"))
+    s = table(spark, sf_dir, "supplier").join(li, F.col("s_suppkey") == F.col("l_suppkey"), "left")
+    sizes = s.select((F.col("s_suppkey") % 3).cast("long").alias("rows"), (F.col("s_nationkey") % 4 - 1).cast("long").alias("cols"), F.coalesce("n", F.lit(0)).cast("long").alias("nnz"))
+    return sizes.groupBy("rows", "cols", "nnz", launch_status(F.col("rows"), F.col("cols"), F.col("nnz")).alias("status")).agg(F.count(F.lit(1)).alias("suppliers"))
 
 
 # --- compressed rows and padded blocks -------------------------------------
@@ -589,24 +693,17 @@ def perf_parse(spark, sf_dir):
     return perf_log.parse(made.unionByName(noise).unionByName(other)).drop("file", "line_no")
 
 
-_NAMES = {
-    "results_csr_serial.txt": ("CSR", "SerialRef", -1),
-    "results_csr_openmp.txt": ("CSR", "OpenMP", -1),
-    "results_hll_openmp16.txt": ("HLL", "OpenMP", 16),
-    "results_hll_cuda64.txt": ("HLL", "CUDA", 64),
-    "results_hll_other.txt": ("HLL", "OTHER", -1),
-    "notes.txt": (None, None, None),
-}
-
-
-def _sql(value) -> str:
-    return "null" if value is None else f"'{value}'" if isinstance(value, str) else str(value)
+_LOG_NAME = """'results_' || lower("Format") || '_' || case when "Mode" = 'SerialRef' then 'serial' else lower("Mode") end || case when "HackSize" <> -1 then "HackSize"::varchar else '' end || '.txt'"""
 
 
-@query("select file, \"Format\", \"Mode\", \"HackSize\"::integer as \"HackSize\" from (values " + ", ".join("(" + ", ".join(map(_sql, (k, *v))) + ")" for k, v in _NAMES.items()) + ') as t(file, "Format", "Mode", "HackSize")')
+@query(f"""with {PERF} select {_LOG_NAME} as file, "Format", "Mode", case when "Format" = 'HLL' then "HackSize" else -1 end::integer as "HackSize", count(*) as records from perf group by all
+union all select 'notes' || event_id % 7 || '.txt', null, null, null, count(*) from perf group by event_id % 7""")
 def perf_filename(spark, sf_dir):
-    names = spark.createDataFrame([(n,) for n in _NAMES], "file string")
-    return names.select("file", *(c.alias(k) for k, c in perf_log.file_parts(F.col("file")).items()))
+    """What the names of the logs that events belong in say, and names of no log."""
+    perf = event_perf(spark, sf_dir)
+    names = perf.select(perf_log.log_name(F.col("Format"), F.col("Mode"), F.col("HackSize")).alias("file"))
+    names = names.unionByName(perf.select(F.format_string("notes%d.txt", F.col("event_id") % 7).alias("file")))
+    return names.groupBy("file", *(c.alias(k) for k, c in perf_log.file_parts(F.col("file")).items())).agg(F.count(F.lit(1)).alias("records"))
 
 
 @query(f'with {PERF} select event_id, "GFLOPS" from ok')
@@ -718,37 +815,33 @@ def _charts(mode: str, spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(report.chart_data(perf, mode), "y")
 
 
-_LOG = {
-    "results_csr_serial.txt": [("a.mtx", -1, -1, -1, 0.03, 400.0), ("b.mtx", -1, -1, -1, 0.01, 200.0)],
-    "results_csr_openmp.txt": [("a.mtx", 8, -1, -1, 0.006, 2000.0), ("b.mtx", 8, -1, -1, 0.005, 400.0), ("c.mtx", 2, -1, -1, 0.1, 0.0)],
-    "results_hll_openmp16.txt": [("a.mtx", 8, -1, 99, 0.003, 4000.0)],
-    "results_hll_cuda64.txt": [("a.mtx", -1, 256, 64, 0.001, 12000.0), ("a.mtx", -1, 512, 64, 0.0, -1.0)],
-}
-
-
-def _log_folder(spark: SparkSession) -> str:
-    text = "[PERF] Format:X, Mode:X, Threads:{}, BlockSize:{}, HackSize:{}, Time_s:{:.8f}, MFLOPS:{:.2f}, NNZ:7, Matrix:{}"
-    return _folder(spark, {k: ["a line of notes", *(text.format(t, b, h, s, m, name) for name, t, b, h, s, m in v)] for k, v in _LOG.items()} | {"results.txt": ["[PERF] x"], "other.log": ["x"]})
-
-
-_PARSED = [(f, *_NAMES.get(f, ("CSR", "OpenMP", -1))[:2], t, b, _NAMES.get(f, (0, 0, -1))[2] if _NAMES.get(f, (0, 0, -1))[2] != -1 else h, s, m, name) for f, v in _LOG.items() for name, t, b, h, s, m in v]
+def _logs(spark: SparkSession, sf_dir: str) -> str:
+    """The events' records as logs in a folder."""
+    path = tables.fresh_path(spark)
+    perf_log.write_logs(event_perf(spark, sf_dir), path)
+    return path
 
 
-@query('select file, "Format", "Mode", t::integer as "Threads", b::integer as "BlockSize", h::integer as "HackSize", s::double as "Time_s", m::double as "MFLOPS", "Matrix" from (values ' + ", ".join(str(r) for r in _PARSED) + ') as x(file, "Format", "Mode", t, b, h, s, m, "Matrix")')
+@query(f"""with {PERF} select {_LOG_NAME} as file, "Format", "Mode", "Threads", "BlockSize", "HackSize", round("Time_s", 8) as "Time_s", round("MFLOPS", 2) as "MFLOPS", "NNZ", "Matrix" from perf""")
 def perf_scan(spark, sf_dir):
-    """Logs written to a folder and read from it."""
-    return perf_log.read(spark, _log_folder(spark)).select("file", "Format", "Mode", "Threads", "BlockSize", "HackSize", "Time_s", "MFLOPS", "Matrix")
+    """Logs of the events written to a folder and read from it."""
+    return perf_log.read(spark, _logs(spark, sf_dir), recursive=True).select("file", "Format", "Mode", "Threads", "BlockSize", "HackSize", "Time_s", "MFLOPS", "NNZ", "Matrix")
 
 
-_WRITTEN = {"csv/openmp_csr_perf": 3, "csv/openmp_hll_perf": 1, "csv/cuda_csr_perf": 0, "csv/cuda_hll_perf": 1, "charts/palette": 3, "charts/OpenMP/CSR/Speedup": 3, "charts/OpenMP/HLL/HackSize_16/GFLOPS": 1, "charts/OpenMP/Comparisons/Efficiency": 3, "charts/CUDA/CSR/GFLOPS": 0, "charts/CUDA/HLL/HackSize_64/Speedup": 1, "charts/CUDA/Comparisons/GFLOPS": 1}
+_CHARTS_SQL = " union all ".join(f"select chart, count(*) as n from ({_chart_sql(mode)}) group by chart" for mode in ("OpenMP", "CUDA"))
 
 
-@query("select * from (values " + ", ".join(f"('{k}', {n}::bigint)" for k, n in _WRITTEN.items()) + ") as t(path, n)")
+@query(f"""select 'charts/' || chart as path, n from ({_CHARTS_SQL})
+union all select 'csv/' || lower("Mode") || '_' || lower("Format") || '_perf', count(*) from (with {PERF} select * from ok) where "Mode" <> 'SerialRef' group by "Mode", "Format"
+union all select 'palette', count(distinct "Matrix") from (with {PERF} select * from ok)""")
 def report_files(spark, sf_dir):
-    """The rows of files that a report writes, in folders that it makes."""
+    """The rows of the files that a report on the events' logs writes, in folders that it makes."""
     out = f"{tables.fresh_path(spark)}/made/by/the/report"
-    report.main(spark, _log_folder(spark), out)
-    return spark.createDataFrame([(p, spark.read.csv(f"{out}/{p}", header=True, schema="a string").count()) for p in _WRITTEN], "path string, n long")
+    report.main(spark, _logs(spark, sf_dir), out, recursive=True)
+    counted = lambda df, path: df.groupBy(path.alias("path")).agg(F.count(F.lit(1)).alias("n"))
+    charts = counted(spark.read.csv(f"{out}/charts", header=True), F.concat(F.lit("charts/"), F.col("chart")))
+    exported = counted(spark.read.csv(f"{out}/csv", header=True), F.concat(F.lit("csv/"), F.col("table")))
+    return charts.unionByName(exported).unionByName(counted(spark.read.csv(f"{out}/palette", header=True), F.lit("palette")))
 
 
 @query(_chart_sql("OpenMP"))
