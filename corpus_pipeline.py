@@ -49,8 +49,9 @@ def drop_boilerplate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates stays, that of the least id, with all its columns.
 
-    Of rows with one id one stays; rows without an id or without words stay;
-    an empty table gives an empty one; no name can clash.
+    Groups are of texts: rows that share an id but no text are told apart, and
+    copies without an id go like any others. Repeated rows are one; rows
+    without words stay; an empty table gives an empty one; no name can clash.
     """
     return near_dup.drop_near_duplicates(docs)
 
