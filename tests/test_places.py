@@ -47,3 +47,22 @@ def test_scratch_keeps_what_is_asked_for(spark):
         with pytest.raises(Exception):
             gone.count()
     assert isinstance(b.toPandas(), pd.DataFrame)
+
+
+def _settings(spark, **values):
+    for k, v in values.items():
+        spark.conf.set(k.replace("__", "."), v)
+    return [k.replace("__", ".") for k in values]
+
+
+def test_a_frequent_key_does_not_meet_in_one_task(spark):
+    """Where nothing is broadcast, a key goes back to its rows by range, so it is in as many tasks as it has ranges."""
+    names = _settings(spark, spark__sql__autoBroadcastJoinThreshold="-1", spark__sql__adaptive__enabled="false")
+    try:
+        df = spark.createDataFrame([("hot", v) for v in range(4000)] + [("b", 1)], "k string, v int").repartition(5)
+        got = numbered_within(df, ["k"], ["v"], "at", "n").selectExpr("*", "spark_partition_id() as p").toPandas()
+        hot = got[got.k == "hot"]
+        assert (hot["at"] == hot["v"]).all() and set(hot["n"]) == {4000} and hot["p"].nunique() > 1
+    finally:
+        for name in names:
+            spark.conf.unset(name)
