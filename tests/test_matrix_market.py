@@ -147,3 +147,35 @@ def test_writing_and_reading_again(spark):
     _, again = mm.parse(lines_of(spark, **{k: "\n".join(v) for k, v in files.items()}))
     for name in ("tiny", "sym"):
         assert entries(again, name) == entries(coo, name)
+
+
+def test_lines_are_numbered_where_they_are_read(spark, tmp_path):
+    for name in ("a", "b"):
+        (tmp_path / f"{name}.txt").write_text("".join(f"line {k}\n" for k in range(1, 200)))
+    found = read_lines(spark, str(tmp_path), "*.txt")
+    assert all(r.value == f"line {r.line_no}" for r in found.collect()) and found.count() == 398
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "Sort" not in plan
+
+
+def test_files_are_written_by_a_task_each(spark, tmp_path, monkeypatch):
+    df = spark.createDataFrame([(f"m{k % 7}", k // 7 + 1, f"{k}") for k in range(70)], "matrix string, line_no long, value string")
+    for most in (mm.FILES, 3):
+        monkeypatch.setattr(mm, "FILES", most)
+        mm.write_lines(df, str(tmp_path / f"at{most}"))
+        files = sorted((tmp_path / f"at{most}").glob("matrix=*/*.mtx"))
+        assert [f.read_text().split() for f in files] == [[str(k) for k in range(m, 70, 7)] for m in range(7)]
+        assert len({f.name.split("-")[1] for f in files}) == min(most, 7)
+
+
+def test_lines_of_the_queries_are_numbered_without_a_window(spark):
+    from pathlib import Path
+
+    from weftline.plans import catalog
+
+    data = "/root/testdata/sf0.001"
+    if not Path(data).exists():
+        pytest.skip("the driver's tables are not here")
+    for lines in (catalog._entry_lines(spark, data, "pattern", None), catalog._faulty_lines(spark, data)):
+        plan = lines._jdf.queryExecution().optimizedPlan().toString()
+        assert "windowspecdefinition(file" not in plan and "windowspecdefinition(m#" not in plan

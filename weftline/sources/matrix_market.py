@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline import schema
+from weftline.functions.places import numbered
 from weftline.functions.tables import cut
 from weftline.sources.lines import read_lines
 
@@ -25,6 +26,8 @@ _BANNER = r"^%%MatrixMarket\s*matrix\s*(\S+)\s+(\S+)\s+(\S+)"
 _SIZE = rf"^\s*{_INT}\s+{_INT}\s+{_INT}"
 _REAL = r"([+-]?(?:\d+\.?\d*|\.\d+)(?:[eE][+-]?\d+)?|[+-]?(?i:inf(?:inity)?|nan))"
 _ENTRY = {"pattern": rf"^\s*{_INT}\s+{_INT}", "integer": rf"^\s*{_INT}\s+{_INT}\s+{_INT}", "real": rf"^\s*{_INT}\s+{_INT}\s+{_REAL}"}
+#: Tasks that write files at most.
+FILES = 1 << 12
 #: Field -> the type that a value is read as before it becomes a float.
 FIELDS = {"real": "float", "integer": "int", "pattern": None}
 
@@ -119,8 +122,11 @@ def write(meta: DataFrame, coo: DataFrame, path: str) -> None:
 
 
 def write_lines(lines: DataFrame, path: str) -> None:
-    """lines (matrix, line_no, value) as *.mtx files under path, one in each folder matrix=NAME. A file is written by one task, in the order of its lines; different ones side by side."""
-    dealt = lines.repartition("matrix").sortWithinPartitions("matrix", "line_no").select("matrix", "value")
+    """lines (matrix, line_no, value) as *.mtx files under path, one in each folder matrix=NAME. A file is written by one task, in the order of its lines; different ones side by side, up to FILES with a task each."""
+    names = cut(numbered(lines.select(F.col("matrix").alias("__m")).distinct(), ["__m"], "__file"))
+    files = max(1, min(names.count(), FILES))
+    tasked = lines.join(names, F.col("matrix") == F.col("__m")).select("matrix", "line_no", "value", (F.col("__file") % files).cast("int").alias("__task"))
+    dealt = tasked.repartitionById(files, "__task").sortWithinPartitions("matrix", "line_no").select("matrix", "value")
     plain = {"sep": "\u0001", "quote": "\u0000", "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false", "extension": "mtx"}
     dealt.write.mode("overwrite").partitionBy("matrix").options(**plain).csv(path)
 
