@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import argparse
+import functools
 
 from pyspark.sql import SparkSession
 
@@ -19,6 +20,7 @@ def whole(text: str) -> int:
         return 0
 
 
+@functools.cache
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="weftline", description="Time sparse matrix-vector products on Matrix Market files.")
     p.add_argument("mode", choices=[m.value for m in runner.Mode])
