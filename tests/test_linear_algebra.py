@@ -263,3 +263,35 @@ def test_gather_is_one_join_and_one_shuffle_of_sums(spark):
     coo, rows, _ = relations(spark, TINY, 6)
     plan = spmv.spmv_coo(coo, rows, spmv.ones(spark, 4))._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" in plan and "partial_sum" in plan and "CartesianProduct" not in plan and "Python" not in plan
+
+
+def test_pieces_of_one_block_stay_where_they_are(spark):
+    """The blocks are joined to their pieces, not the pieces to their block, which is one task if it is the only one."""
+    conf = {"spark.sql.execution.arrow.maxRecordsPerBatch": "100", "spark.sql.adaptive.enabled": "false"}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        coo, rows, counts = relations(spark, [(i % 500, i // 500, 1.0) for i in range(3000)], 501)
+        blocks = formats.hll_blocks(coo, counts, 1 << 20).selectExpr("block", "size(ja) as n", "spark_partition_id() as p").collect()
+        assert {r.block for r in blocks} == {0} and sum(r.n for r in blocks) == 501 * 6 and len({r.p for r in blocks}) > 1
+    finally:
+        for k in conf:
+            spark.conf.unset(k)
+
+
+def test_a_large_owner_has_several_tasks(spark, monkeypatch):
+    monkeypatch.setattr(partitioning, "SHARE", 100)
+    entries = [(7, j % 40, 1.0) for j in range(600)] + [(i % 50, i % 40, 2.0) for i in range(600)]
+    coo, rows, counts = relations(spark, entries, 50)
+    parts = partitioning.distribute(coo, counts, 2).persist()
+    loads = [r["count"] for r in parts.groupBy("task").count().collect()]
+    assert parts.rdd.getNumPartitions() == len(loads) == 14 and max(loads) <= 100
+    assert [r["count"] for r in parts.groupBy("owner").count().orderBy("owner").collect()] == [625, 625]
+    assert ys(spmv.spmv_owned(parts)) == ys(spmv.spmv_coo(coo, rows))
+    parts.unpersist()
+
+
+def test_entries_of_a_stripe_do_not_meet_before_their_tiles(spark):
+    coo, rows, _ = relations(spark, TINY, 6)
+    plan = spmv.spmv_tiled(coo, rows, spmv.ones(spark, 4))._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and plan.count("BroadcastHashJoin") == 2
