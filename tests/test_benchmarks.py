@@ -200,3 +200,30 @@ def test_what_a_run_reads_is_made_before(spark, tmp_path):
     for mode in (runner.Mode.CSR_SERIAL, runner.Mode.CSR_OPENMP, runner.Mode.CSR_CUDA):
         rows = runner.run(spark, meta, late, mode, threads=[1], blocks=[128], runs=2, clocks=runner.CLOCKS).collect()
         assert [r.clock for r in rows] == ["wall", "cpu"] and all(0 < r.Time_s < 2.9 for r in rows)
+
+
+def test_forms_are_made_once_for_all_modes(spark, tmp_path, monkeypatch):
+    (tmp_path / "tiny.mtx").write_text(TINY)
+    meta, coo = matrix_market.read(spark, str(tmp_path))
+    made = []
+    for name in ("hll_blocks", "row_counts"):
+        f = getattr(runner.formats, name)
+        monkeypatch.setattr(runner.formats, name, lambda *a, f=f, name=name: made.append(name) or f(*a))
+    with runner.Forms() as forms:
+        found = [runner.run(spark, meta, coo, mode, [1], [128], 2, runs=1, forms=forms) for mode in (runner.Mode.HLL_OPENMP, runner.Mode.HLL_CUDA)]
+    assert [r.status for df in found for r in df.collect()] == ["OK", "OK"]
+    assert made.count("hll_blocks") == made.count("row_counts") == 1 and not forms.made
+
+
+def test_a_serial_run_of_a_large_matrix_has_several_tasks(spark, tmp_path, monkeypatch):
+    (tmp_path / "tiny.mtx").write_text(TINY)
+    meta, coo = matrix_market.read(spark, str(tmp_path))
+    monkeypatch.setattr(runner.partitioning, "SHARE", 2)
+    seen, product = [], runner.spmv.spmv_coo
+    monkeypatch.setattr(runner.spmv, "spmv_coo", lambda data, *a: seen.append(data.rdd.getNumPartitions()) or product(data, *a))
+    rows = runner.single(spark, meta, coo.repartition(3), runner.Mode.CSR_SERIAL, runs=1).collect()
+    assert [r.status for r in rows] == ["OK"] and seen == [3]
+
+
+def test_the_parser_of_command_lines_is_made_once():
+    assert cli.parser() is cli.parser()
