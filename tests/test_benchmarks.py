@@ -227,3 +227,12 @@ def test_a_serial_run_of_a_large_matrix_has_several_tasks(spark, tmp_path, monke
 
 def test_the_parser_of_command_lines_is_made_once():
     assert cli.parser() is cli.parser()
+
+
+def test_a_sweep_of_threads_places_the_items_once(spark, tmp_path, monkeypatch):
+    (tmp_path / "tiny.mtx").write_text(TINY)
+    meta, coo = matrix_market.read(spark, str(tmp_path))
+    placed, groups_within = [], runner.partitioning.groups_within
+    monkeypatch.setattr(runner.partitioning, "groups_within", lambda *a: placed.append(1) or groups_within(*a))
+    rows = runner.run(spark, meta, coo, runner.Mode.CSR_OPENMP, [1, 2, 3], runs=1).collect()
+    assert [(r.Threads, r.status) for r in rows] == [(1, "OK"), (2, "OK"), (3, "OK")] and len(placed) == 1

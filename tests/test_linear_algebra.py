@@ -295,3 +295,30 @@ def test_entries_of_a_stripe_do_not_meet_before_their_tiles(spark):
     coo, rows, _ = relations(spark, TINY, 6)
     plan = spmv.spmv_tiled(coo, rows, spmv.ones(spark, 4))._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" not in plan and plan.count("BroadcastHashJoin") == 2
+
+
+def test_a_large_owner_of_blocks_has_several_tasks(spark, monkeypatch):
+    monkeypatch.setattr(partitioning, "SHARE", 100)
+    coo, rows, counts = relations(spark, [(i % 50, i % 40, 2.0) for i in range(600)], 60)
+    blocks = partitioning.distribute_blocks(formats.hll_blocks(coo, counts, 4), 2).persist()
+    loads = [r["count"] for r in blocks.groupBy("task").count().collect()]
+    assert blocks.rdd.getNumPartitions() == 8 and max(loads) <= 2 and {r.owner for r in blocks.select("owner").collect()} == {0, 1}
+    assert ys(spmv.spmv_blocks(blocks)) == ys(spmv.spmv_coo(coo, rows))
+    blocks.unpersist()
+
+
+@pytest.mark.parametrize("batch", ["3", "60", "10000"])
+def test_blocks_are_the_same_however_they_are_made(spark, batch):
+    """Small blocks are laid out whole, over the ends of batches too; the cells are those of hll_cells, and nulls stay."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    try:
+        cells = [(r, (r * 7 + k) % 11, None if k == 3 else float(r + k)) for r in range(37) if r % 5 for k in range(r % 9)] + [(36, j, 1.0) for j in range(70)]
+        coo = spark.createDataFrame([(name, -p, i, j, v) for name in ("a", "b") for p, (i, j, v) in enumerate(cells)], "matrix string, pos long, i int, j int, v float").repartition(5)
+        counts = formats.row_counts(coo, spark.range(41).selectExpr("explode(array('a', 'b')) as matrix", "id as i"))
+        want = sorted(map(repr, formats.hll_cells(coo, counts, 4).select("matrix", "block", "flat", "i", "ja", "a").collect()))
+        blocks = formats.hll_blocks(coo, counts, 4)
+        assert sorted(map(repr, formats.block_cells(blocks).select("matrix", "block", "flat", "i", "ja", "a").collect())) == want
+        sizes = {(r.matrix, r.block): (r.nr, r.k, r.cells, r.start_offset) for r in blocks.collect()}
+        assert sizes == {(r.matrix, r.block): (r.nr, r.k, r.cells, r.start_offset) for r in formats.hll_offsets(formats.hll_meta(counts, 4)).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
