@@ -5,7 +5,7 @@ from pathlib import Path
 import pytest
 
 from weftline.functions import perf_metrics as pm
-from weftline.functions import scalars
+from weftline.functions import scalars, tables
 from weftline.plans import cli, report, runner
 from weftline.sources import matrix_market, perf_log
 from tests.test_matrix_market import SYMMETRIC, TINY
@@ -236,3 +236,25 @@ def test_a_sweep_of_threads_places_the_items_once(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(runner.partitioning, "groups_within", lambda *a: placed.append(1) or groups_within(*a))
     rows = runner.run(spark, meta, coo, runner.Mode.CSR_OPENMP, [1, 2, 3], runs=1).collect()
     assert [(r.Threads, r.status) for r in rows] == [(1, "OK"), (2, "OK"), (3, "OK")] and len(placed) == 1
+
+
+def test_a_suite_keeps_one_hack_size_and_leaves_no_tables(spark, tmp_path, monkeypatch):
+    (tmp_path / "tiny.mtx").write_text(TINY)
+    meta, coo = matrix_market.read(spark, str(tmp_path))
+    before, forms, seen = set(tables._written), [], []
+    enter, product = runner.Forms.__enter__, runner.spmv.spmv_blocks_arrow
+    monkeypatch.setattr(runner.Forms, "__enter__", lambda self: forms.append(self) or enter(self))
+    monkeypatch.setattr(runner.spmv, "spmv_blocks_arrow", lambda *a: seen.append([k[1:] for k in forms[0].made if "hll" in k]) or product(*a))
+    found = runner.run_suite(spark, meta, coo, [2, 4], threads=[1], blocks=[128], runs=1)
+    assert len(found) == 7 and seen == [[("hll", 2)], [("hll", 4)]]
+    assert set(tables._written) == before and not forms[0].made
+
+
+def test_tidy_queries_leave_no_shuffle_files(spark, tmp_path):
+    files = lambda: spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().size()
+    setting = spark.conf.get(tables.CLEANUP)
+    with tables.tidy_shuffles(spark):
+        before = files()
+        spark.range(1000).repartition(3).write.format("noop").mode("overwrite").save()
+        assert files() <= before
+    assert spark.conf.get(tables.CLEANUP) == setting
